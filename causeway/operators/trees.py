@@ -138,7 +138,7 @@ def differences(ts: TraceSet, pairs: DataFrame) -> DataFrame:
         a, b = (_Side(rows[rows["side"] == s]) for s in "AB")
         changes = list(_walk(a, b))
         cur, _, base = rows["pair"].iloc[0].partition("\x1f")
-        return pd.DataFrame({"current": cur, "baseline": base, "position": range(len(changes)), "change": changes})
+        return pd.DataFrame([(cur, base, i, c) for i, c in enumerate(changes)], columns=["current", "baseline", "position", "change"], dtype=object)
 
     return rows.groupBy("pair").applyInPandas(compare, "current string, baseline string, position int, change string")
 
