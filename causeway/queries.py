@@ -481,3 +481,76 @@ def _safe(spark, d):
 @query("k07_default_paths", "SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9._-]{0,199}') THEN url || '.json' ELSE 'trace-' || sha256(url) || '.json' END AS path FROM pages")
 def _paths(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", default_path(F.col("url")).alias("path"))
+
+
+# --- sources and sinks, on documents that Spark makes from the tables
+
+
+def _span_texts(ts):
+    """Each trace as a span document: the first cause as a logical parent, other causes as links."""
+    attr = lambda k, v, kind="stringValue": F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias(kind)).alias("value"))
+    cause = projection.causes(ts)
+    parent = cause.where("origin = 'graph_parent'").select("trace_id", F.col("src").alias("step_id"), F.col("dst").alias("parent"))
+    links = cause.where("origin = 'span_link'").groupBy("trace_id", F.col("src").alias("step_id")).agg(F.collect_list(F.struct(F.col("trace_id").alias("traceId"), F.col("dst").alias("spanId"))).alias("links"))
+    rows = ts.steps.join(parent, ["trace_id", "step_id"], "left").join(links, ["trace_id", "step_id"], "left")
+    nanos = (F.unix_micros(F.to_timestamp("ts")) * 1000 + F.col("seq")).cast("string")
+    attrs = F.array_compact(F.array(attr("openinference.span.kind", F.col("kind")), attr("graph.node.id", F.col("step_id")), F.when(F.col("parent").isNotNull(), attr("graph.node.parent_id", F.col("parent"))), F.when(F.col("evidence.prompt_tokens").isNotNull(), attr("llm.token_count.prompt", F.col("evidence.prompt_tokens")))))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("step_id").alias("spanId"), F.lit("").alias("parentSpanId"), "name", nanos.alias("startTimeUnixNano"), F.struct(F.when(F.col("status") == "error", "STATUS_CODE_ERROR").when(F.col("status") == "ok", "STATUS_CODE_OK").otherwise("STATUS_CODE_UNSET").alias("code"), F.col("error_msg").alias("message")).alias("status"), attrs.alias("attributes"), "links")
+    doc = rows.groupBy("trace_id").agg(F.collect_list(span).alias("spans"))
+    return doc.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
+
+
+def _through_spans(spark, d):
+    from causeway.sources import spans
+
+    return spans.ingest(spans.decode(spans.documents(_span_texts(views.events(spark, d)))))
+
+
+@query("s07_span_edges", _sql("SELECT trace_id, src, dst, origin FROM edges"))
+def _span_edges(spark, d):
+    return projection.causes(_through_spans(spark, d))
+
+
+@query(
+    "s07_span_steps",
+    _sql("SELECT trace_id, step_id, seq, kind, name, CASE WHEN status = 'unset' THEN 'ok' ELSE status END AS status, error_msg, CASE WHEN event_type = 'purchase' THEN k * 3 END AS prompt_tokens FROM steps"),
+)
+def _span_steps(spark, d):
+    return _through_spans(spark, d).steps.select("trace_id", "step_id", "seq", "kind", "name", "status", "error_msg", F.col("evidence.prompt_tokens").alias("prompt_tokens"))
+
+
+@query("h01_discover_traces", _sql("SELECT trace_id, count(*) AS n_spans FROM steps GROUP BY 1"))
+def _discover(spark, d):
+    from causeway.sources import spans
+
+    return spans.decode(spans.documents(_span_texts(views.events(spark, d)))).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"))
+
+
+@query("k01_artifact_round_trip", _sql("SELECT trace_id, src, dst, origin FROM edges"))
+def _round_trip(spark, d):
+    from causeway.sources import artifacts
+
+    return projection.causes(artifacts.from_text(artifacts.to_text(views.events(spark, d)).select("value")))
+
+
+@query("k01_artifact_versions", _sql("SELECT trace_id, CASE WHEN NOT no_record OR bool_or(kind_unknown) THEN 7 WHEN bool_or(event_type = 'purchase') THEN 3 ELSE 2 END AS version FROM steps JOIN traces USING (trace_id) GROUP BY trace_id, no_record"))
+def _versions(spark, d):
+    from causeway.sources import artifacts
+
+    return artifacts.required_version(views.events(spark, d))
+
+
+@query(
+    "s08_export_ingest",
+    "SELECT 'c' || conv_id AS trace_id, 't' || turn AS step_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CASE WHEN role = 'user' THEN 'PROMPT' ELSE 'LLM' END AS kind, role AS name, 'unset' AS status, lag('t' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM (SELECT conv_id, turn, min(role) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2)",
+)
+def _export(spark, d):
+    from causeway.sources import exports
+
+    ts = views.conversations(spark, d)
+    parents = projection.primary_parents(ts).select("trace_id", "step_id", "parent")
+    rows = ts.steps.join(parents, ["trace_id", "step_id"], "left")
+    span = F.struct(F.struct("trace_id", F.col("step_id").alias("span_id")).alias("context"), "name", F.col("kind").alias("span_kind"), F.col("parent").alias("parent_id"), (F.col("seq") + 1).cast("string").alias("start_time"))
+    texts = rows.groupBy("trace_id").agg(F.collect_list(span).alias("spans")).select(F.to_json(F.struct(F.col("trace_id").alias("traceId"), "spans")).alias("value"))
+    got = exports.ingest(texts)
+    return got.steps.select("trace_id", "step_id", "seq", "kind", "name", "status").join(projection.primary_parents(got).select("trace_id", "step_id", "parent"), ["trace_id", "step_id"], "left")
