@@ -20,7 +20,8 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ \-.]?)?\([0-9]{3}\)[ \-.]?[0-9]{3}[ \-.][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ \-.][0-9]{2,4}){3,4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
 #: A title that tells gender, then one capitalised word, of Latin or Cyrillic letters.
-NAME = r"\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? \p{Lu}\p{Ll}+"
+TITLES = ["Mr", "Mrs", "Ms", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Господин", "Госпожа"]
+NAME = rf"\b(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+"
 ANY = "|".join(["(?:" + p.replace(r"([ \-]?)", r"(?<gap>[ \-]?)").replace(r"\1", r"\k<gap>") + ")" for p in (EMAIL, SECRET, IP, PHONE, CARD, NAME)])
 #: Family-name syllables and given names by script and gender, for surrogates.
 SYLLABLES = {"latin": ["bel", "cor", "dan", "fen", "gar", "hol", "kel", "lin", "mar", "nor", "pel", "ros", "sten", "tal", "vin", "wes"], "cyrillic": ["бел", "вор", "гар", "дол", "зор", "ков", "лен", "мар", "нов", "пол", "рог", "сол", "тар", "фед", "хол", "яр"]}
@@ -130,7 +131,12 @@ def surrogates(docs: DataFrame, key: str = "causeway") -> DataFrame:
     surrogate in the whole table and, for one key, in any table that draws no collision. Other columns are
     not read; an empty table gives an empty result.
     """
-    rows = narrow(docs, doc_id="long", text="string").withColumn("found", F.regexp_extract_all("text", F.lit(ANY), 0))
+    # the pattern is slow, and nothing matches it without a digit, an at-sign or a title
+    may = F.col("text").rlike("[0-9@]")
+    for title in TITLES:
+        may = may | F.col("text").contains(title)
+    found = F.when(may, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+    rows = narrow(docs, doc_id="long", text="string").withColumn("found", found)
     hits = staged(rows.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id()))
     plain = rows.where(F.coalesce(F.size("found") <= 0, F.lit(True))).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
     kind = kind_of(F.col("entity"))
