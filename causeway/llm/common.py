@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causeway.session import ship
 
 #: Bytes of an Arrow batch handed to Python, so that a run of very long texts fits a worker.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,3 +95,13 @@ def read_blobs(manifest: DataFrame, parse: Callable[[bytes], Iterator], schema:
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path").repartition(parts, "path").mapInArrow(run, schema)
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """A worker serves one operator after the other; when another one begins, what the last kept is let go."""
+    for other in [n for n in _CACHES if n != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear

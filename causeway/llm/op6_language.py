@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, narrow, small_batches
+from .common import column, keep_only, narrow, small_batches
 
 FEATURES = 4096
 #: Labelled rows a language that centroids are fitted on; the bound of the fit.
@@ -47,6 +47,7 @@ def _document_counts(batches: Iterator) -> Iterator:
     """One row a feature and task: in how many texts it is; feature -1: texts."""
     import pyarrow as pa
 
+    keep_only("language")
     seen, n = np.zeros(FEATURES, np.int64), 0
     for b in batches:
         for t in b["text"].to_pylist():

@@ -1,9 +1,11 @@
 """Tokenizer calls with a bounded cache of words.
 
 Both vocabularies cut a text into pre-tokens before they merge bytes. A single space between two
-visible characters always ends a pre-token, so the ids of a text are the ids of its words, joined.
-Each worker keeps the ids of the words it met (at most CACHE_WORDS) and calls the library for new
-words only; texts with other white space beside a space are cut at the safe spaces alone.
+visible characters always ends a pre-token, a single line end between two is one of its own, and so is
+a final comma or full stop after a letter; so the ids of a text are the ids of such pieces, joined. Each
+worker keeps the ids of the words it met (at most CACHE_WORDS) and asks the library for new words only,
+many in one call: they are put in one text, with a separator whose id no word has. Texts with other
+white space beside a space are cut at the safe spaces alone.
 """
 
 from __future__ import annotations
@@ -12,13 +14,20 @@ import os
 import re
 from itertools import chain
 
-CACHE_WORDS = 500_000
+import numpy as np
+
+from .common import keep_only
+
+CACHE_WORDS = 400_000
+#: Words of one text, and texts of one call.
+JOINED, CALL = 64, 64
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
 
 def encoder(path: str, kind: str) -> "Encoder":
     """The worker's own encoder; kind: ``byte`` (white space counts) or ``word`` (lower case, white space dropped)."""
+    keep_only(f"tokens {path}", _ENCODERS.clear)
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = Encoder(path, kind)
     return _ENCODERS[path, kind]
@@ -32,56 +41,121 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.word = Tokenizer.from_file(path), kind == "word"
+        #: word -> ids, as it stands after a space; and as it stands first in a text or line
         self.cache: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in out]
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words. A final comma or full stop after a letter is a pre-token of its own."""
-        cache, lead = self.cache, "" if self.word else " "
-        new = words.difference(cache)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # what stands between the words of one call, and its id
+        self.between = " \x01 " if self.word else "\n"
+        (self.separator,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.end_of_line = b"" if self.word else self._ask(["\n"])[0]
+        self.stop = {c: self._ask([c])[0] for c in ".,"}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as they are."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _ask_words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words without white space, each after lead."""
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED * CALL):
+            part = words[k : k + JOINED * CALL]
+            texts = [lead + (self.between + lead).join(part[j : j + JOINED]) for j in range(0, len(part), JOINED)]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 0
+                for cut in np.flatnonzero(ids == self.separator).tolist():
+                    out.append(raw[at : 4 * cut])
+                    at = 4 * cut + 4
+                out.append(raw[at:])
+        return out
+
+    def _learn(self, words: set[str], cache: dict[str, bytes], lead: str) -> None:
+        """Ids of words that have no white space."""
+        new = [w for w in words if w not in cache]
         if not new:
             return
-        if len(cache) + 2 * len(new) > CACHE_WORDS:
+        if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = words
-        core: dict[str, tuple[str, str]] = {}
+            new = list(words)
+        cores, ends, odd = [], [], []
         for w in new:
-            c, end = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
-            core[w] = (c.lower() if self.word and c.isascii() else c, end)
-        ask = list({c for c, _ in core.values()}.difference(cache))
-        for start in range(0, len(ask), 4096):
-            part = ask[start : start + 4096]
-            cache.update(zip(part, self._raw([lead + w for w in part])))
-        for end in (".", ","):
-            if end not in self.first:
-                self.first[end] = self._raw([end])[0]
-        for w, (c, end) in core.items():
-            if c != w:
-                cache[w] = cache[c] + self.first[end] if end else cache[c]
+            end = w[-1]
+            if end in self.stop and w[-2:-1].lower()[-1:].isalpha():  # a letter before and after lower-casing
+                w = w[:-1]
+            else:
+                end = ""
+            if self.word and w.isascii():
+                w = w.lower()
+            cores.append(w)
+            ends.append(end)
+        ask = list(set(cores).difference(cache))
+        if self.special or "\x01" in ask:
+            odd = [w for w in ask if "\x01" in w or any(s in w for s in self.special)]
+            if odd:
+                ask = list(set(ask).difference(odd))
+                cache.update(zip(odd, self._ask([lead + w for w in odd])))
+        cache.update(zip(ask, self._ask_words(ask, lead)))
+        for w, c, end in zip(new, cores, ends):
+            if end:
+                cache[w] = cache[c] + self.stop[end]
+            elif c != w:
+                cache[w] = cache[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.word:
-            cut = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-            heads = [""] * len(texts)
-        else:
-            cut, heads = [], []
-            for t in texts:
-                p = t.split(" ")
-                if any(map(_odd, p)):
-                    p = _SAFE_SPACE.split(t)
-                heads.append(p[0])
-                cut.append(p[1:])
-        self._learn(set(chain.from_iterable(cut)))
+        return self._words(texts) if self.word else self._bytes(texts)
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        words = set(chain.from_iterable(cut))
+        words.discard("")
+        odd = {w for w in words if w not in self.cache and not _solid(w)}
+        self._learn(words - odd, self.cache, "")
+        known = dict(zip(odd, self._ask(list(odd)))) if odd else {}
+        known[""] = b""
         get = self.cache.__getitem__
-        first = iter(self._raw(heads)) if not self.word else iter([b""] * len(texts))
-        return [next(first) + b"".join(map(get, words)) for words in cut]
-
-
-def _odd(piece: str) -> bool:
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+        other = lambda w: known[w] if w in known else get(w)
+        return [b"".join(map(other if odd or "" in words_ else get, words_)) for words_ in cut]
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split(" ") for t in texts]
+        heads = [p[0] for p in cut]
+        pieces = set(chain.from_iterable(p[1:] for p in cut))
+        new = [p for p in pieces if p not in self.cache]
+        # pieces that begin or end with white space, or are empty: the single spaces around them are no safe cut
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        odd_text = [bool(odd) and any(x in odd for x in p[1:]) or h[-1:].isspace() for p, h in zip(cut, heads)]
+        lines = [p for p in new if p not in odd and not _solid(p)]
+        plain, firsts, whole = {p for p in pieces if p not in odd}.difference(lines), set(), []
+        for p in lines:
+            parts = p.split("\n")
+            if all(map(_solid, parts)):
+                plain.add(parts[0])
+                firsts.update(parts[1:])
+            else:
+                whole.append(p)
+        heads_plain = {h for h in heads if _solid(h)}
+        self._learn(plain, self.cache, " ")
+        self._learn(firsts | heads_plain, self.first, "")
+        extra = dict(zip(whole, self._ask([" " + p for p in whole]))) if whole else {}
+        for p in lines:
+            if p not in extra:
+                parts = p.split("\n")
+                extra[p] = self.cache[parts[0]] + b"".join(self.end_of_line + self.first[x] for x in parts[1:])
+        get, rest = self.cache.__getitem__, set(lines)
+        other = lambda w: extra[w] if w in rest else get(w)
+        out = []
+        for text, p, h, slow in zip(texts, cut, heads, odd_text):
+            if slow:
+                safe = _SAFE_SPACE.split(text)
+                out.append(b"".join(self._ask(safe[:1] + [" " + x for x in safe[1:]])))
+            else:
+                start = (self.first[h] if h in heads_plain else self._ask([h])[0]) if h else b""
+                out.append(start + b"".join(map(other if rest else get, p[1:])))
+        return out
+
+
+def _solid(text: str) -> bool:
+    """Something without white space."""
+    parts = text.split()
+    return len(parts) == 1 and len(parts[0]) == len(text)
