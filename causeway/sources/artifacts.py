@@ -16,8 +16,9 @@ def _struct(ddl: str) -> str:
     return schema.struct(ddl).simpleString()
 
 
-_EDGE = _struct("type string, src string, dst string, origin string")
-ENVELOPE = f"struct<schema_version: int, trace: struct<trace: {_struct(schema.TRACES)}, steps: array<{_struct(schema.STEPS)}>, edges: array<{_EDGE}>>>"
+def _envelope() -> str:
+    edge = _struct("type string, src string, dst string, origin string")
+    return f"struct<schema_version: int, trace: struct<trace: {_struct(schema.TRACES)}, steps: array<{_struct(schema.STEPS)}>, edges: array<{edge}>>>"
 
 
 def required_version(ts: TraceSet) -> DataFrame:
@@ -47,7 +48,7 @@ def to_text(ts: TraceSet) -> DataFrame:
 def from_text(texts: DataFrame) -> TraceSet:
     """texts: value string. A document of another shape or version is an error; version 1 gets what it lacked."""
     wrong = lambda why: F.raise_error(F.concat(F.lit(why), F.substring("value", 1, 60))).cast("int")
-    doc = texts.select("value", F.from_json("value", ENVELOPE).alias("d"))
+    doc = texts.select("value", F.from_json("value", _envelope()).alias("d"))
     version = F.when(F.col("d.trace.trace.trace_id").isNull(), wrong("no trace document: ")).when(~F.coalesce(F.col("d.schema_version").isin(*VERSIONS), F.lit(False)), wrong("no such version: ")).otherwise(F.col("d.schema_version"))
     rows = doc.select(version.alias("version"), "d.trace.*")
     old: Column = F.col("version") == 1
@@ -71,7 +72,7 @@ def skipped(spark, path: str) -> DataFrame:
 
 
 def _readable() -> Column:
-    d = F.from_json(F.when(F.try_parse_json(F.col("value")).isNotNull(), F.col("value")), ENVELOPE)
+    d = F.from_json(F.when(F.try_parse_json(F.col("value")).isNotNull(), F.col("value")), _envelope())
     return F.coalesce(d["trace"]["trace"]["trace_id"].isNotNull() & d["schema_version"].isin(*VERSIONS), F.lit(False))
 
 
