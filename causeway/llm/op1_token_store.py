@@ -1,6 +1,7 @@
 """Token-id files: one array of ids, and document boundaries in Elias-Fano code.
 
-A file holds the ids of consecutive documents (ascending doc_id) as unsigned 32-bit integers. The
+A file holds the ids of consecutive documents (ascending doc_id) as unsigned integers of 16 bits, or of 32
+for a vocabulary of more than 65,536. The
 n + 1 boundaries are split into low bits, packed, and high bits, in unary, with the place of every
 64th one sampled, so a boundary is found in constant time from about 2 + log2(ids / documents) bits
 a document instead of a 64-bit table.
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import narrow, read_blobs, shared_dir, small_batches, staged, write_blob
 from .tokens import encoder
 
-MAGIC = b"CWTOKEN1"
+MAGIC = b"CWTOKEN2"
 #: A file is closed beyond so many bytes of ids.
 FILE_BYTES = 16 << 20
 SAMPLE = 64
-_HEADER = struct.Struct("<8sqqqqqq")
+_HEADER = struct.Struct("<8sqqqqqqq")
 
 
 class EliasFano:
@@ -71,17 +72,18 @@ class EliasFano:
         return ((at - i) << self.width) | self._low(i)
 
 
-def dump(doc_ids: list, bounds: np.ndarray, ids: list[bytes], part: int, seq: int) -> list[bytes]:
+def dump(doc_ids: list, bounds: np.ndarray, ids: list[bytes], width: int, part: int, seq: int) -> list[bytes]:
+    """The parts of a file; ids: each document's as little-endian integers of width bytes."""
     ef = EliasFano.encode(bounds)
     known = np.packbits(np.array([d is not None for d in doc_ids], np.uint8), bitorder="little").tobytes()
     names = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    head = _HEADER.pack(MAGIC, part, seq, len(doc_ids), ef.width, len(ef.low), len(ef.high))
+    head = _HEADER.pack(MAGIC, part, seq, len(doc_ids), ef.width, len(ef.low), len(ef.high), width)
     return [head, known, names, ef.low.tobytes(), ef.high.tobytes(), ef.samples.astype("<u8").tobytes(), *ids]
 
 
-def load(blob: bytes) -> tuple[int, int, list, EliasFano, memoryview]:
-    """part, seq, doc_ids, boundaries, and the bytes of the ids."""
-    magic, part, seq, n, width, lows, highs = _HEADER.unpack_from(blob)
+def load(blob: bytes) -> tuple[int, int, list, EliasFano, np.ndarray]:
+    """part, seq, doc_ids, boundaries, and all ids."""
+    magic, part, seq, n, width, lows, highs, id_bytes = _HEADER.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEADER.size
@@ -95,7 +97,7 @@ def load(blob: bytes) -> tuple[int, int, list, EliasFano, memoryview]:
     names = take(8 * n, "<i8")
     low, high, samples = take(lows, "u1"), take(highs, "u1"), take(8 * (-(-(n + 1) // SAMPLE)), "<u8")
     ids = [int(d) if k else None for d, k in zip(names, known)]
-    return part, seq, ids, EliasFano(n + 1, width, low, high, samples), memoryview(blob)[at:]
+    return part, seq, ids, EliasFano(n + 1, width, low, high, samples), np.frombuffer(blob, f"<u{id_bytes}", -1, at)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
@@ -109,20 +111,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
         import pyarrow as pa
 
         enc, part = encoder(tokenizer, "byte"), TaskContext.get().partitionId()
+        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         out, names, ids, bounds, seq = [], [], [], [0], 0
 
         def close() -> None:
             nonlocal names, ids, bounds, seq
-            path = write_blob(folder, f"tokens-{part:06d}-{seq:04d}", dump(names, np.array(bounds), ids, part, seq))
+            path = write_blob(folder, f"tokens-{part:06d}-{seq:04d}", dump(names, np.array(bounds), ids, width, part, seq))
             out.append((path, part, seq, len(names), bounds[-1]))
             names, ids, bounds, seq = [], [], [0], seq + 1
 
         for b in batches:
             for doc, got in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist())):
                 names.append(doc)
-                ids.append(got + end)
+                ids.append(np.frombuffer(got + end, "<u4").astype(f"<u{width}").tobytes())
                 bounds.append(bounds[-1] + len(got) // 4 + 1)
-                if bounds[-1] * 4 >= FILE_BYTES:
+                if bounds[-1] * width >= FILE_BYTES:
                     close()
         if names:
             close()
@@ -142,7 +145,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
         part, seq, ids, ef, data = load(blob)
         at = ef.values()
-        crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        crc = [zlib.crc32(data[s:e].astype("<u4")) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         n = len(ids)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(np.arange(n))],

@@ -3,7 +3,7 @@
 Both vocabularies cut a text into pre-tokens before they merge bytes. A single space between two
 visible characters always ends a pre-token, a single line end between two is one of its own, and so is
 a final comma or full stop after a letter; so the ids of a text are the ids of such pieces, joined. Each
-worker keeps the ids of the words it met (at most CACHE_WORDS) and asks the library for new words only,
+worker keeps the ids of the words it met (CACHE_WORDS, and one batch's more) and asks the library for new words only,
 many in one call: they are put in one text, with a separator whose id no word has. Texts with other
 white space beside a space are cut at the safe spaces alone.
 """
@@ -75,9 +75,6 @@ class Encoder:
         new = [w for w in words if w not in cache]
         if not new:
             return
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(words)
         cores, ends, odd = [], [], []
         for w in new:
             end = w[-1]
@@ -103,19 +100,20 @@ class Encoder:
                 cache[w] = cache[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        for kept in (self.cache, self.first):
+            if len(kept) > CACHE_WORDS:  # between calls only, so what a call has learnt stays until its end
+                kept.clear()
         return self._words(texts) if self.word else self._bytes(texts)
 
     def _words(self, texts: list[str]) -> list[bytes]:
         cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(cut))
-        words.discard("")
-        odd = {w for w in words if w not in self.cache and not _solid(w)}
-        self._learn(words - odd, self.cache, "")
-        known = dict(zip(odd, self._ask(list(odd)))) if odd else {}
-        known[""] = b""
-        get = self.cache.__getitem__
-        other = lambda w: known[w] if w in known else get(w)
-        return [b"".join(map(other if odd or "" in words_ else get, words_)) for words_ in cut]
+        new = {w for w in words if w not in self.cache}
+        odd = [w for w in new if w and not _solid(w)]
+        self.cache.update(zip(odd, self._ask(odd)))
+        self.cache[""] = b""
+        self._learn(new.difference(odd, ("",)), self.cache, "")
+        return [b"".join(map(self.cache.__getitem__, w)) for w in cut]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
@@ -124,9 +122,9 @@ class Encoder:
         new = [p for p in pieces if p not in self.cache]
         # pieces that begin or end with white space, or are empty: the single spaces around them are no safe cut
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        odd_text = [bool(odd) and any(x in odd for x in p[1:]) or h[-1:].isspace() for p, h in zip(cut, heads)]
+        odd_text = [not odd.isdisjoint(p[1:]) or h[-1:].isspace() for p, h in zip(cut, heads)]
         lines = [p for p in new if p not in odd and not _solid(p)]
-        plain, firsts, whole = {p for p in pieces if p not in odd}.difference(lines), set(), []
+        plain, firsts, whole = set(new).difference(odd, lines), set(), []
         for p in lines:
             parts = p.split("\n")
             if all(map(_solid, parts)):
@@ -137,13 +135,12 @@ class Encoder:
         heads_plain = {h for h in heads if _solid(h)}
         self._learn(plain, self.cache, " ")
         self._learn(firsts | heads_plain, self.first, "")
-        extra = dict(zip(whole, self._ask([" " + p for p in whole]))) if whole else {}
+        self.cache.update(zip(whole, self._ask([" " + p for p in whole])))
         for p in lines:
-            if p not in extra:
+            if p not in self.cache:
                 parts = p.split("\n")
-                extra[p] = self.cache[parts[0]] + b"".join(self.end_of_line + self.first[x] for x in parts[1:])
-        get, rest = self.cache.__getitem__, set(lines)
-        other = lambda w: extra[w] if w in rest else get(w)
+                self.cache[p] = self.cache[parts[0]] + b"".join(self.end_of_line + self.first[x] for x in parts[1:])
+        get = self.cache.__getitem__
         out = []
         for text, p, h, slow in zip(texts, cut, heads, odd_text):
             if slow:
@@ -151,7 +148,7 @@ class Encoder:
                 out.append(b"".join(self._ask(safe[:1] + [" " + x for x in safe[1:]])))
             else:
                 start = (self.first[h] if h in heads_plain else self._ask([h])[0]) if h else b""
-                out.append(start + b"".join(map(other if rest else get, p[1:])))
+                out.append(start + b"".join(map(get, p[1:])))
         return out
 
 
