@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, narrow, small_batches, staged
+from .common import column, keep_only, narrow, small_batches, staged
 
 WINDOW = 8
 MIN_COVER = 0.5
@@ -38,23 +38,29 @@ UNITS = {
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD, _NUM, _NAME, _UNIT = 0, 1, 2, 3
+#: Words that a worker remembers.
 _CACHE = 400_000
 
 
 class _Words(dict):
-    """raw word -> (hash, kind, ends a sentence, capitalised); kind -1: no word."""
+    """raw word -> its row in the columns: hash, kind (-1: no word), ends a sentence, capitalised."""
 
-    def __missing__(self, raw: str) -> tuple:
+    def __init__(self):
+        self.columns = [np.zeros(1 << 16, t) for t in (np.uint64, np.int8, bool, bool)]
+
+    def __missing__(self, raw: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > _CACHE:
-            self.clear()
+        row = len(self)
+        if row >= len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
         core = _EDGE.sub("", raw)
         ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…")
         kind = -1 if not core else _NUM if _NUMBER.fullmatch(core) else _UNIT if core.lower() in UNITS else _WORD
-        got = (xxh64_intdigest(core.lower().encode()), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower())
-        self[raw] = got
-        return got
+        for column, value in zip(self.columns, (xxh64_intdigest(core.lower().encode()), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower())):
+            column[row] = value
+        self[raw] = row
+        return row
 
 
 _WORDS = _Words()
@@ -65,11 +71,11 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     raw = (text or "").replace("\n", " … ").split()
     if not raw:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    cols = list(zip(*map(_WORDS.__getitem__, raw)))
-    h, kind, ends, cap = np.array(cols[0], np.uint64), np.array(cols[1], np.int8), np.array(cols[2]), np.array(cols[3])
+    if len(_WORDS) > _CACHE:
+        _WORDS.clear()
+    rows = np.fromiter(map(_WORDS.__getitem__, raw), np.int64, len(raw))
+    h, kind, ends, cap = (c[rows] for c in _WORDS.columns)
     keep = np.flatnonzero(kind >= 0)
-    starts = np.ones(len(raw), bool)
-    starts[1:] = ends[:-1]
     # white space and loose punctuation between two words pass on the end of a sentence
     passed = np.concatenate([[0], np.cumsum(ends)])
     before = np.concatenate([[-1], keep[:-1]]) if len(keep) else keep
@@ -103,6 +109,7 @@ def _emit(items: bool, sizes: list[int], bitmap: np.ndarray | None):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("templates", _WORDS.clear)
         row = TaskContext.get().partitionId() << 33
         kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("window", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string()))])
         for b in batches:
