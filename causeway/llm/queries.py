@@ -26,7 +26,7 @@ def op3(spark, d):
 
 
 def op4(spark, d):
-    found = op4_decontaminate.matches(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    found = op4_decontaminate.contaminations(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
     return found.select("doc_id", "item_id", "matched_windows", "item_windows", "reparameterised")
 
 

@@ -153,6 +153,27 @@ def test_decontamination(spark):
     assert op4_decontaminate.matches(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_partial_copies(spark):
+    """Copies with one odd slot, merged values, other names at a sentence's start, few literals, or a long run of a longer item."""
+    twice = "Take 5 apples and then take 5 pears and add up the 5 plums of the whole big basket"
+    merged = "Add 3 red apples to 5 red pears and say how many of them are in the basket"
+    opens = "Anna walks to the old market. Anna buys bread there. Anna pays with a coin."
+    digits = "12 99 41 73 Paris 10 22 81 64 90"
+    long = " ".join(f"word{k}" for k in range(200))
+    bench = spark.createDataFrame([(1, twice), (2, merged), (3, opens), (4, digits), (5, long)], "item_id long, text string")
+    rows = [(10, twice.replace("5 apples", "6 apples")), (11, merged.replace("3", "4").replace("5", "4")), (12, opens.replace("Anna", "Olga")), (13, opens.lower()), (14, "so " + digits + " it is"), (15, "x " + " ".join(long.split()[50:90]) + " y"),
+            (20, " ".join(long.split()[50:70])), (21, "Take 7 eggs and go to the old market there with a coin"), (None, twice), (None, "clean")]
+    got = {(r["doc_id"], r["item_id"]): r for r in local(op4_decontaminate.contaminations(table(spark, rows), bench))}
+    assert set(got) == {(10, 1), (11, 2), (12, 3), (13, 3), (14, 4), (15, 5), (None, 1)}
+    assert [got[k]["reparameterised"] for k in ((10, 1), (11, 2), (12, 3), (13, 3), (15, 5))] == [False, True, True, False, False]
+    assert got[10, 1]["matched_windows"] < got[10, 1]["item_windows"] == got[None, 1]["matched_windows"]
+    assert sorted((str(r.doc_id), r.text) for r in op4_decontaminate.clean(table(spark, rows), bench).collect()) == sorted((str(d), t) for d, t in rows if d in (20, 21) or t == "clean")
+    # a slot pair against the mapping of most windows takes its own windows only
+    item = "Give 5 coins to each of the men in town and then give 5 coins to each of the women as well"
+    both = op4_decontaminate.contaminations(table(spark, [(1, item.replace("5", "8")), (2, item.replace("Give 5", "Give 8"))]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"]: r["matched_windows"] == r["item_windows"] for r in local(both)} == {1: True, 2: False}
+
+
 def hilbert_brute(x, bits):
     """The published transpose algorithm, one cell at a time."""
     x, n, q = list(x), len(x), 1 << (bits - 1)
