@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import column, staged
 
 BITS = 5
 
@@ -61,23 +61,20 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     return out
 
 
-def shard(docs: DataFrame, dims: tuple[str, ...] = ("size", "lang", "source"), shards: int = 8, bits: int = BITS) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, lang, source) with its shard: doc_id, size, text_crc32, law, shard,
-    slot, grown_shard, curve.
-
-    size: UTF-8 bytes of the text (null: none) plus 1. Shards hold floor or ceil of rows / shards rows, in
-    curve order (ties: by a hash of doc_id, then doc_id, then the text's checksum); slots are gapless from 0.
-    Null metadata is cell 0; rows may repeat; other columns are not read; an empty table gives no row.
-    """
+def _placed(docs: DataFrame, dims: tuple[str, ...], shards: int, bits: int, carry: bool = False) -> DataFrame:
+    """Every row of ``docs`` with its place; carry: with all its columns as ``__row``, and rows that repeat told apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = narrow(docs, doc_id="long", text="string", lang="string", source="string")
-    rows = rows.select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    wanted = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
+    carried = [F.struct(*[column(docs, n) for n in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__at")] if carry else []
+    rows = docs.select(*[column(docs, n).cast(t).alias(n) for n, t in wanted.items()], *carried)
+    own = ["__row", "__at"] if carry else []
+    rows = rows.select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *own)
     cells = quantised(rows, list(dims), bits)
     # the curve index leads, 32 bits of hash follow: no key is frequent, however many rows share a cell
     tie = F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit(0xFFFFFFFF))
     keyed = rows.withColumn("curve", hilbert_index(cells, bits)).withColumn("key", F.shiftleft("curve", 32) + tie)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "doc_id", "text_crc32"]
+    order = ["key", "doc_id", "text_crc32", *own[1:]]
     dealt = staged(keyed.repartitionByRange(parts, *order).withColumn("run", F.spark_partition_id()).drop("lang", "source"))
     # one row a run, not the documents: what a running total over runs needs
     before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,13 +84,27 @@ def shard(docs: DataFrame, dims: tuple[str, ...] = ("size", "lang", "source"), s
     ranked = dealt.join(counts, "run").withColumn("rank", rank)
     cut = ranked.withColumn("shard", F.expr(f"rank * {shards} div {max(total, 1)}").cast("int"))
     begin = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return cut.withColumn("slot", F.col("rank") - begin)
+
+
+def shard(docs: DataFrame, dims: tuple[str, ...] = ("size", "lang", "source"), shards: int = 8, bits: int = BITS) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text, lang, source) with its shard: doc_id, size, text_crc32, law, shard,
+    slot, grown_shard, curve.
+
+    size: UTF-8 bytes of the text (null: none) plus 1. Shards hold floor or ceil of rows / shards rows, in
+    curve order (ties: by a hash of doc_id, then doc_id, then the text's checksum); slots are gapless from 0.
+    Null metadata is cell 0; rows may repeat; other columns are not read; an empty table gives no row.
+    """
+    placed = _placed(docs, dims, shards, bits)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """``docs`` as Parquet by shard, each in slot order. A row finds its shard by doc_id and checksum."""
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    places = assigned.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    rows = docs.withColumn("text_crc32", crc).join(places, ["doc_id", "text_crc32"])
+def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("size", "lang", "source"), shards: int = 8, bits: int = BITS) -> None:
+    """``docs``, with all columns, as Parquet by the shards that ``shard`` gives, each in slot order. Rows carry their
+    columns to their place, so null ids and rows that repeat are written as they are counted. ``docs`` has no column ``shard``."""
+    if "shard" in map(str.lower, docs.columns):
+        raise ValueError("shard is the name of the written partitions")
+    placed = _placed(docs, dims, shards, bits, carry=True)
+    rows = placed.select(*[F.col("__row")[n].alias(n) for n in docs.columns], "shard", F.col("slot").alias("__slot"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").drop("text_crc32", "slot").write.partitionBy("shard").parquet(path)
+    rows.repartitionByRange(parts, "shard", "__slot").sortWithinPartitions("shard", "__slot").drop("__slot").write.partitionBy("shard").parquet(path)

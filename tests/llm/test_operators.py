@@ -225,6 +225,20 @@ def test_shards(spark, docs):
     assert op5_hilbert.shard(docs.limit(0)).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    """The files hold every row, null ids and repeats too, in the sizes of the law."""
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 5 + k % 30), "en", "web") for k in range(60)] + [(None, f"no id {k}", None, None) for k in range(10)] + [(7, "the same", "de", "web")] * 40 + [(None, None)] * 3
+    docs = table(spark, rows).drop("shard")
+    op5_hilbert.write_shards(docs, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    shown = lambda df: sorted(map(str, df.select(docs.columns).collect()))
+    assert shown(back) == shown(docs)
+    assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {r.shard: r["count"] for r in op5_hilbert.shard(docs).groupBy("shard").count().collect()}
+    with pytest.raises(ValueError):
+        op5_hilbert.write_shards(table(spark, rows), f"{tmp_path}/other")
+
+
 def test_language(spark):
     rng = random.Random(5)
     parts = {"en": ["the", "ing", "and", "tion", "wh"], "de": ["sch", "ung", "der", "ß", "ein"], "fr": ["eau", "é", "le", "que", "oi"]}
