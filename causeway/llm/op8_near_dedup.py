@@ -17,7 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, keep_only, narrow, small_batches, staged
@@ -86,8 +86,8 @@ def _sketch(batches: Iterator) -> Iterator:
     for b in batches:
         sets = [shingles(t) for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "signature"],
+            [b["doc_id"], b["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
+            ["doc_id", "text_hash", "n_shingles", "set_key", "signature"],
         )
 
 
@@ -178,12 +178,13 @@ def _by_block(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sketches, components): sketches has doc_id, n_shingles, set_key for every row; components has
-    set_key and component_id (a doc_id; NULL_ID for null) for each distinct non-empty shingle set."""
+    """(sketches, components): sketches has doc_id, text_hash, n_shingles, set_key for every row; components has
+    set_key, component (its own number) and component_id (a doc_id; NULL_ID for null) for each distinct non-empty shingle set."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = narrow(docs, doc_id="long", text="string").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    sketches = staged(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, signature binary"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    sketches = staged(hashed.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary"))
     folded = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
     reps = staged(folded.withColumn("class", F.monotonically_increasing_id()))
 
@@ -214,7 +215,7 @@ def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     joined = components(links)
     final = reps.join(joined, reps["class"] == joined["node"], "left").select("set_key", "doc_id", F.coalesce("component", "class").alias("component"))
     smallest = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sketches, final.join(smallest, "component").select("set_key", "component_id")
+    return sketches, final.join(smallest, "component").select("set_key", "component", "component_id")
 
 
 def _texts(rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -269,6 +270,28 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose doc_id is the smallest of their component."""
-    gone = staged(near_groups(docs, percent)).where("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(column(docs, "doc_id").cast("long"), F.lit(NULL_ID)) == gone["__gone"], "left_anti")
+    """One row of each component of ``docs``, with all columns: that of the smallest doc_id (a null one is smaller
+    than all others), of several that share it the one of the smallest text hash. Of rows with the same doc_id and
+    text one stays, any of them. Rows without words all stay."""
+    sketches, found = classes(docs, percent)
+    key = F.struct("doc_id", "text_hash")
+    found = staged(found.select("set_key", "component"))
+    least = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("least"))
+    elected = found.join(least, "set_key").groupBy("component").agg(F.min("least").alias("elected"))
+    chosen = found.join(elected, "component").select("set_key", "elected")
+    rows = staged(sketches.select("doc_id", "text_hash", "set_key").join(chosen, "set_key").select("doc_id", "text_hash", (key == F.col("elected")).alias("kept")))
+    gone = rows.where("NOT kept").select("doc_id", "text_hash").distinct()
+    again = staged(rows.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+
+    def on(table: DataFrame, keys: DataFrame) -> Column:
+        own = F.coalesce(column(table, "doc_id").cast("long"), F.lit(NULL_ID))
+        return (own == keys["__id"]) & (F.xxhash64(column(table, "text").cast("string")) == keys["__hash"])
+
+    gone, again = gone.toDF("__id", "__hash"), again.toDF("__id", "__hash")
+    kept = docs.join(gone, on(docs, gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    # rows that repeat as they are: one of each by a partial aggregate, so that a frequent one is folded where it lies
+    whole = F.struct(*[column(docs, n) for n in docs.columns]).alias("__row")
+    once = docs.join(again, on(docs, again)).groupBy("__id", "__hash").agg(F.first(whole).alias("__row"))
+    return kept.join(again, on(kept, again), "left_anti").union(once.select(*[F.col("__row")[n].alias(n) for n in docs.columns]))

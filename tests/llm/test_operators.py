@@ -310,6 +310,24 @@ def test_near_dedup(spark, docs, monkeypatch):
     assert shown(op8_near_dedup.near_groups(table(spark, rows))) == near_brute(rows)
 
 
+def test_near_dedup_keeps_one_row(spark):
+    """doc_ids that repeat or are null: one row of each component stays, and none of another component goes."""
+    rng = random.Random(11)
+    one, two, three, four, five = (prose(rng, 60) for _ in range(5))
+    near = lambda t: t + " more"
+    groups = [
+        [(1, one), (2, near(one))], [(2, two)],  # 2 goes for its text, not for its id
+        [(3, three), (3, near(three)), (3, three)], [(None, four), (None, near(four)), (None, four + " again"), (8, four)],
+        [(3, five), (None, near(five)), (None, near(five))], [(None, "")], [(None, "")], [(2, None)], [(1, "something else")],
+    ]
+    rows = [r for g in groups for r in g]
+    kept = op8_near_dedup.keep_one_of_each(table(spark, rows))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(groups) and kept.columns == table(spark, rows).columns
+    assert all(any(r in g for r in got) for g in groups)
+    assert {d for d, t in got if t and t.startswith(four)} == {None} == {d for d, t in got if t and t.startswith(five)}
+
+
 def test_signatures_meet():
     """Signatures at any distance up to CHUNKS * (ERRORS + 1) - 1 share a bucket."""
     rng = np.random.default_rng(4)
