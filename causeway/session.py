@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder name under the cluster's shared checkpoint folder, as a full URI. Only local sessions may do
+    without that setting: a folder of this machine is no place that other executors see."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    uri = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{uri.rstrip('/')}/causeway-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
