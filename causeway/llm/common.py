@@ -8,39 +8,18 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.session import ship
+from causeway.session import shared_dir, ship, staged  # noqa: F401  shared_dir and staged for the operators
 
 #: Bytes of an Arrow batch handed to Python, so that a run of very long texts fits a worker.
 ARROW_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under the cluster's shared checkpoint folder, as a full URI."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests and notebooks
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(base)
-    uri = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{uri.rstrip('/')}/causeway-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch (Spark's own bound is on rows); workers can import this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str) -> Column:
     """A column by name, also where the name has dots; a repeated name is an error of the caller."""
     return df["`" + name.replace("`", "``") + "`"]
@@ -81,20 +60,21 @@ def write_blob(folder: str, name: str, parts: Iterable[bytes]) -> str:
     return f"{folder}/{name}"
 
 
-def read_blobs(manifest: DataFrame, parse: Callable[[bytes], Iterator], schema: str) -> DataFrame:
-    """The files that a staged manifest names (column ``path``), each read whole by one task, one at a
-    time. ``parse`` gives Arrow batches. Neither names nor data pass the driver."""
+def read_blobs(manifest: DataFrame, parse: Callable[..., Iterator], schema: str) -> DataFrame:
+    """The files that a manifest names (column ``path``), each read whole by one task, one at a time. ``parse`` gets
+    a file and the manifest's other columns and gives Arrow batches. Neither names nor data pass the driver."""
+    others = [c for c in manifest.columns if c != "path"]
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            for uri in b["path"].to_pylist():
+            for uri, *own in zip(*(b[c].to_pylist() for c in ("path", *others))):
                 fs, path = filesystem(uri)
                 with fs.open_input_stream(path, compression=None) as f:
                     blob = f.read()
-                yield from parse(blob)
+                yield from parse(blob, *own)
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(parts, "path").mapInArrow(run, schema)
+    return manifest.select("path", *others).repartition(parts, "path").mapInArrow(run, schema)
 
 
 _CACHES: dict[str, Callable[[], None]] = {}

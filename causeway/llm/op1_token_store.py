@@ -26,6 +26,10 @@ MAGIC = b"CWTOKEN2"
 FILE_BYTES = 16 << 20
 SAMPLE = 64
 _HEADER = struct.Struct("<8sqqqqqqq")
+#: Of each byte: its one bits, and the place of the k-th of them.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.int64)
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 class EliasFano:
@@ -53,23 +57,18 @@ class EliasFano:
             out |= ((self.low[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(np.int64) << b
         return out
 
-    def select(self, i: int) -> int:
-        """The i-th value: from the sampled place on, over whole bytes, to the i-th one bit."""
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at >> 3
-        bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        bits = bits[bits >= (at & 7)]
-        while left >= len(bits):
-            left -= len(bits)
-            byte += 1
-            bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        place = byte * 8 + int(bits[left])
-        return ((place - i) << self.width) | int(self._low(np.array([i]))[0])
-
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((at - i) << self.width) | self._low(i)
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values with numbers i: each from its sampled place on, over whole bytes, to its one bit."""
+        i = np.asarray(i, np.int64)
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = at >> 3
+        bits = self.high[byte] & (0xFF << (at & 7)).astype(np.uint8)
+        far = np.arange(len(i))
+        while len(far := far[left[far] >= _ONES[bits[far]]]):  # those whose bit is in a later byte
+            left[far] -= _ONES[bits[far]]
+            byte[far] += 1
+            bits[far] = self.high[byte[far]]
+        return ((byte * 8 + _PLACE[bits, left] - i) << self.width) | self._low(i)
 
 
 def dump(doc_ids: list, bounds: np.ndarray, ids: list[bytes], width: int, part: int, seq: int) -> list[bytes]:
@@ -112,21 +111,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
 
         enc, part = encoder(tokenizer, "byte"), TaskContext.get().partitionId()
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        out, names, ids, bounds, seq = [], [], [], [0], 0
+        out, names, ids, bounds, seq = [], [], [], [np.zeros(1, np.int64)], 0
 
         def close() -> None:
             nonlocal names, ids, bounds, seq
-            path = write_blob(folder, f"tokens-{part:06d}-{seq:04d}", dump(names, np.array(bounds), ids, width, part, seq))
-            out.append((path, part, seq, len(names), bounds[-1]))
-            names, ids, bounds, seq = [], [], [0], seq + 1
+            at = np.concatenate(bounds)
+            path = write_blob(folder, f"tokens-{part:06d}-{seq:04d}", dump(names, at, ids, width, part, seq))
+            out.append((path, part, seq, len(names), int(at[-1])))
+            names, ids, bounds, seq = [], [], [np.zeros(1, np.int64)], seq + 1
 
         for b in batches:
-            for doc, got in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist())):
-                names.append(doc)
-                ids.append(np.frombuffer(got + end, "<u4").astype(f"<u{width}").tobytes())
-                bounds.append(bounds[-1] + len(got) // 4 + 1)
-                if bounds[-1] * width >= FILE_BYTES:
-                    close()
+            got = enc.encode(b["text"].to_pylist())
+            names += b["doc_id"].to_pylist()
+            ids.append(np.frombuffer(end.join([*got, b""]), "<u4").astype(f"<u{width}").tobytes())
+            bounds.append(bounds[-1][-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4 + 1))
+            if bounds[-1][-1] * width >= FILE_BYTES:
+                close()
         if names:
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "part", "seq", "n_docs", "n_ids"), x)) for x in out], schema=pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in ("part", "seq", "n_docs", "n_ids")]]))
@@ -137,26 +137,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
     return staged(ordered.mapInArrow(write, "path string, part long, seq long, n_docs long, n_ids long"))
 
 
+def _based(manifest: DataFrame) -> DataFrame:
+    """The manifest with each file's base: the ids of all files before it. One row a file, in one task a row a part."""
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(before(Window.orderBy("part"))), F.lit(0)).alias("first"))
+    own = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    return manifest.join(parts, "part").select("path", (F.col("first") + own).alias("base"))
+
+
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, part, file, position in file."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, part, seq (the file), position in it."""
 
-    def parse(blob: bytes) -> Iterator:
+    def parse(blob: bytes, base: int) -> Iterator:
         import pyarrow as pa
 
         part, seq, ids, ef, data = load(blob)
-        at = ef.values()
-        crc = [zlib.crc32(data[s:e].astype("<u4")) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         n = len(ids)
+        at, raw = ef.select(np.arange(n + 1)), memoryview(data.astype("<u4").tobytes())
+        crc = [zlib.crc32(raw[s:e]) for s, e in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(np.arange(n))],
-            ["doc_id", "part", "seq", "local", "n_tokens", "ids_crc32", "position"],
+            [pa.array(ids, pa.int64()), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(np.arange(n))],
+            ["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq", "position"],
         )
 
-    rows = read_blobs(manifest, parse, "doc_id long, part long, seq long, local long, n_tokens long, ids_crc32 long, position long")
-    # one row a file, never the documents: what a running total over all files needs
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "position")
+    return read_blobs(_based(manifest), parse, "doc_id long, start long, n_tokens long, ids_crc32 long, part long, seq long, position long")
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:

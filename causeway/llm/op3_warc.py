@@ -136,7 +136,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             rows.append({"page_id": page and int(page), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": to and int(to), "url": fields["WARC-Target-URI"]})
         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return read_blobs(manifest, parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return read_blobs(manifest.select("path"), parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def warc(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
