@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causeway.functions.labels import label
 from causeway.plans.projection import primary_parents
 from causeway.schema import TraceSet, struct
-from causeway.session import ship
+from causeway.session import ship, staged
 
 
 def nodes(ts: TraceSet) -> DataFrame:
@@ -79,19 +79,28 @@ def logical_keys(ts: TraceSet) -> DataFrame:
 
 
 def canonical(ts: TraceSet, shape_only: bool = False) -> DataFrame:
-    """trace_id, step_id, parent, canon, size: the form of each step's subtree, equal for subtrees that are equal but for the order of
-    children: SHA-256 of its label (shape_only: none) and its children's sorted forms, bottom up."""
+    """trace_id, step_id, parent, canon, size, place, level: the form of each step's subtree, equal for subtrees that are equal but for the
+    order of children: SHA-256 of its label (shape_only: none) and its children's sorted forms, bottom up; the steps in it; its
+    place when a step comes before its children, children by (seq, id), so a subtree is the ``size`` places from ``place`` on; its level."""
 
     def run(trace: str, steps: list[dict]) -> Iterator[tuple]:
-        below: dict = {}
+        forms: dict = {}
+        form, size = {}, {}
         for s in reversed(steps):  # children come after their parents
-            kids = below.pop(s["step_id"], [])
+            sid = s["step_id"]
             text = "" if shape_only else s["name"] or s["kind"]
-            canon, size = _hash(text, *sorted(k for k, _ in kids)), 1 + sum(n for _, n in kids)
-            below.setdefault(s["parent"], []).append((canon, size))
-            yield trace, s["step_id"], s["parent"], canon, size
+            form[sid] = _hash(text, *sorted(forms.pop(sid, [])))
+            size[sid] = size.get(sid, 0) + 1
+            forms.setdefault(s["parent"], []).append(form[sid])
+            size[s["parent"]] = size.get(s["parent"], 0) + size[sid]
+        free, level = {None: 0}, {None: -1}  # the next free place below a step
+        for s in steps:
+            sid, parent = s["step_id"], s["parent"]
+            place, level[sid] = free[parent], level[parent] + 1
+            free[parent], free[sid] = place + size[sid], place + 1
+            yield trace, sid, parent, form[sid], size[sid], place, level[sid]
 
-    return _over_trees(nodes(ts), run, "trace_id string, step_id string, parent string, canon string, size int")
+    return _over_trees(nodes(ts), run, "trace_id string, step_id string, parent string, canon string, size int, place int, level int")
 
 
 def shapes(ts: TraceSet, shape_only: bool = False) -> DataFrame:
@@ -125,113 +134,77 @@ def subtree_changes(ts: TraceSet, pairs: DataFrame) -> DataFrame:
     return both.groupBy("current", "baseline").agg(more("current", "baseline").alias("only_current"), more("baseline", "current").alias("only_baseline")).withColumn("identical", (F.col("only_current") + F.col("only_baseline")) == 0)
 
 
+def _paired(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows (pair, scope, side, step, place, ...) of both runs -> (a, b: steps paired because they share a non-null key within
+    their scope, the first of one side with the last of the other; the rows that found no partner)."""
+    group = ["pair", "scope", key]
+    has, own = F.col(key).isNotNull(), Window.partitionBy(*group, "side")
+    turn = F.when(F.col("side") == "A", F.row_number().over(own.orderBy("place"))).otherwise(F.row_number().over(own.orderBy(F.desc("place"))))
+    numbered = rows.withColumns({"turn": turn, "n_a": F.count_if(F.col("side") == "A").over(Window.partitionBy(*group)), "n_b": F.count_if(F.col("side") == "B").over(Window.partitionBy(*group))})
+    taken = F.coalesce(has & (F.col("turn") <= F.least("n_a", "n_b")), F.lit(False))
+    side = lambda s: numbered.where(taken & (F.col("side") == s)).select(*group, "turn", F.col("step").alias(s.lower()), F.col("label").alias(f"{s.lower()}_label"), F.col("place").alias(f"{s.lower()}_place"))
+    return side("A").join(side("B"), [*group, "turn"]).drop(key, "turn"), numbered.where(~taken).drop("turn", "n_a", "n_b")
+
+
+def _subtree_texts(tree: DataFrame, tops: DataFrame) -> DataFrame:
+    """tops (trace_id, step_id) -> trace_id, step_id, text: a subtree on one line, children in brackets, from its members' places and levels."""
+    whole = tops.distinct().join(tree.select("trace_id", "step_id", F.col("place").alias("from"), (F.col("place") + F.col("size")).alias("to"), F.col("level").alias("top")), ["trace_id", "step_id"])
+    member = tree.select("trace_id", "place", "level", F.when(F.col("label") == "", "·").otherwise(F.col("label")).alias("label"))
+    inside = whole.join(member, "trace_id").where("place >= from AND place < to")
+    lists = inside.groupBy("trace_id", "step_id", "top").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("level") - F.col("top")).alias("deep"), "label"))).alias("m"))
+    # a member is a first child, or one that comes after some levels have closed
+    before = lambda i: F.get(F.col("m"), i - 1)["deep"]
+    lead = lambda x, i: F.when(i == 0, "").when(x["deep"] > before(i), "(").otherwise(F.concat(F.repeat(F.lit(")"), before(i) - x["deep"]), F.lit(", ")))
+    text = F.concat(F.array_join(F.transform("m", lambda x, i: F.concat(lead(x, i), x["label"])), ""), F.repeat(F.lit(")"), F.element_at("m", -1)["deep"]))
+    return lists.select("trace_id", "step_id", text.alias("text"))
+
+
 def differences(ts: TraceSet, pairs: DataFrame) -> DataFrame:
-    """pairs: current, baseline (a current once) -> current, baseline, position, change: where two runs differ, as text. Equal subtrees are
-    taken off both sides; what is left is paired by equal children, then by equal label, and followed down."""
-    tree = canonical(ts).join(ts.steps.select("trace_id", "step_id", "seq", label(F.col("name"), F.col("kind")).alias("label")), ["trace_id", "step_id"])
-    named = pairs.withColumn("pair", F.concat_ws("\x1f", "current", "baseline"))
-    rows = named.select("pair", F.col("baseline").alias("trace_id"), F.lit("A").alias("side")).union(named.select("pair", F.col("current").alias("trace_id"), F.lit("B").alias("side"))).join(tree, "trace_id")
-
-    def compare(rows):
-        import pandas as pd
-
-        a, b = (_Side(rows[rows["side"] == s]) for s in "AB")
-        changes = list(_walk(a, b))
-        cur, _, base = rows["pair"].iloc[0].partition("\x1f")
-        return pd.DataFrame([(cur, base, i, c) for i, c in enumerate(changes)], columns=["current", "baseline", "position", "change"], dtype=object)
-
-    return rows.groupBy("pair").applyInPandas(compare, "current string, baseline string, position int, change string")
-
-
-class _Side:
-    """One run's tree."""
-
-    def __init__(self, rows):
-        rows = rows.sort_values(["seq", "step_id"])
-        self.label, self.canon = dict(zip(rows["step_id"], rows["label"])), dict(zip(rows["step_id"], rows["canon"]))
-        self.children: dict = {}
-        for sid, parent in zip(rows["step_id"], rows["parent"]):
-            self.children.setdefault(parent if isinstance(parent, str) else None, []).append(sid)
-
-    def kids(self, sid) -> list[str]:
-        return self.children.get(sid, [])
-
-    def below(self, sid) -> str | None:
-        return ",".join(sorted(self.canon[k] for k in self.kids(sid))) or None
-
-    def text(self, sid) -> str:
-        parts, todo = [], [sid]
-        while todo:
-            s = todo.pop()
-            if s not in self.label:
-                parts.append(s[1:])
-                continue
-            parts.append(self.label[s] or "·")
-            kids = self.kids(s)
-            if kids:
-                parts.append("(")
-                todo.append("\x00)")
-                for i, k in reversed(list(enumerate(kids))):
-                    todo.append(k)
-                    if i:
-                        todo.append("\x00, ")
-        return "".join(parts)
-
-
-def _matched(left: list, right: list, key_left, key_right) -> tuple[list, list, list]:
-    """Pairs with equal keys (the last free one on the right), and what is left on both sides."""
-    free: dict = {}
-    for r in right:
-        if (k := key_right(r)) is not None:
-            free.setdefault(k, []).append(r)
-    pairs, rest = [], []
-    for x in left:
-        pool = free.get(key_left(x))
-        if pool:
-            pairs.append((x, pool.pop()))
-        else:
-            rest.append(x)
-    used = {r for _, r in pairs}
-    return pairs, rest, [r for r in right if r not in used]
-
-
-def _walk(a: _Side, b: _Side) -> Iterator[str]:
-    def level(xs: list, ys: list, path: tuple) -> tuple[list, list[str]]:
-        _, xs, ys = _matched(xs, ys, a.canon.get, b.canon.get)
-        order: dict = {}
-        for y in ys:
-            order.setdefault(b.canon[y], []).append(y)
-        ys = [y for group in order.values() for y in group]
-        same_below, xs, ys = _matched(xs, ys, a.below, b.below)
-        same_label, xs, ys = _matched(xs, ys, lambda s: a.label[s] or None, lambda s: b.label[s] or None)
-        under, what = (f" under {' > '.join(path)}", "subtree") if path else ("", "root subtree")
-        told = [f"only in A{under}: {what} {a.text(x)}" for x in xs] + [f"only in B{under}: {what} {b.text(y)}" for y in ys]
-        return [(x, y, path) for x, y in same_below + same_label], told
-
-    todo, told = level(a.kids(None), b.kids(None), ())
-    yield from told
-    while todo:
-        x, y, path = todo.pop()
-        if a.label[x] != b.label[y]:
-            yield f"diverges at {' > '.join(path) or '(root)'}: A={a.label[x]!r} B={b.label[y]!r}"
-            continue
-        more, told = level(a.kids(x), b.kids(y), (*path, a.label[x]))
-        yield from told
-        todo += more
+    """pairs: current, baseline -> current, baseline, position, change: where two runs differ, as text; A is the baseline.
+
+    Both forests are compared level by level, all pairs at once. Among the children of two corresponding steps,
+    subtrees of one canonical form cancel each other; what is left corresponds if its children's forms agree (then the labels
+    differ, and that is told), else if its label agrees (then its children come next); the rest is in one run only.
+    """
+    tree = staged(canonical(ts).join(ts.steps.select("trace_id", "step_id", "seq", label(F.col("name"), F.col("kind")).alias("label")), ["trace_id", "step_id"]))
+    forms = tree.where("parent IS NOT NULL").groupBy("trace_id", F.col("parent").alias("step_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("canon")), ","), 256).alias("below"))
+    tree = staged(tree.join(forms, ["trace_id", "step_id"], "left"))
+    keyed = staged(pairs.distinct().withColumn("pair", F.sha2(F.to_json(F.struct("current", "baseline")), 256)))
+    rows = tree.select("trace_id", F.col("step_id").alias("step"), F.coalesce("parent", F.lit("")).alias("above"), "canon", "below", "label", "seq")
+    sides = {"A": keyed.select("pair", F.col("baseline").alias("trace_id")), "B": keyed.select("pair", F.col("current").alias("trace_id"))}
+    # scope: the corresponding steps whose children are compared, by the baseline's; '' for the roots
+    open_ = keyed.select("pair", F.lit("").alias("scope"), F.lit("").alias("a"), F.lit("").alias("b"), F.array().cast("array<string>").alias("path"))
+    alone, diverged, deep = None, None, 0
+    while not open_.isEmpty():
+        here = [open_.join(sides[s], "pair").join(rows, ["trace_id"]).where(F.col("above") == F.col(s.lower())).select("pair", "scope", "path", F.lit(s).alias("side"), "trace_id", "step", "canon", "below", F.nullif("label", F.lit("")).alias("label"), "seq") for s in "AB"]
+        kids = here[0].union(here[1])
+        place = F.struct(F.min("seq").over(Window.partitionBy("pair", "scope", "side", F.when(F.col("side") == "B", F.col("canon")))).alias("first"), "seq", "step")
+        _, rest = _paired(kids.withColumn("place", place).drop("seq"), "canon")
+        rest = staged(rest)
+        relabelled, rest = _paired(rest, "below")
+        followed, rest = _paired(rest, "label")
+        rest = staged(rest.withColumn("deep", F.lit(deep)))
+        alone = rest if alone is None else alone.union(rest)
+        both = staged(relabelled.unionByName(followed).join(open_.select("pair", "scope", "path"), ["pair", "scope"]).withColumn("deep", F.lit(deep)))
+        apart = both.where(~F.col("a_label").eqNullSafe(F.col("b_label")))
+        diverged = apart if diverged is None else diverged.union(apart)
+        open_ = both.where(F.col("a_label").eqNullSafe(F.col("b_label"))).select("pair", F.col("a").alias("scope"), "a", "b", F.concat("path", F.array(F.coalesce("a_label", F.lit("")))).alias("path"))
+        deep += 1
+    texts = _subtree_texts(tree, alone.select("trace_id", F.col("step").alias("step_id")))
+    way = F.array_join("path", " > ")
+    root = F.size("path") == 0
+    single = alone.join(texts.withColumnRenamed("step_id", "step"), ["trace_id", "step"]).select(
+        "pair", "deep", "path", F.when(F.col("side") == "A", 0).otherwise(1).alias("what"), "place", F.concat(F.lit("only in "), "side", F.when(root, ": root ").otherwise(F.concat(F.lit(" under "), way, F.lit(": "))), F.lit("subtree "), "text").alias("change")
+    )
+    quoted = lambda c: F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit("'"))
+    told = diverged.select("pair", "deep", "path", F.lit(2).alias("what"), F.col("a_place").alias("place"), F.concat(F.lit("diverges at "), F.when(root, "(root)").otherwise(way), F.lit(": A="), quoted(F.col("a_label")), F.lit(" B="), quoted(F.col("b_label"))).alias("change"))
+    line = Window.partitionBy("pair").orderBy("deep", "path", "what", "place", "change")
+    return single.unionByName(told).withColumn("position", F.row_number().over(line) - 1).join(keyed, "pair").select("current", "baseline", "position", "change")
 
 
 def rendered(ts: TraceSet) -> DataFrame:
     """trace_id, line, text: the tree as indented lines, children by (seq, id)."""
-
-    def run(trace: str, steps: list[dict]) -> Iterator[tuple]:
-        kids: dict = {}
-        for s in steps:
-            kids.setdefault(s["parent"], []).append(s)
-        todo, line = [(s, 0) for s in reversed(kids.get(None, []))], 0
-        while todo:
-            s, level = todo.pop()
-            yield trace, line, "  " * level + f"{s['name'] or s['kind']} [{s['kind']}]" + ("" if s["status"] == "ok" else f" {s['status'].upper()}")
-            line += 1
-            todo += [(k, level + 1) for k in reversed(kids.get(s["step_id"], []))]
-
-    return _over_trees(nodes(ts), run, "trace_id string, line int, text string")
+    steps = ts.steps.select("trace_id", "step_id", "kind", "status", label(F.col("name"), F.col("kind")).alias("label"))
+    mark = F.when(F.col("status") == "ok", "").otherwise(F.concat(F.lit(" "), F.upper("status")))
+    text = F.concat(F.repeat(F.lit("  "), F.col("level")), "label", F.lit(" ["), "kind", F.lit("]"), mark)
+    return canonical(ts, shape_only=True).join(steps, ["trace_id", "step_id"]).select("trace_id", F.col("place").alias("line"), text.alias("text"))
