@@ -360,7 +360,7 @@ def test_components(spark, monkeypatch):
 def test_surrogates(spark):
     rows = [(1, "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, tel +1 (212) 555-7713."), (2, "bob@x.org, ann.lee@mail.example.com; 97.51.17.173!! 4111 1111 1111 1111 and 4111111111111111"), (3, None), (4, ""), (5, "no data 4.0 and 1.2.3"),
             (6, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"'), (7, "Mr. Smith met Mrs Jones and Mr Smith; Госпожа Иванова"), (7, "same id 97.51.17.173"), (None, "x@y.de")] + [(100 + k, f"{k}.{k % 250}.7.9 u{k}@h.io +1 (100) 555-{k:04d} Mr Name{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}") for k in range(1, 250)]
-    got = local(op9_surrogates.surrogates(table(spark, rows)))
+    got = local(op9_surrogates.surrogates(table(spark, rows), "k"))
     assert len(got) == len(rows)
     text = {}
     for r in got:
@@ -382,7 +382,7 @@ def test_surrogates(spark):
     assert any(ip in t for t in text[7])
     for pattern in (r"\d+\.\d+\.\d+\.\d+", r"\S+@\S+", r"\(\d{3}\) \d{3}-\d{4}"):
         assert len({re.search(pattern, text[100 + k][0])[0] for k in range(1, 250)}) == 249
-    assert op9_surrogates.surrogates(table(spark, rows).limit(0)).count() == 0
+    assert op9_surrogates.surrogates(table(spark, rows).limit(0), "k").count() == 0
 
 
 def test_surrogate_collisions(spark, monkeypatch):
@@ -394,6 +394,62 @@ def test_surrogate_collisions(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 12 and not {r.surrogate for r in got} & {r.canon for r in got}
 
 
+def test_surrogates_of_many_forms(spark):
+    """Whole names with and without title, genders, scripts, number formats; mentions of one entity stay one."""
+    rows = ["Mr. John Smith came. Smith said so, and SMITH left. John too.", "Señora María López y Sr. López", "Mr SMITH, Mr O'Brien, Dr. Peter Weiss, Prof. Anna Kraus; Weiss and Kraus", "Ms Lee-Ann met Mrs Smith-Jones",
+            "212-555-7713, (212) 555-7713, +1 (212) 555-7713, 212.555.7713", "sk-abcdefghij1234567890XYZ password=e9b9ed9cc9999999d9, token: hello", "DE89 3704 0044 0532 0130 00 DE89370400440532013000 123-45-6789", "2001:db8:85a3::8a2e:370:7334, 2001:0DB8:85A3:0:0:8A2E:370:7334 at 12:30:45",
+            "Госпожа Иванова и Господин Иванов", "std::vector a::b 3.14159 1,234,567 2024-01-02 03:04", "Dr van der Berg and Mr J. R. Tolkien"]
+    got = {r["doc_id"]: r["text"] for r in local(op9_surrogates.surrogates(table(spark, list(enumerate(rows))), "k"))}
+    for k, gone in {0: ["Smith", "SMITH", "John"], 1: ["María", "López"], 2: ["SMITH", "O'Brien", "Peter", "Weiss", "Anna", "Kraus"], 3: ["Lee", "Ann", "Smith", "Jones"], 4: ["555", "7713"], 5: ["abcdefghij", "e9b9ed9cc"], 6: ["3704", "123-45"], 7: ["85a3", "85A3"], 8: ["Иванов"], 10: ["Berg", "Tolkien"]}.items():
+        assert not [g for g in gone if g in got[k]], (k, got[k])
+    given, family = got[0].split()[1:3]
+    assert got[0] == f"Mr. {given} {family} came. {family} said so, and {family.upper()} left. {given} too." and any(given.lower().endswith(x.lower()) for x in op9_surrogates.GIVEN["latin", "m"])
+    assert re.fullmatch(r"Señora (\w+) (\w+) y Sr\. \2", got[1]) and any(got[1].split()[1].lower().endswith(x.lower()) for x in op9_surrogates.GIVEN["latin", "f"])
+    assert got[2].split()[1] == family.upper() + "," and re.search(r"Dr\. \w+ (\w+), Prof\. \w+ (\w+); \1 and \2$", got[2])
+    assert len({re.sub(r"\D", "", x)[-10:] for x in got[4].split(", ")}) == 1 and re.fullmatch(r"\d{3}-\d{3}-\d{4}, \(\d{3}\) \d{3}-\d{4}, \+1 \(\d{3}\) \d{3}-\d{4}, \d{3}\.\d{3}\.\d{4}", got[4])
+    assert re.fullmatch(r"sk-[a-z]{10}\d{10}[A-Z]{3} password=\w{18}, token: hello", got[5])
+    iban = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) (\w{22}) \d{3}-\d{2}-\d{4}", got[6])
+    assert iban[1].replace(" ", "") == iban[2] and int("".join(str(int(c, 36)) for c in iban[2][4:] + iban[2][:4])) % 97 == 1
+    one, two = re.findall(r"2001:[0-9a-fA-F:]+", got[7])
+    assert one.lower() == two.lower() and got[7].endswith("12:30:45")
+    assert re.fullmatch(r"Госпожа (\w+ов)а и Господин \1", got[8]) and got[9] == rows[9] and "van der" in got[10] and "J. R." in got[10]
+    with pytest.raises(ValueError):
+        op9_surrogates.surrogates(table(spark, [(1, "x")]), "")
+
+
+def test_surrogates_equal_brute_force(spark, small):
+    """Over whole documents: the same mentions as a plain scan finds, all else untouched, entities one to one."""
+    import regex
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r["doc_id"]: r for r in local(op9_surrogates.surrogates(docs, "k"))}
+    pattern, forward = regex.compile(op9_surrogates.ANY.replace(r"\k<gap>", "(?P=gap)")), {}
+    for d, text in plain(docs):
+        found = [m.group(0) for m in pattern.finditer(text or "")]
+        assert got[d]["n_entities"] == len(found)
+        if not found:
+            assert got[d]["text"] == text
+            continue
+        keeps, at = [], 0
+        for m in pattern.finditer(text):
+            keeps.append(text[at : m.start()])
+            at = m.end()
+        new = re.fullmatch("(.+?)".join(map(re.escape, [*keeps, text[at:]])), got[d]["text"], re.S)
+        assert new
+        for old, put in zip(found, new.groups()):
+            assert forward.setdefault(old.lower(), put.lower()) == put.lower() != old.lower()
+    assert len(set(forward.values())) == len(forward) and not set(forward) & set(forward.values())
+
+
+def test_surrogates_outlast_a_draw_space(spark):
+    """More names than given names of a gender, and than short formats hold: longer draws, or an error, never an endless loop."""
+    rows = [(k, f"Ms {a}{b}ela Ray") for k, (a, b) in enumerate((a, b) for a in "ABCDEFGH" for b in "aeiouy")]
+    got = [r["text"].split()[1] for r in local(op9_surrogates.surrogates(table(spark, rows), "k"))]
+    assert len(set(got)) == len(rows)
+    with pytest.raises(ValueError):
+        op9_surrogates.assign(spark.createDataFrame([("secret", c) for c in "0123456789abcdef"], "kind string, canon string"), "k", attempts=3)
+
+
 def test_exact_dedup(spark, docs):
     groups = {}
     for d, t in plain(docs):
