@@ -40,6 +40,27 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+#: A key is frequent from this part of all rows on, so there are no more frequent keys than that; their rows go to so many tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 100, 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """many.join(one, key), where ``one`` has one row for a key. The rows of frequent keys are dealt over SALTS tasks, and the
+    frequent keys' rows of ``one`` go to each. counts: the key, n (rows of ``many`` with it). Key columns hold no null."""
+    spark = many.sparkSession
+    counts = counts.select(key, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)).select(key).limit(HOT_SHARE).collect()  # by their share no more than that
+    if not hot:
+        return many.join(one, key)
+    mark = F.broadcast(spark.createDataFrame(hot, counts.select(key).schema).withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[column(many, c) for c in many.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = many.join(mark, key, "left").withColumn("__salt", salt).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sent = one.join(mark, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return dealt.join(sent, [key, "__salt"]).drop("__salt")
+
+
 def filesystem(uri: str):
     """pyarrow's filesystem and path of a Hadoop-style URI (file:, hdfs:, s3: and the like)."""
     from pyarrow import fs

@@ -4,11 +4,13 @@ A signature has CHUNKS x SLOTS slots of 8 bits. Two signatures that differ in at
 CHUNKS * (ERRORS + 1) - 1 slots agree, by the pigeonhole principle, in some chunk but for ERRORS
 slots; so each chunk is indexed once for each set of ERRORS slots left out, and all such pairs meet in a
 bucket. (Beyond that distance they still meet with high probability: at similarity 0.8 one pair in
-about 100,000 does not.) Equal shingle sets are one class from the start. Members of a bucket are tied
-to its smallest member, not to each other; what is tied so, with signatures that agree in MIN_AGREE of
-all slots, forms a cluster, and links are then confirmed on full shingle sets within a cluster, in
-blocks of bounded size: all pairs of a block, and of it with a few pivots, that aren't joined yet, then
-all members outside the cluster's largest component against every block.
+about 100,000 does not.) Equal shingle sets are one class from the start. Members of a bucket are compared
+with a hub, its smallest member, not with each other. Those within FAR slots of it are tied to it. Whatever
+is LIMIT or nearer to a member that is NEAR or nearer to the hub is tied to the hub itself, as distances add up
+(NEAR + LIMIT = FAR), so only members further off than NEAR stay in the bucket, for new hubs among themselves, until
+none is left: all pairs up to LIMIT end in one cluster. Links are then confirmed on full shingle sets within a
+cluster, in blocks of bounded size: all pairs of a block, and of it with a few pivots, that aren't joined yet,
+then all members outside the cluster's largest component against every block.
 """
 
 from __future__ import annotations
@@ -20,14 +22,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep_only, narrow, small_batches, staged
+from .common import column, keep_only, narrow, small_batches, spread_join, staged
 from .graph import components
 
 CHUNKS, SLOTS, ERRORS = 11, 6, 1
 SIGNATURE = CHUNKS * SLOTS
-#: Share of slots in which a member and its bucket's hub must agree to be in one cluster. Far below the link
-#: threshold, so that a chain member - hub - member holds; far above what unrelated texts reach.
-MIN_AGREE = 0.3
+#: Signatures that differ in so many slots or fewer are certain to end in one cluster.
+LIMIT = CHUNKS * (ERRORS + 1) - 1
+#: A member that differs from a bucket's hub in more slots is not tied to it: unrelated texts differ in more.
+FAR = 46
+NEAR = FAR - LIMIT
+#: Hubs that a bucket's rest gets at once, about, after the first rounds, so that few rounds remain.
+HUBS, SINGLE = 16, 3
 #: Shingles of a block of a cluster, about.
 BLOCK = 100_000
 #: Members that every block of a large cluster also gets, so that what is like them is joined across blocks at once.
@@ -103,14 +109,41 @@ def _buckets(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls, keys.shape[1]))], ["key", "class"])
 
 
-def _near(batches: Iterator) -> Iterator:
-    """Pairs whose signatures agree in MIN_AGREE of the slots."""
+def _distances(batches: Iterator) -> Iterator:
+    """a, b and the number of slots in which their signatures differ."""
     import pyarrow as pa
 
     for b in batches:
         one, two = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("sig_a", "sig_b"))
-        ok = (one == two).sum(axis=1) >= MIN_AGREE * SIGNATURE
-        yield b.select(["a", "b"]).filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((one != two).sum(axis=1), pa.int32())], ["a", "b", "d"])
+
+
+def _tied(keys: DataFrame, sig: DataFrame) -> DataFrame:
+    """keys (key, class) -> a, b: classes that are FAR or nearer to a hub of a bucket that they share."""
+    count = F.count(F.lit(1)).alias("members")
+    hubs = keys.groupBy("key").agg(F.min("class").alias("hub"), count).where("members > 1").drop("members")
+    # the first hub by an aggregate, so that no bucket is gathered
+    met = staged(keys.join(hubs, "key").where("class != hub"))
+    ties, turn = None, 0
+    while not met.isEmpty():
+        pairs = met.select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+        known = staged(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_distances, "a long, b long, d int"))
+        own = known.where(F.col("d") <= FAR).select("a", "b")
+        ties, turn = own if ties is None else ties.union(own), turn + 1
+        # a member stays while it is further than NEAR from all hubs of this turn
+        judged = met.join(known.toDF("class", "hub", "d"), ["class", "hub"])
+        rest = judged.groupBy("key", "class").agg(F.min("d").alias("d")).where(F.col("d") > NEAR).select("key", "class")
+        if turn > 1:  # hubs themselves are done with
+            rest = rest.join(met.select("key", F.col("hub").alias("class")).distinct(), ["key", "class"], "left_anti")
+        rest = staged(rest)
+        sizes = rest.groupBy("key").agg(F.min("class").alias("least"), count).where("members > 1")
+        within = rest.join(sizes, "key")
+        chosen = F.col("class") == F.col("least")
+        if turn >= SINGLE:
+            chosen = chosen | (F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("members") / F.greatest(F.lit(HUBS), F.col("members") / 8))) == 0)
+        hubs = within.where(chosen).select("key", F.col("class").alias("hub"))
+        met = staged(rest.join(hubs, "key").where("class != hub"))
+    return ties if ties is not None else sig.select(F.col("class").alias("a"), F.col("class").alias("b")).where("false")
 
 
 def confirmed(ids: list[int], sets: list[np.ndarray], comp: list[int], query: list[bool], percent: int) -> list[tuple[int, int]]:
@@ -178,26 +211,23 @@ def _by_block(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sketches, components): sketches has doc_id, text_hash, n_shingles, set_key for every row; components has
-    set_key, component (its own number) and component_id (a doc_id; NULL_ID for null) for each distinct non-empty shingle set."""
+    """(sketches, components): sketches has doc_id, text_hash, n_shingles, set_key for every row; components has set_key, copies (rows
+    with it), component (its own number) and component_id (a doc_id; NULL_ID for null) for each distinct non-empty shingle set."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = narrow(docs, doc_id="long", text="string").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sketches = staged(hashed.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary"))
-    folded = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
-    reps = staged(folded.withColumn("class", F.monotonically_increasing_id()))
+    own = F.when(F.col("doc_id") == NULL_ID, F.raise_error(F.lit("the smallest 64-bit number is no doc_id")).cast("long")).otherwise(F.coalesce("doc_id", F.lit(NULL_ID)))
+    rows = narrow(docs, doc_id="long", text="string").select(own.alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    sketches = staged(rows.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary"))
+    least = F.min(F.struct("doc_id", "text_hash"))
+    folded = sketches.where("n_shingles > 0").groupBy("set_key").agg(least.alias("least"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
+    reps = staged(folded.select("set_key", "least.*", "n", "signature", "copies", F.monotonically_increasing_id().alias("class")))
 
     keys = reps.select("signature", "class").mapInArrow(_buckets, "key long, class long")
-    hubs = keys.groupBy("key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    tied = keys.join(hubs, "key").where("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    sig = reps.select("class", "signature")
-    tied = tied.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    clusters = components(tied.mapInArrow(_near, "a long, b long")).withColumnRenamed("component", "cluster")
+    clusters = components(_tied(keys, reps.select("class", "signature"))).withColumnRenamed("component", "cluster")
 
-    held = staged(clusters.join(reps.select(F.col("class").alias("node"), "doc_id", "set_key", "n"), "node"))
+    held = staged(clusters.join(reps.select(F.col("class").alias("node"), "doc_id", "text_hash", "set_key", "n"), "node"))
     blocks = held.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    held = staged(held.join(blocks, "cluster").select("doc_id", "set_key", F.col("node").alias("class"), "cluster", "blocks", "n"))
+    held = staged(held.join(blocks, "cluster").select("doc_id", "text_hash", "set_key", F.col("node").alias("class"), "cluster", "blocks", "n"))
     texts = staged(_texts(rows, held))
     place = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     task = lambda b: F.xxhash64("cluster", b).alias("block")
@@ -213,13 +243,16 @@ def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     if large:
         links = links.union(_across(texts.where("blocks > 1"), links, percent))
     joined = components(links)
-    final = reps.join(joined, reps["class"] == joined["node"], "left").select("set_key", "doc_id", F.coalesce("component", "class").alias("component"))
-    smallest = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sketches, final.join(smallest, "component").select("set_key", "component", "component_id")
+    final = staged(reps.join(joined, reps["class"] == joined["node"], "left").select("set_key", "doc_id", "copies", "class", "component"))
+    linked = final.where("component IS NOT NULL")
+    smallest = staged(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = spread_join(linked.select("set_key", "copies", "component"), smallest.drop("n"), "component", smallest)
+    alone = final.where("component IS NULL").select("set_key", "copies", F.col("class").alias("component"), F.col("doc_id").alias("component_id"))
+    return sketches, staged(named.select(alone.columns).union(alone))
 
 
 def _texts(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """The text of each class in a cluster; of rows that share the class's doc_id, those with its shingle set."""
+    """The text of each class in a cluster, once; of rows that share its doc_id and text hash, those with its shingle set."""
 
     def same(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -233,7 +266,7 @@ def _texts(rows: DataFrame, held: DataFrame) -> DataFrame:
             yield b.select(["class", "cluster", "blocks", "n", "text"]).filter(pa.array(ok, pa.bool_()))
 
     # a merge join at every size: one class table that happens to be small must not change what is shuffled
-    return rows.join(held.hint("merge"), "doc_id").select("class", "cluster", "blocks", "n", "set_key", "text").mapInArrow(same, "class long, cluster long, blocks int, n long, text string")
+    return rows.join(held.hint("merge"), ["doc_id", "text_hash"]).select("class", "cluster", "blocks", "n", "set_key", "text").mapInArrow(same, "class long, cluster long, blocks int, n long, text string")
 
 
 def _across(texts: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -263,10 +296,11 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows that repeat it are kept. Other columns are not read; an empty table gives an empty result.
     """
     sketches, found = classes(docs, percent)
-    rows = sketches.join(found, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    real = lambda c: F.when(c != NULL_ID, c)
-    return rows.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    some = spread_join(sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), found.select("set_key", "component_id"), "set_key", found.select("set_key", F.col("copies").alias("n")))
+    none = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = some.select("doc_id", "n_shingles", "component_id").union(none)
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return rows.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("component_id") == F.col("doc_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -275,11 +309,11 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     text one stays, any of them. Rows without words all stay."""
     sketches, found = classes(docs, percent)
     key = F.struct("doc_id", "text_hash")
-    found = staged(found.select("set_key", "component"))
     least = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("least"))
-    elected = found.join(least, "set_key").groupBy("component").agg(F.min("least").alias("elected"))
-    chosen = found.join(elected, "component").select("set_key", "elected")
-    rows = staged(sketches.select("doc_id", "text_hash", "set_key").join(chosen, "set_key").select("doc_id", "text_hash", (key == F.col("elected")).alias("kept")))
+    elected = staged(found.join(least, "set_key").groupBy("component").agg(F.min("least").alias("elected"), F.count(F.lit(1)).alias("n")))
+    chosen = staged(spread_join(found.select("set_key", "copies", "component"), elected.drop("n"), "component", elected).select("set_key", "copies", "elected"))
+    every = sketches.where("n_shingles > 0").select("doc_id", "text_hash", "set_key")
+    rows = staged(spread_join(every, chosen.drop("copies"), "set_key", chosen.select("set_key", F.col("copies").alias("n"))).select("doc_id", "text_hash", (key == F.col("elected")).alias("kept")))
     gone = rows.where("NOT kept").select("doc_id", "text_hash").distinct()
     again = staged(rows.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
 

@@ -137,21 +137,109 @@ def test_decontamination(spark):
     item = "A train leaves Paris at 60 km per hour and meets Anna after 3 hours near the river bridge"
     other = item.replace("60", "75").replace("Paris", "Rome").replace("Anna", "Olga").replace("after 3", "after 5")
     mixed = item.replace("Paris", "Rome")
-    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "what is the sum")], "item_id long, text string")
-    rows = [(10, "Some text before. " + item + " and after."), (11, "x " + other + " y"), (12, "A train of thought that never leaves the station at all, and that is that"), (13, None), (14, ""), (15, mixed), (16, "say what is the sum of it"), (10, "clean twin")]
-    got = {(r["doc_id"], r["item_id"]): r for r in local(op4_decontaminate.matches(table(spark, rows), bench))}
-    assert set(got) == {(10, 1), (11, 1), (15, 1), (16, 4)}
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "what is the sum"), (5, "Compute 3 + 5"), (6, "Is 17 prime"), (7, "42")], "item_id long, text string")
+    rows = [(10, "Some text before. " + item + " and after."), (11, "x " + other + " y"), (12, "A train of thought that never leaves the station at all, and that is that"), (13, None), (14, ""), (15, mixed), (16, "say what is the sum of it"), (10, "clean twin"),
+            (17, "To warm up: compute 3 + 5, then rest."), (18, "is 17 prime?"), (19, "Short one."), (20, "a short one here"), (21, "42"), (22, "42 more")]
+    got = {(r["doc_id"], r["item_id"]): r for r in local(op4_decontaminate.contaminations(table(spark, rows), bench))}
+    assert set(got) == {(10, 1), (11, 1), (15, 1), (16, 4), (17, 5), (18, 6), (19, 2), (21, 7)}
     assert (got[10, 1]["reparameterised"], got[11, 1]["reparameterised"]) == (False, True)
     kept = op4_decontaminate.clean(table(spark, rows), bench)
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(((d, t) for d, t in rows if d in (12, 13, 14) or t == "clean twin"), key=str) or kept.count() == 4
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == sorted((d, t) for d, t in rows if t and d in (12, 20, 22) or t == "clean twin") and kept.count() == 6
     assert kept.columns == table(spark, rows).columns
-    # slots that take two values for one are no template
-    twice = "Take 5 apples and then take 5 pears and add up the 5 plums of the whole big basket"
-    off = spark.createDataFrame([(1, twice)], "item_id long, text string")
-    odd = table(spark, [(1, twice.replace("5 apples", "6 apples")), (2, twice.replace("5", "8"))])
-    assert {r.doc_id for r in op4_decontaminate.matches(odd, off).collect()} == {2}
-    assert op4_decontaminate.matches(table(spark, rows).limit(0), bench).count() == 0
-    assert op4_decontaminate.matches(table(spark, rows), bench.limit(0)).count() == 0
+    assert op4_decontaminate.contaminations(table(spark, rows).limit(0), bench).count() == 0
+    assert op4_decontaminate.contaminations(table(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_decontamination_slots_across_alignments(spark):
+    """One value for two is no template, also where an inserted word puts the second on an alignment of its own."""
+    item = "Anna walks to Bern. In the far end there Anna meets Karl"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    one, two = item.replace("Anna walks", "Mary walks"), item.replace("Anna", "Mary").replace("Bern", "Rome")
+    odd = one.replace("Anna meets", "Zoe meets").replace("Bern", "Rome").replace("Karl", "Ivan")
+    rows = [(1, two), (2, odd), (3, odd.replace("In the", "And in the")), (4, two.replace("In the", "And in the"))]
+    got = {r["doc_id"]: r["matched_windows"] for r in local(op4_decontaminate.contaminations(table(spark, rows), bench))}
+    found = {k: len(v) for k, v in decontamination_brute(rows, [(1, item)], counts=True).items()}
+    assert got == {d: n for (d, _), n in found.items()} and got[1] > got.get(2, 0) >= got.get(3, 0)
+
+
+def decontamination_brute(rows, items, counts=False):
+    """(doc, item) -> matched item places, from windows as tuples of words, one pair after the other."""
+    from collections import Counter
+
+    m = op4_decontaminate
+
+    def read(text):
+        words, start, out = (text or "").replace("\n", " … ").split(), True, []
+        for raw in words:
+            core = re.sub(r"^[\W_]+|[\W_]+$", "", raw)
+            if core:
+                number = re.fullmatch(r"\d+(?:[.,:/]\d+)*", core) is not None
+                unit = not number and core.lower() in m.UNITS and bool(out) and out[-1][1] == 1
+                cap = not number and not (core.lower() in m.UNITS and unit) and len(core) > 1 and core[0].isupper() and core[1:].islower()
+                out.append((core.lower(), 1 if number else 3 if unit else 0, cap, start))
+                start = False
+            if raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…"):
+                start = True
+        return out
+
+    def forms(ws):
+        plain = tuple(w[0] for w in ws)
+        out, last = [(("p",) + plain, [])], None
+        for opens in (False, True):
+            kinds = [k or (2 if cap and (opens or not start) else 0) for _, k, cap, start in ws]
+            literal = kinds.count(0)
+            key = tuple(w[0] if not k else k for w, k in zip(ws, kinds))
+            if literal >= min(m.MIN_LITERAL, len(ws)) and (literal < len(ws) if last is None else kinds != last):
+                out.append((("t",) + key, [f"{k}{w[0]}" for w, k in zip(ws, kinds) if k]))
+            last = kinds
+        return out
+
+    def places(ws, size):
+        return [(i, key, slots) for i in range(len(ws) - size + 1) for key, slots in forms(ws[i : i + size])]
+
+    result = {}
+    for item_id, text in items:
+        iw = read(text)
+        if not iw:
+            continue
+        size = min(m.WINDOW, len(iw))
+        known = places(iw, size) if size >= m.MIN_WORDS else places(iw, size)[:1]
+        for doc_id, doc in rows:
+            dw = read(doc)
+            if size < m.MIN_WORDS and len(dw) != size:
+                continue
+            hits = [(i - j, j, js, ds) for i, dk, ds in places(dw, size) for j, ik, js in known if dk[1:] == ik[1:] and (size >= m.MIN_WORDS or dk[0] == "p")]
+            votes = Counter(p for p in {(d, j, x, y) for d, j, js, ds in hits for x, y in zip(js, ds)})
+            votes = Counter((x, y) for _, _, x, y in votes)
+            best = {}
+            for (x, y), n in votes.items():
+                rank = (n, x == y, [-ord(c) for c in y])
+                if x not in best or rank > best[x][0]:
+                    best[x] = (rank, y)
+            kept = [h for h in hits if all(best[x][1] == y for x, y in zip(h[2], h[3]))]
+            plain, run, top = {(d, j) for d, j, _, ds in kept if not ds}, 0, 0
+            for d, j in plain:
+                run = m.WINDOW
+                while (d, j + run - m.WINDOW + 1) in plain:
+                    run += 1
+                top = max(top, run)
+            found = {j for _, j, _, _ in kept}
+            if found and (len(found) >= m.MIN_COVER * len({j for j, _, _ in known}) or top >= m.LONG_RUN):
+                result[doc_id, item_id] = found
+    return result
+
+
+def test_decontamination_equals_brute_force(spark, small):
+    """The query's rows over whole tables, against windows as tuples of words."""
+    from causeway.llm.queries import QUERIES
+
+    docs, items = (plain_rows(spark, small, t, k) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r["doc_id"], r["item_id"]): r["matched_windows"] for r in local(QUERIES["op4_template_decontamination"](spark, small))}
+    assert got == {k: len(v) for k, v in decontamination_brute(docs, items).items()}
+
+
+def plain_rows(spark, folder, name, key):
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, "text").collect()]
 
 
 def test_decontamination_of_partial_copies(spark):
@@ -340,6 +428,47 @@ def test_signatures_meet():
         assert set(op8_near_dedup.bucket_keys(a[None])[0]) & set(op8_near_dedup.bucket_keys(b[None])[0])
 
 
+def test_pairs_behind_an_unlike_hub(spark):
+    """Pairs at the stated distance whose one common bucket has a hub that neither resembles end in one cluster; so do all pairs of a bucket of
+    signatures that are far from each other."""
+    from pyspark.sql import types as T
+
+    m, rng, rows = op8_near_dedup, np.random.default_rng(5), []
+    for k in range(40):
+        x = rng.integers(0, 256, m.SIGNATURE, np.uint8)
+        y, hub = x.copy(), rng.integers(0, 256, m.SIGNATURE, np.uint8)
+        y[[0, *[c * m.SLOTS + j for c in range(1, m.CHUNKS) for j in (0, 1)]]] ^= 1  # one error in the first chunk, two in all others
+        hub[1 : m.SLOTS] = x[1 : m.SLOTS]
+        assert (x != y).sum() == m.LIMIT and (x != hub).sum() > m.FAR
+        rows += [(3 * k, hub.tobytes()), (3 * k + 1, x.tobytes()), (3 * k + 2, y.tobytes())]
+    shared = rng.integers(0, 256, m.SLOTS, np.uint8)
+    for k in range(60):  # one bucket, all members far apart, every second one with a partner
+        x = rng.integers(0, 256, m.SIGNATURE, np.uint8)
+        x[: m.SLOTS] = shared
+        y = x.copy()
+        y[rng.choice(np.arange(m.SLOTS, m.SIGNATURE), m.LIMIT - 1, replace=False)] ^= 1
+        rows += [(1000 + k, x.tobytes()), (2000 + k, y.tobytes())]
+    reps = spark.createDataFrame([(c, bytearray(s)) for c, s in rows], T.StructType([T.StructField("class", T.LongType()), T.StructField("signature", T.BinaryType())])).persist()
+    keys = reps.select("signature", "class").mapInArrow(m._buckets, "key long, class long")
+    comp = {r.node: r.component for r in components(m._tied(keys, reps)).collect()}
+    assert all(comp[3 * k + 1] == comp[3 * k + 2] for k in range(40)) and all(comp[1000 + k] == comp[2000 + k] for k in range(60))
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Planted pairs with similarity 0.80 to 0.85: no more than one in a hundred may be missed (expected: one in 100,000)."""
+    rng, rows = random.Random(21), []
+    for k in range(250):
+        one = prose(rng, 200).split()
+        two = list(one)
+        for at in rng.sample(range(1, 199, 2), 8 + k % 3):
+            two[at] = f"changed{at}"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    want = {r[0]: r[2] for r in near_brute(rows)}
+    got = {str(r["doc_id"]): str(r["component_id"]) for r in local(op8_near_dedup.near_groups(table(spark, rows)))}
+    linked = [d for d in want if want[d] != d]
+    assert len(linked) > 150 and sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked) and all(got[d] in (d, want[d]) for d in want)
+
+
 def test_components(spark, monkeypatch):
     from causeway.llm import graph
 
