@@ -3,11 +3,11 @@
 Words are lower-cased and stripped of punctuation; numbers, capitalised words (names) and units after a
 number become typed placeholders. Windows of WINDOW words are hashed on both sides and hash-joined, as
 plain words and as templates, with words that open a sentence both as literals and as names; a benchmark
-item shorter than a window is one window of its own length. Plain windows always count. For each document,
-item and alignment the values in the slots are compared: an item value stands for the document value that
-it has in most windows, and template windows that say otherwise are dropped as chance. A document is
-contaminated by an item when at least MIN_COVER of the item's windows are found, or a verbatim run of
-LONG_RUN words.
+item shorter than a window is one window of its own length, and one of fewer than MIN_WORDS words must be the
+whole document. Plain windows always count. For each document and item the values in the slots of all alignments
+are compared: an item value stands for the document value that it has in most windows, and template windows
+that say otherwise are dropped as chance. A document is contaminated by an item when at least MIN_COVER of
+the item's windows are found, or a verbatim run of LONG_RUN words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import column, keep_only, narrow, small_batches, staged
 
 WINDOW = 8
 MIN_COVER = 0.5
-#: Items of fewer words carry no template.
+#: Items of fewer words are in too many texts by chance: they have no template and count where they are the whole text.
 MIN_WORDS = 3
 #: Words of a template window that must be literal.
 MIN_LITERAL = 3
@@ -144,15 +144,19 @@ def _emit(items: bool, sizes: list[int], bitmap: np.ndarray | None):
             for lo, hi in _groups(text, 1 if items else _GROUP):
                 h, kinds, owner, raw = templates(text[lo:hi])
                 begin = np.searchsorted(owner, np.arange(hi - lo))
-                for size in sizes if not items else [min(WINDOW, len(raw))] if len(raw) >= MIN_WORDS else []:
+                length = np.bincount(owner, minlength=hi - lo)  # words of each text
+                for size in sizes if not items else [min(WINDOW, len(raw))] if raw else []:
                     got, fit = windows(h, kinds, owner, size)
+                    if size < MIN_WORDS:
+                        fit[1:] = False
+                        fit[0] &= length[owner[: fit.shape[1]]] == size
                     if bitmap is not None:
                         low = (got & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
                         fit &= (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
                     for form, at in zip(*(x.tolist() for x in np.nonzero(fit))):
-                        own, kind = int(owner[at]), kinds[form - 1]
+                        of, kind = int(owner[at]), kinds[form - 1]
                         slots = [f"{kind[k]}{_EDGE.sub('', raw[k]).lower()}" for k in range(at, at + size) if kind[k] != _WORD] if form else []
-                        out.append((row + lo + own, doc[lo + own], th[lo + own], int(got[form, at].astype(np.int64)), at - int(begin[own]), slots))
+                        out.append((row + lo + of, doc[lo + of], th[lo + of], int(got[form, at].astype(np.int64)), at - int(begin[of]), slots))
                 if len(out) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out), schema)], schema=schema)
                     out = []
@@ -167,64 +171,66 @@ def _rows(table: DataFrame, key: str) -> DataFrame:
     return narrow(table, **{key: "long", "text": "string"}).select(F.col(key).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _agree(strict: bool):
-    """One row an alignment -> the item's windows that count, the longest verbatim run in words, whether a slot differs."""
+def _agree(batches: Iterator) -> Iterator:
+    """One row a document and item -> the item's windows that count, the longest verbatim run in words, whether a slot differs."""
+    import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
+    for b in batches:
+        out = []
+        for hits in b["hits"].to_pylist():
+            seen = {(h["diagonal"], h["item_at"], *pair) for h in hits for pair in zip(h["item_slots"], h["slots"])}
+            votes = Counter((x, y) for _, _, x, y in seen)
+            # of doc values with as many windows, the unchanged one stands, then the smallest
+            stands = dict(sorted(votes, key=lambda p: (votes[p], p[0] == p[1], [-ord(c) for c in p[1]])))
+            kept = [h for h in hits if all(stands[x] == y for x, y in zip(h["item_slots"], h["slots"]))]
+            longest, last = 0, None
+            for place in sorted({(h["diagonal"], h["item_at"]) for h in kept if not h["slots"]}):
+                follows = last is not None and place == (last[0], last[1] + 1)
+                run, last = run + 1 if follows else WINDOW, place
+                longest = max(longest, run)
+            out.append((list({h["item_at"] for h in kept}), longest, any(h["item_slots"] != h["slots"] for h in kept)))
+        columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.list_(pa.int64()), pa.int64(), pa.bool_()))]
+        names = ["row", "doc_id", "text_hash", "item", "item_id"]
+        yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *columns], [*names, "places", "run", "reparameterised"])
+
+
+def _bitmap(bench: DataFrame) -> np.ndarray | None:
+    """The low bits of all benchmark windows, or None for more than FILTER_WINDOWS. Tasks make bitmaps of their rows, which are merged."""
+    n = bench.count()
+    if n > FILTER_WINDOWS:
+        return None
+    size = max(1 << 10, 1 << (2 * n).bit_length())
+
+    def mark(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        bits = np.zeros(size, np.uint8)
         for b in batches:
-            out = []
-            for hits in b["hits"].to_pylist():
-                seen = {(h["item_at"], *pair) for h in hits for pair in zip(h["item_slots"], h["slots"])}
-                votes = Counter((x, y) for _, x, y in seen)
-                if strict:
-                    good = all(len({p[k] for p in votes}) == len(votes) for k in (0, 1))
-                    kept = hits if good else []
-                else:
-                    # of doc values with as many windows, the unchanged one stands, then the smallest
-                    stands = dict(sorted(votes, key=lambda p: (votes[p], p[0] == p[1], [-ord(c) for c in p[1]])))
-                    kept = [h for h in hits if all(stands[x] == y for x, y in zip(h["item_slots"], h["slots"]))]
-                plain = {h["item_at"] for h in kept if not h["slots"]}
-                longest = 0
-                for at in plain:
-                    if at - 1 not in plain:
-                        end = at
-                        while end in plain:
-                            end += 1
-                        longest = max(longest, end - at + WINDOW - 1)
-                out.append((list({h["item_at"] for h in kept}), longest, any(h["item_slots"] != h["slots"] for h in kept)))
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.list_(pa.int64()), pa.int64(), pa.bool_()))]
-            names = ["row", "doc_id", "text_hash", "item", "item_id"]
-            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *columns], [*names, "places", "run", "reparameterised"])
+            low = np.asarray(b["window"]).astype(np.uint64) & np.uint64(size * 8 - 1)
+            np.bitwise_or.at(bits, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
 
-    return run
+    few = bench.select("window").coalesce(4).mapInArrow(mark, "bits binary").collect()  # four bitmaps at most
+    out = np.zeros(size, np.uint8)
+    for r in few:
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, strict: bool) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     bench = staged(_rows(benchmark, "item_id").mapInArrow(_emit(True, [], None), _ROWS)).toDF("item", "item_id", "item_hash", "window", "item_at", "item_slots")
     totals = bench.groupBy("item").agg(F.count_distinct("item_at").alias("item_windows"))
     sizes = [r.size for r in _rows(benchmark, "item_id").mapInArrow(_lengths, "size int").distinct().collect()]  # WINDOW values at most
-    n, bitmap = bench.count(), None
-    if n <= FILTER_WINDOWS:
-        bitmap = np.zeros(max(1 << 10, 1 << (2 * n).bit_length()), np.uint8)
-        low = np.array([r.window for r in bench.select("window").distinct().collect()], np.int64).astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
-        np.bitwise_or.at(bitmap, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
-    found = _rows(docs, "doc_id").mapInArrow(_emit(False, sorted(sizes), bitmap), _ROWS)
-    aligned = found.join(bench, "window").groupBy("row", "doc_id", "text_hash", "item", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.collect_list(F.struct("item_at", "item_slots", "slots")).alias("hits")
-    )
-    agreed = aligned.mapInArrow(_agree(strict), "row long, doc_id long, text_hash long, item long, item_id long, places array<long>, run long, reparameterised boolean")
-    whole = agreed.groupBy("row", "doc_id", "text_hash", "item", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched_windows"), F.max("run").alias("run"), F.max("reparameterised").alias("reparameterised")
-    )
+    found = _rows(docs, "doc_id").mapInArrow(_emit(False, sorted(sizes), _bitmap(bench)), _ROWS)
+    hit = F.struct((F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_slots", "slots")
+    aligned = found.join(bench, "window").groupBy("row", "doc_id", "text_hash", "item", "item_id").agg(F.collect_list(hit).alias("hits"))
+    agreed = aligned.mapInArrow(_agree, "row long, doc_id long, text_hash long, item long, item_id long, places array<long>, run long, reparameterised boolean")
+    matched = F.size("places").cast("long")
     cover = F.col("matched_windows") / F.col("item_windows")
-    enough = cover >= MIN_COVER if strict else (cover >= MIN_COVER) | (F.col("run") >= LONG_RUN)
-    return whole.join(totals, "item").withColumn("coverage", cover).where(enough).select(
-        "doc_id", "item_id", F.col("matched_windows").cast("long").alias("matched_windows"), "item_windows", "coverage", "reparameterised", "text_hash"
-    )
+    whole = agreed.withColumn("matched_windows", matched).join(totals, "item").withColumn("coverage", cover)
+    return whole.where((cover >= MIN_COVER) | (F.col("run") >= LONG_RUN)).select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "reparameterised", "text_hash")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -234,13 +240,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs: doc_id, text; benchmark: item_id, text. A null or empty text has no windows; null ids are kept as
     they are; rows that repeat count each. Other columns are not read. Empty tables give an empty result.
     """
-    return _found(docs, benchmark, strict=False)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The part of ``contaminations`` where whole alignments are one template: slots one to one throughout, or
-    none of an alignment's windows counts, and no verbatim run does. It misses copies with a single odd slot."""
-    return _found(docs, benchmark, strict=True)
+    return _found(docs, benchmark)
 
 
 def _lengths(batches: Iterator) -> Iterator:
@@ -248,7 +248,7 @@ def _lengths(batches: Iterator) -> Iterator:
 
     for b in batches:
         n = {min(WINDOW, len(templates([t])[3])) for t in b["text"].to_pylist()}
-        yield pa.RecordBatch.from_pydict({"size": pa.array([k for k in n if k >= MIN_WORDS], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"size": pa.array([k for k in n if k], pa.int32())})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
