@@ -24,9 +24,13 @@ def run_alias(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.substring(F.sha2(text, 256), 1, 16))
 
 
+#: Names that some file systems reserve; fixed values.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)])
+
+
 def default_path(trace_id: Column) -> Column:
     """A portable file name of a trace."""
-    portable = trace_id.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,199}$")
+    portable = trace_id.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~trace_id.endswith(".") & ~F.upper(F.substring_index(trace_id, ".", 1)).isin(*RESERVED)
     return F.when(portable, F.concat(trace_id, F.lit(".json"))).otherwise(F.concat(F.lit("trace-"), F.sha2(trace_id, 256), F.lit(".json")))
 
 

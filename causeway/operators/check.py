@@ -53,14 +53,27 @@ def _sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def _common(row: DataFrame) -> Column:
+#: Why two runs can't be compared, or an outcome isn't known: (code, condition) each, codes led by the side that it is about.
+Reasons = list[tuple[str, Column]]
+
+
+def _both(code: str, column: str) -> Reasons:
+    return [(f"{side}:{code}", F.col(f"{side[0]}_{column}")) for side in ("current", "baseline")]
+
+
+def _listed(reasons: Reasons) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for code, c in reasons])).cast("array<string>")
+
+
+def _common() -> Reasons:
     """Whether the two runs can be compared at all."""
-    return F.col("c_no_record") | F.col("b_no_record") | (F.col("c_n_steps") == 0) | (F.col("b_n_steps") == 0) | (F.col("c_source_kind") != F.col("b_source_kind"))
+    empty = [(f"{side}:no_steps", F.col(f"{side[0]}_n_steps") == 0) for side in ("current", "baseline")]
+    return _both("no_capture_record", "no_record") + empty + [("different_sources", F.col("c_source_kind") != F.col("b_source_kind"))]
 
 
-def _causal(row: DataFrame) -> Column:
+def _causal() -> Reasons:
     differ = (F.col("c_causal_fidelity") != F.col("b_causal_fidelity")) | ~F.col("c_links_preserved").eqNullSafe(F.col("b_links_preserved"))
-    return differ | F.col("c_guessed") | F.col("b_guessed") | F.col("c_undecided") | F.col("b_undecided")
+    return [("different_causal_settings", differ)] + _both("heuristic_edges", "guessed") + _both("undecided_edges", "undecided")
 
 
 def _risen(pairs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,21 +86,33 @@ def _risen(pairs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     both = cur.join(base, ["current", "baseline", "sig", "unknown"], "full_outer").na.fill(0, ["c", "b"])
     per = both.groupBy("current", "baseline").agg(
         F.count_if(~F.col("unknown") & (F.col("c") > F.col("b"))).alias("risen"), (F.sum("c") > F.sum("b")).alias("more"),
+        F.array_sort(F.collect_list(F.when(~F.col("unknown") & (F.col("c") > F.col("b")), F.struct(F.col("sig").alias("signature"), F.col("b").alias("baseline"), F.col("c").alias("current"))))).alias("evidence"),
         F.sum(F.when(F.col("unknown"), F.col("c")).otherwise(0)).alias("c_unknown"), F.sum(F.when(F.col("unknown"), F.col("b")).otherwise(0)).alias("b_unknown"),
     )
     return pairs.join(per, ["current", "baseline"], "left").na.fill(0, ["risen", "c_unknown", "b_unknown"]).na.fill(False, ["more"])
 
 
-def _outcome(rows: DataFrame, rule: str, blocked: Column, outcome: Column, risen: Column) -> DataFrame:
-    return rows.select("current", "baseline", F.lit(rule).alias("rule"), F.when(blocked, OPEN).otherwise(outcome).alias("outcome"), risen.cast("long").alias("risen"))
+def _outcome(rows: DataFrame, rule: str, blocking: Reasons, outcome: Column, risen: Column, hidden: Reasons = ()) -> DataFrame:
+    why = _listed(blocking)
+    none = F.array().cast("array<string>")
+    reasons = F.when(F.size(why) > 0, why).when(outcome == OPEN, _listed(list(hidden)) if hidden else none).otherwise(none)
+    evidence = F.col("evidence") if "evidence" in rows.columns else F.lit(None)
+    return rows.select(
+        "current", "baseline", F.lit(rule).alias("rule"), F.when(F.size(why) > 0, OPEN).otherwise(outcome).alias("outcome"), risen.cast("long").alias("risen"),
+        reasons.alias("reasons"), evidence.cast("array<struct<signature: string, baseline: bigint, current: bigint>>").alias("evidence"),
+    )
+
+
+def _may_hide_reasons(rose: Column, baseline_open: Column, current_open: Column) -> Reasons:
+    return [("baseline:may_hide", rose & baseline_open), ("current:may_hide", ~rose & current_open)]
 
 
 def failures_not_increased(ts: TraceSet, pairs: DataFrame) -> DataFrame:
-    """current, baseline, rule, outcome, risen."""
+    """current, baseline, rule, outcome, risen, reasons (codes, where the outcome isn't known), evidence (signatures that rose)."""
     rows = _sides(_risen(pairs, failure_counts(ts), ["kind", "name"]), _headers(ts))
     rose = (F.col("risen") > 0) | F.col("more")
     is_open = lambda s: (F.col(f"{s}_unknown") > 0) | F.col(f"{s}_unset") | F.col(f"{s}_hides")
-    return _outcome(rows, "failures-not-increased", _common(rows), decide(rose, is_open("b"), is_open("c")), F.col("risen"))
+    return _outcome(rows, "failures-not-increased", _common(), decide(rose, is_open("b"), is_open("c")), F.col("risen"), _may_hide_reasons(rose, is_open("b"), is_open("c")))
 
 
 def may_hide(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
@@ -113,7 +138,7 @@ def confirmed(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
 
 
 def pattern_not_increased(ts: TraceSet, pairs: DataFrame, pattern: patterns.PathPattern) -> DataFrame:
-    """current, baseline, rule, outcome, risen."""
+    """current, baseline, rule, outcome, risen, reasons, evidence."""
     n = range(len(pattern.steps))
     sure = reduce(lambda a, b: a & b, [known("kind", f"s{i}_") & known("name", f"s{i}_") for i in n])
     keys = [f"{f}{i}" for i in n for f in ("kind", "name")]
@@ -124,24 +149,24 @@ def pattern_not_increased(ts: TraceSet, pairs: DataFrame, pattern: patterns.Path
     rows = _sides(_risen(pairs, counts, keys), head)
     rose = (F.col("risen") > 0) | F.col("more")
     is_open = lambda s: (F.col(f"{s}_unknown") > 0) | F.col(f"{s}_may_hide")
-    blocked = _common(rows)
+    blocking = _common()
     if len(pattern.steps) > 1:
-        blocked = blocked | _causal(rows)
+        blocking += _causal()
     if any(p.status == "ok" for p in pattern.steps):
-        blocked = blocked | F.col("c_rewritten") | F.col("b_rewritten")
-    return _outcome(rows, f"pattern-not-increased:{pattern.pattern_id}", blocked, decide(rose, is_open("b"), is_open("c")), F.col("risen"))
+        blocking += _both("rewritten_errors", "rewritten")
+    return _outcome(rows, f"pattern-not-increased:{pattern.pattern_id}", blocking, decide(rose, is_open("b"), is_open("c")), F.col("risen"), _may_hide_reasons(rose, is_open("b"), is_open("c")))
 
 
 def topology_unchanged(ts: TraceSet, pairs: DataFrame, shape_only: bool = False) -> DataFrame:
-    """current, baseline, rule, outcome, risen (null)."""
+    """current, baseline, rule, outcome, risen (null), reasons, evidence (null)."""
     rule = needs_origin_priority(ts).select("trace_id", F.lit(True).alias("ranked"))
     head = _headers(ts).join(shapes(ts, shape_only), "trace_id", "left").join(rule, "trace_id", "left").na.fill(False, ["ranked"])
     rows = _sides(pairs, head)
-    blocked = _common(rows) | _causal(rows) | ~F.col("c_graph").eqNullSafe(F.col("b_graph")) | F.col("c_omits") | F.col("b_omits")
+    blocking = _common() + _causal() + [("different_graphs", ~F.col("c_graph").eqNullSafe(F.col("b_graph")))] + _both("omitted_steps", "omits")
     if not shape_only:
-        blocked = blocked | F.col("c_unlabelled") | F.col("b_unlabelled")
+        blocking += _both("unlabelled_steps", "unlabelled")
     same = F.when(F.col("c_shape").eqNullSafe(F.col("b_shape")), PASS).otherwise(FAIL)
-    return _outcome(rows, "topology-unchanged" + (":shape" if shape_only else ""), blocked, same, F.lit(None))
+    return _outcome(rows, "topology-unchanged" + (":shape" if shape_only else ""), blocking, same, F.lit(None))
 
 
 def parse_rules(texts: list[str]) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causeway.plans import walk
 from causeway.plans.projection import causes, primary_parents
 from causeway.schema import TraceSet
+from causeway.session import staged
 
 
 def explain(ts: TraceSet, target: Column) -> DataFrame:
@@ -38,15 +39,16 @@ def _marked(ts: TraceSet, steps: DataFrame) -> TraceSet:
     return TraceSet(ts.traces, ts.steps.join(mark, ["trace_id", "step_id"], "left"), ts.edges)
 
 
-def causal_steps(ts: TraceSet) -> DataFrame:
-    """For each primary failure all steps behind it: trace_id, failure, step_id, level."""
-    marked = _marked(ts, split(ts).where("primary"))
+def causal_steps(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
+    """For each primary failure all steps behind it: trace_id, failure, step_id, level. known: the split, where it is at hand."""
+    marked = _marked(ts, (known if known is not None else split(ts)).where("primary"))
     return walk.ancestors(marked, F.col("is_target")).select("trace_id", F.col("target").alias("failure"), F.col("ancestor").alias("step_id"), "level")
 
 
 def causal_edges(ts: TraceSet) -> DataFrame:
     """The causes among each primary failure and the steps behind it: trace_id, failure, effect, cause, origin."""
-    behind = causal_steps(ts).select("trace_id", "failure", "step_id")
-    inside = behind.union(split(ts).where("primary").select("trace_id", F.col("step_id").alias("failure"), "step_id"))
+    known = staged(split(ts).where("primary"))
+    behind = causal_steps(ts, known).select("trace_id", "failure", "step_id")
+    inside = behind.union(known.select("trace_id", F.col("step_id").alias("failure"), "step_id"))
     # every cause of such a step is behind the failure as well
     return inside.join(causes(ts).withColumnRenamed("src", "step_id"), ["trace_id", "step_id"]).select("trace_id", "failure", F.col("step_id").alias("effect"), F.col("dst").alias("cause"), "origin")

@@ -11,14 +11,13 @@ from causeway.operators.check import confirmed, may_hide
 from causeway.plans import patterns
 from causeway.plans.projection import causes
 from causeway.schema import TraceSet
+from causeway.session import staged
+from causeway.sources.artifacts import to_text
 
 
 def digest(ts: TraceSet) -> DataFrame:
-    """trace_id, digest: SHA-256 over each trace's rows, order apart. Row hashes are folded before the shuffle."""
-    row = lambda t: F.sha2(F.to_json(F.struct(*t.columns)), 256)
-    rows = ts.steps.select("trace_id", row(ts.steps).alias("h")).union(ts.edges.select("trace_id", row(ts.edges))).union(ts.traces.select("trace_id", row(ts.traces)))
-    half = lambda k: F.sum(F.conv(F.substring("h", k, 8), 16, 10).cast("decimal(38,0)")).cast("string")
-    return rows.groupBy("trace_id").agg(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *[half(k) for k in (1, 9, 17, 25, 33, 41, 49, 57)]), 256)).alias("digest"))
+    """trace_id, digest: the SHA-256 of each trace's canonical document."""
+    return to_text(ts, check=False).select("trace_id", "digest")
 
 
 def _signed(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
@@ -45,8 +44,17 @@ def groups(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
     counted = per.groupBy("signature").agg(F.sum("n").alias("match_count"), F.count(F.lit(1)).alias("trace_count"))
     few = rows.select("signature", F.concat_ws("/", "trace_id", "path").alias("rep"))
     three = few.withColumn("p", F.row_number().over(Window.partitionBy("signature").orderBy("rep"))).where("p <= 3").groupBy("signature").agg(F.array_join(F.array_sort(F.collect_list("rep")), ",").alias("representatives"))
-    line = Window.orderBy(F.desc("trace_count"), F.desc("match_count"), "signature")
-    return counted.join(three, "signature").withColumn("rank", F.row_number().over(line))
+    return _ranked(counted.join(three, "signature"), [F.desc("trace_count"), F.desc("match_count"), F.asc("signature")])
+
+
+def _ranked(rows: DataFrame, order: list) -> DataFrame:
+    """rows with their place in the order, from 1: a range sort, then running numbers from each range's first; no task gets all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    first = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.join(first, "part").withColumn("rank", (F.col("first") + place).cast("int")).drop("part", "first")
 
 
 def coverage(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:

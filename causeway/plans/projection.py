@@ -56,6 +56,19 @@ def needs_origin_priority(ts: TraceSet) -> DataFrame:
     return a.join(b, ["trace_id", "step_id"]).where("parent <> temporal").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
+def projection_rules(ts: TraceSet) -> DataFrame:
+    """trace_id, rule: which choice of parents gives the stored tree, origin_priority or temporal (null: neither); a trace whose edges
+    hold no tree has the former."""
+    stored = ts.edges.where("type = 'TREE_PARENT'").select("trace_id", F.col("src").alias("step_id"), F.col("dst").alias("stored"))
+    by_rank = primary_parents(ts).select("trace_id", "step_id", F.col("parent").alias("ranked"))
+    by_time = primary_parents(ts, False).select("trace_id", "step_id", F.col("parent").alias("timed"))
+    rows = by_rank.join(by_time, ["trace_id", "step_id"]).join(stored, ["trace_id", "step_id"], "full_outer")
+    fits = lambda c: F.bool_and(F.col(c).eqNullSafe(F.col("stored")))
+    per = rows.groupBy("trace_id").agg(fits("ranked").alias("ranked"), fits("timed").alias("timed"), F.count("stored").alias("n"))
+    rule = F.when((F.coalesce("n", F.lit(0)) == 0) | F.col("ranked"), "origin_priority").when(F.col("timed"), "temporal")
+    return ts.traces.select("trace_id").join(per, "trace_id", "left").select("trace_id", rule.alias("rule"))
+
+
 def violations(ts: TraceSet) -> DataFrame:
     """trace_id, rule, subject: everything that breaks the model's rules. Empty for valid traces."""
     step = ts.steps.select("trace_id", "step_id", "seq")

@@ -103,30 +103,39 @@ def _bits(x: int) -> Iterator[int]:
         x ^= low
 
 
-def spans(graph: Graph, lo: int, hi: int | None) -> Iterator[tuple[int, int]]:
-    """(step, bitset of marked starts from which a causal path of lo to hi hops leads to it), for marked ends.
-    Unbounded: of lo hops at least. Sets of exact lengths are advanced one hop at a time."""
+#: Starts that are walked at once; a block's sets take so many bits a step.
+BLOCK = 4096
+
+
+def spans(graph: Graph, lo: int, hi: int | None) -> Iterator[tuple[int, list[int], int]]:
+    """(step, starts, bitset of those starts from which a causal path of lo to hi hops leads to the step), for marked ends, in blocks of
+    starts. Unbounded: of lo hops at least. Sets of exact lengths are advanced one hop at a time."""
     n = len(graph.ids)
-    starts = [1 << i if graph.marks[i] & 1 else 0 for i in range(n)]
+    every = [i for i in range(n) if graph.marks[i] & 1]
     hop = lambda sets: [_union(sets, graph.causes[i]) for i in range(n)]
-    if hi is None:
-        reach = [0] * n
+    for k in range(0, len(every), BLOCK):
+        block = every[k : k + BLOCK]
+        starts = [0] * n
+        for bit, i in enumerate(block):
+            starts[i] = 1 << bit
+        if hi is None:
+            reach = [0] * n
+            for i in range(block[0], n):
+                reach[i] = starts[i] | _union(reach, graph.causes[i])
+            for _ in range(lo):
+                reach = hop(reach)
+            found = reach
+        else:
+            exact, found = starts, [0] * n
+            for length in range(1, min(hi, n) + 1):
+                exact = hop(exact)
+                if length >= lo:
+                    found = [f | e for f, e in zip(found, exact)]
+                if not any(exact):
+                    break
         for i in range(n):
-            reach[i] = starts[i] | _union(reach, graph.causes[i])
-        for _ in range(lo):
-            reach = hop(reach)
-        found = reach
-    else:
-        exact, found = starts, [0] * n
-        for k in range(1, min(hi, n) + 1):
-            exact = hop(exact)
-            if k >= lo:
-                found = [f | e for f, e in zip(found, exact)]
-            if not any(exact):
-                break
-    for i in range(n):
-        if graph.marks[i] & 2 and found[i]:
-            yield i, found[i]
+            if graph.marks[i] & 2 and found[i]:
+                yield i, block, found[i]
 
 
 def _union(sets: list[int], of: list[int]) -> int:
@@ -138,19 +147,23 @@ def _union(sets: list[int], of: list[int]) -> int:
 
 def gap_pairs(ts: TraceSet, start: Column, end: Column, lo: int, hi: int | None, same_name: bool) -> DataFrame:
     """trace_id, a, e: marked steps that a causal path of lo to hi hops connects (a is the cause); with
-    same_name both names must be there and equal."""
+    same_name both names must be there and equal. Only traces that have a start before an end (of its name) are walked."""
 
     def run(g: Graph) -> Iterator[tuple]:
-        named: dict[str, int] = {}
-        if same_name:
-            for i, name in enumerate(g.names):
-                if name is not None and g.marks[i] & 1:
-                    named[name] = named.get(name, 0) | 1 << i
-        for i, found in spans(g, lo, hi):
-            for j in _bits(found & named.get(g.names[i], 0) if same_name else found):
-                yield g.trace_id, g.ids[j], g.ids[i]
-
-    return over_graphs(ts, run, "trace_id string, a string, e string", start, end)
+        now, named = None, {}
+        for i, block, found in spans(g, lo, hi):
+            if same_name and block is not now:
+                now, named = block, {}
+                for bit, j in enumerate(block):
+                    if g.names[j] is not None:
+                        named[g.names[j]] = named.get(g.names[j], 0) | 1 << bit
+            for bit in _bits(found & named.get(g.names[i], 0) if same_name else found):
+                yield g.trace_id, g.ids[block[bit]], g.ids[i]
+
+    by = ["trace_id", "name"] if same_name else ["trace_id"]
+    marks = ts.steps.groupBy(*by).agg(F.min(F.when(start, F.col("seq"))).alias("first"), F.max(F.when(end, F.col("seq"))).alias("last"))
+    likely = marks.where("last > first" + (" AND name IS NOT NULL" if same_name else "")).select("trace_id").distinct()
+    return over_graphs(ts.where(likely), run, "trace_id string, a string, e string", start, end)
 
 
 def ancestors(ts: TraceSet, target: Column) -> DataFrame:

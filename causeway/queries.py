@@ -234,7 +234,7 @@ def _causal(spark, d):
     return failures.causal_edges(views.events(spark, d))
 
 
-@query("f11_find_step", _sql("SELECT trace_id, CASE WHEN bool_or(step_id = 'e42') THEN 'e42' ELSE min(step_id) END AS step_id FROM steps WHERE ends_with(step_id, 'e42') OR ends_with(step_id, '42') AND false GROUP BY 1 HAVING bool_or(step_id = 'e42') OR count(*) = 1"))
+@query("f11_find_step", _sql("SELECT trace_id, CASE WHEN bool_or(step_id = 'e42') THEN 'e42' ELSE min(step_id) END AS step_id FROM steps WHERE ends_with(step_id, 'e42') GROUP BY 1 HAVING bool_or(step_id = 'e42') OR count(*) = 1"))
 def _find(spark, d):
     return failures.find_step(views.events(spark, d), "e42")
 
@@ -274,7 +274,12 @@ def _order_shapes(spark, d):
     return trees.isomorphic_groups(views.orders(spark, d))
 
 
-@query("g15_conversation_shapes")
+@query(
+    "g15_conversation_shapes",
+    """WITH RECURSIVE lens AS (SELECT 'c' || conv_id AS trace_id, count(DISTINCT turn) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+       h AS (SELECT 1::BIGINT AS n, sha256('') AS c UNION ALL SELECT n + 1, sha256(chr(31) || c) FROM h WHERE n < (SELECT max(n) FROM lens))
+       SELECT sha256(c) AS shape, count(*) AS n_traces, min(trace_id) AS first_trace FROM lens JOIN h USING (n) GROUP BY 1""",
+)
 def _conversation_shapes(spark, d):
     return trees.isomorphic_groups(views.conversations(spark, d), shape_only=True)
 
@@ -316,13 +321,33 @@ def _subtrees(spark, d):
     return trees.subtree_changes(ts, _neighbours(ts))
 
 
+@query(
+    "u03_customer_forest_changes",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) || min(l_linestatus) AS name FROM lineitem GROUP BY 1, 2),
+       kids AS (SELECT l_orderkey, string_agg(c, chr(31) ORDER BY c) AS k FROM (SELECT l_orderkey, sha256(name) AS c FROM l) GROUP BY 1),
+       roots AS (SELECT o_custkey, sha256(o_orderstatus || coalesce(chr(31) || k, '')) AS canon, count(*) AS n FROM orders LEFT JOIN kids ON l_orderkey = o_orderkey GROUP BY 1, 2),
+       pairs AS (SELECT c.o_custkey AS cur, b.o_custkey AS base FROM (SELECT DISTINCT o_custkey FROM orders) c JOIN (SELECT DISTINCT o_custkey FROM orders) b ON b.o_custkey + 1 = c.o_custkey),
+       both_ways AS (SELECT coalesce(x.cur, y.cur) AS cur, coalesce(x.base, y.base) AS base, coalesce(x.n, 0) AS c, coalesce(y.n, 0) AS b FROM (SELECT * FROM pairs JOIN roots ON o_custkey = cur) x
+         FULL JOIN (SELECT * FROM pairs JOIN roots ON o_custkey = base) y ON x.cur = y.cur AND x.base = y.base AND x.canon = y.canon)
+       SELECT 'k' || cur AS current, 'k' || base AS baseline, CAST(sum(greatest(c - b, 0)) AS BIGINT) AS only_current, CAST(sum(greatest(b - c, 0)) AS BIGINT) AS only_baseline, sum(abs(c - b)) = 0 AS identical FROM both_ways GROUP BY 1, 2""",
+)
+def _forests(spark, d):
+    ts = views.customers(spark, d)
+    return trees.subtree_changes(ts, _neighbours(ts))
+
+
 @query("g18_differences")
 def _differences(spark, d):
     ts = views.events(spark, d)
     return trees.differences(ts, _neighbours(ts))
 
 
-@query("k10_tree_lines")
+@query(
+    "k10_tree_lines",
+    _sql("""SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS line, repeat('  ', level) || name || ' [' || kind || ']' || CASE WHEN status = 'ok' THEN '' ELSE ' ' || upper(status) END AS text FROM down""", _PARENT,
+         """down AS (SELECT s.trace_id, s.step_id, s.name, s.kind, s.status, 0 AS level, lpad(seq::VARCHAR, 7, '0') AS path FROM steps s LEFT JOIN parent p USING (trace_id, step_id) WHERE p.parent IS NULL
+            UNION ALL SELECT s.trace_id, s.step_id, s.name, s.kind, s.status, w.level + 1, w.path || '/' || lpad(s.seq::VARCHAR, 7, '0') FROM down w JOIN parent p ON p.trace_id = w.trace_id AND p.parent = w.step_id JOIN steps s ON s.trace_id = p.trace_id AND s.step_id = p.step_id)""", recursive=True),
+)
 def _lines(spark, d):
     return trees.rendered(views.events(spark, d))
 
@@ -351,15 +376,20 @@ def _evaluations(spark, d):
     return metrics.evaluations(views.events(spark, d))
 
 
+_SIDE = f"""(SELECT trace_id, CAST(sum(CASE WHEN {_COST} THEN k * 3 END) AS BIGINT) AS p, CAST(sum(CASE WHEN {_COST} THEN k END) AS BIGINT) AS c, CAST(sum(CASE WHEN {_COST} THEN k * 4 END) AS BIGINT) AS t, bool_and({_COST}) AS whole,
+      CASE WHEN bool_and({_COST}) THEN epoch_ms(date_trunc('second', max(start + k * INTERVAL 1 SECOND))) - epoch_ms(date_trunc('second', min(start))) END AS wall FROM steps GROUP BY 1)"""
+_BOTH = "x.whole AND y.whole"
+
+
 @query(
     "a14_metric_deltas",
-    _sql(f"""SELECT cur AS current, base AS baseline, CASE WHEN c.whole AND b.whole THEN c.t - b.t END AS total_tokens_delta FROM pairs
-      JOIN (SELECT trace_id, CAST(sum(CASE WHEN {_COST} THEN k * 4 END) AS BIGINT) AS t, bool_and({_COST}) AS whole FROM steps GROUP BY 1) c ON c.trace_id = cur
-      JOIN (SELECT trace_id, CAST(sum(CASE WHEN {_COST} THEN k * 4 END) AS BIGINT) AS t, bool_and({_COST}) AS whole FROM steps GROUP BY 1) b ON b.trace_id = base""", _PAIRS),
+    _sql(f"""SELECT cur AS current, base AS baseline, CASE WHEN {_BOTH} THEN (x.wall - y.wall)::DOUBLE END AS wall_delta, CASE WHEN {_BOTH} THEN x.p - y.p END AS prompt_tokens_delta, CASE WHEN {_BOTH} THEN x.c - y.c END AS completion_tokens_delta,
+      CASE WHEN {_BOTH} THEN x.t - y.t END AS total_tokens_delta, CASE WHEN {_BOTH} THEN x.c - y.c END AS cost_cents_delta FROM pairs JOIN {_SIDE} x ON x.trace_id = cur JOIN {_SIDE} y ON y.trace_id = base""", _PAIRS),
 )
 def _deltas(spark, d):
     ts = views.events(spark, d)
-    return metrics.deltas(ts, _neighbours(ts)).select("current", "baseline", "total_tokens_delta")
+    cents = (F.col("cost_delta").cast("decimal(38,2)") * 100).cast("long").alias("cost_cents_delta")
+    return metrics.deltas(ts, _neighbours(ts)).select("current", "baseline", "wall_delta", "prompt_tokens_delta", "completion_tokens_delta", "total_tokens_delta", cents)
 
 
 @query(
@@ -388,13 +418,14 @@ _OPEN = "side AS (SELECT t.trace_id, t.no_record, t.omits OR bool_or(s.status =
 
 @query(
     "c07_failures_not_increased",
-    _sql(f"""SELECT cur AS current, base AS baseline, 'failures-not-increased' AS rule, {_DECIDE} AS outcome, risen FROM (
-      SELECT p.cur, p.base, coalesce(risen, 0) AS risen, coalesce(risen, 0) > 0 OR coalesce(more, false) AS rose, c.no_record OR b.no_record AS blocked, c.open AS c_open, b.open AS b_open
+    _sql(f"""SELECT cur AS current, base AS baseline, 'failures-not-increased' AS rule, {_DECIDE} AS outcome, risen,
+      CASE WHEN blocked THEN concat_ws(',', CASE WHEN c_none THEN 'current:no_capture_record' END, CASE WHEN b_none THEN 'baseline:no_capture_record' END) WHEN rose AND b_open THEN 'baseline:may_hide' WHEN NOT rose AND c_open THEN 'current:may_hide' ELSE '' END AS reasons FROM (
+      SELECT p.cur, p.base, coalesce(risen, 0) AS risen, coalesce(risen, 0) > 0 OR coalesce(more, false) AS rose, c.no_record OR b.no_record AS blocked, c.no_record AS c_none, b.no_record AS b_none, c.open AS c_open, b.open AS b_open
       FROM pairs p JOIN side c ON c.trace_id = p.cur JOIN side b ON b.trace_id = p.base LEFT JOIN risen r ON r.cur = p.cur AND r.base = p.base)""", _PAIRS, _COUNTS, _RISEN, _OPEN),
 )
 def _failures_rule(spark, d):
     ts = views.events(spark, d)
-    return check.failures_not_increased(ts, _neighbours(ts))
+    return check.failures_not_increased(ts, _neighbours(ts)).withColumn("reasons", F.array_join("reasons", ",")).drop("evidence")
 
 
 _TIMEOUT_SIG = "sig AS (SELECT trace_id, CASE WHEN NOT kind_unknown THEN kind || '/' || name END AS sig, count(*) AS n FROM steps WHERE status = 'error' AND error_msg = 'timeout' GROUP BY 1, 2)"
@@ -409,23 +440,60 @@ _TIMEOUT_OPEN = "side AS (SELECT t.trace_id, t.no_record, t.omits OR bool_or(s.s
 )
 def _timeout_rule(spark, d):
     ts = views.events(spark, d)
-    return check.pattern_not_increased(ts, _neighbours(ts), P["timeout"])
+    return check.pattern_not_increased(ts, _neighbours(ts), P["timeout"]).drop("reasons", "evidence")
+
+
+def _count_rule(sig: str, may_hide: str, unknown: str = "false") -> str:
+    """Outcomes of a rule on counts of signatures, as a select of cur, base, outcome, risen. sig: rows of trace_id, sig, n; may_hide: a condition on
+    the steps of a trace, beside gaps."""
+    return f"""(SELECT cur, base, {_DECIDE} AS outcome, risen FROM (
+      SELECT p.cur, p.base, coalesce(r.risen, 0) AS risen, coalesce(r.risen, 0) > 0 OR coalesce(r.more, false) AS rose, c.no_record OR b.no_record AS blocked, c.omits OR coalesce(hc.h, false) AS c_open, b.omits OR coalesce(hb.h, false) AS b_open
+      FROM pairs p JOIN traces c ON c.trace_id = p.cur JOIN traces b ON b.trace_id = p.base
+      LEFT JOIN (SELECT trace_id, bool_or({may_hide}) AS h FROM steps GROUP BY 1) hc ON hc.trace_id = p.cur LEFT JOIN (SELECT trace_id, bool_or({may_hide}) AS h FROM steps GROUP BY 1) hb ON hb.trace_id = p.base
+      LEFT JOIN (SELECT coalesce(x.cur, y.cur) AS cur, coalesce(x.base, y.base) AS base, count(*) FILTER (WHERE coalesce(x.n, 0) > coalesce(y.n, 0)) AS risen, coalesce(sum(x.n), 0) > coalesce(sum(y.n), 0) AS more
+        FROM (SELECT * FROM pairs JOIN {sig} ON trace_id = cur) x FULL JOIN (SELECT * FROM pairs JOIN {sig} ON trace_id = base) y ON x.cur = y.cur AND x.base = y.base AND x.sig = y.sig GROUP BY 1, 2) r ON r.cur = p.cur AND r.base = p.base))"""
+
+
+_AGAIN_WALK = "w1 AS (SELECT trace_id, step_id AS a, step_id AS e, 0 AS d FROM steps s WHERE kind = 'TOOL' UNION SELECT w.trace_id, w.a, x.src, least(d + 1, 2) FROM w1 w JOIN edges x ON x.trace_id = w.trace_id AND x.dst = w.e)"
+_AGAIN = """(SELECT h.trace_id, a.name AS sig, count(*) AS n FROM (SELECT DISTINCT trace_id, a, e FROM w1 WHERE d >= 2) h JOIN steps a ON a.trace_id = h.trace_id AND a.step_id = h.a JOIN steps e ON e.trace_id = h.trace_id AND e.step_id = h.e
+   WHERE e.kind = 'TOOL' AND e.status = 'error' AND a.name = e.name AND NOT a.kind_unknown AND NOT e.kind_unknown GROUP BY 1, 2)"""
+_TOOLS = "(SELECT trace_id, name AS sig, count(*) AS n FROM steps WHERE kind = 'TOOL' AND status = 'error' AND NOT kind_unknown GROUP BY 1, 2)"
+_GATES = "(SELECT e.trace_id, a.name || '/' || g.name AS sig, count(*) AS n FROM edges e JOIN steps a ON a.trace_id = e.trace_id AND a.step_id = e.dst JOIN steps g ON g.trace_id = e.trace_id AND g.step_id = e.src WHERE a.kind = 'AGENT' AND a.status = 'ok' AND g.kind = 'TOOL' AND g.status = 'error' AND starts_with(g.name, 'gate:') AND NOT g.kind_unknown GROUP BY 1, 2)"
+_FAILED = "(SELECT trace_id, kind || '/' || name AS sig, count(*) AS n FROM steps WHERE status = 'error' AND NOT kind_unknown GROUP BY 1, 2)"
 
 
-@query("c08_retry_not_increased")
+@query(
+    "c08_retry_not_increased",
+    _sql(f"SELECT cur AS current, base AS baseline, 'pattern-not-increased:tool-repeat-failure-heuristic' AS rule, outcome, risen FROM {_count_rule(_AGAIN, 'kind_unknown')}", _PAIRS, _AGAIN_WALK, recursive=True),
+)
 def _retry_rule(spark, d):
     ts = views.events(spark, d)
-    return check.pattern_not_increased(ts, _neighbours(ts), P["tool-repeat-failure-heuristic"])
+    return check.pattern_not_increased(ts, _neighbours(ts), P["tool-repeat-failure-heuristic"]).drop("reasons", "evidence")
 
 
 @query(
     "c09_order_topology",
-    _ORDER_SHAPES + """ SELECT 'o' || c.o_orderkey AS current, 'o' || b.o_orderkey AS baseline, 'topology-unchanged' AS rule, 'INSUFFICIENT_EVIDENCE' AS outcome, NULL::BIGINT AS risen FROM orders c JOIN orders b ON b.o_orderkey + 1 = c.o_orderkey""",
+    _ORDER_SHAPES + """ SELECT 'o' || c.o_orderkey AS current, 'o' || b.o_orderkey AS baseline, 'topology-unchanged' AS rule, NULL::BIGINT AS risen,
+     CASE WHEN c.o_orderkey % 7 < 2 OR b.o_orderkey % 7 < 2 THEN 'INSUFFICIENT_EVIDENCE' WHEN sc.shape = sb.shape THEN 'PASS' ELSE 'FAIL' END AS outcome,
+     concat_ws(',', CASE WHEN c.o_orderkey % 7 = 0 THEN 'current:no_capture_record' END, CASE WHEN b.o_orderkey % 7 = 0 THEN 'baseline:no_capture_record' END, CASE WHEN c.o_orderkey % 7 = 1 THEN 'current:omitted_steps' END, CASE WHEN b.o_orderkey % 7 = 1 THEN 'baseline:omitted_steps' END) AS reasons
+     FROM orders c JOIN orders b ON b.o_orderkey + 1 = c.o_orderkey JOIN shapes sc ON sc.trace_id = 'o' || c.o_orderkey JOIN shapes sb ON sb.trace_id = 'o' || b.o_orderkey""",
 )
 def _order_topology(spark, d):
-    """Orders have no capture record, so nothing can be said of them."""
     ts = views.orders(spark, d)
-    return check.topology_unchanged(ts, _neighbours(ts))
+    return check.topology_unchanged(ts, _neighbours(ts)).withColumn("reasons", F.array_join("reasons", ",")).drop("evidence")
+
+
+_WORST = lambda *rules: "SELECT cur AS current, base AS baseline, CASE max(CASE outcome WHEN 'FAIL' THEN 2 WHEN 'PASS' THEN 0 ELSE 1 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PASS' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT * FROM {r}" for r in rules) + ") GROUP BY 1, 2"
+
+
+@query(
+    "c06_pattern_verdicts",
+    _sql(_WORST(_count_rule(_TOOLS, "kind_unknown"), _count_rule(_GATES, "kind_unknown AND starts_with(name, 'gate:')"), _count_rule(_AGAIN, "kind_unknown")), _PAIRS, _AGAIN_WALK, recursive=True),
+)
+def _pattern_verdicts(spark, d):
+    ts = views.events(spark, d)
+    rules = ["pattern-not-increased:tool-failure", "pattern-not-increased:gate-failure-after-success", "pattern-not-increased:tool-repeat-failure-heuristic"]
+    return check.verdict(check.evaluate(ts, _neighbours(ts), rules))
 
 
 @query("c06_check_verdicts")
@@ -451,24 +519,39 @@ def _motifs(spark, d):
     return motifs.groups(views.events(spark, d), P["gate-failure-after-success"])
 
 
-@query("a12_motif_coverage")
+@query(
+    "a12_motif_coverage",
+    _sql("""SELECT count(*) AS n_traces, count(*) FILTER (WHERE sure > 0) AS matched, count(*) FILTER (WHERE omits OR hidden) AS may_hide, count(*) FILTER (WHERE gaps) AS with_gaps, count(*) FILTER (WHERE no_record) AS without_record,
+      CAST(coalesce(sum(unsure), 0) AS BIGINT) AS unconfirmed, count(*) FILTER (WHERE unsure > 0) AS with_unconfirmed FROM traces LEFT JOIN (
+        SELECT e.trace_id, count(*) FILTER (WHERE NOT g.kind_unknown) AS sure, count(*) FILTER (WHERE g.kind_unknown) AS unsure FROM edges e JOIN steps a ON a.trace_id = e.trace_id AND a.step_id = e.dst JOIN steps g ON g.trace_id = e.trace_id AND g.step_id = e.src
+        WHERE a.kind = 'AGENT' AND a.status = 'ok' AND g.kind = 'TOOL' AND g.status = 'error' AND starts_with(g.name, 'gate:') GROUP BY 1) USING (trace_id)
+      JOIN (SELECT trace_id, bool_or(kind_unknown AND starts_with(name, 'gate:')) AS hidden FROM steps GROUP BY 1) USING (trace_id)"""),
+)
 def _coverage(spark, d):
     return motifs.coverage(views.events(spark, d), P["gate-failure-after-success"])
 
 
 @query(
     "c13_review_candidates",
-    _sql("SELECT DISTINCT 'run-' || trace_id AS run_id, 'tool-failure' AS pattern_id, 1 AS pattern_version, name AS tool_key FROM steps WHERE kind = 'TOOL' AND status = 'error' AND starts_with(name, 'gate:')"),
+    _sql("SELECT DISTINCT 'run-' || trace_id AS run_id, 'tool-failure' AS pattern_id, 1 AS pattern_version, 'shop::' || name AS tool_key, true AS has_digest FROM steps WHERE kind = 'TOOL' AND status = 'error'"),
 )
 def _review(spark, d):
     from causeway.schema import TraceSet
 
     ts = views.events(spark, d)
-    named = TraceSet(ts.traces, ts.steps.where("name LIKE 'gate:%'"), ts.edges)
-    return motifs.review_candidates(named, P["tool-failure"], separator=":").drop("digest")
+    qualified = ts.steps.withColumn("name", F.when(F.col("kind") == "TOOL", F.concat(F.lit("shop::"), "name")).otherwise(F.col("name")))
+    found = motifs.review_candidates(TraceSet(ts.traces, qualified, ts.edges), P["tool-failure"])
+    return found.withColumn("has_digest", F.col("digest").rlike("^sha256:[0-9a-f]{64}$")).drop("digest")
 
 
-@query("k06_memo_lines")
+@query(
+    "k06_memo_lines",
+    _sql("""SELECT trace_id, 'run' AS section, 0 AS position, 'Run sha256:' || substr(sha256(trace_id), 1, 16) || ', status ' || status || ', fidelity declared_dag' AS text FROM traces
+      UNION ALL SELECT trace_id, CASE WHEN prim THEN 'candidates' ELSE 'context' END, CAST(row_number() OVER (PARTITION BY trace_id, prim ORDER BY CASE WHEN prim THEN -depth ELSE 0 END, seq, step_id) AS INTEGER), 'step_' || (seq + 1) || '_' || lower(kind) || ': ' || name FROM split
+      UNION ALL SELECT trace_id, 'edges', CAST(row_number() OVER (PARTITION BY trace_id ORDER BY es, cs, effect, cause) AS INTEGER), 'step_' || (es + 1) || '_' || lower(ek) || ' <- step_' || (cs + 1) || '_' || lower(ck) || ' (' || CASE origin WHEN 'graph_parent' THEN 'declared' ELSE 'linked' END || ' cause)' FROM (
+        SELECT DISTINCT b.trace_id, e.src AS effect, e.dst AS cause, e.origin, x.seq AS es, x.kind AS ek, y.seq AS cs, y.kind AS ck FROM back b JOIN split p ON p.trace_id = b.trace_id AND p.step_id = b.target AND prim JOIN edges e ON e.trace_id = b.trace_id AND e.src = b.ancestor
+        JOIN steps x ON x.trace_id = e.trace_id AND x.step_id = e.src JOIN steps y ON y.trace_id = e.trace_id AND y.step_id = e.dst)""", _BACK, _DEPTH, _TAINT, _SPLIT, recursive=True),
+)
 def _memo(spark, d):
     return motifs.memo_lines(views.events(spark, d))
 
@@ -478,7 +561,7 @@ def _safe(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", safe(F.col("source")).alias("source"), safe(F.col("text")).alias("text"), run_alias(F.col("lang")).alias("run"))
 
 
-@query("k07_default_paths", "SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9._-]{0,199}') THEN url || '.json' ELSE 'trace-' || sha256(url) || '.json' END AS path FROM pages")
+@query("k07_default_paths", "SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AND NOT ends_with(url, '.') AND NOT regexp_full_match(upper(split_part(url, '.', 1)), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') THEN url || '.json' ELSE 'trace-' || sha256(url) || '.json' END AS path FROM pages")
 def _paths(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", default_path(F.col("url")).alias("path"))
 
@@ -528,16 +611,43 @@ def _discover(spark, d):
 
 @query("k01_artifact_round_trip", _sql("SELECT trace_id, src, dst, origin FROM edges"))
 def _round_trip(spark, d):
+    from causeway.schema import TraceSet
     from causeway.sources import artifacts
 
-    return projection.causes(artifacts.from_text(artifacts.to_text(views.events(spark, d)).select("value")))
+    ts = views.events(spark, d)
+    # a record of what was captured goes with every trace, as unknown fields ask for
+    kept = ts.traces.withColumn("capture", F.coalesce("capture", F.struct(F.array().cast("array<struct<code: string, count: bigint>>").alias("gaps"))))
+    return projection.causes(artifacts.from_text(artifacts.to_text(TraceSet(kept, ts.steps, ts.edges)).select("value")))
 
 
-@query("k01_artifact_versions", _sql("SELECT trace_id, CASE WHEN NOT no_record OR bool_or(kind_unknown) THEN 7 WHEN bool_or(event_type = 'purchase') THEN 3 ELSE 2 END AS version FROM steps JOIN traces USING (trace_id) GROUP BY trace_id, no_record"))
+@query(
+    "k01_artifact_versions",
+    _sql("""SELECT t.trace_id, CASE WHEN n % 10 = 0 AND has_edges THEN 9 WHEN n % 10 = 1 AND has_edges THEN 8 WHEN n % 10 = 2 OR n % 10 = 0 OR n % 10 = 1 THEN 7 WHEN n % 10 = 3 THEN 6 WHEN n % 10 = 4 THEN 5 WHEN ranked THEN 4 WHEN n % 10 < 7 THEN 3 ELSE 2 END AS version
+      FROM (SELECT trace_id, n, EXISTS (SELECT 1 FROM edges e WHERE e.trace_id = t.trace_id) AS has_edges FROM traces t) t
+      JOIN (SELECT s.trace_id, coalesce(bool_or(p.parent <> x.t), false) AS ranked FROM steps s LEFT JOIN parent p USING (trace_id, step_id) LEFT JOIN (SELECT trace_id, src, arg_min(dst, dst_seq) AS t FROM edges GROUP BY 1, 2) x ON x.trace_id = s.trace_id AND x.src = s.step_id GROUP BY 1) r ON r.trace_id = t.trace_id""", _PARENT),
+)
 def _versions(spark, d):
+    """Traces that use something newer by the last digit of their user: 0 a returning edge, 1 a guessed one, 2 a capture record, 3 a scheduled step, 4 a
+    paused one, 5 and 6 a task step; the others what their own edges need."""
+    from causeway.schema import TraceSet
     from causeway.sources import artifacts
 
-    return artifacts.required_version(views.events(spark, d))
+    ts = views.events(spark, d)
+    n = F.substring("trace_id", 2, 20).cast("long") % 10
+    edges = ts.edges.withColumn("origin", F.when(n == 0, "checkpoint_subgraph_return").when(n == 1, "graph_parent_heuristic").otherwise(F.col("origin")))
+    steps = ts.steps.withColumn("source", F.when(n == 3, "scheduled").when(n == 4, "interrupt").when(n.isin(5, 6), "task").otherwise("loop")).withColumn("unknown_fields", F.array().cast("array<string>"))
+    traces = ts.traces.withColumn("capture", F.when(n <= 2, F.col("capture"))).withColumn("capture", F.when(n <= 2, F.coalesce("capture", F.struct(F.array().cast("array<struct<code: string, count: bigint>>").alias("gaps")))))
+    return artifacts.required_version(TraceSet(traces, steps, edges))
+
+
+@query("k01_artifact_digests", _sql("SELECT trace_id, true AS stable, true AS hex FROM steps GROUP BY 1"))
+def _digests(spark, d):
+    """The digest of a document is that of the same document read back and written again."""
+    from causeway.sources import artifacts
+
+    first = artifacts.to_text(views.events(spark, d), check=False)
+    again = artifacts.to_text(artifacts.from_text(first.select("value"), check=False), check=False).select("trace_id", F.col("digest").alias("again"))
+    return first.join(again, "trace_id").select("trace_id", (F.col("digest") == F.col("again")).alias("stable"), F.col("digest").rlike("^sha256:[0-9a-f]{64}$").alias("hex"))
 
 
 @query(
@@ -554,3 +664,88 @@ def _export(spark, d):
     texts = rows.groupBy("trace_id").agg(F.collect_list(span).alias("spans")).select(F.to_json(F.struct(F.col("trace_id").alias("traceId"), "spans")).alias("value"))
     got = exports.ingest(texts)
     return got.steps.select("trace_id", "step_id", "seq", "kind", "name", "status").join(projection.primary_parents(got).select("trace_id", "step_id", "parent"), ["trace_id", "step_id"], "left")
+
+
+# --- checkpoint histories
+
+_CHECKPOINTS = """
+cp AS (SELECT event_id, user_id, 'u' || user_id AS thread_id, k, seq, event_type = 'error' AS held, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY seq) AS held_before, lag(k) OVER (PARTITION BY user_id ORDER BY seq) AS k_before,
+       seq = max(seq) OVER (PARTITION BY user_id) AS last, 'c' || lpad(seq::VARCHAR, 7, '0') AS sid FROM ev),
+marks AS (SELECT thread_id, sid || '#task:t1' AS mark, sid, seq, 'task' AS source, CASE WHEN k % 12 = 0 THEN 'unset' ELSE 'error' END AS status, CASE WHEN k % 12 <> 0 THEN 'ValueError(''no'')' END AS error_msg FROM cp WHERE k % 6 = 0
+          UNION ALL SELECT thread_id, sid || '#interrupt:t2', sid, seq, 'interrupt', 'unset', NULL FROM cp WHERE last AND user_id % 2 = 0)"""
+
+
+def _checkpointed(spark, d):
+    from causeway.sources import checkpoints
+
+    return checkpoints.ingest(views.checkpoints(spark, d))
+
+
+@query("s12_threads", _sql("SELECT 'u' || user_id AS thread_id, 'c0000000' AS first_checkpoint, count(*) AS n_checkpoints FROM ev GROUP BY user_id"))
+def _threads(spark, d):
+    from causeway.sources import checkpoints
+
+    return checkpoints.discover(views.checkpoints(spark, d))
+
+
+@query(
+    "s11_checkpoint_edges",
+    _sql("""SELECT thread_id AS trace_id, sid AS src, 'c' || lpad((seq - 1)::VARCHAR, 7, '0') AS dst, 'checkpoint_parent' AS origin FROM cp WHERE seq > 0 UNION ALL SELECT thread_id, mark, sid, 'checkpoint_parent' FROM marks""", _CHECKPOINTS),
+)
+def _checkpoint_edges(spark, d):
+    return projection.causes(_checkpointed(spark, d))
+
+
+@query(
+    "s11_checkpoint_steps",
+    _sql("""SELECT thread_id AS trace_id, sid AS step_id, seq - 1 AS seq, CASE WHEN seq = 0 THEN 'input' ELSE 'loop' END AS source, CASE WHEN seq > 0 THEN 'n' || (k_before % 3) END AS name, CASE WHEN held AND NOT coalesce(held_before, false) THEN 'error' ELSE 'ok' END AS status,
+            CASE WHEN held AND NOT coalesce(held_before, false) THEN 'exit_code=' || k END AS error_msg FROM cp UNION ALL SELECT thread_id, mark, seq, source, NULL, status, error_msg FROM marks""", _CHECKPOINTS),
+)
+def _checkpoint_steps(spark, d):
+    return _checkpointed(spark, d).steps.select("trace_id", "step_id", "seq", "source", "name", "status", "error_msg")
+
+
+@query(
+    "a03_checkpoint_counts",
+    _sql("""SELECT thread_id AS trace_id, count(*) AS n_steps, count(*) FILTER (WHERE status = 'error') AS n_errors, count(*) FILTER (WHERE source = 'interrupt') AS n_interrupted FROM (
+            SELECT thread_id, 'loop' AS source, CASE WHEN held AND NOT coalesce(held_before, false) THEN 'error' ELSE 'ok' END AS status FROM cp UNION ALL SELECT thread_id, source, status FROM marks) GROUP BY 1""", _CHECKPOINTS),
+)
+def _checkpoint_counts(spark, d):
+    return metrics.counts(_checkpointed(spark, d)).select("trace_id", "n_steps", "n_errors", "n_interrupted")
+
+
+# --- whole reports
+
+
+@query(
+    "c01_analyze",
+    _sql(f"""SELECT t.trace_id, t.status, t.n_steps AS step_count, coalesce(f.n_errors, 0) AS error_count, coalesce(f.n_primary, 0) AS n_primary, coalesce(f.n_errors - f.n_primary, 0) AS n_propagated, f.first_primary, coalesce(a.n, 0) AS n_behind, coalesce(w.n, 0) AS n_patterns, m.total_tokens,
+      concat_ws(',', CASE WHEN l.lossy THEN 'lossy_tree' END, 'links', CASE WHEN f.n_errors > 0 THEN 'incident' END, CASE WHEN m.total_tokens IS NOT NULL THEN 'partial_metrics' END) AS notes FROM traces t
+      LEFT JOIN (SELECT trace_id, count(*) AS n_errors, count(*) FILTER (WHERE prim) AS n_primary, min_by(step_id, (-depth, seq)) FILTER (WHERE prim) AS first_primary FROM split GROUP BY 1) f ON f.trace_id = t.trace_id
+      LEFT JOIN (SELECT b.trace_id, count(DISTINCT (target, ancestor)) AS n FROM back b JOIN split p ON p.trace_id = b.trace_id AND p.step_id = b.target AND prim WHERE ancestor <> target GROUP BY 1) a ON a.trace_id = t.trace_id
+      LEFT JOIN (SELECT trace_id, count(*) AS n FROM sweep GROUP BY 1) w ON w.trace_id = t.trace_id
+      LEFT JOIN (SELECT trace_id, CAST(sum(CASE WHEN {_COST} THEN k * 4 END) AS BIGINT) AS total_tokens FROM steps GROUP BY 1) m ON m.trace_id = t.trace_id
+      LEFT JOIN (SELECT trace_id, bool_or(n_causes > 1) AS lossy FROM parent GROUP BY 1) l ON l.trace_id = t.trace_id""", _PARENT, _BACK, _DEPTH, _TAINT, _SPLIT, f"sweep AS ({_sweep_sql(patterns.AUTO)})", recursive=True),
+)
+def _analyze(spark, d):
+    from causeway.operators import analysis
+
+    r = analysis.analyze(views.events(spark, d))
+    behind = F.aggregate("primary_failures", F.lit(0), lambda acc, p: acc + F.coalesce(F.size(p["causal_steps"]), F.lit(0))).cast("long")
+    size = lambda c: F.size(c).cast("long")
+    return r.select(
+        "trace_id", "status", "step_count", "error_count", size("primary_failures").alias("n_primary"), size("propagated_failures").alias("n_propagated"), F.get("primary_failures", F.lit(0))["step_id"].alias("first_primary"), behind.alias("n_behind"),
+        size("patterns").alias("n_patterns"), "metrics.total_tokens", F.array_join("notes", ",").alias("notes"),
+    )
+
+
+@query(
+    "a13_pattern_deltas",
+    _sql(f"""SELECT cur AS current, base AS baseline, names.p AS pattern_id, coalesce(c.n, 0) - coalesce(b.n, 0) AS delta FROM pairs CROSS JOIN (SELECT unnest({list(patterns.AUTO)!r}) AS p) names
+      LEFT JOIN (SELECT trace_id, pattern_id, count(*) AS n FROM sweep GROUP BY 1, 2) c ON c.trace_id = cur AND c.pattern_id = names.p LEFT JOIN (SELECT trace_id, pattern_id, count(*) AS n FROM sweep GROUP BY 1, 2) b ON b.trace_id = base AND b.pattern_id = names.p""", _PAIRS, f"sweep AS ({_sweep_sql(patterns.AUTO)})"),
+)
+def _pattern_deltas(spark, d):
+    from causeway.operators import analysis
+
+    ts = views.events(spark, d)
+    return analysis.pattern_deltas(ts, _neighbours(ts))

@@ -99,6 +99,11 @@ def causes(base: DataFrame) -> DataFrame:
     return declared.union(returns).union(again).distinct()
 
 
+def discover(rows: DataFrame) -> DataFrame:
+    """thread_id, first_checkpoint, n_checkpoints: the threads of a history."""
+    return rows.groupBy("thread_id").agg(F.min("checkpoint_id").alias("first_checkpoint"), F.count(F.lit(1)).alias("n_checkpoints"))
+
+
 def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool = True, source_kind: str = "langgraph") -> TraceSet:
     base = _base(rows).checkpoint()  # long expressions: later plans read the result
     repeated = F.when(F.col("again"), F.raise_error(F.concat(F.lit("a checkpoint is there twice: "), F.col("sid"))).cast("string")).otherwise(F.col("sid"))

@@ -80,7 +80,43 @@ def orders(spark: SparkSession, sf_dir: str) -> TraceSet:
     roots = o.select(tid("o_orderkey").alias("trace_id"), F.lit("root").alias("step_id"), F.lit(0).cast("long").alias("seq"), F.lit("AGENT").alias("kind"), F.col("o_orderstatus").alias("name"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("parent"))
     lines = li.join(o.select("o_orderkey"), li["l_orderkey"] == o["o_orderkey"], "left_semi").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("line"))
     leaves = lines.select(tid("l_orderkey").alias("trace_id"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("step_id"), F.col("l_linenumber").cast("long").alias("seq"), F.lit("TOOL").alias("kind"), F.concat("flag", "line").alias("name"), F.when(F.col("flag") == "R", "error").otherwise("ok").alias("status"), F.lit("root").alias("parent"))
-    return _plain(roots.unionByName(leaves), "orders")
+    ts = _plain(roots.unionByName(leaves), "orders")
+    # one order in seven has no capture record, one in seven discloses a gap
+    number = F.substring("trace_id", 2, 20).cast("long")
+    gap = F.array(F.struct(F.lit("otlp.unresolved_span_link").alias("code"), F.lit(1).cast("long").alias("count")))
+    gaps = F.when(number % 7 == 1, gap).otherwise(F.array().cast("array<struct<code: string, count: bigint>>"))
+    return TraceSet(ts.traces.withColumn("capture", F.when(number % 7 != 0, F.struct(gaps.alias("gaps")))), ts.steps, ts.edges)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> TraceSet:
+    """One trace a customer: a forest, with a root for each order and its lines as children."""
+    o, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    tid, sid = F.concat(F.lit("k"), F.col("o_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    roots = o.select(tid.alias("trace_id"), sid.alias("step_id"), (F.col("o_orderkey") * 100).alias("seq"), F.lit("AGENT").alias("kind"), F.col("o_orderstatus").alias("name"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("parent"))
+    lines = li.join(o.select("o_orderkey", "o_custkey"), li["l_orderkey"] == o["o_orderkey"]).groupBy("o_custkey", "o_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("line"))
+    leaves = lines.select(tid.alias("trace_id"), F.concat(sid, F.lit("l"), F.col("l_linenumber").cast("string")).alias("step_id"), (F.col("o_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.lit("TOOL").alias("kind"), F.concat("flag", "line").alias("name"), F.when(F.col("flag") == "R", "error").otherwise("ok").alias("status"), sid.alias("parent"))
+    return _plain(roots.unionByName(leaves), "customers")
+
+
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint history (sources.checkpoints.ROWS) of each user: an event is a checkpoint built from the one before; errors stand in the
+    error channel; one event in 6 has a failed task, one in 12 of them a cancelled one; every second history ends paused."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumns({"seq": F.row_number().over(line) - 1, "last": F.lead("event_id").over(line).isNull()})
+    cid = lambda n: F.concat(F.lit("c"), F.lpad(n.cast("string"), 7, "0"))
+    write = lambda task, channel, value: F.struct(F.lit(task).alias("task_id"), F.lit(channel).alias("channel"), value.cast("string").alias("value"))
+    failed = F.when(F.col("k") % 6 == 0, write("t1", "__error__", F.when(F.col("k") % 12 == 0, "CancelledError()").otherwise("ValueError('no')")))
+    paused = F.when(F.col("last") & (F.col("user_id") % 2 == 0), write("t2", "__interrupt__", F.lit("?")))
+    values = F.map_concat(F.create_map(F.concat(F.lit("branch:to:n"), (F.col("k") % 3).cast("string")), F.lit("1")), F.when(F.col("event_type") == "error", F.create_map(F.lit("error"), F.concat(F.lit("exit_code="), F.col("k").cast("string")))).otherwise(F.create_map().cast("map<string,string>")))
+    rows = e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("thread_id"), F.lit("").alias("checkpoint_ns"), cid(F.col("seq")).alias("checkpoint_id"), F.when(F.col("seq") > 0, cid(F.col("seq") - 1)).alias("parent_checkpoint_id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), F.lit(4).alias("v"), values.alias("channel_values"), F.when(F.col("seq") == 0, "input").otherwise("loop").alias("md_source"), (F.col("seq") - 1).cast("int").alias("md_step"),
+        F.array_compact(F.array(failed, paused)).alias("pending_writes"),
+    )
+    from causeway.sources.checkpoints import ROWS
+
+    return _whole(rows, ROWS)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> TraceSet:
