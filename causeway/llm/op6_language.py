@@ -16,15 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, keep_only, narrow, small_batches
+from .common import column, fresh, keep_only, narrow, small_batches
 
 FEATURES = 4096
-#: Labelled rows a language that centroids are fitted on; the bound of the fit.
-SAMPLE = 250
+#: Labelled rows a language that centroids are fitted on, and all of them at most; with more languages each has fewer. The bounds of the fit.
+SAMPLE, SAMPLE_ALL = 250, 8000
+#: Labels of fewer training rows are no languages, nor are those beyond the most frequent.
+MIN_ROWS, LABELS = 5, 200
 CENTROIDS = 4
 ROUNDS = 12
-#: A text is rejected when its cosine is below this part of what all but 1 in 100 sample rows of its language reach.
-REJECT = 0.35
+#: A text is rejected when its cosine is below this part of what all but 1 in 100 sample rows of about its length (a power of two n-grams)
+#: reach; of lengths that fewer than LENGTH_ROWS sample rows have, below SHORT_REJECT of what all but 1 in 100 reach at any length.
+REJECT, SHORT_REJECT, LENGTH_ROWS = 0.6, 0.35, 20
 #: The label of a text that is null or has no letter.
 NONE = "und"
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -61,35 +64,39 @@ def _vectors(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b["lang"], pa.array([np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in b["text"].to_pylist()], pa.binary())], ["lang", "counts"])
+        yield pa.RecordBatch.from_arrays([b["lang"], pa.array([np.log1p(counts(t)).astype("<f2").tobytes() for t in b["text"].to_pylist()], pa.binary())], ["lang", "logs"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _length(n: np.ndarray) -> np.ndarray:
+    """The power of two of a number of n-grams, 31 at most."""
+    return np.clip(np.log2(np.maximum(n, 1)).astype(int), 0, 31)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
     centroids: np.ndarray
     labels: list[str]
+    #: the least cosine of a text that isn't rejected, by its length (see _length)
     floor: np.ndarray
 
-    def vector(self, texts: list) -> np.ndarray:
-        return _unit(np.log1p(np.stack([counts(t) for t in texts])) * self.idf)
-
     def predict(self, texts: list) -> tuple[list[str], np.ndarray, list[bool]]:
         """Label, cosine (0 to 1), and whether the text is rejected."""
         labels, scores, far = [], np.zeros(len(texts)), []
         for k in range(0, len(texts), 128):
             part = texts[k : k + 128]
-            near = self.vector(part) @ self.centroids.T if self.labels else np.zeros((len(part), 1))
-            best = near.argmax(axis=1)
+            n = np.stack([counts(t) for t in part])
+            near = _unit(np.log1p(n) * self.idf) @ self.centroids.T if self.labels else np.zeros((len(part), 1))
+            best, floor = near.argmax(axis=1), self.floor[_length(n.sum(axis=1))] if self.labels else np.zeros(len(part))
             for i, t in enumerate(part):
                 known = bool(self.labels) and has_letter(t)
                 labels.append(self.labels[best[i]] if known else NONE)
                 scores[k + i] = min(1.0, max(0.0, float(near[i, best[i]]))) if known else 0.0
-                far.append(not known or scores[k + i] < self.floor[best[i]])
+                far.append(not known or scores[k + i] < floor[i])
         return labels, scores, far
 
 
@@ -110,7 +117,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     small_batches(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "lang", "text")
     seen = rows.select("text").mapInArrow(_document_counts, "feature long, texts long").groupBy("feature").agg(F.sum("texts").alias("texts")).collect()
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    frequent = rows.groupBy("lang").count().where(F.col("count") >= MIN_ROWS).orderBy(F.desc("count"), "lang").limit(LABELS)
+    sizes = {r.lang: r["count"] for r in frequent.collect()}
+    sample = min(sample, max(1, SAMPLE_ALL // max(len(sizes), 1)))
     total = max([r.texts for r in seen if r.feature < 0], default=0)
     df = np.zeros(FEATURES)
     for r in seen:
@@ -120,21 +129,30 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     # thin out by hash to about twice the bound before the exact bound, so no language is ranked in one task
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * sample + 50) / n))]) if sizes else None
     if not sizes:
-        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros(0))
+        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros(32))
     hashed = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
-    few = rows.withColumn("h", hashed).where(F.col("h") < share[F.col("lang")] * (1 << 30))
+    few = rows.withColumn("h", hashed).where(F.col("h") < share[F.col("lang")] * (1 << 30))  # no share: no language
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= sample)
     got: dict[str, list] = {}
-    for r in few.select("lang", "text").mapInArrow(_vectors, "lang string, counts binary").collect():
-        got.setdefault(r.lang, []).append(np.frombuffer(r.counts, "<u2"))
-    centroids, labels, floors = [], [], []
+    for r in few.select("lang", "text").mapInArrow(_vectors, "lang string, logs binary").collect():
+        got.setdefault(r.lang, []).append(np.frombuffer(r.logs, "<f2"))
+    centroids, labels, reached, length = [], [], [], []
     for lang in sorted(got):
-        x = _unit(np.log1p(np.stack(got[lang]).astype(np.float32)) * idf)
+        logs = np.stack(got[lang]).astype(np.float32)
+        x = _unit(logs * idf)
         c = _kmeans(x, CENTROIDS)
         centroids.append(c)
         labels += [lang] * len(c)
-        floors += [REJECT * float(np.quantile((x @ c.T).max(axis=1), 0.01))] * len(c)
-    return Model(idf, np.concatenate(centroids).astype(np.float32), labels, np.array(floors))
+        reached.append((x @ c.T).max(axis=1))
+        length.append(_length(np.expm1(logs).sum(axis=1)))
+    reached, length = np.concatenate(reached), np.concatenate(length)
+    floor = np.full(32, SHORT_REJECT * np.quantile(reached, 0.01))
+    for k in range(32):
+        if (length == k).sum() >= LENGTH_ROWS:
+            floor[k] = max(floor[k], REJECT * np.quantile(reached[length == k], 0.01))
+    for k in range(int(length.max()) + 1, 32):  # texts longer than any of the sample
+        floor[k] = floor[k - 1]
+    return Model(idf, np.concatenate(centroids).astype(np.float32), labels, floor)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -173,6 +191,6 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with all columns, that the classifier does not reject."""
     predict = predictor(docs.sparkSession, fit(training_rows(docs), sample))
-    names = docs.columns
-    seen = docs.select(*[column(docs, n) for n in names], predict(column(docs, "text").cast("string"))["rejected"].alias("__rejected"))
-    return seen.where("NOT __rejected").select(*[column(seen, n) for n in names])
+    names, rejected = docs.columns, fresh(docs, "rejected")
+    seen = docs.select(*[column(docs, n) for n in names], predict(column(docs, "text").cast("string"))["rejected"].alias(rejected))
+    return seen.where(~column(seen, rejected)).select(*[column(seen, n) for n in names])
