@@ -25,6 +25,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, as name=type, cast; other columns can't clash with working names."""
     return df.select(*[column(df, n).cast(t).alias(n) for n, t in wanted.items()])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep_only, narrow, small_batches, spread_join, staged
+from .common import column, fresh, keep_only, narrow, small_batches, spread_join, staged
 from .graph import components
 
 CHUNKS, SLOTS, ERRORS = 11, 6, 1
@@ -316,16 +316,18 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = staged(spread_join(every, chosen.drop("copies"), "set_key", chosen.select("set_key", F.col("copies").alias("n"))).select("doc_id", "text_hash", (key == F.col("elected")).alias("kept")))
     gone = rows.where("NOT kept").select("doc_id", "text_hash").distinct()
     again = staged(rows.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+    names, own_id, own_hash, whole = docs.columns, fresh(docs, "id"), fresh(docs, "hash"), fresh(docs, "whole")
+    every = docs.select(*[column(docs, n) for n in names], F.coalesce(column(docs, "doc_id").cast("long"), F.lit(NULL_ID)).alias(own_id), F.xxhash64(column(docs, "text").cast("string")).alias(own_hash))
 
-    def on(table: DataFrame, keys: DataFrame) -> Column:
-        own = F.coalesce(column(table, "doc_id").cast("long"), F.lit(NULL_ID))
-        return (own == keys["__id"]) & (F.xxhash64(column(table, "text").cast("string")) == keys["__hash"])
+    def on(keys: DataFrame) -> Column:
+        return (every[own_id] == keys["doc_id"]) & (every[own_hash] == keys["text_hash"])
 
-    gone, again = gone.toDF("__id", "__hash"), again.toDF("__id", "__hash")
-    kept = docs.join(gone, on(docs, gone), "left_anti")
     if again.isEmpty():
-        return kept
+        kept = every.join(gone, on(gone), "left_anti")
+        return kept.select(*[column(kept, n) for n in names])
     # rows that repeat as they are: one of each by a partial aggregate, so that a frequent one is folded where it lies
-    whole = F.struct(*[column(docs, n) for n in docs.columns]).alias("__row")
-    once = docs.join(again, on(docs, again)).groupBy("__id", "__hash").agg(F.first(whole).alias("__row"))
-    return kept.join(again, on(kept, again), "left_anti").union(once.select(*[F.col("__row")[n].alias(n) for n in docs.columns]))
+    both = gone.union(again)
+    kept = every.join(both, on(both), "left_anti")
+    some = every.join(again, on(again), "left_semi")
+    once = some.groupBy(own_id, own_hash).agg(F.first(F.struct(*[column(some, n) for n in names])).alias(whole))
+    return kept.select(*[column(kept, n) for n in names]).union(once.select(*[F.col(whole)[n].alias(n) for n in names]))

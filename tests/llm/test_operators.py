@@ -597,8 +597,36 @@ def test_exact_dedup(spark, docs):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in local(by_text)) == want
 
 
-def test_merge_index_runs(spark):
-    index = op10_lsm_dedup.MergeIndex(spark)
-    for rows in ([(b"a", 1, 0), (b"b", 5, 1)], [(b"a", 9, 2), (b"c", None, 3)]):
+def test_merge_index_runs(spark, monkeypatch):
+    """Runs of several appends and compactions, with memtables of two entries, digests with zero bytes, and a frequent one."""
+    import hashlib
+
+    monkeypatch.setattr(op10_lsm_dedup, "MEMTABLE_ROWS", 2)
+    index, every = op10_lsm_dedup.MergeIndex(spark), []
+    key = lambda k: b"\0" * 30 + bytes([k, 0]) if k < 4 else hashlib.sha256(bytes([k])).digest()
+    for turn in range(3):
+        rows = [(bytearray(key(k % (5 + turn))), None if k == 3 else 100 * turn + k, 1000 * turn + k) for k in range(12)] + [(bytearray(key(7)), 5, 1000 * turn + 100 + k) for k in range(300)]
         index.append(spark.createDataFrame(rows, "digest binary, doc_id long, row long"))
-    assert sorted((bytes(r.digest), r.keep_id, r.group_size) for r in index.compact().collect()) == [(b"a", 9, 2), (b"b", 5, 1), (b"c", None, 1)]
+        every += [(bytes(d), i, r) for d, i, r in rows]
+        if turn:
+            index.compact()
+    want = {}
+    for d, i, r in every:
+        best, n = want.get(d, ((False, 0, -1), 0))
+        want[d] = (max(best, (i is not None, i or 0, r)), n + 1)
+    assert {bytes(r.digest): ((r.doc_id is not None, r.doc_id or 0, r.row), r.copies) for r in index.entries().collect()} == want
+    asked = spark.createDataFrame([(bytearray(d), i, r) for d, i, r in every], "digest binary, doc_id long, row long")
+    got = sorted((bytes(r.digest), r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in index.lookup(asked).collect())
+    assert got == sorted((d, i or 0, want[d][0][1], want[d][1], want[d][0][2] == r) for d, i, r in every)
+    run = op10_lsm_dedup.Run.of(op10_lsm_dedup._entries([(hashlib.sha256(bytes([k])).digest(), k, k, 1 + k % 2) for k in range(200)]))
+    digests = run.entries["digest"]
+    assert run.may_share(digests)[run.entries["copies"] > 1].all() and run.may_share(digests)[run.entries["copies"] == 1].mean() < 0.1
+
+
+def test_clashing_names(spark):
+    """Tables whose columns have the operators' working names."""
+    rows = [(k, f"the text of row {k // 2} and some more words", "en", "web") for k in range(40)]
+    odd = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7) for r in rows], "doc_id long, text string, lang string, source string, id int, digest int, rejected int, hash int, whole int, __hot int, __salt int")
+    for fn, n in ((op10_lsm_dedup.keep_one_of_each, 20), (op8_near_dedup.keep_one_of_each, 20), (op6_language.keep_identified, 40)):
+        kept = fn(odd)
+        assert kept.columns == odd.columns and kept.count() == n
