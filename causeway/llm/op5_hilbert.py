@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Several metadata dimensions are quantised to BITS bits each (numbers by their quantiles, strings by
-hash), the curve index of the cell orders the documents, and runs of that order are cut into shards, so
+Several metadata dimensions are quantised to BITS bits each, in order: numbers by their quantiles, strings by the
+quantiles of their first six bytes as a number. The curve index of the cell orders the documents, and runs of that order are cut into shards, so
 each shard (and each file of it) covers a compact box of the metadata and can be skipped by its
 column statistics. The order is total, so shard sizes are exact: the law is ``rows``.
 """
@@ -42,25 +42,38 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.transform(F.array(turned), lambda o: F.aggregate(places, F.lit(0).cast("long"), lambda acc, p: acc * 2 + bit(o, p)))[0]
 
 
+def ordered(df: DataFrame, dim: str) -> Column:
+    """A dimension as a number in its own order; a string by its first six bytes, which a double holds exactly."""
+    if dict(df.dtypes)[dim] != "string":
+        return F.col(dim).cast("double")
+    head = F.rpad(F.hex(F.substring(F.col(dim).cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """Each dimension as 0 to 2**bits - 1; null is 0. Quantiles are taken over all rows."""
-    top, kinds, out = 1 << bits, dict(df.dtypes), []
-    numbers = [d for d in dims if kinds[d] != "string"]
-    cuts = {}
-    if numbers:  # 2**bits - 1 numbers a dimension
-        at = F.array(*[F.lit(k / top) for k in range(1, top)])
-        row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), at, 10_000).alias(d) for d in numbers]).first()
-        cuts = {d: row[d] or [] for d in numbers}
+    """Each dimension as 0 to 2**bits - 1, in its order; null is 0. Quantiles are taken over all rows; a dimension of few values is
+    spread over all cells, so that it counts in the curve's first bits as others do."""
+    top, out = 1 << bits, []
+    at = F.array(*[F.lit(k / top) for k in range(1, top)])
+    cuts = df.agg(*[F.percentile_approx(ordered(df, d), at, 10_000).alias(d) for d in dims]).first()  # 2**bits - 1 numbers a dimension
     for d in dims:
-        if d in cuts:
-            bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts[d]))]).cast("array<double>")
-            cell = F.size(F.filter(bounds, lambda c: c < F.col(d).cast("double")))
-        else:
-            cell = F.pmod(F.xxhash64(d), F.lit(top)).cast("int")
+        bounds = sorted(set(cuts[d] or []))
+        below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in bounds]).cast("array<double>"), lambda c: c < ordered(df, d)))
+        cell = F.floor(below * (top - 1) / max(len(bounds), 1)).cast("int")
         out.append(F.coalesce(F.when(F.col(d).isNotNull(), cell), F.lit(0)))
     return out
 
 
+def skipped(sharded: DataFrame, dims: list[str]) -> DataFrame:
+    """sharded: shard and the dimensions -> dim, share: how many of the shards a lookup of one row's value can skip by the shards' smallest
+    and largest values, over all rows."""
+    rows = sharded.select("shard", *[ordered(sharded, d).alias(d) for d in dims])
+    boxes = rows.groupBy("shard").agg(*[f(d).alias(f"{d}_{n}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()  # one row a shard
+    out_of = lambda d: sum((F.when((F.col(d) < b[f"{d}_lo"]) | (F.col(d) > b[f"{d}_hi"]), 1).otherwise(0) if b[f"{d}_lo"] is not None else F.lit(1) for b in boxes), F.lit(0)) / max(len(boxes), 1)
+    each = rows.agg(*[F.avg(F.when(F.col(d).isNotNull(), out_of(d))).alias(d) for d in dims])
+    return each.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("share")) for d in dims])).alias("x")).select("x.*")
+
+
 def _placed(docs: DataFrame, dims: tuple[str, ...], shards: int, bits: int, carry: bool = False) -> DataFrame:
     """Every row of ``docs`` with its place; carry: with all its columns as ``__row``, and rows that repeat told apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
