@@ -1,9 +1,9 @@
 """WARC writing with revisit resolution.
 
-Headers (digest, page_id) are folded by payload digest before they are shuffled; each digest's
-smallest page_id is the original response. Pages join that table on the digest (a plain equi-join,
-so Spark can split a hot digest), and tasks write gzip archives with fresh headers: responses with
-their payload, revisits without.
+Headers (payload digest, page_id, url) are shuffled by payload digest, without their payloads; each digest's smallest page_id
+is the original response, and the records of other pages with that digest are joined to it as revisits, a frequent digest's
+dealt over tasks. The pages then meet those decisions by page and digest, and tasks write gzip archives with fresh
+headers: responses with their payload, revisits without. Payloads count as equal when their SHA-1 digests are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, read_blobs, shared_dir, small_batches, staged, write_blob
+from .common import narrow, read_blobs, shared_dir, small_batches, spread_join, staged, write_blob
 
 FILE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -35,20 +35,23 @@ def base32_sha1(payload) -> F.Column:
     return F.concat(*letters)
 
 
-def record(row: dict, date: str) -> bytes:
-    """One WARC/1.1 record, CRLF lines, two CRLFs at its end."""
-    name = lambda page: uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}")
-    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", row["url"] or "urn:unknown")
+def _uri(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:unknown")
+
+
+def record(row: dict, date: str, name: uuid.UUID) -> bytes:
+    """One WARC/1.1 record, CRLF lines, two CRLFs at its end. name: an id of its own. A revisit names the original by target and date, and
+    by page; record ids are only known once written, so none is guessed."""
     revisit = row["record_type"] == "revisit"
     block = _HTTP % row["payload_bytes"] + (b"" if revisit else row["payload"])
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{name(row['page_id'])}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(row['url'])}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if row["page_id"] is not None:
         head.append(f"X-Page-Id: {row['page_id']}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{name(row['refers_to'])}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_uri(row['origin_url'])}", f"WARC-Refers-To-Date: {date}"]
         if row["refers_to"] is not None:
             head.append(f"X-Refers-To-Page-Id: {row['refers_to']}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -72,20 +75,23 @@ def records(blob: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Each page with payload_bytes, payload_digest, record_type and refers_to; payload only for responses.
+    """Each page with payload_bytes, payload_digest, record_type, refers_to and origin_url; payload only for responses.
     Of equal payloads of min_bytes or more the smallest page_id responds (a null page_id is smallest; rows
     that repeat it respond too); null html is an empty payload."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = narrow(pages, page_id="long", url="string", html="string").select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    first = F.min(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id"))
-    origin = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(first.alias("first"))
-    origin = origin.select(F.col("payload_digest").alias("origin_digest"), F.col("first.page_id").alias("origin_id"))
-    joined = rows.join(origin, rows["payload_digest"] == origin["origin_digest"], "left")
-    revisit = F.col("origin_digest").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("origin_id"))
+    headers = staged(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_digest"))
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "url"))
+    origins = staged(headers.groupBy("payload_digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = spread_join(headers.select("page_id", "payload_digest"), origins.select("payload_digest", "first"), "payload_digest", origins)
+    # a page_id that isn't the smallest one is never null
+    again = met.where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), F.col("first.page_id").alias("origin_id"), F.col("first.url").alias("origin_url")).distinct()
+    joined = rows.join(again, (rows["page_id"] == again["again_id"]) & (rows["payload_digest"] == again["again_digest"]), "left")
+    revisit = F.col("again_id").isNotNull()
     return joined.select(
         "page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("origin_id")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"),
+        F.when(revisit, F.col("origin_id")).alias("refers_to"), F.when(revisit, F.col("origin_url")).alias("origin_url"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
@@ -96,7 +102,7 @@ def write_archives(resolved: DataFrame, folder: str, date: str = "2024-01-01T00:
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        part, out, parts, size = TaskContext.get().partitionId(), [], [], 0
+        part, out, parts, size, run, count = TaskContext.get().partitionId(), [], [], 0, uuid.uuid4(), 0
 
         def close() -> None:
             nonlocal parts, size
@@ -105,8 +111,8 @@ def write_archives(resolved: DataFrame, folder: str, date: str = "2024-01-01T00:
 
         for b in batches:
             for row in b.to_pylist():
-                z = zlib.compressobj(3, zlib.DEFLATED, 31)
-                parts.append(z.compress(record(row, date)) + z.flush())
+                z, count = zlib.compressobj(3, zlib.DEFLATED, 31), count + 1
+                parts.append(z.compress(record(row, date, uuid.uuid5(run, str(count)))) + z.flush())
                 size += len(parts[-1])
                 if size >= FILE_BYTES:
                     close()
@@ -118,13 +124,13 @@ def write_archives(resolved: DataFrame, folder: str, date: str = "2024-01-01T00:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url. A response's size
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id. A response's size
     and digest are taken from the payload read back; one that doesn't match its header is an error."""
 
     def parse(blob: bytes) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
+        kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string())])
         rows = []
         for fields, block in records(blob):
             head, _, payload = block.partition(b"\r\n\r\n")
@@ -133,10 +139,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size:
                     raise ValueError("payload and header differ")
             page, to = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
-            rows.append({"page_id": page and int(page), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": to and int(to), "url": fields["WARC-Target-URI"]})
+            rows.append({"page_id": page and int(page), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": to and int(to), "url": fields["WARC-Target-URI"], "record_id": fields["WARC-Record-ID"]})
         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return read_blobs(manifest.select("path"), parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return read_blobs(manifest.select("path"), parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
 
 
 def warc(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:

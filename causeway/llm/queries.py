@@ -22,7 +22,7 @@ def op2(spark, d):
 
 
 def op3(spark, d):
-    return op3_warc.warc(read_table(spark, d, "pages")).drop("url")
+    return op3_warc.warc(read_table(spark, d, "pages")).drop("url", "record_id")
 
 
 def op4(spark, d):

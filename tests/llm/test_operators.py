@@ -128,6 +128,9 @@ def test_warc(spark):
     assert (got[1]["record_type"], got[2]["refers_to"], got[1]["payload_bytes"]) == ("response", 1, 0)
     assert got[1]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert (got[None]["record_type"], got[4]["record_type"], got[4]["payload_bytes"]) == ("response", "revisit", 2)
+    # rows that repeat and null page_ids have records of their own
+    twice = local(op3_warc.warc(spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (None, "v", "y"), (None, "w", "y"), (2, "z", "x"), (3, "z", "y")], "page_id long, url string, html string")))
+    assert len({r["record_id"] for r in twice}) == 6 and sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in twice) == [("1", "response", "None")] * 2 + [("2", "revisit", "1"), ("3", "revisit", "None")] + [("None", "response", "None")] * 2
     small = op3_warc.warc(spark.createDataFrame(rows[:3], "page_id long, url string, html string"), min_bytes=1000)
     assert {r.record_type for r in small.collect()} == {"response"}
     assert op3_warc.warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -328,6 +331,36 @@ def test_written_shards(spark, tmp_path):
         op5_hilbert.write_shards(table(spark, rows), f"{tmp_path}/other")
 
 
+def test_shards_equal_brute_force_and_prune(spark, tmp_path):
+    """Shards and slots from the curve's order recomputed row by row; written shards rule out more shards than rows dealt by hash do."""
+    rng = random.Random(17)
+    rows = [(k, prose(rng, rng.randrange(1, 200)), rng.choice(["de", "en", "es", "fr"]), rng.choice(["web", "wiki", "forum", "news", "code"])) for k in range(600)] + [(7, None, None, None)] * 3
+    docs, bits = table(spark, rows).drop("shard"), op5_hilbert.BITS
+    got = local(op5_hilbert.shard(docs))
+    size = lambda r: len((r[1] or "").encode()) + 1
+    number = lambda v: None if v is None else int.from_bytes(v.encode()[:6].ljust(6, b"\0"), "big") if isinstance(v, str) else v
+    dims = [[number(v) for v in c] for c in ([size(r) for r in rows], [r[2] for r in rows], [r[3] for r in rows])]
+    cells = []
+    for column in dims:
+        known = sorted(v for v in column if v is not None)
+        cuts = sorted({known[max(0, -(-k * len(known) // 32) - 1)] for k in range(1, 32)})
+        cells.append([0 if v is None else sum(c < v for c in cuts) * 31 // len(cuts) for v in column])
+    curve = {}
+    for r, *cell in zip(rows, *cells):
+        curve.setdefault(r[0], hilbert_brute(cell, bits) if r[1] is not None else None)
+    exact = sum(r["curve"] == curve[r["doc_id"]] for r in got if r["doc_id"] != 7)
+    assert exact == len(got) - 4
+    line = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in line] == sorted(r["curve"] for r in got)
+    n = len(rows)
+    assert [(r["shard"], r["slot"]) for r in line] == [(k * 8 // n, k - -(-(k * 8 // n) * n // 8)) for k in range(n)]
+    op5_hilbert.write_shards(docs, f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s").withColumn("length", F.length("text"))
+    share = {r["dim"]: r["share"] for r in local(op5_hilbert.skipped(back, ["length", "lang", "source"]))}
+    dealt = {r["dim"]: r["share"] for r in local(op5_hilbert.skipped(back.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))), ["length", "lang", "source"]))}
+    assert all(share[d] > dealt[d] for d in share) and sum(share.values()) > 0.9 and sum(dealt.values()) < 0.2
+
+
 def test_language(spark):
     rng = random.Random(5)
     parts = {"en": ["the", "ing", "and", "tion", "wh"], "de": ["sch", "ung", "der", "ß", "ein"], "fr": ["eau", "é", "le", "que", "oi"]}
