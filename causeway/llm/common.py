@@ -48,6 +48,35 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+#: Up to so many hashes of the smaller side of a join a bitmap of their low bits goes to the tasks of the other side (16 bits a hash), so that
+#: most rows without a partner aren't shuffled; beyond that all are, and the join alone decides. Results are the same.
+FILTER_HASHES = 4_000_000
+
+
+def bitmap_of(df: DataFrame, name: str):
+    """The low bits of a column of 64-bit hashes, or None for more than FILTER_HASHES rows. Tasks make bitmaps of their rows, which are merged."""
+    import numpy as np
+
+    n = df.count()
+    if n > FILTER_HASHES:
+        return None
+    size = max(1 << 10, 1 << (2 * n).bit_length())
+
+    def mark(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            low = np.asarray(b[name]).astype(np.uint64) & np.uint64(size * 8 - 1)
+            np.bitwise_or.at(bits, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    for r in df.select(name).coalesce(4).mapInArrow(mark, "bits binary").collect():  # four bitmaps at most
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 #: A key is frequent from this part of all rows on, so there are no more frequent keys than that; their rows go to so many tasks.
 HOT_SHARE, HOT_ROWS, SALTS = 1000, 100, 64
 

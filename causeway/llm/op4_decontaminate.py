@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep_only, narrow, small_batches, staged
+from .common import bitmap_of, column, keep_only, narrow, small_batches, staged
 
 WINDOW = 8
 MIN_COVER = 0.5
@@ -32,9 +32,6 @@ MIN_WORDS = 3
 MIN_LITERAL = 3
 #: Words in a row, the same on both sides, that contaminate however long the item is.
 LONG_RUN = 30
-#: Up to so many benchmark windows a bitmap of them goes to the tasks (16 bits a window), so that other
-#: document windows aren't shuffled; beyond that all are, and the join alone decides.
-FILTER_WINDOWS = 4_000_000
 UNITS = {
     "mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "mg", "g", "kg", "gram", "grams",
     "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "second", "seconds", "minute", "minutes",
@@ -194,36 +191,13 @@ def _agree(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *columns], [*names, "places", "run", "reparameterised"])
 
 
-def _bitmap(bench: DataFrame) -> np.ndarray | None:
-    """The low bits of all benchmark windows, or None for more than FILTER_WINDOWS. Tasks make bitmaps of their rows, which are merged."""
-    n = bench.count()
-    if n > FILTER_WINDOWS:
-        return None
-    size = max(1 << 10, 1 << (2 * n).bit_length())
-
-    def mark(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        bits = np.zeros(size, np.uint8)
-        for b in batches:
-            low = np.asarray(b["window"]).astype(np.uint64) & np.uint64(size * 8 - 1)
-            np.bitwise_or.at(bits, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
-
-    few = bench.select("window").coalesce(4).mapInArrow(mark, "bits binary").collect()  # four bitmaps at most
-    out = np.zeros(size, np.uint8)
-    for r in few:
-        out |= np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     bench = staged(_rows(benchmark, "item_id").mapInArrow(_emit(True, [], None), _ROWS)).toDF("item", "item_id", "item_hash", "window", "item_at", "item_slots")
     totals = bench.groupBy("item").agg(F.count_distinct("item_at").alias("item_windows"))
     sizes = [r.size for r in _rows(benchmark, "item_id").mapInArrow(_lengths, "size int").distinct().collect()]  # WINDOW values at most
-    found = _rows(docs, "doc_id").mapInArrow(_emit(False, sorted(sizes), _bitmap(bench)), _ROWS)
+    found = _rows(docs, "doc_id").mapInArrow(_emit(False, sorted(sizes), bitmap_of(bench, "window")), _ROWS)
     hit = F.struct((F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_slots", "slots")
     aligned = found.join(bench, "window").groupBy("row", "doc_id", "text_hash", "item", "item_id").agg(F.collect_list(hit).alias("hits"))
     agreed = aligned.mapInArrow(_agree, "row long, doc_id long, text_hash long, item long, item_id long, places array<long>, run long, reparameterised boolean")

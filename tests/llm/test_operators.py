@@ -200,18 +200,22 @@ def decontamination_brute(rows, items, counts=False):
     def places(ws, size):
         return [(i, key, slots) for i in range(len(ws) - size + 1) for key, slots in forms(ws[i : i + size])]
 
-    result = {}
+    result, read_docs, seen = {}, [(d, read(t)) for d, t in rows], {}
     for item_id, text in items:
         iw = read(text)
         if not iw:
             continue
         size = min(m.WINDOW, len(iw))
         known = places(iw, size) if size >= m.MIN_WORDS else places(iw, size)[:1]
-        for doc_id, doc in rows:
-            dw = read(doc)
+        at = {}
+        for j, key, slots in known:
+            at.setdefault(key[1:], []).append((j, slots))
+        for n, (doc_id, dw) in enumerate(read_docs):
             if size < m.MIN_WORDS and len(dw) != size:
                 continue
-            hits = [(i - j, j, js, ds) for i, dk, ds in places(dw, size) for j, ik, js in known if dk[1:] == ik[1:] and (size >= m.MIN_WORDS or dk[0] == "p")]
+            if (n, size) not in seen:
+                seen[n, size] = places(dw, size)
+            hits = [(i - j, j, js, ds) for i, dk, ds in seen[n, size] for j, js in at.get(dk[1:], ()) if size >= m.MIN_WORDS or dk[0] == "p"]
             votes = Counter(p for p in {(d, j, x, y) for d, j, js, ds in hits for x, y in zip(js, ds)})
             votes = Counter((x, y) for _, _, x, y in votes)
             best = {}
@@ -386,6 +390,31 @@ def license_brute(text):
     return len(ws), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_cover(template, text):
+    """The best share of a template's 4-grams that a run of near diagonals has in order, by plain comparison of words."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    want, have = find(template), find(text)
+    k = min(op7_license.LONG, len(want))
+    grams = [want[i : i + k] for i in range(len(want) - k + 1)]
+    hits = sorted((i - j, i, j) for i in range(len(have) - k + 1) for j, g in enumerate(grams) if have[i : i + k] == g)
+    best, span, last = 0, [], None
+    for d, i, j in [*hits, (None, 0, 0)]:
+        if last is not None and (d is None or d - last > op7_license.NEAR):
+            chain = {}
+            for x, y in sorted((x, y) for _, x, y in span):
+                chain[x, y] = 1 + max((n for (a, b), n in chain.items() if a < x and b < y), default=0)
+            best, span = max(best, max(chain.values())), []
+        span.append((d, i, j))
+        last = d
+    return best / len(grams)
+
+
+def license_labels(text):
+    found = {label: c for label, t in op7_license.TEXTS.items() if (c := license_cover(t, text)) >= op7_license.COVER}
+    base = [x for x in license_brute(text)[4].split(",") if x]
+    return ",".join(sorted({*found, *base})), round(max([*found.values(), *[1.0] * bool(base)], default=0.0), 9)
+
+
 def test_licenses(spark):
     mit = op7_license.TEXTS["mit-text"]
     rows = [(1, None), (2, ""), (3, "CC BY CC-BY cc by-nc"), (4, "Under the GNU General\n(Public) License; gnu general public licenses"), (5, "apache license " * 50 + "mit license"), (6, "intro " + mit.replace("free of charge", "wholly free of charge").upper()),
@@ -394,6 +423,11 @@ def test_licenses(spark):
     want = sorted((str(d), *license_brute(t)) for d, t in rows)
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
     labels = {r["doc_id"]: r["labels"] for r in got}
+    assert sorted((str(r["doc_id"]), r["labels"], round(r["score"], 9)) for r in got) == sorted((str(d), *license_labels(t)) for d, t in rows)
+    # the same words in another order vote for the same diagonals' neighbours, but are no text
+    few = spark.createDataFrame([("own", "one two three four five six seven eight nine ten", False), ("none", "", False), ("short", "solo", False)], "label string, text string, base boolean")
+    some = [(1, "zero one two three four five and six seven eight nine ten"), (2, "seven eight nine ten one two three four five six"), (3, "a solo b"), (4, "one two three four five six seven eight nine")]
+    assert {r["doc_id"]: r["labels"] for r in local(op7_license.licenses(table(spark, some), few))} == {1: "own" if license_cover("one two three four five six seven eight nine ten", some[0][1]) >= 0.7 else "", 2: "", 3: "short", 4: "own"}
     assert labels[6] == "mit-text" and labels[7] == "apache,apache-2.0" and labels[9] == ""
     assert op7_license.licenses(table(spark, rows).limit(0)).count() == 0
 
