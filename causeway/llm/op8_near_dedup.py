@@ -7,8 +7,8 @@ bucket. (Beyond that distance they still meet with high probability: at similari
 about 100,000 does not.) Equal shingle sets are one class from the start. Members of a bucket are compared
 with a hub, its smallest member, not with each other. Those within FAR slots of it are tied to it. Whatever
 is LIMIT or nearer to a member that is NEAR or nearer to the hub is tied to the hub itself, as distances add up
-(NEAR + LIMIT = FAR), so only members further off than NEAR stay in the bucket, for new hubs among themselves, until
-none is left: all pairs up to LIMIT end in one cluster. Links are then confirmed on full shingle sets within a
+(NEAR + LIMIT = FAR), so only members further off than NEAR stay in the bucket. After HUBS turns with new hubs, what still
+stays is compared within its bucket, in blocks: all pairs up to LIMIT end in one cluster. Links are then confirmed on full shingle sets within a
 cluster, in blocks of bounded size: all pairs of a block, and of it with a few pivots, that aren't joined yet,
 then all members outside the cluster's largest component against every block.
 """
@@ -32,8 +32,8 @@ LIMIT = CHUNKS * (ERRORS + 1) - 1
 #: A member that differs from a bucket's hub in more slots is not tied to it: unrelated texts differ in more.
 FAR = 46
 NEAR = FAR - LIMIT
-#: Hubs that a bucket's rest gets at once, about, after the first rounds, so that few rounds remain.
-HUBS, SINGLE = 16, 3
+#: Hubs that a bucket gets one after the other; then blocks of so many of the members that still stay are compared.
+HUBS, MEMBERS = 3, 2048
 #: Shingles of a block of a cluster, about.
 BLOCK = 100_000
 #: Members that every block of a large cluster also gets, so that what is like them is joined across blocks at once.
@@ -118,32 +118,63 @@ def _distances(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((one != two).sum(axis=1), pa.int32())], ["a", "b", "d"])
 
 
+def _close(batches: Iterator) -> Iterator:
+    """Members of buckets, sorted by bucket and pair of blocks -> links that join all that differ in LIMIT slots or fewer."""
+    import pyarrow as pa
+
+    def links(rows: list) -> tuple[list, list]:
+        held = {c: (first, s) for c, first, s in rows}  # a block with itself comes once
+        ids = list(held)
+        sig = np.frombuffer(b"".join(s for _, s in held.values()), np.uint8).reshape(-1, SIGNATURE)
+        own, group, one, two = np.array([f for f, _ in held.values()]), np.arange(len(ids)), [], []
+        for i in np.flatnonzero(own):
+            near = np.flatnonzero(((sig != sig[i]).sum(axis=1) <= LIMIT) & (group != group[i]))
+            for g, j in {int(group[j]): int(j) for j in near}.items():
+                one.append(ids[i])
+                two.append(ids[j])
+                group[group == g] = group[i]
+        return one, two
+
+    now, rows, out = None, [], ([], [])
+    for b in batches:
+        for unit, *row in zip(*(b[c].to_pylist() for c in ("unit", "class", "first", "signature"))):
+            if unit != now:
+                if len(rows) > 1:
+                    for have, more in zip(out, links(rows)):
+                        have.extend(more)
+                now, rows = unit, []
+            rows.append(row)
+    if len(rows) > 1:
+        for have, more in zip(out, links(rows)):
+            have.extend(more)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+
 def _tied(keys: DataFrame, sig: DataFrame) -> DataFrame:
-    """keys (key, class) -> a, b: classes that are FAR or nearer to a hub of a bucket that they share."""
+    """keys (key, class) -> a, b: classes that are FAR or nearer to a hub of a bucket that they share, or LIMIT or nearer to each other."""
     count = F.count(F.lit(1)).alias("members")
-    hubs = keys.groupBy("key").agg(F.min("class").alias("hub"), count).where("members > 1").drop("members")
-    # the first hub by an aggregate, so that no bucket is gathered
-    met = staged(keys.join(hubs, "key").where("class != hub"))
-    ties, turn = None, 0
-    while not met.isEmpty():
+    ties, rest = None, keys
+    for turn in range(HUBS):
+        # the first hub is the smallest member, so that near copies share it in all buckets; others are drawn
+        hub = F.min("class") if turn == 0 else F.min_by("class", F.xxhash64("class", F.lit(turn)))
+        hubs = rest.groupBy("key").agg(hub.alias("hub"), count).where("members > 1").drop("members")
+        met = staged(rest.join(hubs, "key").where("class != hub"))
         pairs = met.select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
         known = staged(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_distances, "a long, b long, d int"))
         own = known.where(F.col("d") <= FAR).select("a", "b")
-        ties, turn = own if ties is None else ties.union(own), turn + 1
-        # a member stays while it is further than NEAR from all hubs of this turn
-        judged = met.join(known.toDF("class", "hub", "d"), ["class", "hub"])
-        rest = judged.groupBy("key", "class").agg(F.min("d").alias("d")).where(F.col("d") > NEAR).select("key", "class")
-        if turn > 1:  # hubs themselves are done with
-            rest = rest.join(met.select("key", F.col("hub").alias("class")).distinct(), ["key", "class"], "left_anti")
-        rest = staged(rest)
-        sizes = rest.groupBy("key").agg(F.min("class").alias("least"), count).where("members > 1")
-        within = rest.join(sizes, "key")
-        chosen = F.col("class") == F.col("least")
-        if turn >= SINGLE:
-            chosen = chosen | (F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("members") / F.greatest(F.lit(HUBS), F.col("members") / 8))) == 0)
-        hubs = within.where(chosen).select("key", F.col("class").alias("hub"))
-        met = staged(rest.join(hubs, "key").where("class != hub"))
-    return ties if ties is not None else sig.select(F.col("class").alias("a"), F.col("class").alias("b")).where("false")
+        ties = own if ties is None else ties.union(own)
+        far = known.where(F.col("d") > NEAR).select(F.col("a").alias("class"), F.col("b").alias("hub"))
+        rest = staged(met.join(far, ["class", "hub"], "left_semi").select("key", "class"))
+        if rest.isEmpty():
+            return ties
+    blocks = rest.groupBy("key").agg(F.ceil(count / MEMBERS).cast("int").alias("blocks"), count).where("members > 1").drop("members")
+    dealt = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    # a member goes to each pair of its block with another; the pair's smaller block asks, the other one answers
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    units = dealt.withColumn("to", to).select(F.xxhash64("key", F.least("block", "to"), F.greatest("block", "to")).alias("unit"), "class", (F.col("block") <= F.col("to")).alias("first"))
+    parts = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.join(sig, "class").repartition(parts, "unit").sortWithinPartitions("unit")
+    return ties.union(staged(rows.select("unit", "class", "first", "signature").mapInArrow(_close, "a long, b long")))
 
 
 def confirmed(ids: list[int], sets: list[np.ndarray], comp: list[int], query: list[bool], percent: int) -> list[tuple[int, int]]:
