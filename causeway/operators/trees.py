@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.labels import label
@@ -27,7 +27,8 @@ def _over_trees(rows: DataFrame, fn, ddl: str) -> DataFrame:
     """fn(trace_id, steps): steps are dicts in (seq, id) order; parents come before children. One shuffle by trace."""
     ship(rows.sparkSession)
     kinds = struct(ddl)
-    cols = ["trace_id", "step_id", "seq", "kind", "name", "status", "parent", "occurrence"]
+    cols = ["trace_id", "step_id", "seq", "kind", "name", "parent", "occurrence", "label"]
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.lit(""))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -78,9 +79,9 @@ def logical_keys(ts: TraceSet) -> DataFrame:
     return _over_trees(nodes(ts), run, "trace_id string, step_id string, key string, level int")
 
 
-def canonical(ts: TraceSet, shape_only: bool = False) -> DataFrame:
+def canonical(ts: TraceSet, shape_only: bool = False, by: Column | None = None) -> DataFrame:
     """trace_id, step_id, parent, canon, size, place, level: the form of each step's subtree, equal for subtrees that are equal but for the
-    order of children: SHA-256 of its label (shape_only: none) and its children's sorted forms, bottom up; the steps in it; its
+    order of children: SHA-256 of its label (by: a column of kind, name and status instead of the name, else kind; shape_only: none) and its children's sorted forms, bottom up; the steps in it; its
     place when a step comes before its children, children by (seq, id), so a subtree is the ``size`` places from ``place`` on; its level."""
 
     def run(trace: str, steps: list[dict]) -> Iterator[tuple]:
@@ -88,8 +89,7 @@ def canonical(ts: TraceSet, shape_only: bool = False) -> DataFrame:
         form, size = {}, {}
         for s in reversed(steps):  # children come after their parents
             sid = s["step_id"]
-            text = "" if shape_only else s["name"] or s["kind"]
-            form[sid] = _hash(text, *sorted(forms.pop(sid, [])))
+            form[sid] = _hash(s["label"], *sorted(forms.pop(sid, [])))
             size[sid] = size.get(sid, 0) + 1
             forms.setdefault(s["parent"], []).append(form[sid])
             size[s["parent"]] = size.get(s["parent"], 0) + size[sid]
@@ -100,12 +100,13 @@ def canonical(ts: TraceSet, shape_only: bool = False) -> DataFrame:
             free[parent], free[sid] = place + size[sid], place + 1
             yield trace, sid, parent, form[sid], size[sid], place, level[sid]
 
-    return _over_trees(nodes(ts), run, "trace_id string, step_id string, parent string, canon string, size int, place int, level int")
+    text = F.lit("") if shape_only else by if by is not None else label(F.col("name"), F.col("kind"))
+    return _over_trees(nodes(ts).withColumn("label", text), run, "trace_id string, step_id string, parent string, canon string, size int, place int, level int")
 
 
-def shapes(ts: TraceSet, shape_only: bool = False) -> DataFrame:
+def shapes(ts: TraceSet, shape_only: bool = False, by: Column | None = None) -> DataFrame:
     """trace_id, shape: equal exactly for traces whose forests are isomorphic."""
-    roots = canonical(ts, shape_only).where("parent IS NULL")
+    roots = canonical(ts, shape_only, by).where("parent IS NULL")
     return roots.groupBy("trace_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("canon")), ","), 256).alias("shape"))
 
 

@@ -17,9 +17,10 @@ from causeway.functions.labels import label
 from causeway.plans.projection import causes
 from causeway.plans.walk import gap_pairs
 from causeway.schema import TraceSet
+from causeway.session import staged
 
-#: The longest bounded gap.
-MAX_GAP = 30
+#: The gap of the preset that looks nearby; other patterns may have any.
+NEAR_GAP = 30
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,7 @@ def _preset(name: str, *steps: StepPredicate, version: int = 1, review: bool = T
 _FAILED_TOOL = StepPredicate(kind="TOOL", status="error")
 _AGAIN = lambda gap: StepPredicate(kind="TOOL", status="error", same_name_as=0, gap=gap)
 
+# The presets' names, versions and predicates.
 PRESETS = {
     p.pattern_id: p
     for p in (
@@ -133,7 +135,7 @@ PRESETS = {
         _preset("gate-failure-after-success", StepPredicate(kind="AGENT", status="ok"), StepPredicate(kind="TOOL", status="error", name_prefix="gate:"), about="an agent's success that directly causes a failing gate"),
         _preset("tool-retry-failure", StepPredicate(kind="TOOL"), StepPredicate(kind="CHAIN", name_prefix="retry:"), StepPredicate(kind="TOOL", status="error", same_name_as=0), version=2, about="a marked retry of a tool that fails"),
         _preset("tool-repeat-failure-heuristic", StepPredicate(kind="TOOL"), _AGAIN((2, None)), review=False, about="a tool that is used again later and fails"),
-        _preset("tool-retry-failure-near", StepPredicate(kind="TOOL"), _AGAIN((2, MAX_GAP)), review=False, about="a tool that is used again nearby and fails"),
+        _preset("tool-retry-failure-near", StepPredicate(kind="TOOL"), _AGAIN((2, NEAR_GAP)), review=False, about="a tool that is used again nearby and fails"),
     )
 }
 #: The presets that an analysis runs, in the order of its findings.
@@ -172,8 +174,9 @@ def order_columns(pattern: PathPattern) -> list[str]:
 
 
 def first_matches(found: DataFrame, pattern: PathPattern, n: int) -> DataFrame:
-    """The first n matches of all traces in canonical order, each with the exact total. The sort keeps n rows a
-    task; the total is a count of its own, so no window gathers the matches."""
+    """The first n matches of all traces in canonical order, each with the exact total. Matches are staged, so they are made once; the sort
+    keeps n rows a task, and no window gathers the matches."""
+    found = staged(found)
     return found.orderBy("trace_id", *order_columns(pattern)).limit(n).withColumn("total", F.lit(found.count()))
 
 
@@ -184,11 +187,14 @@ def numbered(found: DataFrame, pattern: PathPattern) -> DataFrame:
 
 def sweep(ts: TraceSet, names: tuple[str, ...] = AUTO) -> DataFrame:
     """All matches of several presets: pattern_id, pattern_version, trace_id, path, first_seq. One match under two
-    presets is two findings."""
-    out = None
-    for name in names:
-        p = PRESETS[name]
+    presets is two findings. Steps and causes are staged with the columns that predicates read; all presets of a single step take one pass."""
+    steps = staged(ts.steps.select("trace_id", "step_id", "seq", "kind", "name", "status", "error_msg", "source", "unknown_fields"))
+    light = TraceSet(ts.traces, steps, staged(ts.edges.where("type = 'CAUSED_BY'")))
+    single = [PRESETS[n] for n in names if len(PRESETS[n].steps) == 1]
+    hits = F.array_compact(F.array(*[F.when(p.steps[0].condition(), F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.pattern_version).alias("pattern_version"))) for p in single])) if single else F.array()
+    out = steps.select(F.explode(hits).alias("p"), "trace_id", F.col("step_id").alias("path"), F.col("seq").alias("first_seq")).select("p.pattern_id", "p.pattern_version", "trace_id", "path", "first_seq") if single else None
+    for p in (PRESETS[n] for n in names if len(PRESETS[n].steps) > 1):
         path = F.concat_ws(">", *[f"s{i}" for i in range(len(p.steps))])
-        got = matches(ts, p).select(F.lit(name).alias("pattern_id"), F.lit(p.pattern_version).alias("pattern_version"), "trace_id", path.alias("path"), F.col("s0_seq").alias("first_seq"))
+        got = matches(light, p).select(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.pattern_version).alias("pattern_version"), "trace_id", path.alias("path"), F.col("s0_seq").alias("first_seq"))
         out = got if out is None else out.unionByName(got)
     return out

@@ -156,7 +156,7 @@ _add_pattern("e04_two_gaps_same_tool", patterns.PathPattern((_S(kind="TOOL", sta
 @query("l02_first_matches", _pattern_sql(P["tool-repeat-failure-heuristic"], limit=50))
 def _first(spark, d):
     p = P["tool-repeat-failure-heuristic"]
-    return patterns.first_matches(patterns.matches(views.events(spark, d), p).persist(), p, 50)
+    return patterns.first_matches(patterns.matches(views.events(spark, d), p), p, 50)
 
 
 def _sweep_sql(names: tuple[str, ...], traces: str = "") -> str:
@@ -175,12 +175,12 @@ def _sweep_sql(names: tuple[str, ...], traces: str = "") -> str:
 
 @query("c03_preset_sweep", _sweep_sql(patterns.AUTO))
 def _sweep(spark, d):
-    return patterns.sweep(views.events(spark, d).persist())
+    return patterns.sweep(views.events(spark, d))
 
 
 @query("a13_pattern_counts", f"SELECT pattern_id, count(*) AS n, count(DISTINCT trace_id) AS n_traces FROM ({_sweep_sql(patterns.AUTO)}) GROUP BY 1")
 def _pattern_counts(spark, d):
-    return patterns.sweep(views.events(spark, d).persist()).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trace_id").alias("n_traces"))
+    return patterns.sweep(views.events(spark, d)).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trace_id").alias("n_traces"))
 
 
 @query("w08_numbered_matches", f"SELECT trace_id, s0, s1, row_number() OVER (PARTITION BY trace_id ORDER BY s0_seq, s0, s1_seq, s1) AS number FROM ({_pattern_sql(P['gate-failure-after-success'])})")
@@ -491,14 +491,14 @@ _WORST = lambda *rules: "SELECT cur AS current, base AS baseline, CASE max(CASE
     _sql(_WORST(_count_rule(_TOOLS, "kind_unknown"), _count_rule(_GATES, "kind_unknown AND starts_with(name, 'gate:')"), _count_rule(_AGAIN, "kind_unknown")), _PAIRS, _AGAIN_WALK, recursive=True),
 )
 def _pattern_verdicts(spark, d):
-    ts = views.events(spark, d)
+    ts = views.events(spark, d).staged()
     rules = ["pattern-not-increased:tool-failure", "pattern-not-increased:gate-failure-after-success", "pattern-not-increased:tool-repeat-failure-heuristic"]
     return check.verdict(check.evaluate(ts, _neighbours(ts), rules))
 
 
 @query("c06_check_verdicts")
 def _verdicts(spark, d):
-    ts = views.events(spark, d).persist()
+    ts = views.events(spark, d).staged()
     pairs = _neighbours(ts)
     return check.verdict(check.evaluate(ts, pairs, ["failures-not-increased", "pattern-not-increased:tool-failure", "pattern-not-increased:gate-failure-after-success", "topology-unchanged:shape"]))
 
@@ -730,7 +730,7 @@ def _checkpoint_counts(spark, d):
 def _analyze(spark, d):
     from causeway.operators import analysis
 
-    r = analysis.analyze(views.events(spark, d))
+    r = analysis.analyze(views.events(spark, d).staged())
     behind = F.aggregate("primary_failures", F.lit(0), lambda acc, p: acc + F.coalesce(F.size(p["causal_steps"]), F.lit(0))).cast("long")
     size = lambda c: F.size(c).cast("long")
     return r.select(

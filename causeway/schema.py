@@ -64,8 +64,11 @@ class TraceSet:
     steps: DataFrame
     edges: DataFrame
 
-    def persist(self) -> "TraceSet":
-        return TraceSet(self.traces.persist(), self.steps.persist(), self.edges.persist())
+    def staged(self) -> "TraceSet":
+        """The tables written to the shared folder once, for plans that read them several times."""
+        from causeway.session import staged
+
+        return TraceSet(staged(self.traces), staged(self.steps), staged(self.edges))
 
     def union(self, other: "TraceSet") -> "TraceSet":
         return TraceSet(*(a.unionByName(b) for a, b in ((self.traces, other.traces), (self.steps, other.steps), (self.edges, other.edges))))

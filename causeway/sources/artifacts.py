@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from causeway import schema
 from causeway.plans.projection import layers, needs_origin_priority, normalize, projection_rules, violations
@@ -38,7 +39,7 @@ def required_version(ts: TraceSet) -> DataFrame:
     return ts.traces.join(per, "trace_id", "left").join(new, "trace_id", "left").join(ranked, "trace_id", "left").select("trace_id", version.alias("version"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     """A document's one spelling: sorted keys, two blanks a level, no absent header, no empty list of unknown fields."""
 
