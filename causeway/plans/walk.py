@@ -92,7 +92,9 @@ def over_graphs(ts: TraceSet, fn: Callable[[Graph], Iterator[tuple]], ddl: str,
             yield flush(out)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.union(arcs).repartition(parts, "trace_id").sortWithinPartitions("trace_id", "layer", "seq", "id")
+    # dealt by a hash of the key: a union of tables that were shuffled by the key itself would count as dealt already, while each of
+    # its sides may have been coalesced in its own way
+    dealt = nodes.union(arcs).repartition(parts, F.xxhash64("trace_id")).sortWithinPartitions("trace_id", "layer", "seq", "id")
     return dealt.mapInArrow(run, ddl)
 
 

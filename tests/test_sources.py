@@ -5,7 +5,7 @@ import json
 import pytest
 
 from causeway.plans import projection
-from causeway.sources import artifacts, checkpoints, exports, spans
+from causeway.sources import artifacts, checkpoints, exports, router, spans
 from causeway.streaming import follow
 
 
@@ -111,3 +111,73 @@ def test_stream(spark, tmp_path):
     (src / "b.json").write_text(json.dumps(doc(span("b", "a", 2, status={"code": "ERROR"}))))
     follow.follow(spark, str(src), str(tmp_path / "store"), str(tmp_path / "cp"), renew).awaitTermination(120)
     assert seen == {"t": 2}
+
+
+BAD_SHAPES = ["[]", "5", '"x"', '{"resourceSpans": {"a": 1}}', '{"resourceSpans": 0}', '{"resourceSpans": [5]}', '{"resourceSpans": [{"scopeSpans": "x"}]}', '{"resourceSpans": [{"scopeSpans": [{"spans": {}}]}]}',
+              '{"resourceSpans": [{"scopeSpans": [{"spans": [1]}]}]}', '{"resource_spans": [{"scope_spans": [{"spans": [{"events": 3}]}]}]}']
+
+
+def test_malformed_documents_are_errors(spark):
+    for bad in BAD_SHAPES:
+        with pytest.raises(Exception):
+            spans.documents(texts(spark, bad)).collect()
+    for empty in ("{}", '{"resourceSpans": null}', '{"resourceSpans": [{"scopeSpans": []}]}'):
+        assert spans.decode(spans.documents(texts(spark, empty))).count() == 0
+
+
+def test_parents_by_number_and_late_causes(spark):
+    """Untimed spans of one node are told apart by start numbers; a cause that starts after its effect still comes first."""
+    t = {"traceId": "t", "spans": [{"span_id": s, "parent_id": p, "start_time": str(n), "attributes": a} for s, p, n, a in [
+        ("r", None, 1, {}), ("p1", "r", 2, {"graph.node.id": "plan"}), ("x", "r", 3, {"graph.node.parent_id": "plan"}), ("p2", "r", 4, {"graph.node.id": "plan"}), ("y", "r", 5, {"graph.node.parent_id": "plan", "graph.node.id": "plan"})]]}
+    assert [a for a in arcs(exports.ingest(texts(spark, t))) if a[0] in "xy"] == [("x", "p1", "graph_parent_heuristic"), ("y", "p2", "graph_parent_heuristic")]
+    ts = ingest(spark, doc(span("a", start=10, links=[("t", "c")]), span("b", "a", 20), span("c", start=30), span("d", start=5)))
+    assert [r.step_id for r in ts.steps.orderBy("seq").collect()] == ["d", "c", "a", "b"]
+    deep = [span("s0", start=1)] + [span(f"s{k}", f"s{k - 1}", 1) for k in range(1, 40)]
+    assert [r.step_id for r in ingest(spark, doc(*deep)).steps.orderBy("seq").collect()] == [f"s{k}" for k in range(40)]
+
+
+def test_artifacts_are_validated(spark):
+    ts = ingest(spark, doc(span("a", start=1), span("b", "a", 2), span("c", "b", 3, status={"code": 2})))
+    rows = artifacts.to_text(ts).collect()
+    text = rows[0].value
+    assert text == json.dumps(json.loads(text), indent=2, sort_keys=True) and '"schedule_graph"' not in text and rows[0].version == 7
+    import hashlib
+
+    assert rows[0].digest == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    body = json.loads(text)
+    assert artifacts.from_text(texts(spark, body)).steps.count() == 3
+
+    def broken(change):
+        other = json.loads(text)
+        change(other, other["trace"])
+        with pytest.raises(Exception):
+            artifacts.from_text(texts(spark, other)).traces.collect()
+
+    broken(lambda d, t: t["edges"].append({"type": "CAUSED_BY", "src": "a", "dst": "gone", "origin": "span_link"}))
+    broken(lambda d, t: t["edges"].append({"type": "CAUSED_BY", "src": "a", "dst": "c", "origin": "span_link"}))
+    broken(lambda d, t: t["trace"].update(status="ok"))
+    broken(lambda d, t: [e.update(dst="a") for e in t["edges"] if e["type"] == "TREE_PARENT" and e["src"] == "c"])
+    broken(lambda d, t: d.update(schema_version=6))
+    broken(lambda d, t: d.update(schema_version=12))
+
+
+def test_router(spark, tmp_path):
+    ts = ingest(spark, doc(span("a", start=1)))
+    art = json.loads(artifacts.to_text(ts).first().value)
+    art["trace"]["trace"]["trace_id"] = "art"
+    for part in (art["trace"]["steps"], art["trace"]["edges"]):
+        for x in part:
+            x.update({k: "art" for k in ("trace_id", "dst") if x.get(k) == "t"})
+    export = {"traceId": "e", "spans": [{"span_id": "s", "start_time": "1"}]}
+    lines = "\n".join(json.dumps(doc(span("q", start=1, trace=f"l{k}"))) for k in range(2))
+    files = {"art": art, "spans": doc(span("a", start=1, trace="o")), "lines": lines, "export": export, "listed": [dict(export, traceId="e2")], "bad": "{", "none": {"x": 1}, "both": {**doc(span("a")), "spans": []}, "held": {"traces": [art]}, "rows": json.dumps(export) + "\n" + json.dumps(export)}
+    for name, body in files.items():
+        (tmp_path / f"{name}.json").write_text(body if isinstance(body, str) else json.dumps(body))
+    got, failed = router.read(spark, str(tmp_path))
+    assert {r.trace_id for r in got.traces.collect()} == {"art", "o", "l0", "l1", "e", "e2"}
+    reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in failed.collect()}
+    assert reasons == {"bad.json": "not valid JSON", "none.json": "unsupported shape", "both.json": "ambiguous: records of two formats", "held.json": "a portable trace must be the whole document", "rows.json": "lines are read as span documents only"}
+    one, _ = router.read(spark, str(tmp_path), ["o"])
+    assert router.sole_trace(one) == "o"
+    with pytest.raises(ValueError):
+        router.sole_trace(got)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway import schema
-from causeway.operators import check, failures, metrics, motifs, trees
+from causeway.operators import analysis, check, failures, metrics, motifs, trees
 from causeway.plans import patterns, projection, walk
 from causeway.schema import TraceSet
 
@@ -82,7 +82,7 @@ def brute(specs, arcs, pattern):
 def test_patterns_against_brute_force(spark):
     rng = random.Random(7)
     dags = [random_dag(rng, f"t{k}", 12) for k in range(25)]
-    ts = build(spark, [s for d in dags for s in d[0]], [a for d in dags for a in d[1]]).persist()
+    ts = build(spark, [s for d in dags for s in d[0]], [a for d in dags for a in d[1]]).staged()
     ad_hoc = [patterns.PathPattern((S(), S(gap=(2, 3)))), patterns.PathPattern((S(kind="TOOL"), S(), S(same_name_as=0, gap=(1, None)))), patterns.PathPattern((S(name="a"), S(gap=(3, None), same_name_as=0), S(status="error")))]
     for p in [*patterns.PRESETS.values(), *ad_hoc]:
         cols = [f"s{i}" for i in range(len(p.steps))]
@@ -171,3 +171,100 @@ def test_review_and_memo(spark):
     with pytest.raises(Exception, match="server-qualified"):
         motifs.review_candidates(build(spark, [("t", "a", 0, "tool", "TOOL", "error")], [], run_id="r1"), patterns.PRESETS["tool-failure"]).collect()
     assert "step_1_tool" in motifs.memo(ts).first().memo
+
+
+def tree_differences(a, b):
+    """Where two forests differ, from the definition: a forest is a list of (label, children)."""
+    from collections import Counter
+
+    form = lambda n: (n[0], tuple(sorted(map(form, n[1]))))
+    text = lambda n: n[0] + ("(" + ", ".join(map(text, n[1])) + ")" if n[1] else "")
+
+    def level(xs, ys, path):
+        same = Counter(map(form, xs)) & Counter(map(form, ys))
+        left, spare = [], Counter(same)
+        for x in xs:
+            if spare[form(x)]:
+                spare[form(x)] -= 1
+            else:
+                left.append(x)
+        first = {}
+        for i, y in enumerate(ys):
+            first.setdefault(form(y), i)
+        right, spare = [], Counter(same)
+        for i, y in reversed(list(enumerate(ys))):
+            if spare[form(y)]:
+                spare[form(y)] -= 1
+            else:
+                right.insert(0, (first[form(y)], i, y))
+        right = [y for _, _, y in sorted(right, key=lambda r: r[:2])]
+        for key in (lambda n: tuple(sorted(map(form, n[1]))) or None, lambda n: n[0] or None):
+            for x in list(left):
+                partner = next((y for y in reversed(right) if key(x) is not None and key(y) == key(x)), None)
+                if partner is not None:
+                    left, right = [z for z in left if z is not x], [z for z in right if z is not partner]
+                    if x[0] != partner[0]:
+                        yield f"diverges at {' > '.join(path) or '(root)'}: A='{x[0]}' B='{partner[0]}'"
+                    else:
+                        yield from level(x[1], partner[1], [*path, x[0]])
+        where, what = (f" under {' > '.join(path)}", "subtree") if path else ("", "root subtree")
+        yield from (f"only in A{where}: {what} {text(x)}" for x in left)
+        yield from (f"only in B{where}: {what} {text(y)}" for y in right)
+
+    return sorted(level(a, b, []))
+
+
+def test_differences_equal_brute_force(spark):
+    import random
+
+    rng, rows, edges, forests = random.Random(3), [], [], {}
+
+    def grow(trace, depth, parent=None):
+        out = []
+        for _ in range(rng.randrange(1, 4) if depth else 0):
+            n = sum(r[0] == trace for r in rows)
+            rows.append((trace, f"s{n}", n, rng.choice("ab"), "CHAIN", "ok"))
+            if parent:
+                edges.append((trace, f"s{n}", parent))
+            out.append((rows[-1][3], grow(trace, depth - 1, f"s{n}")))
+        return out
+
+    for k in range(24):
+        forests[f"t{k}"] = grow(f"t{k}", 3)
+    ts = build(spark, rows, edges)
+    pairs = spark.createDataFrame([(f"t{k + 1}", f"t{k}") for k in range(23)], "current string, baseline string")
+    got = {}
+    for r in trees.differences(ts, pairs).collect():
+        got.setdefault(r.current, []).append(r.change)
+    want = {f"t{k + 1}": tree_differences(forests[f"t{k}"], forests[f"t{k + 1}"]) for k in range(23)}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_walks_in_blocks(spark, monkeypatch):
+    """Gap pairs are the same however few starts a block has."""
+    import random
+
+    rng = random.Random(8)
+    rows = [("t", f"s{k:02d}", k, rng.choice(["x", "y", None]), "TOOL", rng.choice(["ok", "error"])) for k in range(40)]
+    edges = [("t", f"s{k:02d}", f"s{j:02d}") for k in range(1, 40) for j in {rng.randrange(k), max(0, k - 1)}]
+    ts = build(spark, rows, edges)
+    shown = lambda: [sorted(map(tuple, walk.gap_pairs(ts, F.col("status") == "ok", F.col("status") == "error", lo, hi, same).collect())) for lo, hi, same in ((2, None, True), (1, 3, False))]
+    whole = shown()
+    monkeypatch.setattr(walk, "BLOCK", 3)
+    assert shown() == whole and all(whole)
+
+
+def test_analysis_and_reasons(spark):
+    ts = build(spark, [("a", "p", 0, "plan", "CHAIN", "ok"), ("a", "q", 1, "tool", "TOOL", "error"), ("a", "r", 2, "odd name!", "TOOL", "error"), ("b", "p", 0, "plan", "CHAIN", "ok")], [("a", "q", "p"), ("a", "r", "q")])
+    got = {r.trace_id: r for r in analysis.analyze(ts).collect()}
+    a, b = got["a"], got["b"]
+    assert [f.step_id for f in a.primary_failures] == ["q"] and a.primary_failures[0].causal_steps == ["p"] and [f.step_id for f in a.propagated_failures] == ["r"]
+    assert a.propagated_failures[0].name.startswith("redacted:") and "incident" in a.notes and "incident" not in b.notes and b.patterns == [] and set(a.notes) | set(b.notes) <= set(analysis.NOTES)
+    assert [(p.pattern_id, p.path) for p in a.patterns] == [("plan-then-tool-failure", "p>q"), ("tool-failure", "q"), ("tool-failure", "r"), ("error", "q"), ("error", "r")]
+    pairs = spark.createDataFrame([("a", "b")], "current string, baseline string")
+    c = analysis.compare(ts, pairs).first()
+    assert not c.topology_identical and {d.pattern_id: d.delta for d in c.pattern_count_deltas}["error"] == 2 and c.baseline_digest == b.digest
+    report = analysis.as_json(analysis.check_report(ts, pairs, ["failures-not-increased", "topology-unchanged"]), "current", "baseline").first().report
+    assert '"verdict"' in report and '"reasons"' in report
+    blind = TraceSet(ts.traces.withColumn("capture", F.lit(None).cast(ts.traces.schema["capture"].dataType)), ts.steps, ts.edges)
+    assert check.failures_not_increased(blind, pairs).first().reasons == ["current:no_capture_record", "baseline:no_capture_record"]
