@@ -25,9 +25,10 @@ SAMPLE, SAMPLE_ALL = 250, 8000
 MIN_ROWS, LABELS = 5, 200
 CENTROIDS = 4
 ROUNDS = 12
-#: A text is rejected when its cosine is below this part of what all but 1 in 100 sample rows of about its length (a power of two n-grams)
-#: reach; of lengths that fewer than LENGTH_ROWS sample rows have, below SHORT_REJECT of what all but 1 in 100 reach at any length.
-REJECT, SHORT_REJECT, LENGTH_ROWS = 0.6, 0.35, 20
+#: A text is rejected when its cosine is below a floor for its length (a power of two n-grams). The floor lies this far from what 9 in 10 sample rows
+#: of about that length stay under with other languages' centroids towards what 19 in 20 reach with their own (a few labels are wrong). For lengths that fewer than
+#: LENGTH_ROWS sample rows have it is that of the next shorter one, or SHORT_REJECT of what 99 in 100 reach at any length.
+REJECT, SHORT_REJECT, LENGTH_ROWS = 0.2, 0.3, 20
 #: The label of a text that is null or has no letter.
 NONE = "und"
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -136,22 +137,26 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     got: dict[str, list] = {}
     for r in few.select("lang", "text").mapInArrow(_vectors, "lang string, logs binary").collect():
         got.setdefault(r.lang, []).append(np.frombuffer(r.logs, "<f2"))
-    centroids, labels, reached, length = [], [], [], []
+    centroids, labels, reached, length, units = [], [], [], [], []
     for lang in sorted(got):
         logs = np.stack(got[lang]).astype(np.float32)
         x = _unit(logs * idf)
         c = _kmeans(x, CENTROIDS)
         centroids.append(c)
         labels += [lang] * len(c)
+        units.append(x)
         reached.append((x @ c.T).max(axis=1))
         length.append(_length(np.expm1(logs).sum(axis=1)))
-    reached, length = np.concatenate(reached), np.concatenate(length)
+    reached, length, rows = np.concatenate(reached), np.concatenate(length), np.concatenate(units)
+    own = np.repeat(sorted(got), [len(u) for u in units])
+    other = np.where(own[:, None] != np.array(labels)[None], rows @ np.concatenate(centroids).T, 0).max(axis=1)
     floor = np.full(32, SHORT_REJECT * np.quantile(reached, 0.01))
-    for k in range(32):
+    for k in range(1, 32):
         if (length == k).sum() >= LENGTH_ROWS:
-            floor[k] = max(floor[k], REJECT * np.quantile(reached[length == k], 0.01))
-    for k in range(int(length.max()) + 1, 32):  # texts longer than any of the sample
-        floor[k] = floor[k - 1]
+            low, high = np.quantile(other[length == k], 0.9), np.quantile(reached[length == k], 0.05)
+            floor[k] = low + REJECT * (high - low) if high > low else floor[0]
+        else:
+            floor[k] = floor[k - 1]
     return Model(idf, np.concatenate(centroids).astype(np.float32), labels, floor)
 
 

@@ -384,6 +384,41 @@ def test_language(spark):
     assert op6_language.identify(table(spark, rows).limit(0)).count() == 0
 
 
+def test_language_equals_brute_force(spark, small):
+    """Labels, scores and rejections over whole tables, from cosines of n-grams counted one by one."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = op6_language.fit(op6_language.training_rows(docs))
+    got = {r["doc_id"]: r for r in local(op6_language.identify(docs))}
+    centroids = model.centroids / np.maximum(np.linalg.norm(model.centroids, axis=1, keepdims=True), 1e-12)
+    for d, text in plain(docs):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        b = [32, *[x if x >= 128 or chr(x).isalpha() else 32 for x in text.lower().encode()], 32]
+        seen = Counter((x * 257 + y) * 2654435761 % 2**32 >> 20 for x, y in zip(b, b[1:]))
+        seen.update((((x * 257 + y) * 263 + z + 2**25) * 2654435761) % 2**32 >> 20 for x, y, z in zip(b, b[1:], b[2:]))
+        v = np.zeros(op6_language.FEATURES)
+        for k, n in seen.items():
+            v[k] = np.log1p(n) * model.idf[k]
+        near = centroids @ (v / np.linalg.norm(v))
+        best = int(near.argmax())
+        floor = model.floor[min(31, int(np.log2(sum(seen.values()))))]
+        assert got[d]["lang_pred"] == model.labels[best] or np.sort(near)[-1] - near[model.labels.index(got[d]["lang_pred"])] < 1e-4
+        assert abs(got[d]["score"] - near[best]) < 1e-4 and (got[d]["rejected"] == (near[best] < floor) or abs(near[best] - floor) < 1e-4)
+
+
+def test_language_that_was_not_learned(spark, small):
+    """Long texts of a language without labels are rejected, those of learned ones are kept."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("lang IS NOT NULL AND length(text) > 400")
+    model = op6_language.fit(op6_language.training_rows(docs.where("lang <> 'fr'")))
+    rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
+    far = dict(zip(range(len(rows)), model.predict([t for _, t in rows])[2]))
+    share = lambda own: (x := [far[k] for k, (lang, _) in enumerate(rows) if (lang == "fr") == own]) and sum(x) / len(x)
+    assert share(False) < 0.01 and share(True) > 0.6, (share(False), share(True))
+
+
 def license_brute(text):
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places = [(i, label) for p, label in op7_license.BASE.items() for k in [p.split()] for i in range(len(ws)) if ws[i : i + len(k)] == k]
