@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontaminate), ("packing", pack)]
 
-#: Tokenizers and a fitted classifier: no SQL; tests hold it against brute force.
+#: Tokenizers and a fitted classifier: no SQL; a test holds it against plain loops over whole tables.
 ORACLE_SQL = None
 
 
