@@ -157,6 +157,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
             floor[k] = low + REJECT * (high - low) if high > low else floor[0]
         else:
             floor[k] = floor[k - 1]
+    # no length is held to more than half of them are: a few wrong labels can raise what others stay under
+    floor = np.minimum(floor, np.median(np.unique(floor[floor > floor[0]]))) if (floor > floor[0]).any() else floor
     return Model(idf, np.concatenate(centroids).astype(np.float32), labels, floor)
 
 
