@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup
+from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup, op11_topk
 from .common import read_table
 
 
@@ -55,9 +55,14 @@ def op10(spark, d):
     return op10_lsm_dedup.exact_groups(read_table(spark, d, "documents"))
 
 
+def op11(spark, d):
+    return op11_topk.top_k(read_table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_token_store": op1, "op2_sum_of_squares_packing": op2, "op3_warc_revisits": op3, "op4_template_decontamination": op4, "op5_hilbert_shards": op5,
     "op6_nearest_centroid_language": op6, "op7_diagonal_license_scan": op7, "op8_hamming_near_dedup": op8, "op9_surrogates": op9, "op10_lsm_exact_dedup": op10,
+    "op11_branch_and_bound_top_k": op11,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,4 +93,11 @@ ORACLES = {
         WITH t AS (SELECT doc_id, {_LOWER} AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256 FROM t""",
+    "op11_branch_and_bound_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
