@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup, op11_topk
+from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup, op11_topk, op12_divergence
 from .common import read_table
 
 
@@ -59,10 +59,14 @@ def op11(spark, d):
     return op11_topk.top_k(read_table(spark, d, "embeddings"))
 
 
+def op12(spark, d):
+    return op12_divergence.audit(read_table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1, "op2_sum_of_squares_packing": op2, "op3_warc_revisits": op3, "op4_template_decontamination": op4, "op5_hilbert_shards": op5,
     "op6_nearest_centroid_language": op6, "op7_diagonal_license_scan": op7, "op8_hamming_near_dedup": op8, "op9_surrogates": op9, "op10_lsm_exact_dedup": op10,
-    "op11_branch_and_bound_top_k": op11,
+    "op11_branch_and_bound_top_k": op11, "op12_source_divergence": op12,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,4 +104,24 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+        o AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        own AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        total AS (SELECT lang, source, sum(n) AS n FROM own GROUP BY lang, source),
+        cell AS (SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS n,
+                        1 + CAST(1000000000 AS HUGEINT) * (coalesce(own.n, 0) + 2) // (coalesce(total.n, 0) + 2 * size.v) AS p,
+                        1 + CAST(1000000000 AS HUGEINT) * (kept.n + 2) // (size.n + 2 * size.v) AS q
+                 FROM grp g JOIN kept ON kept.lang = g.lang JOIN size ON size.lang = g.lang LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+                 LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+        met AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(met.value, 0) AS value
+                  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN met ON met.lang = a.lang AND met.source = a.source AND met.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cell WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
