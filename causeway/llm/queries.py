@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup, op11_topk, op12_divergence
+from . import op1_token_store, op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup, op11_topk, op12_divergence, op13_conversations
 from .common import read_table
 
 
@@ -63,10 +63,14 @@ def op12(spark, d):
     return op12_divergence.audit(read_table(spark, d, "documents"))
 
 
+def op13(spark, d):
+    return op13_conversations.repair(read_table(spark, d, "conversations"))
+
+
 QUERIES = {
     "op1_token_store": op1, "op2_sum_of_squares_packing": op2, "op3_warc_revisits": op3, "op4_template_decontamination": op4, "op5_hilbert_shards": op5,
     "op6_nearest_centroid_language": op6, "op7_diagonal_license_scan": op7, "op8_hamming_near_dedup": op8, "op9_surrogates": op9, "op10_lsm_exact_dedup": op10,
-    "op11_branch_and_bound_top_k": op11, "op12_source_divergence": op12,
+    "op11_branch_and_bound_top_k": op11, "op12_source_divergence": op12, "op13_rank_convergence_repair": op13,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
