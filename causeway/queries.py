@@ -714,6 +714,112 @@ def _checkpoint_counts(spark, d):
     return metrics.counts(_checkpointed(spark, d)).select("trace_id", "n_steps", "n_errors", "n_interrupted")
 
 
+# --- tasks of checkpoint histories
+
+_UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12)"
+_ID = "sha1(unhex(sid) || encode(node || seq || node || rest))"
+_TASKS = f"""
+tk AS (SELECT user_id, 'u' || user_id AS thread_id, k, seq, k % 7 AS kind, 'n' || k % 3 AS routed, 'join' || k % 2 AS joined, CASE WHEN k % 2 = 0 THEN 'call_tool' ELSE 'seen' END AS seen,
+       seq = max(seq) OVER (PARTITION BY user_id) AS last, 'c' || lpad(seq::VARCHAR, 7, '0') AS sid FROM ev),
+cand AS (SELECT *, routed AS node, '__pregel_pull' || 'branch:to:' || routed AS rest, 0 AS sent FROM tk
+   UNION ALL SELECT *, joined, '__pregel_pull' || 'branch:to:' || joined || 'join:a+b:' || joined, 0 FROM tk UNION ALL SELECT *, joined, '__pregel_pull' || 'branch:to:' || joined, 0 FROM tk UNION ALL SELECT *, joined, '__pregel_pull' || 'join:a+b:' || joined, 0 FROM tk
+   UNION ALL SELECT *, seen, '__pregel_pull' || 'branch:to:' || seen, 0 FROM tk UNION ALL SELECT *, '__start__', '__pregel_pull' || '__start__', 0 FROM tk
+   UNION ALL SELECT tk.*, 'send' || i, '__pregel_push' || i, 1 FROM tk, range(0, 2) AS t(i) WHERE kind = 3),
+hashed AS (SELECT *, {_ID} AS h FROM cand),
+ids AS (SELECT *, {_UUID.format("h")} AS id FROM hashed),
+wrote AS (SELECT thread_id, sid, seq, k, kind, last, CASE kind WHEN 4 THEN 'zz' ELSE 'unknown' END AS id, 'task' AS source FROM tk WHERE kind IN (4, 6)
+   UNION ALL SELECT thread_id, sid, seq, k, kind, last, id, 'task' FROM ids WHERE CASE kind WHEN 0 THEN node = routed AND rest LIKE '%branch%' WHEN 1 THEN rest LIKE '%branch%join:a%' WHEN 2 THEN node = seen WHEN 3 THEN sent = 1 AND node = 'send' || k % 2 WHEN 5 THEN node = '__start__' ELSE false END
+   UNION ALL SELECT thread_id, sid, seq, k, kind, last, id, 'interrupt' FROM ids WHERE last AND user_id % 2 = 0 AND kind <> 0 AND node = routed),
+proved AS (SELECT thread_id, sid, id, min(CASE WHEN sent = 0 THEN node END) AS pulled, max(CASE WHEN sent = 1 THEN node END) AS pushed FROM ids GROUP BY 1, 2, 3),
+named AS (SELECT w.*, CASE WHEN w.id = 'zz' THEN 'origin' ELSE coalesce(pulled, pushed) END AS name FROM wrote w LEFT JOIN proved USING (thread_id, sid, id))"""
+
+
+def _tasked(spark, d, graph=None):
+    from causeway.sources import checkpoints
+
+    return checkpoints.ingest(views.task_checkpoints(spark, d), graph=graph)
+
+
+def _graph(spark, d):
+    """The nodes that the histories route to, and one of the two that they send to."""
+    from causeway.sources.tasks import Graph
+
+    k = spark.read.parquet(f"{d}/events.parquet").select((F.get_json_object("props", "$.k").cast("int") % 3).cast("string").alias("k")).where("k IS NOT NULL").distinct()
+    routed = k.select(F.concat(F.lit("n"), "k").alias("node"), F.array(F.concat(F.lit("branch:to:n"), "k")).alias("triggers"))
+    return Graph(routed.unionByName(spark.createDataFrame([("send0", [])], routed.schema)))
+
+
+@query(
+    "j15_task_names",
+    _sql("""SELECT thread_id AS trace_id, sid || '#' || source || ':' || id AS step_id, source, seq, name, CASE WHEN name = 'call_tool' THEN 'TOOL' ELSE 'CHAIN' END AS kind, CASE WHEN source = 'interrupt' OR kind = 5 THEN 'unset' ELSE 'error' END AS status FROM named""", _TASKS),
+)
+def _task_names(spark, d):
+    return _tasked(spark, d).steps.where("source IN ('task', 'interrupt')").select("trace_id", "step_id", "source", "seq", "name", "kind", "status")
+
+
+@query(
+    "h14_send_packets",
+    _sql("SELECT thread_id, sid AS checkpoint_id, i AS idx, CASE WHEN i < 2 THEN 'send' || i END AS node FROM tk, range(0, 3) AS t(i) WHERE kind = 3", _TASKS),
+)
+def _send_packets(spark, d):
+    from causeway.sources import tasks
+
+    return tasks.packets(views.task_checkpoints(spark, d).withColumn("sid", F.col("checkpoint_id"))).select("thread_id", F.col("sid").alias("checkpoint_id"), F.col("idx").cast("long").alias("idx"), "node")
+
+
+@query(
+    "x21_trigger_targets",
+    _sql("SELECT thread_id, sid AS checkpoint_id, 'branch:to:' || routed AS channel, routed AS node FROM tk UNION ALL SELECT thread_id, sid, 'join:a+b:' || joined, joined FROM tk", _TASKS),
+)
+def _trigger_targets(spark, d):
+    from causeway.sources import tasks
+
+    return views.task_checkpoints(spark, d).select("thread_id", "checkpoint_id", F.inline(tasks.triggers()))
+
+
+_GAP_SQL = """SELECT thread_id AS trace_id, 'langgraph.undecodable_send_packets' AS code, count(*) AS count FROM tk WHERE kind = 3 GROUP BY 1
+   UNION ALL SELECT thread_id, 'langgraph.unattributed_failed_task', count(*) FROM tk WHERE kind = 6 GROUP BY 1"""
+
+
+def _gap_rows(ts):
+    return ts.traces.select("trace_id", F.inline("capture.gaps")).select("trace_id", "code", "count")
+
+
+@query("a19_undecodable", _sql(_GAP_SQL, _TASKS))
+def _undecodable(spark, d):
+    return _gap_rows(_tasked(spark, d))
+
+
+@query(
+    "c17_scheduled_gaps",
+    _sql(f"""{_GAP_SQL} UNION ALL SELECT thread_id, 'langgraph.unknown_send_target', 1 FROM tk WHERE last AND kind = 3 UNION ALL SELECT thread_id, 'langgraph.unapplied_command_goto', 1 FROM tk WHERE last AND user_id % 3 = 0""", _TASKS),
+)
+def _scheduled_gaps(spark, d):
+    return _gap_rows(_tasked(spark, d, _graph(spark, d)))
+
+
+_WAITING = """waiting AS (SELECT i.* FROM ids i WHERE i.last AND (i.node = i.routed AND i.k % 2 = 1 OR i.node = 'send0') AND NOT EXISTS (SELECT 1 FROM wrote w WHERE w.thread_id = i.thread_id AND w.sid = i.sid AND w.id = i.id))"""
+
+
+@query(
+    "c17_scheduled_steps",
+    _sql("SELECT thread_id AS trace_id, sid || '#scheduled:' || id AS step_id, seq, node AS name, 'unset' AS status, sid AS parent FROM waiting", _TASKS, _WAITING),
+)
+def _scheduled_steps(spark, d):
+    ts = _tasked(spark, d, _graph(spark, d))
+    return ts.steps.where("source = 'scheduled'").select("trace_id", "step_id", "seq", "name", "status").join(ts.edges.select("trace_id", F.col("src").alias("step_id"), F.col("dst").alias("parent")), ["trace_id", "step_id"])
+
+
+@query(
+    "a03_scheduled_counts",
+    _sql("""SELECT t.thread_id AS trace_id, count(*) + coalesce(any_value(w.n), 0) + coalesce(any_value(s.n), 0) AS n_steps, coalesce(any_value(w.errors), 0) AS n_errors, coalesce(any_value(w.paused), 0) AS n_interrupted, coalesce(any_value(s.n), 0) AS n_scheduled FROM tk t
+            LEFT JOIN (SELECT thread_id, count(*) AS n, count(*) FILTER (WHERE source = 'task' AND kind <> 5) AS errors, count(*) FILTER (WHERE source = 'interrupt') AS paused FROM wrote GROUP BY 1) w ON w.thread_id = t.thread_id
+            LEFT JOIN (SELECT thread_id, count(*) AS n FROM waiting GROUP BY 1) s ON s.thread_id = t.thread_id GROUP BY 1""", _TASKS, _WAITING),
+)
+def _scheduled_counts(spark, d):
+    return metrics.counts(_tasked(spark, d, _graph(spark, d))).select("trace_id", "n_steps", "n_errors", "n_interrupted", "n_scheduled")
+
+
 # --- whole reports
 
 

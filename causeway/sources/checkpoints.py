@@ -3,8 +3,9 @@
 A checkpoint is a step; its cause is the checkpoint it was built from or, for the first one of a
 subgraph, the checkpoint that launched it. Where a graph goes on after a subgraph, the cause is the
 last checkpoint of that subgraph's invocation that was written before. Failed and paused tasks, which are only
-recorded as pending writes, become steps of their own. Input rows are decoded checkpoints (ROWS); task
-ids are not resolved to node names, which the trace then says.
+recorded as pending writes, become steps of their own, named where a recomputed task id proves the name (sources.tasks). With a
+graph, tasks that it schedules at the newest root checkpoint and that wrote nothing become steps too. Input rows are decoded checkpoints
+(ROWS; a column pending_sends, array<string>, may follow).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from causeway import schema
 from causeway.schema import TraceSet
+from causeway.session import staged
+from causeway.sources import tasks as named
 
 ROWS = (
     "thread_id string, checkpoint_ns string, checkpoint_id string, parent_ns string, parent_checkpoint_id string, ts string, v int, channel_values map<string,string>, channel_versions map<string,string>, "
@@ -76,7 +79,7 @@ def invocations(base: DataFrame) -> DataFrame:
 
 def causes(base: DataFrame) -> DataFrame:
     """thread_id, src, dst, origin. A parent that isn't there is an error."""
-    inv = invocations(base).checkpoint()
+    inv = staged(invocations(base))
     keys = base.select("thread_id", F.struct("ns", F.col("checkpoint_id").alias("id")).cast(_KEY).alias("key"), F.col("sid").alias("dst"), "versions_seen")
     refs = base.where("ref IS NOT NULL").select("thread_id", "sid", "ns", "rank", "source", "versions_seen", F.col("ref").cast(_KEY).alias("key"))
     known = refs.join(keys.withColumnRenamed("versions_seen", "launcher_seen"), ["thread_id", "key"], "left")
@@ -104,10 +107,10 @@ def discover(rows: DataFrame) -> DataFrame:
     return rows.groupBy("thread_id").agg(F.min("checkpoint_id").alias("first_checkpoint"), F.count(F.lit(1)).alias("n_checkpoints"))
 
 
-def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool = True, source_kind: str = "langgraph") -> TraceSet:
-    base = _base(rows).checkpoint()  # long expressions: later plans read the result
+def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool = True, source_kind: str = "langgraph", graph: named.Graph | None = None) -> TraceSet:
+    base = staged(_base(rows))  # long expressions: later plans read the result
     repeated = F.when(F.col("again"), F.raise_error(F.concat(F.lit("a checkpoint is there twice: "), F.col("sid"))).cast("string")).otherwise(F.col("sid"))
-    edges = causes(base).checkpoint()
+    edges = staged(causes(base))
     held = lambda m: F.coalesce(F.nullif(m[error_channel], F.lit("")), F.lit(None).cast("string"))
     parent = base.select("thread_id", F.struct("ns", F.col("checkpoint_id").alias("id")).cast(_KEY).alias("key"), F.col("ns").alias("p_ns"), F.col("source").alias("p_source"), F.col("channel_values").alias("p_values"), F.col("channel_versions").alias("p_versions"))
     at = base.withColumn("key", F.col("ref").cast(_KEY)).join(parent, ["thread_id", "key"], "left")
@@ -129,13 +132,16 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
     # recorded steps where they order all causes, else the order of writing, which does
     seq = F.when(F.coalesce("ordered", F.lit(True)), order).otherwise(F.col("rank") - 1)
     hidden = F.array_compact(F.array(F.when(fresh & F.lit(not error_messages), "error_msg"), F.when(~no_node, "kind"), F.when(~no_node, "name")))
-    main = at.select(
+    main = staged(at.select(
         F.col("thread_id").alias("trace_id"), repeated.alias("step_id"), seq.alias("seq"), "ts", F.when(looks_like_tool(name), "TOOL").otherwise("CHAIN").alias("kind"), "source", name.alias("name"), F.when(fresh, "error").otherwise("ok").alias("status"),
         F.when(fresh & F.lit(error_messages), error).alias("error_msg"), F.lit(None).cast(schema.EVIDENCE).alias("evidence"), F.lit(None).cast("boolean").alias("projection_lossy"), hidden.alias("unknown_fields"), F.coalesce(rewritten, F.lit(False)).alias("rewritten"),
-    ).checkpoint()
-    tasks = base.select("thread_id", "sid", "ns", "checkpoint_id", F.explode("pending_writes").alias("w"))
+    ))
+    tasks = base.select("thread_id", "sid", "ns", "checkpoint_id", F.posexplode("pending_writes").alias("at", "w"))
     malformed = tasks.where("w IS NULL OR w.task_id IS NULL OR w.channel IS NULL").select("thread_id", F.lit("langgraph.malformed_pending_writes").alias("code"))
-    per = tasks.where(F.col("w.task_id") != NULL_TASK).groupBy("thread_id", "sid", "ns", "checkpoint_id", F.col("w.task_id").alias("task")).agg(F.collect_set("w.channel").alias("channels"), F.max(F.when(F.col("w.channel") == ERROR, F.coalesce("w.value", F.lit("<exception not serialized by the checkpointer>")))).alias("error"))
+    first = lambda channel, value: F.min_by(F.when(F.col("w.channel") == channel, value), F.when((F.col("w.channel") == channel) & value.isNotNull(), F.col("at")))
+    lost = F.lit("<exception not serialized by the checkpointer>")
+    per = tasks.where(F.col("w.task_id") != NULL_TASK).groupBy("thread_id", "sid", "ns", "checkpoint_id", F.col("w.task_id").alias("task")).agg(
+        F.collect_set("w.channel").alias("channels"), first(ERROR, F.coalesce("w.value", lost)).alias("error"), first(named.SOURCE_NODE, F.nullif("w.value", F.lit(""))).alias("by_source"))
     head = base.where("ns = ''").groupBy("thread_id").agg(F.max_by("sid", "checkpoint_id").alias("head"))
     per = per.join(head, "thread_id", "left").join(main.select(F.col("trace_id").alias("thread_id"), F.col("step_id").alias("sid"), F.col("seq").alias("at"), "ts"), ["thread_id", "sid"])
     cancelled = F.col("error").startswith(CANCELLED)
@@ -143,25 +149,59 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
     failed = F.array_contains("channels", ERROR)
     paused = open_ & (F.size("channels") == 1)
     unsure = open_ & (F.size("channels") > 1) & (F.size(F.array_except("channels", F.array(*map(F.lit, (INTERRUPT, RESUME, ERROR))))) == 0)
+    told = base.where(F.exists("pending_writes", lambda w: w["channel"].isin(ERROR, INTERRUPT)))
+    asked = per.where((failed | paused) & F.col("by_source").isNull()).select("thread_id", "sid", F.col("task").alias("task_id"))
+    proved = named.names(told, asked).withColumnRenamed("task_id", "task").withColumnRenamed("name", "proved")
+    per = staged(per.join(proved, ["thread_id", "sid", "task"], "left").withColumn("name", F.coalesce("by_source", "proved")))
     mark = lambda kind: F.concat("sid", F.lit(f"#{kind}:"), "task")
+    kind_of = F.when(looks_like_tool(F.col("name")), "TOOL").otherwise("CHAIN")
     derived = lambda where, kind, status, message, extra: per.where(where).select(
-        F.col("thread_id").alias("trace_id"), mark(kind).alias("step_id"), (F.col("at") + 1).alias("seq"), "ts", F.lit("CHAIN").alias("kind"), F.lit(kind).alias("source"), F.lit(None).cast("string").alias("name"), status.alias("status"), message.alias("error_msg"),
+        F.col("thread_id").alias("trace_id"), mark(kind).alias("step_id"), (F.col("at") + 1).alias("seq"), "ts", kind_of.alias("kind"), F.lit(kind).alias("source"), "name", status.alias("status"), message.alias("error_msg"),
         F.lit(None).cast(schema.EVIDENCE).alias("evidence"), F.lit(None).cast("boolean").alias("projection_lossy"), extra.alias("unknown_fields"), F.lit(False).alias("rewritten"))
-    unnamed = F.array(F.lit("kind"), F.lit("name"))
+    unnamed = F.when(F.col("name").isNull(), F.array(F.lit("kind"), F.lit("name"))).otherwise(F.array().cast("array<string>"))
     hides = ~cancelled & (F.lit(not error_messages) | F.col("error").startswith("<exception not"))
     steps = main.unionByName(derived(failed, "task", F.when(cancelled, "unset").otherwise("error"), F.when(~cancelled & F.lit(error_messages), F.col("error")), F.when(hides, F.concat(F.array(F.lit("error_msg")), unnamed)).otherwise(unnamed)))
     steps = steps.unionByName(derived(paused, "interrupt", F.lit("unset"), F.lit(None).cast("string"), unnamed))
-    told = lambda where, code: per.where(where).select("thread_id", F.lit(code).alias("code"))
-    codes = malformed.union(told(failed & ~cancelled, "langgraph.unattributed_failed_task")).union(told(paused, "langgraph.unattributed_interrupted_task")).union(told(unsure, "langgraph.undecided_interrupt"))
+    gap = lambda where, code: per.where(where).select("thread_id", F.lit(code).alias("code"))
+    nameless = F.col("name").isNull()
+    codes = malformed.union(gap(failed & ~cancelled & nameless, "langgraph.unattributed_failed_task")).union(gap(paused & nameless, "langgraph.unattributed_interrupted_task")).union(gap(unsure, "langgraph.undecided_interrupt"))
+    unread = named.packets(base.where(F.col("channel_values")[named.PACKETS].isNotNull())).where(F.col("node").isNull() & (F.col("channel") == named.PACKETS))
+    codes = codes.union(unread.select("thread_id", F.lit("langgraph.undecodable_send_packets")))
     codes = codes.union(main.where("rewritten").select("trace_id", F.lit("langgraph.rewritten_error_channel")))
-    gaps = codes.groupBy("thread_id", "code").agg(F.count(F.lit(1)).alias("count")).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("code", "count"))).alias("gaps"))
     links = edges.select(F.col("thread_id").alias("trace_id"), F.lit("CAUSED_BY").alias("type"), "src", "dst", "origin")
     for where, kind in ((failed, "task"), (paused, "interrupt")):
         links = links.union(per.where(where).select("thread_id", F.lit("CAUSED_BY"), mark(kind), "sid", F.lit("checkpoint_parent")))
+    if graph:
+        waiting, lost_codes = _scheduled(base, head, main, graph)
+        steps, codes = steps.unionByName(waiting.drop("head")), codes.union(lost_codes)
+        links = links.union(waiting.select("trace_id", F.lit("CAUSED_BY"), "step_id", "head", F.lit("checkpoint_parent")))
+    gaps = codes.groupBy("thread_id", "code").agg(F.count(F.lit(1)).alias("count")).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("code", "count"))).alias("gaps"))
     heads = steps.groupBy("trace_id").agg(F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status")).join(gaps.withColumnRenamed("thread_id", "trace_id"), "trace_id", "left")
+    fingerprint = F.struct(F.lit(graph.fingerprint().first()[0]).alias("fingerprint")) if graph else F.lit(None).cast("struct<fingerprint: string>")  # one digest
     traces = heads.select(
         "trace_id", F.lit(source_kind).alias("source_kind"), F.lit(None).cast("string").alias("run_id"), F.col("trace_id").alias("thread_id"), "status", F.lit("declared_dag").alias("causal_fidelity"), F.lit(None).cast("boolean").alias("links_preserved"),
-        F.lit(None).cast("array<struct<source: string, artifact_digest: string, graph_generation: bigint, verdict: string>>").alias("decision_evidence"), F.lit(None).cast("struct<fingerprint: string>").alias("schedule_graph"),
+        F.lit(None).cast("array<struct<source: string, artifact_digest: string, graph_generation: bigint, verdict: string>>").alias("decision_evidence"), fingerprint.alias("schedule_graph"),
         F.struct(F.coalesce("gaps", F.array().cast("array<struct<code: string, count: bigint>>")).alias("gaps")).alias("capture"),
     )
     return TraceSet(traces, steps.drop("rewritten"), links)
+
+
+def _scheduled(base: DataFrame, head: DataFrame, main: DataFrame, graph: named.Graph) -> tuple[DataFrame, DataFrame]:
+    """Steps (with ``head``) of tasks that the graph schedules at the newest root checkpoint and that wrote nothing there, and the gap codes of what the graph's answer leaves
+    out: packets to nodes that it hasn't, and input writes that wait to be applied. A task given for another checkpoint is an error."""
+    heads = staged(base.join(head.select("thread_id", F.col("head").alias("sid")), ["thread_id", "sid"]))
+    tasks = graph.tasks if graph.tasks is not None else named.scheduled_tasks(heads, graph.nodes)
+    at = heads.select("thread_id", "sid", F.col("checkpoint_id").alias("newest"))
+    other = F.raise_error(F.concat(F.lit("the graph read a checkpoint that isn't the newest of its thread: "), F.col("checkpoint_id"))).cast("string")
+    tasks = tasks.join(at, "thread_id").withColumn("sid", F.when(F.col("checkpoint_id").eqNullSafe(F.col("newest")), F.col("sid")).otherwise(other))
+    wrote = heads.select("thread_id", F.explode("pending_writes").alias("w")).where("w.task_id IS NOT NULL AND w.channel IS NOT NULL")
+    idle = tasks.join(wrote.select("thread_id", F.col("w.task_id").alias("task_id")), ["thread_id", "task_id"], "left_anti")
+    idle = idle.join(main.select(F.col("trace_id").alias("thread_id"), F.col("step_id").alias("sid"), F.col("seq").alias("at"), "ts"), ["thread_id", "sid"])
+    steps = idle.select(
+        F.col("thread_id").alias("trace_id"), F.concat("sid", F.lit("#scheduled:"), "task_id").alias("step_id"), (F.col("at") + 1).alias("seq"), "ts", F.when(looks_like_tool(F.col("name")), "TOOL").otherwise("CHAIN").alias("kind"), F.lit("scheduled").alias("source"), "name",
+        F.lit("unset").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.lit(None).cast(schema.EVIDENCE).alias("evidence"), F.lit(None).cast("boolean").alias("projection_lossy"), F.array().cast("array<string>").alias("unknown_fields"), F.lit(False).alias("rewritten"), F.col("sid").alias("head"),
+    )
+    channels = graph.nodes.select(F.explode("triggers").alias("channel")).union(base.sparkSession.createDataFrame([(named.PACKETS,)], "channel string")).distinct()
+    waits = wrote.where(F.col("w.task_id") == NULL_TASK).select("thread_id", F.col("w.channel").alias("channel")).join(channels, "channel", "left_semi")
+    unknown = named.packets(heads).where("node IS NOT NULL").join(graph.nodes.select("node"), "node", "left_anti")
+    return steps, waits.select("thread_id", F.lit("langgraph.unapplied_command_goto").alias("code")).union(unknown.select("thread_id", F.lit("langgraph.unknown_send_target")))

@@ -119,6 +119,44 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(rows, ROWS)
 
 
+def task_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint history of each user in which an event's k says what became of a task: 0 to 3 failed as a routed, a joined, a seen or a sent node, 4 with its
+    node written down, 5 cancelled at the start, 6 failed under an id that no node has. Every second history ends paused, every third with an input write."""
+    from causeway.sources.checkpoints import ROWS
+    from causeway.sources.tasks import PACKETS, SOURCE_NODE
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumns({"seq": F.row_number().over(line) - 1, "last": F.lead("event_id").over(line).isNull()})
+    k, text, kind = F.col("k"), lambda stem, n: F.concat(F.lit(stem), n.cast("string")), F.col("k") % 7
+    e = e.withColumns({"cid": F.concat(F.lit("c"), F.lpad(F.col("seq").cast("string"), 7, "0")), "routed": text("n", k % 3), "joined": text("join", k % 2), "seen": F.when(k % 2 == 0, "call_tool").otherwise("seen")})
+    branch = lambda c: F.concat(F.lit("branch:to:"), F.col(c) if isinstance(c, str) else c)
+
+    def task(node, *rest):
+        h = F.sha1(F.concat(F.unhex("cid"), F.concat(node, F.col("seq").cast("string"), node, *rest).cast("binary")))
+        return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+    pull, start = F.lit("__pregel_pull"), F.lit("__start__")
+    routed = task(F.col("routed"), pull, branch("routed"))
+    ids = F.when(kind == 0, routed).when(kind == 1, task(F.col("joined"), pull, branch("joined"), F.concat(F.lit("join:a+b:"), "joined"))).when(kind == 2, task(F.col("seen"), pull, branch("seen")))
+    ids = ids.when(kind == 3, task(text("send", k % 2), F.lit("__pregel_push"), (k % 2).cast("string"))).when(kind == 4, "zz").when(kind == 5, task(start, pull, start)).otherwise("unknown")
+    write = lambda t, channel, value: F.struct(t.alias("task_id"), F.lit(channel).alias("channel"), F.lit(value).alias("value"))
+    writes = F.array(write(ids, "__error__", "ValueError('no')"))
+    writes = F.when(kind == 4, F.array(write(F.lit("zz"), "__error__", "KeyError('k')"), write(F.lit("zz"), SOURCE_NODE, "origin"))).when(kind == 5, F.array(write(ids, "__error__", "CancelledError()"))).otherwise(writes)
+    ends = lambda n: F.col("last") & (F.col("user_id") % n == 0)
+    paused = F.when(ends(2) & (kind != 0), F.array(write(routed, "__interrupt__", "?"))).otherwise(F.array().cast("array<struct<task_id: string, channel: string, value: string>>"))
+    moved = F.when(ends(3), F.array(write(F.lit("00000000-0000-0000-0000-000000000000"), "branch:to:n0", "1"), write(F.lit("00000000-0000-0000-0000-000000000000"), "other", "1"))).otherwise(F.array().cast("array<struct<task_id: string, channel: string, value: string>>"))
+    values = F.map_concat(F.create_map(branch("routed"), F.lit("1")), F.when(kind == 3, F.create_map(F.lit(PACKETS), F.lit('[{"node": "send0", "arg": 1}, {"node": "send1"}, null]'))).otherwise(F.create_map().cast("map<string,string>")))
+    versions = F.create_map(branch("routed"), F.col("seq").cast("string"), F.concat(F.lit("join:a+b:"), "joined"), F.lit("1"))
+    seen = F.create_map(F.col("seen"), F.create_map().cast("map<string,string>"), F.col("routed"), F.create_map(branch("routed"), (F.col("seq") - k % 2).cast("string")))
+    rows = e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("thread_id"), F.lit("").alias("checkpoint_ns"), F.col("cid").alias("checkpoint_id"), F.when(F.col("seq") > 0, F.concat(F.lit("c"), F.lpad((F.col("seq") - 1).cast("string"), 7, "0"))).alias("parent_checkpoint_id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), F.lit(1).alias("v"), values.alias("channel_values"), versions.alias("channel_versions"), seen.alias("versions_seen"), F.when(F.col("seq") == 0, "input").otherwise("loop").alias("md_source"),
+        (F.col("seq") - 1).cast("int").alias("md_step"), F.concat(writes, paused, moved).alias("pending_writes"),
+    )
+    return _whole(rows, ROWS)
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> TraceSet:
     """One trace a conversation: each turn is caused by the turn before."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
