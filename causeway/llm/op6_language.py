@@ -21,7 +21,7 @@ from .common import column, fresh, keep_only, narrow, small_batches
 FEATURES = 4096
 #: Labelled rows a language that centroids are fitted on, and all of them at most; with more languages each has fewer. The bounds of the fit.
 SAMPLE, SAMPLE_ALL = 250, 8000
-#: Labels of fewer training rows are no languages, nor are those beyond the most frequent.
+#: Labels of fewer training rows are no languages, nor are those beyond the most frequent: the model's size is bounded by their number.
 MIN_ROWS, LABELS = 5, 200
 CENTROIDS = 4
 ROUNDS = 12
@@ -196,8 +196,12 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, with all columns, that the classifier does not reject."""
-    predict = predictor(docs.sparkSession, fit(training_rows(docs), sample))
+    """The rows of ``docs``, with all columns, that the classifier does not reject. A table from which no language can be learnt is kept
+    whole: nothing says then that a text is in none of them."""
+    model = fit(training_rows(docs), sample)
+    if not model.labels:
+        return docs
+    predict = predictor(docs.sparkSession, model)
     names, rejected = docs.columns, fresh(docs, "rejected")
     seen = docs.select(*[column(docs, n) for n in names], predict(column(docs, "text").cast("string"))["rejected"].alias(rejected))
     return seen.where(~column(seen, rejected)).select(*[column(seen, n) for n in names])

@@ -382,6 +382,8 @@ def test_language(spark):
     assert kept.columns == table(spark, rows).columns and {r.doc_id for r in kept.collect()} >= set(truth)
     assert op6_language.identify(table(spark, rows[:0] + [(1, "no labels", None)])).first().lang_pred == "und"
     assert op6_language.identify(table(spark, rows).limit(0)).count() == 0
+    unlabelled = table(spark, [(k, "some text", None) for k in range(9)])
+    assert op6_language.keep_identified(unlabelled).count() == 9 and op6_language.keep_identified(unlabelled.limit(0)).count() == 0
 
 
 def test_language_equals_brute_force(spark, small):
