@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from causeway import schema
 from causeway.functions.labels import label
 from causeway.plans.projection import causes
-from causeway.plans.walk import gap_pairs
+from causeway.plans.walk import first_pairs, gap_pairs
 from causeway.schema import TraceSet
 from causeway.session import staged
 
@@ -145,20 +145,27 @@ AUTO = ("tool-retry-failure", "repeated-agent-failure", "gate-failure-after-succ
 def matches(ts: TraceSet, pattern: PathPattern, details: bool = False) -> DataFrame:
     """trace_id, s0, s0_seq, s1, s1_seq, ...: one row a match (details: also each step's kind, name, status,
     source, error_msg and unknown_fields as s0_kind, ...). A pattern without predicates matches nothing."""
-    fields = ["seq", "name", "kind"] + (["status", "source", "error_msg", "unknown_fields"] if details else [])
-
-    def candidates(i: int) -> DataFrame:
-        return ts.steps.where(pattern.steps[i].condition()).select("trace_id", F.col("step_id").alias(f"s{i}"), *[F.col(f).alias(f"s{i}_{f}") for f in fields])
-
     if not pattern.steps:
         return ts.steps.where("false").select("trace_id")
-    out, edges = candidates(0), causes(ts)
+    hops, edges = [], causes(ts)
     for i, p in enumerate(pattern.steps[1:], 1):
         if p.gap in (None, (1, 1)):
-            hop = edges.select("trace_id", F.col("dst").alias(f"s{i - 1}"), F.col("src").alias(f"s{i}"))
+            hops.append(edges.select("trace_id", F.col("dst").alias(f"s{i - 1}"), F.col("src").alias(f"s{i}")))
         else:
             before = pattern.steps[i - 1].condition()
-            hop = gap_pairs(ts, before, p.condition(), *p.gap, same_name=p.same_name_as == i - 1).toDF("trace_id", f"s{i - 1}", f"s{i}")
+            hops.append(gap_pairs(ts, before, p.condition(), *p.gap, same_name=p.same_name_as == i - 1).toDF("trace_id", f"s{i - 1}", f"s{i}"))
+    return _joined(ts, pattern, hops, details)
+
+
+def _joined(ts: TraceSet, pattern: PathPattern, hops: list[DataFrame], details: bool) -> DataFrame:
+    """The matches from each hop's pairs of steps."""
+    fields = ["seq", "name", "kind"] + (["status", "source", "error_msg", "unknown_fields"] if details else [])
+
+    def candidates(i: int) -> DataFrame:
+        return ts.steps.where(pattern.steps[i].condition()).select("trace_id", F.col("step_id").alias(f"s{i}"), *[F.col(f).alias(f"s{i}_{f}") for f in fields])
+
+    out = candidates(0)
+    for i, (p, hop) in enumerate(zip(pattern.steps[1:], hops), 1):
         out = out.join(hop, ["trace_id", f"s{i - 1}"]).join(candidates(i), ["trace_id", f"s{i}"])
         if p.same_name_as is not None:  # plain equality: a null name equals nothing
             out = out.where(F.col(f"s{p.same_name_as}_name") == F.col(f"s{i}_name"))
@@ -173,11 +180,20 @@ def order_columns(pattern: PathPattern) -> list[str]:
     return [c for i in range(len(pattern.steps)) for c in (f"s{i}_seq", f"s{i}")]
 
 
-def first_matches(found: DataFrame, pattern: PathPattern, n: int) -> DataFrame:
-    """The first n matches of all traces in canonical order, each with the exact total. Matches are staged, so they are made once; the sort
-    keeps n rows a task, and no window gathers the matches."""
-    found = staged(found)
-    return found.orderBy("trace_id", *order_columns(pattern)).limit(n).withColumn("total", F.lit(found.count()))
+def first_matches(ts: TraceSet, pattern: PathPattern, n: int, details: bool = False) -> DataFrame:
+    """The first n matches of all traces in canonical order, each with the exact total. Where the pattern is one gap, a trace gives its first n pairs and counts
+    the others from its index. Else the matches pass twice, through a sort that keeps n rows a task and through a count. Neither writes them all."""
+    gap = pattern.steps[1].gap if len(pattern.steps) == 2 else None
+    after = pattern.steps[1] if len(pattern.steps) == 2 else None
+    if gap not in (None, (1, 1)):
+        pairs = staged(first_pairs(ts, pattern.steps[0].condition(), after.condition(), *gap, same_name=after.same_name_as == 0, first=n))
+        total = pairs.select("trace_id", "total").distinct().agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        seen = pairs.select("trace_id", F.col("a").alias("s0"), F.col("e").alias("s1"))
+        return _joined(ts, pattern, [seen], details).orderBy("trace_id", *order_columns(pattern)).limit(n).withColumn("total", F.lit(total).cast("long"))
+    found = matches(ts, pattern, details)
+    if not pattern.steps:
+        return found.withColumn("total", F.lit(0).cast("long"))
+    return found.orderBy("trace_id", *order_columns(pattern)).limit(n).withColumn("total", F.lit(found.count()).cast("long"))
 
 
 def numbered(found: DataFrame, pattern: PathPattern) -> DataFrame:

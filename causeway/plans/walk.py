@@ -98,74 +98,131 @@ def over_graphs(ts: TraceSet, fn: Callable[[Graph], Iterator[tuple]], ddl: str,
     return dealt.mapInArrow(run, ddl)
 
 
-def _bits(x: int) -> Iterator[int]:
-    while x:
-        low = x & -x
-        yield low.bit_length() - 1
-        x ^= low
-
-
-#: Starts that are walked at once; a block's sets take so many bits a step.
-BLOCK = 4096
-
-
-def spans(graph: Graph, lo: int, hi: int | None) -> Iterator[tuple[int, list[int], int]]:
-    """(step, starts, bitset of those starts from which a causal path of lo to hi hops leads to the step), for marked ends, in blocks of
-    starts. Unbounded: of lo hops at least. Sets of exact lengths are advanced one hop at a time."""
-    n = len(graph.ids)
-    every = [i for i in range(n) if graph.marks[i] & 1]
-    hop = lambda sets: [_union(sets, graph.causes[i]) for i in range(n)]
-    for k in range(0, len(every), BLOCK):
-        block = every[k : k + BLOCK]
-        starts = [0] * n
-        for bit, i in enumerate(block):
-            starts[i] = 1 << bit
-        if hi is None:
-            reach = [0] * n
-            for i in range(block[0], n):
-                reach[i] = starts[i] | _union(reach, graph.causes[i])
-            for _ in range(lo):
-                reach = hop(reach)
-            found = reach
-        else:
-            exact, found = starts, [0] * n
-            for length in range(1, min(hi, n) + 1):
-                exact = hop(exact)
-                if length >= lo:
-                    found = [f | e for f, e in zip(found, exact)]
-                if not any(exact):
-                    break
+class Reach:
+    """What each step leads to, as intervals. A spanning tree of the latest causes numbers the steps so that a subtree is one interval; the effects
+    of a step are the union of its effects' intervals, merged. Near-trees need few intervals a step, so the index is about as long as the
+    trace. ``levels``: intervals of what is reached by a path of at least so many hops; level 0 has the step itself."""
+
+    def __init__(self, graph: Graph, levels: int):
+        n = len(graph.ids)
+        effects: list[list[int]] = [[] for _ in range(n)]
+        below: list[list[int]] = [[] for _ in range(n)]
+        roots = []
+        for i, cs in enumerate(graph.causes):
+            (below[cs[-1]] if cs else roots).append(i)
+            for c in cs:
+                effects[c].append(i)
+        size = [1] * n
+        for i in range(n - 1, -1, -1):
+            if graph.causes[i]:
+                size[graph.causes[i][-1]] += size[i]
+        self.number, free = [0] * n, 0
+        for r in roots:
+            self.number[r], free = free, free + size[r]
         for i in range(n):
-            if graph.marks[i] & 2 and found[i]:
-                yield i, block, found[i]
+            free = self.number[i] + 1
+            for e in below[i]:
+                self.number[e], free = free, free + size[e]
+        now = [[] for _ in range(n)]
+        for i in range(n - 1, -1, -1):
+            own = (self.number[i], self.number[i] + size[i])
+            extra = [x for e in effects[i] for x in now[e] if not own[0] <= x[0] <= x[1] <= own[1]]
+            now[i] = _merged([own, *extra]) if extra else [own]
+        for _ in range(levels):
+            now = [_merged([x for e in effects[i] for x in now[e]]) for i in range(n)]
+        self.intervals = now
+
+
+def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    if len(intervals) < 2:
+        return intervals
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            if hi > out[-1][1]:
+                out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _union(sets: list[int], of: list[int]) -> int:
-    out = 0
-    for j in of:
-        out |= sets[j]
-    return out
+def _exact(graph: Graph, start: int, effects: list[list[int]], lo: int, hi: int) -> set[int]:
+    """The steps that paths of lo to hi hops lead to from one start."""
+    front, found = {start}, set()
+    for length in range(1, hi + 1):
+        front = {e for i in front for e in effects[i]}
+        if not front:
+            break
+        if length >= lo:
+            found |= front
+    return found
+
+
+def _pairs(g: Graph, lo: int, hi: int | None, same_name: bool) -> Iterator[tuple[int, int, Callable[[], list[int]]]]:
+    """For each marked start in order: (start, how many ends it leads to, a function that lists them in order). Starts without an end of their name further
+    along are passed over."""
+    ends: dict[str | None, list[int]] = {}
+    for i, m in enumerate(g.marks):
+        if m & 2 and not (same_name and g.names[i] is None):
+            ends.setdefault(g.names[i] if same_name else None, []).append(i)
+    starts = [(i, ends[k]) for i, m in enumerate(g.marks) if m & 1 and (k := g.names[i] if same_name else None) in ends and not (same_name and k is None) and ends[k][-1] > i]
+    if not starts:
+        return
+    if hi is None:
+        from bisect import bisect_left
+
+        index = Reach(g, lo)
+        by_number = {k: sorted((index.number[e], e) for e in own) for k, own in ends.items()}
+        numbers = {k: [x for x, _ in own] for k, own in by_number.items()}
+        for i, own in starts:
+            k = g.names[i] if same_name else None
+            cuts = [(bisect_left(numbers[k], x), bisect_left(numbers[k], y)) for x, y in index.intervals[i]]
+            yield i, sum(y - x for x, y in cuts), lambda cuts=cuts, k=k: sorted(e for x, y in cuts for _, e in by_number[k][x:y])
+    else:
+        effects: list[list[int]] = [[] for _ in g.ids]
+        for i, cs in enumerate(g.causes):
+            for c in cs:
+                effects[c].append(i)
+        for i, own in starts:
+            found = _exact(g, i, effects, lo, hi)
+            met = [e for e in own if e in found] if len(own) < len(found) else sorted(found.intersection(own))
+            yield i, len(met), lambda met=met: met
+
+
+def _likely(ts: TraceSet, start: Column, end: Column, same_name: bool) -> TraceSet:
+    """The traces with a start before an end (of its name)."""
+    by = ["trace_id", "name"] if same_name else ["trace_id"]
+    marks = ts.steps.groupBy(*by).agg(F.min(F.when(start, F.col("seq"))).alias("first"), F.max(F.when(end, F.col("seq"))).alias("last"))
+    return ts.where(marks.where("last > first" + (" AND name IS NOT NULL" if same_name else "")).select("trace_id").distinct())
 
 
 def gap_pairs(ts: TraceSet, start: Column, end: Column, lo: int, hi: int | None, same_name: bool) -> DataFrame:
     """trace_id, a, e: marked steps that a causal path of lo to hi hops connects (a is the cause); with
-    same_name both names must be there and equal. Only traces that have a start before an end (of its name) are walked."""
+    same_name both names must be there and equal. Only traces that have a start before an end (of its name) are walked. Without
+    an upper bound the work grows with the trace and the pairs found, not with starts times steps."""
 
     def run(g: Graph) -> Iterator[tuple]:
-        now, named = None, {}
-        for i, block, found in spans(g, lo, hi):
-            if same_name and block is not now:
-                now, named = block, {}
-                for bit, j in enumerate(block):
-                    if g.names[j] is not None:
-                        named[g.names[j]] = named.get(g.names[j], 0) | 1 << bit
-            for bit in _bits(found & named.get(g.names[i], 0) if same_name else found):
-                yield g.trace_id, g.ids[block[bit]], g.ids[i]
+        for i, n, listed in _pairs(g, lo, hi, same_name):
+            for e in listed() if n else ():
+                yield g.trace_id, g.ids[i], g.ids[e]
 
-    by = ["trace_id", "name"] if same_name else ["trace_id"]
-    marks = ts.steps.groupBy(*by).agg(F.min(F.when(start, F.col("seq"))).alias("first"), F.max(F.when(end, F.col("seq"))).alias("last"))
-    likely = marks.where("last > first" + (" AND name IS NOT NULL" if same_name else "")).select("trace_id").distinct()
-    return over_graphs(ts.where(likely), run, "trace_id string, a string, e string", start, end)
+    return over_graphs(_likely(ts, start, end, same_name), run, "trace_id string, a string, e string", start, end)
+
+
+def first_pairs(ts: TraceSet, start: Column, end: Column, lo: int, hi: int | None, same_name: bool, first: int) -> DataFrame:
+    """trace_id, a, e, total: the first pairs of each trace by the order of their steps, so many at most, and in ``total`` how many there are. The rest
+    is counted from the index and never made."""
+
+    def run(g: Graph) -> Iterator[tuple]:
+        total, kept = 0, []
+        for i, n, listed in _pairs(g, lo, hi, same_name):
+            if n and len(kept) < first:
+                kept += [(i, e) for e in listed()[: first - len(kept)]]
+            total += n
+        for i, e in kept:
+            yield g.trace_id, g.ids[i], g.ids[e], total
+
+    return over_graphs(_likely(ts, start, end, same_name), run, "trace_id string, a string, e string, total long", start, end)
 
 
 def ancestors(ts: TraceSet, target: Column) -> DataFrame:

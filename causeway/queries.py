@@ -156,7 +156,12 @@ _add_pattern("e04_two_gaps_same_tool", patterns.PathPattern((_S(kind="TOOL", sta
 @query("l02_first_matches", _pattern_sql(P["tool-repeat-failure-heuristic"], limit=50))
 def _first(spark, d):
     p = P["tool-repeat-failure-heuristic"]
-    return patterns.first_matches(patterns.matches(views.events(spark, d), p), p, 50)
+    return patterns.first_matches(views.events(spark, d), p, 50)
+
+
+@query("l03_first_strict_matches", _pattern_sql(P["gate-failure-after-success"], limit=20))
+def _first_strict(spark, d):
+    return patterns.first_matches(views.events(spark, d), P["gate-failure-after-success"], 20)
 
 
 def _sweep_sql(names: tuple[str, ...], traces: str = "") -> str:

@@ -240,18 +240,94 @@ def test_differences_equal_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
-def test_walks_in_blocks(spark, monkeypatch):
-    """Gap pairs are the same however few starts a block has."""
+def test_walks_equal_brute_force(spark):
+    """Gap pairs, and their first ones with the total, against paths taken hop by hop."""
     import random
 
     rng = random.Random(8)
-    rows = [("t", f"s{k:02d}", k, rng.choice(["x", "y", None]), "TOOL", rng.choice(["ok", "error"])) for k in range(40)]
-    edges = [("t", f"s{k:02d}", f"s{j:02d}") for k in range(1, 40) for j in {rng.randrange(k), max(0, k - 1)}]
+    rows = [(f"t{t}", f"s{k:02d}", k, rng.choice(["x", "y", None]), "TOOL", rng.choice(["ok", "error"])) for t in range(4) for k in range(40)]
+    edges = [(f"t{t}", f"s{k:02d}", f"s{j:02d}") for t in range(4) for k in range(1, 40) for j in {rng.randrange(k), max(0, k - 1)} if rng.random() < (0.4, 0.7, 1, 0.9)[t]]
     ts = build(spark, rows, edges)
-    shown = lambda: [sorted(map(tuple, walk.gap_pairs(ts, F.col("status") == "ok", F.col("status") == "error", lo, hi, same).collect())) for lo, hi, same in ((2, None, True), (1, 3, False))]
-    whole = shown()
-    monkeypatch.setattr(walk, "BLOCK", 3)
-    assert shown() == whole and all(whole)
+    ok, failed = F.col("status") == "ok", F.col("status") == "error"
+    effects = {}
+    for t, src, dst in edges:
+        effects.setdefault((t, dst), set()).add(src)
+    at = {(t, s): (name, status) for t, s, _, name, _, status in rows}
+
+    def brute(lo, hi, same):
+        for t, a in at:
+            front, seen = {a}, set()
+            for length in range(1, 41 if hi is None else hi + 1):
+                front = {e for i in front for e in effects.get((t, i), ())}
+                seen |= front if length >= lo else set()
+            yield from ((t, a, e) for e in seen if at[t, a][1] == "ok" and at[t, e][1] == "error" and (not same or at[t, a][0] is not None and at[t, a][0] == at[t, e][0]))
+
+    for lo, hi, same in ((1, None, False), (2, None, True), (3, None, False), (1, 3, False), (2, 30, True)):
+        want = sorted(brute(lo, hi, same))
+        assert sorted(map(tuple, walk.gap_pairs(ts, ok, failed, lo, hi, same).collect())) == want and want
+        first = sorted(map(tuple, walk.first_pairs(ts, ok, failed, lo, hi, same, 3).collect()))
+        by = {t: [w for w in want if w[0] == t] for t in {w[0] for w in want}}
+        assert first == [(*w, len(by[t])) for t in sorted(by) for w in by[t][:3]]
+
+
+def test_first_matches(spark):
+    from causeway.plans.patterns import PRESETS, PathPattern, StepPredicate, first_matches, matches, order_columns
+
+    ts = build(spark, [(t, f"s{k}", k, "a", "AGENT", "error") for t in ("x", "y") for k in range(30)], [(t, f"s{k}", f"s{k - 1}") for t in ("x", "y") for k in range(1, 30)])
+    three = PathPattern((StepPredicate(kind="AGENT"), StepPredicate(kind="AGENT", gap=(2, 4)), StepPredicate(status="error", same_name_as=0)))
+    for pattern in (PRESETS["repeated-agent-failure"], PRESETS["error"], three, PathPattern((StepPredicate(name="none"), StepPredicate(gap=(1, None)))), PathPattern(())):
+        every = matches(ts, pattern)
+        want = [tuple(r) for r in every.orderBy("trace_id", *order_columns(pattern)).limit(40).collect()]
+        got = first_matches(ts, pattern, 40).collect()
+        assert [tuple(r)[:-1] for r in got] == want and {r.total for r in got} <= {every.count()}
+        assert first_matches(ts, pattern, 0).count() == 0
+
+
+def _seconds(fn) -> float:
+    import time
+
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        fn()
+        took.append(time.process_time() - began)
+    return min(took)
+
+
+def test_gap_walks_grow_in_proportion():
+    """One trace twice as long takes at most three times as long: chains whose names never, always or in pairs repeat, a wide fan, and near-trees."""
+
+    def graph(n, causes, name):
+        g = walk.Graph("t")
+        for i in range(n):
+            g.step(f"s{i}", i, name(i), 3)
+        for i in range(1, n):
+            for c in causes(i):
+                g.edge(f"s{i}", f"s{c}", True)
+        g.close()
+        return g
+
+    chain, fan, braid = lambda i: [i - 1], lambda i: [0], lambda i: {max(0, i - 1), max(0, i - 4)}
+    count = lambda g, lo, hi, same: sum(n for _, n, _ in walk._pairs(g, lo, hi, same))
+    for causes, name, lo, hi, same in ((chain, lambda i: f"n{i}", 1, None, True), (chain, lambda i: None, 1, None, True), (chain, lambda i: f"n{i // 2}", 1, None, True), (chain, lambda i: "n", 2, None, True), (fan, lambda i: "n", 1, None, False), (braid, lambda i: "n", 2, None, True), (chain, lambda i: f"n{i % 40}", 2, 30, True)):
+        took = [_seconds(lambda g=graph(n, causes, name): count(g, lo, hi, same)) for n in (4000, 8000, 16000)]
+        assert all(b <= 3 * a + 0.05 for a, b in zip(took, took[1:])), took
+
+
+def test_first_of_millions_of_matches(spark):
+    """A chain of 2,500 failing agents of one name has 3.1 million matches; the first is found and the others counted without being made."""
+    from causeway.plans.patterns import PRESETS, first_matches
+
+    ids = spark.range(2500).withColumn("trace_id", F.lit("t"))
+    ts = build(spark, [("t", "s", 0, "a", "AGENT", "error")], [])
+    steps = ids.select("trace_id", F.concat(F.lit("s"), "id").alias("step_id"), F.col("id").alias("seq"), F.lit("AGENT").alias("kind"), F.lit("a").alias("name"), F.lit("error").alias("status"))
+    edges = ids.where("id > 0").select("trace_id", F.lit("CAUSED_BY").alias("type"), F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("s"), F.col("id") - 1).alias("dst"), F.lit("graph_parent").alias("origin"))
+    whole = lambda df, like: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+    ts = TraceSet(ts.traces, whole(steps, ts.steps), whole(edges, ts.edges))
+    pairs = walk.first_pairs(ts, F.lit(True), F.lit(True), 1, None, True, 1)
+    assert pairs.collect()[0].total == 2500 * 2499 // 2 and pairs.count() == 1
+    got = first_matches(ts, PRESETS["repeated-agent-failure"], 1).collect()
+    assert [(r.s0, r.s1, r.total) for r in got] == [("s0", "s1", 3123750)]
 
 
 def test_analysis_and_reasons(spark):
