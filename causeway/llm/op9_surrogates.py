@@ -7,8 +7,9 @@ own type and format, drawn by a keyed hash: names of the same script and gender,
 layout, check digits that are right where they were. Surrogates that meet another's, or any real entity, are drawn
 again from a wider space, so distinct entities stay distinct and all mentions of one stay one.
 
-Not found: names without a title anywhere in their row, names in scripts without capitals, postal addresses, phone
-numbers written with spaces only and no country code or brackets. Initials and particles (van, de) stay as they are.
+Not found: names without a title anywhere in their row, names in scripts without capitals, postal addresses, passport numbers, dates of birth.
+Initials and particles (van, de), suffixes (Jr, III) and a possessive 's stay as they are. A word that
+is a name somewhere in a row counts as one all over it, also where it stands for something else (Mr May, in May).
 """
 
 from __future__ import annotations
@@ -16,32 +17,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import narrow, spread_join, staged
 
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+# A repeated group is possessive or bounded, and a look-ahead is bounded: Java matches other repeated groups by recursion.
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 #: What stands before an assigned secret, and the secret: eight characters or more with a letter and a digit.
 ASSIGNED = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b[\"']? ?[=:] ?[\"']?)"
-VALUE = r"(?=[^\s\"'<>,;)]*[0-9])(?=[^\s\"'<>,;)]*[A-Za-z])[^\s\"'<>,;)]{7,127}[^\s\"'<>,;).!?:]"
+VALUE = r"(?=[^\s\"'<>,;)]{0,128}[0-9])(?=[^\s\"'<>,;)]{0,128}[A-Za-z])[^\s\"'<>,;)]{7,127}[^\s\"'<>,;).!?:]"
 #: Public prefixes of keys; fixed values.
 MARK = r"(?:AKIA|ASIA|sk-|gh[pousr]_)"
 KEY = rf"(?<![0-9A-Za-z]){MARK}[A-Za-z0-9_\-]{{14,120}}[A-Za-z0-9]"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
-IP6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"
+IP6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,40}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"
 CARD = r"(?<![0-9])(?:[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![0-9])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = (
     r"(?<![0-9+\-.])(?:\+?1[ \-.]?)?(?:\([0-9]{3}\)[ \-.]?|[0-9]{3}[\-.])[0-9]{3}[ \-.][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+\-.,]|[0-9] )(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?! ?[0-9]|[A-Za-z])|(?<![0-9A-Za-z+\-.,/_=#&])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z\-/_]|[.,][0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}(?:[ \-.]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])"
 )
 #: Titles by the gender that they tell; fixed values.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Господин", "Господину"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Doña", "Madame", "Mme", "Mlle", "Госпожа", "Госпоже"], "u": ["Mx", "Dr", "Prof", "Professor", "Доктор", "Профессор"]}
 _TITLES = [t for ts in TITLES.values() for t in ts]
-WORD = r"\p{Lu}[\p{L}\p{M}]*[\p{L}\p{M}](?:['’\-]\p{L}[\p{L}\p{M}]*)*|\p{Lu}['’]\p{Lu}[\p{L}\p{M}]+(?:-\p{Lu}[\p{L}\p{M}]+)*"
+#: A possessive 's is no part of a name.
+WORD = r"\p{Lu}[\p{L}\p{M}]++(?:['’\-](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+|\p{Lu}['’]\p{Lu}[\p{L}\p{M}]++(?:-\p{Lu}[\p{L}\p{M}]++)*+"
+#: What follows a name and is none; fixed values.
+SUFFIXES = ["Jr", "Jun", "Junior", "Senior", "II", "III", "IV"]
 _PARTICLE = "(?:van|von|de|del|della|di|da|la|le|der|den|bin|al)"
-NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(_TITLES)})\.?(?: (?:Dr|Prof)\.?)?(?: (?:{_PARTICLE} ){{0,2}}(?:{WORD}|\p{{Lu}}\.)){{1,4}}"
+NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(_TITLES)})\.?(?: (?:Dr|Prof)\.?)?(?: (?:{_PARTICLE} ){{0,2}}(?!(?:{'|'.join(_TITLES)})(?![\p{{L}}\p{{M}}]))(?:{WORD}|\p{{Lu}}\.)){{1,4}}"
 ANY = "|".join(["(?:" + p.replace(r"([ \-]?)", r"(?<gap>[ \-]?)").replace(r"\1", r"\k<gap>") + ")" for p in (EMAIL, ASSIGNED + VALUE, KEY, SECRET, IP6, IP, CARD, IBAN, SSN, PHONE, NAME)])
 #: Given names by script and gender, and syllables of family names, for surrogates.
 GIVEN = {
@@ -103,40 +109,29 @@ def _script(word: Column) -> Column:
 
 
 def _words(entity: Column) -> Column:
-    """A titled mention's name words; those of its titles are none."""
-    return F.filter(F.regexp_extract_all(entity, F.lit(WORD), 0), lambda w: ~w.isin(_TITLES))
+    """A titled mention's name words; those of its titles and suffixes are none."""
+    return F.filter(F.regexp_extract_all(entity, F.lit(WORD), 0), lambda w: ~w.isin(_TITLES + SUFFIXES))
 
 
 def _name_units(titled: Column) -> Column:
-    """Mentions with titles -> their words as units: the last word is a family name, the others are given names. A family name that a
-    woman bears in Cyrillic is taken in its form without the ending."""
+    """Mentions with titles -> their words as units: the last word is a family name, the others are given names. A family name with the
+    ending that women bear in Cyrillic is taken without it, whatever the title, so that one family keeps one surrogate; the ending is put back."""
 
     def units(entity: Column) -> Column:
         words, gender = _words(entity), _gender(entity)
 
         def unit(w: Column, i: Column) -> Column:
             last, low, script = i == F.size(words) - 1, F.lower(w), _script(w)
-            base = F.when(last & (gender == "f") & (script == "cyrillic"), F.regexp_replace(low, "(ов|ев|ёв|ин|ын)а$", "$1")).otherwise(low)
+            ending = F.coalesce((script == "cyrillic") & low.rlike("(ов|ев|ёв|ин|ын)а$"), F.lit(False))
+            base = F.when(last & ending, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
             canon = F.when(last, F.concat_ws(" ", script, base)).otherwise(F.concat_ws(" ", script, gender, low))
-            return F.struct(w.alias("text"), F.when(last, "surname").otherwise("given").alias("kind"), canon.alias("canon"), (gender == "f").alias("female"))
+            return F.struct(w.alias("text"), F.when(last, "surname").otherwise("given").alias("kind"), canon.alias("canon"), (last & ending).alias("female"))
 
         return F.transform(words, unit)
 
     return F.flatten(F.transform(titled, units)).cast(_UNIT)
 
 
-def _units(found: Column, names: Column) -> Column:
-    """All that is to be replaced in a row: entities, and the words of names; a word without a title is what it is with one."""
-    plain = F.transform(F.filter(found, lambda e: kind_of(e) != "name"), lambda e: F.struct(e.alias("text"), kind_of(e).alias("kind"), canonical(e, kind_of(e)).alias("canon"), F.lit(False).alias("female")))
-
-    def bare(e: Column) -> Column:
-        like = F.filter(names, lambda u: F.lower(u["text"]) == F.lower(e))
-        best = F.array_max(F.transform(like, lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"), u["female"].alias("female"))))
-        return F.struct(e.alias("text"), best["kind"].alias("kind"), best["canon"].alias("canon"), best["female"].alias("female"))
-
-    return F.concat(plain.cast(_UNIT), names, F.transform(F.filter(found, lambda e: (kind_of(e) == "name") & ~_title(e).isin(_TITLES)), bare).cast(_UNIT))
-
-
 def seen(kind: Column, canon: Column) -> Column:
     """What a reader can tell apart: a name without its script and gender."""
     return F.when(kind.isin(*_NAMES), F.substring_index(canon, " ", -1)).otherwise(canon)
@@ -204,7 +199,7 @@ def draw(entities: DataFrame, attempt: int, key: str) -> DataFrame:
     drawn = (
         F.when(kind == "email", email).when(kind == "secret", F.substring(h, F.lit(1), F.length(canon))).when(kind == "key", secret_key)
         .when(kind == "ip", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))).when(kind == "ip6", ip6)
-        .when(kind == "card", F.concat("payload", check.cast("string"))).when(kind == "phone", phone).when(kind == "ssn", F.concat(F.lit("9"), F.substring("digits", 1, 8))).when(kind == "iban", iban)
+        .when(kind == "card", F.concat("payload", check.cast("string"))).when(kind == "phone", phone).when(kind == "ssn", F.concat(F.lit("9"), F.substring("digits", 1, 8)) if attempt < 8 else F.substring("digits", 1, 9)).when(kind == "iban", iban)
         .when(kind == "given", F.when(cyrillic, given("cyrillic")).otherwise(given("latin"))).otherwise(surname)
     )
     return rows.select("kind", "canon", drawn.alias("surrogate"))
@@ -253,6 +248,21 @@ def assign(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame
     raise ValueError(f"no surrogate is left for {todo.first()['kind']} entities of one format after {attempts} draws")
 
 
+def _mentions(hits: DataFrame) -> DataFrame:
+    """hits (row, found, names) -> row, entity, kind, canon, female: each distinct thing to be replaced in a row, the words of names by
+    themselves. A word without a title is what it is with one, in any letter case; a word that is both kinds of name counts as a family name."""
+    found = hits.select("row", F.explode(F.array_distinct("found")).alias("entity"))
+    found = staged(found.withColumn("kind", kind_of(F.col("entity"))))
+    plain = found.where("kind <> 'name'").select("row", "entity", "kind", canonical(F.col("entity"), F.col("kind")).alias("canon"), F.lit(False).alias("female"))
+    words = hits.select("row", F.inline("names")).groupBy("row", "text").agg(F.max(F.struct("kind", "canon", "female")).alias("u"))
+    folded = words.groupBy("row", F.lower("text").alias("low")).agg(F.max("u").alias("u"))
+    # the form of the word itself tells its ending
+    bare = found.where((F.col("kind") == "name") & ~_title(F.col("entity")).isin(_TITLES)).select("row", "entity", F.lower("entity").alias("low")).join(folded, ["row", "low"])
+    both = words.select("row", F.col("text").alias("entity"), "u").union(bare.select("row", "entity", "u"))
+    names = both.groupBy("row", "entity").agg(F.max("u").alias("u")).select("row", "entity", "u.kind", "u.canon", "u.female")
+    return staged(plain.distinct().union(names))
+
+
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, text with surrogates, n_entities (mentions), n_distinct.
 
@@ -271,22 +281,25 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     rows = narrow(docs, doc_id="long", text="string").withColumn("first", F.when(may, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none))
     hits = staged(rows.where(F.size("first") > 0).withColumn("row", F.monotonically_increasing_id()))
     plain = rows.where(F.coalesce(F.size("first") <= 0, F.lit(True))).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
-    hits = hits.withColumn("names", _name_units(F.filter("first", lambda e: kind_of(e) == "name")))
+    # equal mentions are told apart from others once: a text of one name a million times has one
+    hits = hits.withColumn("names", _name_units(F.filter(F.array_distinct("first"), lambda e: kind_of(e) == "name")))
     # a row's own pattern: its name words count without a title too, as they are or in capitals
     forms = F.array_distinct(F.flatten(F.transform("names", lambda u: F.array(u["text"], F.upper(u["text"])))))
     longest = F.reverse(F.array_sort(F.transform(forms, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
     own = F.array_join(F.transform(longest, lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E"))), "|")
-    hits = hits.withColumn("pattern", F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), own, F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
+    hits = hits.withColumn("pattern", F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?=\p{Lu})(?:"), own, F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
     hits = hits.withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all("text", F.col("pattern"), 0)).otherwise(F.col("first")))
-    hits = staged(hits.select("row", "doc_id", "text", "pattern", "found", F.array_distinct(_units(F.col("found"), F.col("names"))).alias("units")))
-    # one unit a row and text: a word that is both kinds of name counts as a family name
-    units = hits.select("row", F.explode("units").alias("u")).groupBy("row", F.col("u.text").alias("entity")).agg(F.max(F.struct("u.kind", "u.canon", "u.female")).alias("u"))
-    mentions = units.select("row", "entity", "u.kind", "u.canon", "u.female")
+    hits = staged(hits.select("row", "doc_id", "text", "pattern", "found", "names"))
+    mentions = _mentions(hits)
     table = assign(staged(mentions.select("kind", "canon").distinct()), key)
-    named = mentions.join(table, ["kind", "canon"]).select("row", "canon", "kind", F.struct("entity", shaped(F.col("entity"), F.col("kind"), F.col("surrogate"), F.col("female")).alias("new")).alias("pair"))
+    by_entity = lambda df: df.withColumn("of", F.struct("kind", "canon"))
+    counts = by_entity(mentions).groupBy("of").agg(F.count("*").alias("n"))
+    named = spread_join(by_entity(mentions).drop("kind", "canon"), by_entity(table).select("of", "surrogate"), "of", counts).select("*", "of.kind", "of.canon").select("row", "canon", "kind", F.struct("entity", shaped(F.col("entity"), F.col("kind"), F.col("surrogate"), F.col("female")).alias("new")).alias("pair"))
     maps = named.groupBy("row").agg(F.map_from_entries(F.collect_list("pair")).alias("new"), F.count_distinct("kind", "canon").alias("n_distinct"))
     put = lambda text, pattern, found, how: F.array_join(F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("keep"), F.transform(found, how).alias("put")), lambda p: F.concat(p["keep"], F.coalesce(p["put"], F.lit("")))), "")
     word = lambda w: F.when(w.isin(_TITLES), w).otherwise(F.coalesce(F.col("new")[w], w))
     mention = lambda e: F.coalesce(F.col("new")[e], put(e, F.lit(WORD), F.regexp_extract_all(e, F.lit(WORD), 0), word))
-    changed = hits.join(maps, "row").select("doc_id", put(F.col("text"), F.col("pattern"), F.col("found"), mention).alias("text"), F.size("found").cast("long").alias("n_entities"), "n_distinct")
+    # a row of initials alone has nothing to be replaced
+    known = hits.join(maps, "row", "left").withColumn("new", F.coalesce("new", F.create_map().cast("map<string,string>")))
+    changed = known.select("doc_id", put(F.col("text"), F.col("pattern"), F.col("found"), mention).alias("text"), F.size("found").cast("long").alias("n_entities"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
     return plain.union(changed)
