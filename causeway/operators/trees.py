@@ -161,37 +161,78 @@ def _subtree_texts(tree: DataFrame, tops: DataFrame) -> DataFrame:
     return lists.select("trace_id", "step_id", text.alias("text"))
 
 
+def _paths(tree: DataFrame, steps: DataFrame) -> DataFrame:
+    """steps (trace_id, step_id) -> trace_id, step_id, path: the labels from the root down to the step; a step's ancestors are those whose places enclose its own."""
+    own = steps.distinct().join(tree.select("trace_id", "step_id", F.col("place").alias("at")), ["trace_id", "step_id"])
+    above = tree.select("trace_id", "place", "size", F.struct("level", F.coalesce("label", F.lit("")).alias("label")).alias("x"))
+    lists = own.join(above, "trace_id").where("place <= at AND at < place + size").groupBy("trace_id", "step_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lists.select("trace_id", "step_id", F.transform("x", lambda x: x["label"]).alias("path"))
+
+
+def _spines(rows: DataFrame) -> list[DataFrame]:
+    """Tables (trace_id, step, next, token) of strides of 1, 2, 4, ... steps down the spine, on which the child with the largest subtree follows if there is
+    but one such child. Tokens are equal where the strides pass equal labels and, at each step, equal other children."""
+    kids = F.collect_list(F.struct("size", "step", "canon", "label"))
+    own = rows.groupBy("trace_id", "above").agg(kids.alias("kids"), F.max(F.struct("size", "step", "label")).alias("top"))
+    alone = (F.size(F.filter("kids", lambda k: k["size"] == F.col("top.size"))) == 1) & F.nullif("top.label", F.lit("")).isNotNull()
+    others = F.array_sort(F.transform(F.filter("kids", lambda k: k["step"] != F.col("top.step")), lambda k: k["canon"]))
+    now = staged(own.where(alone).select("trace_id", F.col("above").alias("step"), F.col("top.step").alias("next"), F.sha2(F.to_json(F.struct("top.label", others.alias("others"))), 256).alias("token")))
+    out = []
+    while not now.isEmpty():
+        out.append(now)
+        after = now.select("trace_id", F.col("step").alias("next"), F.col("next").alias("far"), F.col("token").alias("then"))
+        now = staged(now.join(after, ["trace_id", "next"]).select("trace_id", "step", F.col("far").alias("next"), F.sha2(F.concat("token", "then"), 256).alias("token")))
+    return out
+
+
+def _descended(open_: DataFrame, spines: list[DataFrame]) -> DataFrame:
+    """Corresponding steps moved down their spines as far as both pass the same, the longest strides first."""
+    for k, spine in enumerate(reversed(spines)):
+        side = lambda s: spine.select(F.col("trace_id").alias(f"{s}_trace"), F.col("step").alias(s), F.col("next").alias(f"{s}_next"), F.col("token").alias(f"{s}_token"))  # noqa: B023, E731
+        met = open_.join(side("a"), ["a_trace", "a"], "left").join(side("b"), ["b_trace", "b"], "left")
+        same = F.coalesce(F.col("a_token") == F.col("b_token"), F.lit(False))
+        open_ = met.select("pair", "a_trace", "b_trace", *[F.when(same, F.col(f"{s}_next")).otherwise(F.col(s)).alias(s) for s in "ab"])
+        open_ = staged(open_) if k % 4 == 3 else open_
+    return open_
+
+
 def differences(ts: TraceSet, pairs: DataFrame) -> DataFrame:
     """pairs: current, baseline -> current, baseline, position, change: where two runs differ, as text; A is the baseline.
 
-    Both forests are compared level by level, all pairs at once. Among the children of two corresponding steps,
+    Both forests are compared from the roots down, all pairs at once. Among the children of two corresponding steps,
     subtrees of one canonical form cancel each other; what is left corresponds if its children's forms agree (then the labels
-    differ, and that is told), else if its label agrees (then its children come next); the rest is in one run only.
+    differ, and that is told), else if its label agrees (then its children come next); the rest is in one run only. As long as two runs differ only inside the
+    largest child of each step, they are followed in strides that double, so the rounds grow with the logarithm of the steps: a smaller child is at most half as large.
     """
     tree = staged(canonical(ts).join(ts.steps.select("trace_id", "step_id", "seq", label(F.col("name"), F.col("kind")).alias("label")), ["trace_id", "step_id"]))
     forms = tree.where("parent IS NOT NULL").groupBy("trace_id", F.col("parent").alias("step_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("canon")), ","), 256).alias("below"))
     tree = staged(tree.join(forms, ["trace_id", "step_id"], "left"))
     keyed = staged(pairs.distinct().withColumn("pair", F.sha2(F.to_json(F.struct("current", "baseline")), 256)))
-    rows = tree.select("trace_id", F.col("step_id").alias("step"), F.coalesce("parent", F.lit("")).alias("above"), "canon", "below", "label", "seq")
-    sides = {"A": keyed.select("pair", F.col("baseline").alias("trace_id")), "B": keyed.select("pair", F.col("current").alias("trace_id"))}
-    # scope: the corresponding steps whose children are compared, by the baseline's; '' for the roots
-    open_ = keyed.select("pair", F.lit("").alias("scope"), F.lit("").alias("a"), F.lit("").alias("b"), F.array().cast("array<string>").alias("path"))
-    alone, diverged, deep = None, None, 0
+    rows = tree.select("trace_id", F.col("step_id").alias("step"), F.coalesce("parent", F.lit("")).alias("above"), "canon", "below", "label", "seq", "size", "level")
+    asked = keyed.select(F.col("current").alias("trace_id")).union(keyed.select("baseline")).distinct()
+    spines = _spines(rows.join(asked, "trace_id", "left_semi"))
+    # a and b: the corresponding steps whose children are compared; '' for the roots
+    open_ = keyed.select("pair", F.col("baseline").alias("a_trace"), F.col("current").alias("b_trace"), F.lit("").alias("a"), F.lit("").alias("b"))
+    alone, diverged = None, None
     while not open_.isEmpty():
-        here = [open_.join(sides[s], "pair").join(rows, ["trace_id"]).where(F.col("above") == F.col(s.lower())).select("pair", "scope", "path", F.lit(s).alias("side"), "trace_id", "step", "canon", "below", F.nullif("label", F.lit("")).alias("label"), "seq") for s in "AB"]
+        open_ = staged(_descended(open_, spines).withColumn("scope", F.col("a")))
+        here = [open_.select("pair", "scope", F.col(f"{s}_trace").alias("trace_id"), F.col(s).alias("above")).join(rows.drop("size"), ["trace_id", "above"]).select("pair", "scope", F.lit(s.upper()).alias("side"), "trace_id", "step", "canon", "below", F.nullif("label", F.lit("")).alias("label"), "seq", F.col("level").alias("deep")) for s in "ab"]
         kids = here[0].union(here[1])
         place = F.struct(F.min("seq").over(Window.partitionBy("pair", "scope", "side", F.when(F.col("side") == "B", F.col("canon")))).alias("first"), "seq", "step")
         _, rest = _paired(kids.withColumn("place", place).drop("seq"), "canon")
         rest = staged(rest)
         relabelled, rest = _paired(rest, "below")
         followed, rest = _paired(rest, "label")
-        rest = staged(rest.withColumn("deep", F.lit(deep)))
+        rest = staged(rest.join(open_.select("pair", "scope", "a_trace"), ["pair", "scope"]))
         alone = rest if alone is None else alone.union(rest)
-        both = staged(relabelled.unionByName(followed).join(open_.select("pair", "scope", "path"), ["pair", "scope"]).withColumn("deep", F.lit(deep)))
+        both = staged(relabelled.unionByName(followed).join(open_.select("pair", "scope", "a_trace", "b_trace"), ["pair", "scope"]))
         apart = both.where(~F.col("a_label").eqNullSafe(F.col("b_label")))
         diverged = apart if diverged is None else diverged.union(apart)
-        open_ = both.where(F.col("a_label").eqNullSafe(F.col("b_label"))).select("pair", F.col("a").alias("scope"), "a", "b", F.concat("path", F.array(F.coalesce("a_label", F.lit("")))).alias("path"))
-        deep += 1
+        open_ = both.where(F.col("a_label").eqNullSafe(F.col("b_label"))).select("pair", "a_trace", "b_trace", "a", "b")
+    scopes = alone.select("a_trace", "scope").union(diverged.select("a_trace", "scope")).where("scope <> ''").toDF("trace_id", "step_id")
+    paths = staged(_paths(tree, scopes)).toDF("a_trace", "scope", "path")
+    none = F.coalesce("path", F.array().cast("array<string>"))
+    alone, diverged = (df.join(paths, ["a_trace", "scope"], "left").withColumn("path", none) for df in (alone, diverged))
     texts = _subtree_texts(tree, alone.select("trace_id", F.col("step").alias("step_id")))
     way = F.array_join("path", " > ")
     root = F.size("path") == 0
@@ -199,7 +240,7 @@ def differences(ts: TraceSet, pairs: DataFrame) -> DataFrame:
         "pair", "deep", "path", F.when(F.col("side") == "A", 0).otherwise(1).alias("what"), "place", F.concat(F.lit("only in "), "side", F.when(root, ": root ").otherwise(F.concat(F.lit(" under "), way, F.lit(": "))), F.lit("subtree "), "text").alias("change")
     )
     quoted = lambda c: F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit("'"))
-    told = diverged.select("pair", "deep", "path", F.lit(2).alias("what"), F.col("a_place").alias("place"), F.concat(F.lit("diverges at "), F.when(root, "(root)").otherwise(way), F.lit(": A="), quoted(F.col("a_label")), F.lit(" B="), quoted(F.col("b_label"))).alias("change"))
+    told = diverged.select("pair", F.size("path").alias("deep"), "path", F.lit(2).alias("what"), F.col("a_place").alias("place"), F.concat(F.lit("diverges at "), F.when(root, "(root)").otherwise(way), F.lit(": A="), quoted(F.col("a_label")), F.lit(" B="), quoted(F.col("b_label"))).alias("change"))
     line = Window.partitionBy("pair").orderBy("deep", "path", "what", "place", "change")
     return single.unionByName(told).withColumn("position", F.row_number().over(line) - 1).join(keyed, "pair").select("current", "baseline", "position", "change")
 

@@ -344,3 +344,28 @@ def test_analysis_and_reasons(spark):
     assert '"verdict"' in report and '"reasons"' in report
     blind = TraceSet(ts.traces.withColumn("capture", F.lit(None).cast(ts.traces.schema["capture"].dataType)), ts.steps, ts.edges)
     assert check.failures_not_increased(blind, pairs).first().reasons == ["current:no_capture_record", "baseline:no_capture_record"]
+
+
+def test_deep_differences_take_few_rounds(spark, monkeypatch):
+    """A chain of 4,000 steps with a side step at each that differs at its end, and one whose smaller branch differs, take rounds by the logarithm of the steps."""
+    rounds = []
+    inner = trees._descended
+    monkeypatch.setattr(trees, "_descended", lambda *a: rounds.append(1) or inner(*a))
+    n = 2000
+
+    def run(t, end, side):
+        rows = [(t, f"s{k:05d}", 2 * k, f"n{k % 7}", "CHAIN", "ok") for k in range(n)] + [(t, f"x{k:05d}", 2 * k + 1, "tool", "TOOL", "ok") for k in range(n)]
+        rows += [(t, "end", 2 * n, end, "TOOL", "ok"), (t, "u0", 2 * n + 1, "small", "TOOL", "ok"), (t, "u1", 2 * n + 2, side, "TOOL", "ok")]
+        edges = [(t, f"s{k:05d}", f"s{k - 1:05d}") for k in range(1, n)] + [(t, f"x{k:05d}", f"s{k:05d}") for k in range(n)]
+        return rows, [*edges, (t, "end", f"s{n - 1:05d}"), (t, "u0", f"s{n // 2:05d}"), (t, "u1", "u0")]
+
+    runs = [run("a", "same", "left"), run("b", "other", "left"), run("c", "same", "right"), run("d", "same", "left")]
+    ts = build(spark, [r for rows, _ in runs for r in rows], [e for _, edges in runs for e in edges])
+    got = {}
+    for r in trees.differences(ts, spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "a")], "current string, baseline string")).collect():
+        got.setdefault(r.current, []).append(r.change)
+    way = " > ".join(f"n{k % 7}" for k in range(n))
+    assert got["b"] == [f"only in A under {way}: subtree same", f"only in B under {way}: subtree other"]
+    half = " > ".join([*(f"n{k % 7}" for k in range(n // 2 + 1)), "small"])
+    assert got["c"] == [f"only in A under {half}: subtree left", f"only in B under {half}: subtree right"] and "d" not in got
+    assert len(rounds) <= 6
