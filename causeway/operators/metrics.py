@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions import costs
 from causeway.schema import TraceSet
 
-#: Costs longer than this, written out, aren't summed.
-COST_CHARS = 64
-
-
 def summary(ts: TraceSet) -> DataFrame:
     """One row a trace: wall_duration_ms, tokens, total_cost (text), cost_currency, and for each whether every step
     reported it. A total is exact or null: wall time is withheld where a step ends before it starts or the
@@ -18,17 +15,17 @@ def summary(ts: TraceSet) -> DataFrame:
     ev = F.col("evidence")
     start, end = F.try_to_timestamp("ts"), F.try_to_timestamp(ev["end_ts"])
     cost_text = ev["total_cost"]
-    cost = cost_text.try_cast("decimal(38,18)")
-    usable = cost.isNotNull() & (cost >= 0) & (F.length(cost_text) <= COST_CHARS)
+    cost = costs.fixed(cost_text)
+    usable = cost.isNotNull()
     rows = ts.steps.select(
         "trace_id", start.alias("start"), end.alias("end"), *[ev[c].alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
-        F.when(usable, cost).alias("cost"), (cost_text.isNotNull() & ~F.coalesce(usable, F.lit(False))).alias("bad_cost"), F.when(usable, F.coalesce(ev["cost_currency"], F.lit(""))).alias("currency"),
+        cost.alias("cost"), (cost_text.isNotNull() & ~usable).alias("bad_cost"), F.when(usable, F.coalesce(ev["cost_currency"], F.lit(""))).alias("currency"),
     )
     n = F.count(F.lit(1))
     agg = rows.groupBy("trace_id").agg(
         n.alias("n"), F.min("start").alias("first"), F.max("end").alias("last"), F.count("start").alias("starts"), F.count("end").alias("ends"), F.count_if(F.col("end") < F.col("start")).alias("reversed"),
         *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")], *[F.count(c).alias(f"n_{c}") for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
-        F.sum("cost").alias("cost"), F.count("cost").alias("n_cost"), F.count_if("bad_cost").alias("bad"), F.min("currency").alias("cur1"), F.max("currency").alias("cur2"),
+        costs.summed(F.col("cost")).alias("cost"), F.count("cost").alias("n_cost"), F.count_if("bad_cost").alias("bad"), F.min("currency").alias("cur1"), F.max("currency").alias("cur2"),
     )
     wall = F.round((F.unix_micros("last") - F.unix_micros("first")) / 1000, 6)
     clear = (F.col("bad") == 0) & F.col("cur1").eqNullSafe(F.col("cur2"))
@@ -36,18 +33,13 @@ def summary(ts: TraceSet) -> DataFrame:
     timed = (F.col("reversed") == 0) & (wall >= 0)
     return agg.select(
         "trace_id", F.col("n").alias("n_steps"), F.when(timed, wall).alias("wall_duration_ms"), *sums,
-        F.when(clear, _plain_decimal(F.col("cost"))).alias("total_cost"), F.when(clear & (F.col("cur1") != ""), F.col("cur1")).alias("cost_currency"),
+        F.when(clear, costs.total(F.col("cost"))).alias("total_cost"), F.when(clear & (F.col("cur1") != ""), F.col("cur1")).alias("cost_currency"),
         F.coalesce(timed & (F.col("starts") == F.col("n")) & (F.col("ends") == F.col("n")), F.lit(False)).alias("wall_complete"),
         *[(F.col(f"n_{c}") == F.col("n")).alias(f"{c}_complete") for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
         (clear & (F.col("n_cost") == F.col("n"))).alias("cost_complete"), "reversed",
     )
 
 
-def _plain_decimal(c):
-    """Digits without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-
-
 def evaluations(ts: TraceSet) -> DataFrame:
     """trace_id, step_id, eval_name, label, score."""
     return ts.steps.select("trace_id", "step_id", F.explode("evidence.evaluations").alias("e")).select("trace_id", "step_id", F.col("e.name").alias("eval_name"), F.col("e.label").alias("label"), F.col("e.score").alias("score"))
@@ -63,7 +55,7 @@ def deltas(ts: TraceSet, pairs: DataFrame) -> DataFrame:
     money = F.col("c_cost_complete") & F.col("b_cost_complete") & (F.col("c_cost_currency") == F.col("b_cost_currency"))
     return both.select(
         "current", "baseline", diff("wall_duration_ms", "wall_complete").alias("wall_delta"), *[diff(c, f"{c}_complete").alias(f"{c}_delta") for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
-        F.when(money, F.col("c_total_cost").cast("decimal(38,18)") - F.col("b_total_cost").cast("decimal(38,18)")).alias("cost_delta"),
+        F.when(money, costs.difference(F.col("c_total_cost"), F.col("b_total_cost"))).alias("cost_delta"),
     )
 
 

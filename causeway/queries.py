@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from causeway.functions.labels import default_path, run_alias, safe
 from causeway.operators import check, failures, metrics, motifs, trees
 from causeway.plans import patterns, projection, walk
+from causeway.schema import TraceSet
 from causeway.sources import views
 
 P = patterns.PRESETS
@@ -376,6 +377,20 @@ def _metrics(spark, d):
     return m.select("trace_id", "n_steps", "wall_duration_ms", "prompt_tokens", "completion_tokens", "total_tokens", cents.alias("cost_cents"), "cost_currency", "cost_complete")
 
 
+_LONG_COST = f"""long AS (SELECT trace_id, sum(k)::HUGEINT AS k, count(*) AS n, sum(k + 1)::HUGEINT AS less FROM steps WHERE {_COST} GROUP BY 1),
+written AS (SELECT trace_id, ltrim(k::VARCHAR || lpad((n - 1)::VARCHAR, 40, '0'), '0') AS whole, lpad((100000000000000000000::HUGEINT - less)::VARCHAR, 20, '0') AS part FROM long)"""
+
+
+@query("a06_long_costs", _sql("SELECT trace_id, CASE WHEN whole = '' THEN '0' ELSE whole END || '.' || part AS total_cost FROM written", _LONG_COST))
+def _long_costs(spark, d):
+    """Each cost has 40 digits more before the point and 20 after it, which all carry."""
+    ts = views.events(spark, d)
+    cents = (F.col("evidence.prompt_tokens") / 3).cast("long")
+    cost = F.concat(cents.cast("string"), F.repeat(F.lit("0"), F.lit(40)), F.lit("."), F.lpad((F.lit("100000000000000000000").cast("decimal(21,0)") - cents - 1).cast("string"), 20, "0"))
+    long = ts.steps.withColumn("evidence", F.when(F.col("evidence").isNotNull(), F.col("evidence").withField("total_cost", cost)))
+    return metrics.summary(TraceSet(ts.traces, long, ts.edges)).where("total_cost IS NOT NULL").select("trace_id", "total_cost")
+
+
 @query("a08_evaluations", _sql(f"SELECT trace_id, step_id, 'quality' AS eval_name, CASE WHEN k % 2 = 0 THEN 'pass' END AS label, k / 100.0::DOUBLE AS score FROM steps WHERE {_COST}"))
 def _evaluations(spark, d):
     return metrics.evaluations(views.events(spark, d))

@@ -73,20 +73,25 @@ def to_text(ts: TraceSet, check: bool = True) -> DataFrame:
     return text.withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("value", 256)))
 
 
-def refuse(ts: TraceSet, versions: DataFrame | None = None) -> None:
-    """An error where a trace breaks a rule of the model, its stored tree is none that its causes give, or (versions: trace_id, version) it
+def faults(ts: TraceSet, versions: DataFrame | None = None) -> DataFrame:
+    """trace_id, rule, subject: where a trace breaks a rule of the model, its stored tree is none that its causes give, or (versions: trace_id, version) it
     uses more than the version that it declares."""
     bad = violations(ts).unionByName(projection_rules(ts).where("rule IS NULL").select("trace_id", F.lit("stored tree differs from causes").alias("rule"), F.col("trace_id").alias("subject")))
     if versions is not None:
         more = required_version(ts).withColumnRenamed("version", "needed").join(versions, "trace_id").where(F.col("needed") > F.greatest("version", F.lit(2)))
         bad = bad.unionByName(more.select("trace_id", F.concat(F.lit("declares version "), F.col("version").cast("string"), F.lit(", needs "), F.col("needed").cast("string")).alias("rule"), F.col("trace_id").alias("subject")))
-    if (row := bad.first()) is not None:
+    return bad
+
+
+def refuse(ts: TraceSet, versions: DataFrame | None = None) -> None:
+    """An error where there are any ``faults``."""
+    if (row := faults(ts, versions).first()) is not None:
         raise ValueError(f"trace {row.trace_id!r}: {row.rule} ({row.subject})")
 
 
-def from_text(texts: DataFrame, check: bool = True) -> TraceSet:
+def from_text(texts: DataFrame, check: bool = True, found: list | None = None) -> TraceSet:
     """texts: value string. A document of another shape or version is an error; version 1 gets what it lacked. check: so is a trace
-    that breaks the model's rules or uses more than the version that it declares."""
+    that breaks the model's rules or uses more than the version that it declares. found: a list that gets the table of faults instead; such traces stay."""
     wrong = lambda why: F.raise_error(F.concat(F.lit(why), F.substring("value", 1, 60))).cast("int")
     doc = texts.select("value", F.from_json("value", _envelope()).alias("d"))
     version = F.when(F.col("d.trace.trace.trace_id").isNull(), wrong("no trace document: ")).when(~F.coalesce(F.col("d.schema_version").isin(*VERSIONS), F.lit(False)), wrong("no such version: ")).otherwise(F.col("d.schema_version"))
@@ -98,7 +103,9 @@ def from_text(texts: DataFrame, check: bool = True) -> TraceSet:
     every = rows.select("version", F.col("trace.trace_id").alias("trace_id"), F.inline("edges"))
     every = every.select("trace_id", "type", "src", "dst", F.when(F.col("type") == "CAUSED_BY", F.coalesce("origin", F.when(old, "legacy_unknown"))).alias("origin"))
     ts = TraceSet(traces.select(*schema.struct(schema.TRACES).names), steps.select(*schema.struct(schema.STEPS).names), every)
-    if check:
+    if found is not None:
+        found.append(staged(faults(ts, heads.select("trace_id", "version"))))
+    elif check:
         refuse(ts, heads.select("trace_id", "version"))
     return TraceSet(ts.traces, ts.steps, every.where("type = 'CAUSED_BY'"))
 
@@ -106,15 +113,15 @@ def from_text(texts: DataFrame, check: bool = True) -> TraceSet:
 def read(spark, path: str, lenient: bool = False) -> TraceSet:
     """A file or a folder of *.json. lenient: files that hold no trace document are left out; ``skipped`` lists them."""
     texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    return from_text(texts.where(_readable()) if lenient else texts)
+    return from_text(texts.where(readable()) if lenient else texts)
 
 
 def skipped(spark, path: str) -> DataFrame:
     """file: what a lenient read leaves out."""
-    return spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).where(~_readable()).select(F.col("_metadata.file_path").alias("file"))
+    return spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).where(~readable()).select(F.col("_metadata.file_path").alias("file"))
 
 
-def _readable() -> Column:
+def readable() -> Column:
     d = F.from_json(F.when(F.try_parse_json(F.col("value")).isNotNull(), F.col("value")), _envelope())
     return F.coalesce(d["trace"]["trace"]["trace_id"].isNotNull() & d["schema_version"].isin(*VERSIONS), F.lit(False))
 

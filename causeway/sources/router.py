@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway import schema
 from causeway.schema import TraceSet
+from causeway.session import staged
 from causeway.sources import artifacts, exports, spans
 
 ARTIFACT, SPANS, EXPORT = "artifact", "otlp", "phoenix"
@@ -57,15 +61,86 @@ def classify(files: DataFrame) -> DataFrame:
     return found.select("file", "value", family.alias("family"), reason.alias("reason"))
 
 
-def read(spark, path: str, trace_ids: list[str] | None = None) -> tuple[TraceSet, DataFrame]:
-    """(traces of all files under path that can be routed, file and reason of the others). trace_ids: only these."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    routed = classify(texts)
-    of = lambda family: routed.where(F.col("family") == family).select("value")
-    ts = artifacts.from_text(of(ARTIFACT)).union(spans.ingest(spans.decode(spans.documents(of(SPANS))))).union(exports.ingest(of(EXPORT)))
+@dataclass(frozen=True)
+class Loaded:
+    """What a folder holds. failures: file, reason of each file that can't be used whole. evidence: file, digest, trace_id of the others, the digest being that of
+    the bytes that were read."""
+
+    traces: TraceSet
+    failures: DataFrame
+    evidence: DataFrame
+
+
+def files(spark, path: str) -> DataFrame:
+    """file, value, digest, reason: each file read once, as bytes; the same bytes are hashed and parsed. value is null where they are no UTF-8."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return raw.select("file", text.alias("value"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.when(text.isNull(), "not UTF-8").alias("reason"))
+
+
+def load(spark, path: str, trace_ids: list[str] | None = None) -> Loaded:
+    """The traces of all files under path that can be read. A file that can't be, or one of whose traces breaks a rule, is left out whole and named with its
+    first reason; the other files are not touched by it. trace_ids: only these traces."""
+    every = staged(files(spark, path))
+    routed = staged(classify(every.where("reason IS NULL").select("file", "value")))
+    of = lambda family: routed.where(F.col("family") == family).select("file", "value")
+    bad, owners, sets = [every.where("reason IS NOT NULL").select("file", "reason"), routed.where("reason IS NOT NULL").select("file", "reason")], [], []
+    if not (own := of(SPANS)).isEmpty():
+        docs = staged(spans.documents(own, tolerant=True))
+        decoded = staged(spans.decode(docs.where("problem IS NULL"), tolerant=True))
+        _gather(docs, decoded, lambda rows, faults: spans.ingest(rows, faults=faults), bad, owners, sets)
+    if not (own := of(EXPORT)).isEmpty():
+        decoded = staged(exports.decode(own, tolerant=True))
+        _gather(decoded, decoded.where("step_id IS NOT NULL"), exports.resolved, bad, owners, sets)
+    if not (own := of(ARTIFACT)).isEmpty():
+        whole = staged(own.withColumn("fit", artifacts.readable()))
+        bad.append(whole.where("NOT fit").select("file", F.lit("no portable trace of a known version").alias("reason")))
+        found: list[DataFrame] = []
+        good = whole.where("fit")
+        sets.append(artifacts.from_text(good.select("value"), found=found))
+        owners.append(staged(good.select("file", F.get_json_object("value", "$.trace.trace.trace_id").alias("trace_id"))))
+        bad.append(owners[-1].join(found[0], "trace_id").select("file", F.col("rule").alias("reason")))
+    failures = staged(_union(bad).groupBy("file").agg(F.min("reason").alias("reason")))
+    if not sets:
+        empty = lambda ddl: spark.createDataFrame([], ddl)
+        return Loaded(TraceSet(empty(schema.TRACES), empty(schema.STEPS), empty(schema.EDGES)), failures, empty("file string, digest string, trace_id string"))
+    owned = _union(owners).distinct()
+    # a trace of a file that fails is left out, also where another file has a part of it
+    lost = staged(owned.join(failures, "file", "left_semi").select("trace_id").distinct())
+    kept = owned.join(lost, "trace_id", "left_anti")
     if trace_ids is not None:
-        ts = ts.where(spark.createDataFrame([(t,) for t in trace_ids], "trace_id string"))
-    return ts, routed.where("reason IS NOT NULL").select("file", "reason")
+        kept = kept.join(spark.createDataFrame([(t,) for t in trace_ids], "trace_id string"), "trace_id", "left_semi")
+    kept = staged(kept)
+    ts = sets[0]
+    for more in sets[1:]:
+        ts = ts.union(more)
+    return Loaded(ts.where(kept.select("trace_id").distinct()), failures, kept.join(every.select("file", "digest"), "file").select("file", "digest", "trace_id"))
+
+
+def _gather(read: DataFrame, decoded: DataFrame, ingest, bad: list, owners: list, sets: list) -> None:
+    """Decoded spans (file, problem, ...) -> their traces without those that have faults, whose files are told."""
+    wrong = staged(read.where("problem IS NOT NULL").select("file", F.col("problem").alias("reason")).union(decoded.where("problem IS NOT NULL").select("file", "problem")).distinct())
+    bad.append(wrong)
+    good = staged(decoded.join(wrong.select("file").distinct(), "file", "left_anti"))
+    faults: list[DataFrame] = []
+    sets.append(ingest(good.drop("file", "problem"), faults))
+    own = staged(decoded.where("trace_id IS NOT NULL").select("file", "trace_id").distinct())
+    owners.append(own)
+    for told in faults:
+        bad.append(own.join(told, "trace_id").select("file", "reason"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def read(spark, path: str, trace_ids: list[str] | None = None) -> tuple[TraceSet, DataFrame]:
+    """(traces, file and reason of what can't be used): ``load`` without its evidence."""
+    got = load(spark, path, trace_ids)
+    return got.traces, got.failures
 
 
 def sole_trace(ts: TraceSet) -> str:
