@@ -36,15 +36,35 @@ def _signed(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
     return found.join(head, "trace_id").select("trace_id", "confirmed", F.concat_ws(" ", "head", *steps).alias("signature"), path.alias("path"))
 
 
-def groups(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
-    """signature, match_count, trace_count, representatives (the three smallest, comma-joined), rank. Matches are counted per trace
+def partial(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
+    """signature, match_count, trace_count, first: a summary that can be stored and merged with those of other traces. Matches are counted per trace
     first and the smallest three kept at each fold, so a frequent shape is never gathered."""
     rows = _signed(ts, pattern).where("confirmed")
-    per = rows.groupBy("signature", "trace_id").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    per = rows.groupBy("signature", "trace_id").agg(F.count(F.lit(1)).alias("n"))
     counted = per.groupBy("signature").agg(F.sum("n").alias("match_count"), F.count(F.lit(1)).alias("trace_count"))
     few = rows.select("signature", F.concat_ws("/", "trace_id", "path").alias("rep"))
-    three = few.withColumn("p", F.row_number().over(Window.partitionBy("signature").orderBy("rep"))).where("p <= 3").groupBy("signature").agg(F.array_join(F.array_sort(F.collect_list("rep")), ",").alias("representatives"))
-    return _ranked(counted.join(three, "signature"), [F.desc("trace_count"), F.desc("match_count"), F.asc("signature")])
+    three = few.withColumn("p", F.row_number().over(Window.partitionBy("signature").orderBy("rep"))).where("p <= 3").groupBy("signature").agg(F.array_sort(F.collect_list("rep")).alias("first"))
+    return counted.join(three, "signature")
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """Partial summaries of traces that are in one of them only, as one partial summary. The order doesn't matter."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3)  # three of each part
+    return every.groupBy("signature").agg(F.sum("match_count").alias("match_count"), F.sum("trace_count").alias("trace_count"), first.alias("first"))
+
+
+def finish(summary: DataFrame) -> DataFrame:
+    """signature, match_count, trace_count, representatives (the three smallest, comma-joined), rank of a partial summary."""
+    rows = summary.select("signature", "match_count", "trace_count", F.array_join("first", ",").alias("representatives"))
+    return _ranked(rows, [F.desc("trace_count"), F.desc("match_count"), F.asc("signature")])
+
+
+def groups(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
+    """signature, match_count, trace_count, representatives, rank: the summary of these traces alone."""
+    return finish(partial(ts, pattern))
 
 
 def _ranked(rows: DataFrame, order: list) -> DataFrame:

@@ -539,6 +539,16 @@ def _motifs(spark, d):
     return motifs.groups(views.events(spark, d), P["gate-failure-after-success"])
 
 
+@query("e05_merged_motifs", ORACLES["c12_motif_groups"])
+def _merged_motifs(spark, d):
+    """Summaries of three parts of the traces, stored and merged."""
+    from causeway.session import staged
+
+    ts, p = views.events(spark, d).staged(), P["gate-failure-after-success"]
+    part = lambda k: TraceSet(*(df.where(F.pmod(F.xxhash64("trace_id"), F.lit(3)) == k) for df in (ts.traces, ts.steps, ts.edges)))
+    return motifs.finish(motifs.merge(*[staged(motifs.partial(part(k), p)) for k in range(3)]))
+
+
 @query(
     "a12_motif_coverage",
     _sql("""SELECT count(*) AS n_traces, count(*) FILTER (WHERE sure > 0) AS matched, count(*) FILTER (WHERE omits OR hidden) AS may_hide, count(*) FILTER (WHERE gaps) AS with_gaps, count(*) FILTER (WHERE no_record) AS without_record,
@@ -686,6 +696,29 @@ def _export(spark, d):
     return got.steps.select("trace_id", "step_id", "seq", "kind", "name", "status").join(projection.primary_parents(got).select("trace_id", "step_id", "parent"), ["trace_id", "step_id"], "left")
 
 
+@query(
+    "h42_load_failures",
+    """SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'not valid JSON' WHEN 1 THEN 'a span names a parent that isn''t there' WHEN 2 THEN 'a trace repeats a span id' END AS reason,
+              CASE WHEN user_id % 5 > 2 THEN count(*) END AS n_steps FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
+)
+def _load_failures(spark, d):
+    """A file of spans for each user, of which three in five are bad; the others are read."""
+    from causeway.session import shared_dir
+    from causeway.sources import router
+
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id IS NOT NULL")
+    wrong = F.col("user_id") % 5
+    span = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("traceId"), F.when(wrong == 2, "same").otherwise(F.col("event_id").cast("string")).alias("spanId"), F.when(wrong == 1, "gone").alias("parentSpanId"), (F.col("event_id") + 1).cast("string").alias("startTimeUnixNano"))
+    lines = e.groupBy("user_id").agg(F.collect_list(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))).alias("docs"))
+    text = F.when(F.col("user_id") % 5 == 0, "{").otherwise(F.array_join("docs", "\n"))
+    path = shared_dir(spark)
+    lines.select(F.col("user_id").alias("u"), text.alias("value")).repartition("u").write.partitionBy("u").text(path)
+    got = router.load(spark, f"{path}/u=*")
+    user = F.regexp_extract("file", "/u=([0-9]+)/", 1).cast("long").alias("user_id")
+    counts = got.evidence.join(got.traces.steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps")), "trace_id")
+    return got.failures.select(user, "reason", F.lit(None).cast("long").alias("n_steps")).unionByName(counts.select(user, F.lit(None).cast("string").alias("reason"), "n_steps"))
+
+
 # --- checkpoint histories
 
 _CHECKPOINTS = """

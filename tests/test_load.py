@@ -9,9 +9,8 @@ from causeway.sources import artifacts, exports, router, spans
 from tests.test_sources import doc, ingest, span, texts
 
 
-def artifact(spark, name, change=lambda doc: None):
-    ts = ingest(spark, doc(span("a", start=1, trace=name), span("b", "a", 2, trace=name)))
-    body = json.loads(artifacts.to_text(ts).first().value)
+def artifact(text, name, change=lambda doc: None):
+    body = json.loads(text.replace('"good5"', f'"{name}"'))
     change(body)
     return body
 
@@ -38,13 +37,11 @@ REFUSED = {
 
 
 def test_refused_attributes(spark):
-    """An incomplete, malformed or contradicting decision is an error, alone and in a folder; a whole one is kept."""
+    """An incomplete decision is an error; a whole one is kept. The other refusals are tested in a folder."""
     got = ingest(spark, doc(with_attributes(*DECIDED, attribute("syncmill.artifact_digest", DIGEST)), with_attributes(*DECIDED, name="b"))).traces.first()
     assert [tuple(d) for d in got.decision_evidence] == [("toolgraph_preflight", DIGEST, 3, "allow")]
-    for bad in REFUSED.values():
-        with pytest.raises(Exception):
-            ts = ingest(spark, doc(*bad))
-            ts.traces.collect(), ts.steps.collect()
+    with pytest.raises(Exception):
+        ingest(spark, doc(*REFUSED["half a decision"])).traces.collect()
 
 
 def test_exports_name_one_trace(spark):
@@ -52,16 +49,17 @@ def test_exports_name_one_trace(spark):
     assert exports.ingest(texts(spark, one("x", None, "x"))).traces.first().trace_id == "x"
     for bad in (one("x", "y"), one(None, None), one("x", traceId="y"), {"spans": [{"id": "s"}], "traceId": ""}):
         with pytest.raises(Exception):
-            exports.ingest(texts(spark, bad)).traces.collect()
+            exports.decode(texts(spark, bad)).collect()
 
 
 def test_bad_files_do_not_stop_a_folder(spark, tmp_path):
-    good = {"spans": doc(span("a", start=1, trace="good1")), "lines": "\n".join(json.dumps(doc(span("q", start=1, trace=f"good{k}"))) for k in (2, 3)), "export": {"traceId": "good4", "spans": [{"span_id": "s"}]}, "art": artifact(spark, "good5")}
+    text = artifacts.to_text(ingest(spark, doc(span("a", start=1, trace="good5"), span("b", "a", 2, trace="good5")))).first().value
+    good = {"spans": doc(span("a", start=1, trace="good1")), "lines": "\n".join(json.dumps(doc(span("q", start=1, trace=f"good{k}"))) for k in (2, 3)), "export": {"traceId": "good4", "spans": [{"span_id": "s"}]}, "art": artifact(text, "good5")}
     bad = {
         "notjson": "{", "shape": {"resourceSpans": [{"scopeSpans": 3}]}, "parent": doc(span("a", "gone", trace="b1")), "twice": doc(span("a", trace="b2"), span("a", trace="b2")), "inside": doc(span("a", "b", trace="b3"), span("b", "a", trace="b3")),
         "untold": doc(span("a", wants="x", trace="b4")), "cycle": doc(span("a", links=[("b5", "b")], trace="b5"), span("b", links=[("b5", "a")], trace="b5")), "noid": doc({**span("a", trace="b6"), "spanId": ""}), "status": doc(span("a", status={"code": 7}, trace="b7")),
         "half": doc(span("a", start=1, trace="fine"), with_attributes(*DECIDED[:2], trace="b8")), "foreign": {"traceId": "b9", "spans": [{"id": "s", "context": {"trace_id": "z"}}]}, "several": {"spans": [{"id": "s", "context": {"trace_id": t}} for t in ("b10", "b11")]},
-        "version": artifact(spark, "b12", lambda d: d.update(schema_version=12)), "cause": artifact(spark, "b13", lambda d: d["trace"]["edges"].append({"type": "CAUSED_BY", "src": "a", "dst": "gone", "origin": "span_link"})),
+        "version": artifact(text, "b12", lambda d: d.update(schema_version=12)), "cause": artifact(text, "b13", lambda d: d["trace"]["edges"].append({"type": "CAUSED_BY", "src": "a", "dst": "gone", "origin": "span_link"})),
         **{f"refused{k}": doc(*[dict(s, traceId=f"r{k}") for s in rows]) for k, rows in enumerate(REFUSED.values())},
     }
     for name, body in {**good, **bad}.items():
