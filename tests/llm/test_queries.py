@@ -14,6 +14,9 @@ def test_query_equals_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_rows(spark, small, name):
     n = QUERIES[name](spark, small).count()
+    if name.startswith("op13"):
+        assert n == spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
+        return
     docs = spark.read.parquet(f"{small}/documents.parquet").count()
     assert n >= docs if name.startswith("op2") else 0 < n <= docs if name.startswith("op4") else n == docs
 
