@@ -719,6 +719,26 @@ def _load_failures(spark, d):
     return got.failures.select(user, "reason", F.lit(None).cast("long").alias("n_steps")).unionByName(counts.select(user, F.lit(None).cast("string").alias("reason"), "n_steps"))
 
 
+_PLANTED = """planted AS (SELECT trace_id, 'no such kind' AS rule, step_id AS subject FROM steps WHERE k % 23 = 0 UNION ALL SELECT trace_id, 'no such source', step_id FROM steps WHERE k % 29 = 0
+   UNION ALL SELECT trace_id, 'unknown fields are sorted and known', step_id FROM steps WHERE k % 31 = 0 UNION ALL SELECT trace_id, 'no such fidelity', trace_id FROM traces WHERE n % 3 = 0
+   UNION ALL SELECT trace_id, 'gaps are sorted by code, one for each', trace_id FROM traces WHERE n % 5 = 0 UNION ALL SELECT trace_id, 'a gap code that isn''t known', trace_id FROM traces WHERE n % 5 = 0
+   UNION ALL SELECT trace_id, 'unknown fields without a capture record', trace_id FROM traces WHERE n % 5 <> 0 AND EXISTS (SELECT 1 FROM steps s WHERE s.trace_id = traces.trace_id AND k % 31 = 0))"""
+
+
+@query("h39_model_faults", _sql("SELECT trace_id, rule, subject FROM planted", _PLANTED))
+def _model_faults(spark, d):
+    """Records with wrong values planted by k and by user."""
+    from causeway.plans import model
+
+    ts, none = views.events(spark, d), F.array().cast("array<string>")
+    k, n = F.get_json_object("props", "$.k").cast("int"), F.substring("trace_id", 2, 20).cast("long")
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("step_id"), k.alias("k"))
+    steps = ts.steps.join(e, "step_id").withColumns({"kind": F.when(F.col("k") % 23 == 0, "HAMMER").otherwise(F.col("kind")), "source": F.when(F.col("k") % 29 == 0, F.lit(None)).otherwise(F.col("source")), "unknown_fields": F.when(F.col("k") % 31 == 0, F.array(F.lit("name"), F.lit("kind"))).otherwise(none)})
+    gap = F.struct(F.lit("otlp.new_code").alias("code"), F.lit(1).cast("long").alias("count"))
+    traces = ts.traces.withColumns({"causal_fidelity": F.when(n % 3 == 0, "some").otherwise(F.col("causal_fidelity")), "capture": F.when(n % 5 == 0, F.struct(F.array(gap, gap).alias("gaps")))})
+    return model.faults(TraceSet(traces, steps, ts.edges), writing=True)
+
+
 # --- checkpoint histories
 
 _CHECKPOINTS = """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from causeway import schema
+from causeway.plans import model
 from causeway.plans.projection import layers, needs_origin_priority, normalize, projection_rules, violations
 from causeway.schema import TraceSet
 from causeway.session import ship, staged
@@ -74,9 +75,9 @@ def to_text(ts: TraceSet, check: bool = True) -> DataFrame:
 
 
 def faults(ts: TraceSet, versions: DataFrame | None = None) -> DataFrame:
-    """trace_id, rule, subject: where a trace breaks a rule of the model, its stored tree is none that its causes give, or (versions: trace_id, version) it
+    """trace_id, rule, subject: where a record or a trace breaks a rule of the model, its stored tree is none that its causes give, or (versions: trace_id, version) it
     uses more than the version that it declares."""
-    bad = violations(ts).unionByName(projection_rules(ts).where("rule IS NULL").select("trace_id", F.lit("stored tree differs from causes").alias("rule"), F.col("trace_id").alias("subject")))
+    bad = model.faults(ts, writing=versions is None).unionByName(violations(ts)).unionByName(projection_rules(ts).where("rule IS NULL").select("trace_id", F.lit("stored tree differs from causes").alias("rule"), F.col("trace_id").alias("subject")))
     if versions is not None:
         more = required_version(ts).withColumnRenamed("version", "needed").join(versions, "trace_id").where(F.col("needed") > F.greatest("version", F.lit(2)))
         bad = bad.unionByName(more.select("trace_id", F.concat(F.lit("declares version "), F.col("version").cast("string"), F.lit(", needs "), F.col("needed").cast("string")).alias("rule"), F.col("trace_id").alias("subject")))
