@@ -16,21 +16,37 @@ WHOLE, PART, LIMB = 90, 63, 9
 _DECIMAL = r"^\s*([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\s*$"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: the expression stays small where it is used many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(text: Column) -> Column:
     """A cost's text without exponent, all its digits kept; null for what is no cost."""
-    t = F.replace(text, F.lit("_"), F.lit(""))
-    group = lambda k: F.regexp_extract(t, _DECIMAL, k)
-    part = F.concat(group(3), group(4))
-    digits = F.regexp_replace(F.concat(group(2), part), "^0+", "")
-    scale = F.length(part) - F.when(group(5) == "", 0).otherwise(group(5).try_cast("int").cast("long"))
-    n, zero = F.length(digits), digits == ""
-    length = F.when(scale > 0, F.greatest(n + 1, F.lit(2), scale + 2)).when(zero, 1).otherwise(n - scale) + (group(1) == "-").cast("int")
-    bounded = F.coalesce(t.rlike(_DECIMAL) & (length <= COST_CHARS) & (zero | (group(1) != "-")), F.lit(False))
-    places = F.when(bounded, scale.cast("int"))  # nothing is written out for a longer one
-    padded = F.lpad(digits, F.greatest(n, places + 1), F.lit("0"))
-    point = F.concat(F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substring(padded, F.length(padded) - places + 1, places))
-    out = F.when(places > 0, point).when(zero, "0").otherwise(F.concat(digits, F.repeat(F.lit("0"), -places)))
-    return F.when(bounded, F.concat(F.when(group(1) == "-", "-").otherwise(""), out))
+    names = ("sign", "whole", "part", "short", "exponent")
+
+    def read(t: Column) -> Column:
+        return F.struct(t.rlike(_DECIMAL).alias("fits"), *[F.regexp_extract(t, _DECIMAL, k).alias(n) for k, n in enumerate(names, 1)])
+
+    def sized(g: Column) -> Column:
+        part = F.concat(g["part"], g["short"])
+        exponent = F.when(g["exponent"] == "", 0).otherwise(g["exponent"].try_cast("int").cast("long"))
+        return F.struct(g["fits"].alias("fits"), g["sign"].alias("sign"), F.regexp_replace(F.concat(g["whole"], part), "^0+", "").alias("digits"), (F.length(part) - exponent).alias("scale"))
+
+    def written(x: Column) -> Column:
+        digits, scale, n, zero = x["digits"], x["scale"], F.length(x["digits"]), x["digits"] == ""
+        length = F.when(scale > 0, F.greatest(n + 1, F.lit(2), scale + 2)).when(zero, 1).otherwise(n - scale) + (x["sign"] == "-").cast("int")
+        bounded = F.coalesce(x["fits"] & (length <= COST_CHARS) & (zero | (x["sign"] != "-")), F.lit(False))
+        # nothing is written out for a longer one
+        return _let(F.when(bounded, F.struct(F.when(x["sign"] == "-", "-").otherwise("").alias("sign"), digits.alias("digits"), scale.cast("int").alias("places"))), spelled)
+
+    def spelled(y: Column) -> Column:
+        padded = F.lpad(y["digits"], F.greatest(F.length(y["digits"]), y["places"] + 1), F.lit("0"))
+        point = _let(padded, lambda p: F.concat(F.substring(p, F.lit(1), F.length(p) - y["places"]), F.lit("."), F.substring(p, F.length(p) - y["places"] + 1, y["places"])))
+        plain = F.when(y["digits"] == "", "0").otherwise(F.concat(y["digits"], F.repeat(F.lit("0"), -y["places"])))
+        return F.concat(y["sign"], F.when(y["places"] > 0, point).otherwise(plain))
+
+    return _let(F.replace(text, F.lit("_"), F.lit("")), lambda t: _let(read(t), lambda g: _let(sized(g), written)))
 
 
 def _digits(cost: Column) -> Column:
@@ -73,7 +89,14 @@ def total(sums: Column) -> Column:
 
 def difference(a: Column, b: Column) -> Column:
     """a - b of two sums, exact."""
-    x, y = _digits(a), _digits(b)
-    high, low = F.greatest(x, y), F.least(x, y)
-    limbs = F.array(*[_limb(high, k) - _limb(low, k) for k in range((WHOLE + PART) // LIMB)])
-    return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.when(x < y, "-").otherwise(""), _written(limbs, F.greatest(_places(a), _places(b)))))
+
+    def written(d: Column) -> Column:
+        limbs = F.array(*[_limb(d["high"], k) - _limb(d["low"], k) for k in range((WHOLE + PART) // LIMB)])
+        return F.concat(d["sign"], _written(limbs, d["places"]))
+
+    def ordered(d: Column) -> Column:
+        high, low = F.greatest(d["x"], d["y"]), F.least(d["x"], d["y"])
+        return F.struct(high.alias("high"), low.alias("low"), d["places"].alias("places"), F.when(d["x"] < d["y"], "-").otherwise("").alias("sign"))
+
+    both = F.struct(_digits(a).alias("x"), _digits(b).alias("y"), F.greatest(_places(a), _places(b)).alias("places"))
+    return F.when(a.isNotNull() & b.isNotNull(), _let(both, lambda d: _let(ordered(d), written)))
