@@ -99,8 +99,10 @@ def from_text(texts: DataFrame, check: bool = True, found: list | None = None) -
     rows = staged(doc.select(version.alias("version"), "d.trace.*"))
     old: Column = F.col("version") == 1
     heads = rows.select("version", "trace.*")
-    traces = heads.withColumn("causal_fidelity", F.coalesce("causal_fidelity", F.when(old, "legacy_unknown"))).drop("version")
-    steps = rows.select(F.inline("steps")).withColumn("unknown_fields", F.coalesce("unknown_fields", F.array().cast("array<string>")))
+    # what a document leaves out has its default
+    default = lambda c, v: F.coalesce(c, F.lit(v))
+    traces = heads.withColumns({"causal_fidelity": default("causal_fidelity", "legacy_unknown"), "status": default("status", "ok")}).drop("version")
+    steps = rows.select(F.inline("steps")).withColumns({"unknown_fields": F.coalesce("unknown_fields", F.array().cast("array<string>")), "source": default("source", "loop"), "kind": default("kind", "CHAIN"), "status": default("status", "ok")})
     every = rows.select("version", F.col("trace.trace_id").alias("trace_id"), F.inline("edges"))
     every = every.select("trace_id", "type", "src", "dst", F.when(F.col("type") == "CAUSED_BY", F.coalesce("origin", F.when(old, "legacy_unknown"))).alias("origin"))
     ts = TraceSet(traces.select(*schema.struct(schema.TRACES).names), steps.select(*schema.struct(schema.STEPS).names), every)

@@ -156,7 +156,7 @@ def test_metrics_withheld(spark):
     at = lambda end, c1, c2, cur2="USD": TraceSet(ts.traces, ts.steps.withColumn("ts", F.lit("2024-01-01T00:00:10+00:00")).withColumn("evidence", F.when(F.col("step_id") == "a", ev(end, c1, "USD")).otherwise(ev(end, c2, cur2))), ts.edges)
     one = lambda t: metrics.summary(t).first()
     r = one(at("2024-01-01T00:00:12Z", "0.10", "0.250"))
-    assert (r.wall_duration_ms, r.total_cost, r.cost_currency, r.wall_complete, r.cost_complete) == (2000.0, "0.35", "USD", True, True)
+    assert (r.wall_duration_ms, r.total_cost, r.cost_currency, r.wall_complete, r.cost_complete) == (2000.0, "0.350", "USD", True, True)
     r = one(at("2024-01-01T00:00:09Z", "0.10", "unreadable"))
     assert (r.wall_duration_ms, r.total_cost, r.reversed) == (None, None, 2)
     assert one(at("2024-01-01T00:00:12Z", "1", "1", "EUR")).total_cost is None
