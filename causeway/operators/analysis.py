@@ -32,11 +32,11 @@ def _notes(when: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in when.items()]))
 
 
-def analyze(ts: TraceSet) -> DataFrame:
+def analyze(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
     """One row a trace: its header, step_count, error_count, primary_failures (deepest first, each with the ids of the steps behind it),
     propagated_failures, patterns (matches of the presets that an analysis runs), metrics, notes (codes of NOTES), digest. Names are redacted
-    where their shape isn't harmless."""
-    split = staged(failures.split(ts))
+    where their shape isn't harmless. known: the failure split, where it is at hand."""
+    split = known if known is not None else staged(failures.split(ts))
     behind = failures.causal_steps(ts, split).groupBy("trace_id", F.col("failure").alias("step_id")).agg(F.array_sort(F.collect_list(F.struct("level", "step_id"))).alias("causal"))
     step = F.struct("rank", "step_id", "kind", safe(F.col("name")).alias("name"), "depth", F.transform("causal", lambda c: c["step_id"]).alias("causal_steps"))
     told = split.join(behind, ["trace_id", "step_id"], "left").groupBy("trace_id").agg(

@@ -45,9 +45,9 @@ def causal_steps(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
     return walk.ancestors(marked, F.col("is_target")).select("trace_id", F.col("target").alias("failure"), F.col("ancestor").alias("step_id"), "level")
 
 
-def causal_edges(ts: TraceSet) -> DataFrame:
-    """The causes among each primary failure and the steps behind it: trace_id, failure, effect, cause, origin."""
-    known = staged(split(ts).where("primary"))
+def causal_edges(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
+    """The causes among each primary failure and the steps behind it: trace_id, failure, effect, cause, origin. known: the split, where it is at hand."""
+    known = staged((known if known is not None else split(ts)).where("primary"))
     behind = causal_steps(ts, known).select("trace_id", "failure", "step_id")
     inside = behind.union(known.select("trace_id", F.col("step_id").alias("failure"), "step_id"))
     # every cause of such a step is behind the failure as well

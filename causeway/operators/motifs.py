@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.labels import heuristic_edges, known, label, run_alias, safe
@@ -20,18 +20,27 @@ def digest(ts: TraceSet) -> DataFrame:
     return to_text(ts, check=False).select("trace_id", "digest")
 
 
+def with_origins(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
+    """Matches of a strict pattern with their steps' details, whether they are confirmed, and the origin of each edge as o1, o2, ..."""
+    found, edges = confirmed(ts, pattern), causes(ts)
+    for i in range(1, len(pattern.steps)):
+        found = found.join(edges.select("trace_id", F.col("src").alias(f"s{i}"), F.col("dst").alias(f"s{i - 1}"), F.col("origin").alias(f"o{i}")), ["trace_id", f"s{i}", f"s{i - 1}"])
+    return found
+
+
+def guessed(pattern: patterns.PathPattern) -> Column:
+    """Whether a trace discloses edges chosen by heuristics; a single step has no edge."""
+    return heuristic_edges(F.col("capture")) if len(pattern.steps) > 1 else F.lit("not_applicable")
+
+
 def _signed(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
     """Confirmed matches with their signature as text."""
     if not pattern.strict or pattern.pattern_id is None:
         raise ValueError("only strict, versioned patterns can be summarised")
-    found = confirmed(ts, pattern)
-    edges = causes(ts)
-    for i in range(1, len(pattern.steps)):
-        found = found.join(edges.select("trace_id", F.col("src").alias(f"s{i}"), F.col("dst").alias(f"s{i - 1}"), F.coalesce("origin", F.lit("none")).alias(f"o{i}")), ["trace_id", f"s{i}", f"s{i - 1}"])
-    guess = heuristic_edges(F.col("capture")) if len(pattern.steps) > 1 else F.lit("not_applicable")
-    head = ts.traces.select("trace_id", F.concat_ws("/", safe(F.col("source_kind")), "causal_fidelity", F.coalesce(F.col("links_preserved").cast("string"), F.lit("unknown")), guess).alias("head"))
+    found = with_origins(ts, pattern)
+    head = ts.traces.select("trace_id", F.concat_ws("/", safe(F.col("source_kind")), "causal_fidelity", F.coalesce(F.col("links_preserved").cast("string"), F.lit("unknown")), guessed(pattern)).alias("head"))
     shape = lambda i: F.concat_ws(":", *[F.when(known(f, f"s{i}_"), safe(F.col(f"s{i}_{f}"))).otherwise("?") for f in ("kind", "name", "status")], F.col(f"s{i}_source"))
-    steps = [x for i in range(len(pattern.steps)) for x in ([F.col(f"o{i}")] if i else []) + [shape(i)]]
+    steps = [x for i in range(len(pattern.steps)) for x in ([F.coalesce(F.col(f"o{i}"), F.lit("none"))] if i else []) + [shape(i)]]
     path = F.concat_ws(">", *[f"s{i}" for i in range(len(pattern.steps))])
     return found.join(head, "trace_id").select("trace_id", "confirmed", F.concat_ws(" ", "head", *steps).alias("signature"), path.alias("path"))
 
@@ -59,7 +68,7 @@ def merge(*parts: DataFrame) -> DataFrame:
 def finish(summary: DataFrame) -> DataFrame:
     """signature, match_count, trace_count, representatives (the three smallest, comma-joined), rank of a partial summary."""
     rows = summary.select("signature", "match_count", "trace_count", F.array_join("first", ",").alias("representatives"))
-    return _ranked(rows, [F.desc("trace_count"), F.desc("match_count"), F.asc("signature")])
+    return ranked(rows, [F.desc("trace_count"), F.desc("match_count"), F.asc("signature")])
 
 
 def groups(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
@@ -67,7 +76,7 @@ def groups(ts: TraceSet, pattern: patterns.PathPattern) -> DataFrame:
     return finish(partial(ts, pattern))
 
 
-def _ranked(rows: DataFrame, order: list) -> DataFrame:
+def ranked(rows: DataFrame, order: list) -> DataFrame:
     """rows with their place in the order, from 1: a range sort, then running numbers from each range's first; no task gets all rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = staged(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))

@@ -203,7 +203,10 @@ def differences(ts: TraceSet, pairs: DataFrame) -> DataFrame:
     subtrees of one canonical form cancel each other; what is left corresponds if its children's forms agree (then the labels
     differ, and that is told), else if its label agrees (then its children come next); the rest is in one run only. As long as two runs differ only inside the
     largest child of each step, they are followed in strides that double, so the rounds grow with the logarithm of the steps: a smaller child is at most half as large.
+    No pairs have no differences.
     """
+    if pairs.isEmpty():
+        return pairs.select("current", "baseline", F.lit(0).alias("position"), F.lit("").alias("change")).where("false")
     tree = staged(canonical(ts).join(ts.steps.select("trace_id", "step_id", "seq", label(F.col("name"), F.col("kind")).alias("label")), ["trace_id", "step_id"]))
     forms = tree.where("parent IS NOT NULL").groupBy("trace_id", F.col("parent").alias("step_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("canon")), ","), 256).alias("below"))
     tree = staged(tree.join(forms, ["trace_id", "step_id"], "left"))

@@ -928,3 +928,72 @@ def _pattern_deltas(spark, d):
 
     ts = views.events(spark, d)
     return analysis.pattern_deltas(ts, _neighbours(ts))
+
+
+# --- report documents
+
+_STEP_JSON = """'{"kind":"' || kind || '","name":"' || name || '","seq":' || seq || ',"status":"' || status || '","step_id":"' || step_id || '"}'"""
+
+
+@query(
+    "k02_analysis_documents",
+    _sql(f"""SELECT t.trace_id, 2 AS schema_version, '[' || coalesce(f.primaries, '') || ']' AS primary_steps, '[' || coalesce(f.rest, '') || ']' AS propagated_failures, coalesce(b.n_steps, 0) AS n_causal_steps, coalesce(e.n, 0) AS n_causal_edges,
+      coalesce(w.n, 0) AS n_patterns, '[' || coalesce(v.x, '') || ']' AS evaluations FROM traces t
+      LEFT JOIN (SELECT trace_id, string_agg({_STEP_JSON}, ',' ORDER BY -depth, seq) FILTER (WHERE prim) AS primaries, string_agg({_STEP_JSON}, ',' ORDER BY seq) FILTER (WHERE NOT prim) AS rest FROM split GROUP BY 1) f USING (trace_id)
+      LEFT JOIN (SELECT b.trace_id, count(DISTINCT (target, ancestor)) FILTER (WHERE ancestor <> target) AS n_steps FROM back b JOIN split p ON p.trace_id = b.trace_id AND p.step_id = b.target AND prim GROUP BY 1) b USING (trace_id)
+      LEFT JOIN (SELECT b.trace_id, count(DISTINCT (target, e.src, e.dst)) AS n FROM back b JOIN split p ON p.trace_id = b.trace_id AND p.step_id = b.target AND prim JOIN edges e ON e.trace_id = b.trace_id AND e.src = b.ancestor GROUP BY 1) e USING (trace_id)
+      LEFT JOIN (SELECT trace_id, count(*) AS n FROM sweep GROUP BY 1) w USING (trace_id)
+      LEFT JOIN (SELECT trace_id, string_agg('{{"label":' || CASE WHEN k % 2 = 0 THEN '"pass"' ELSE 'null' END || ',"name":"quality","step_id":"' || step_id || '"}}', ',' ORDER BY seq) AS x FROM steps WHERE {_COST} GROUP BY 1) v USING (trace_id)""",
+      _BACK, _DEPTH, _TAINT, _SPLIT, f"sweep AS ({_sweep_sql(patterns.AUTO)})", recursive=True),
+)
+def _analysis_documents(spark, d):
+    from causeway.operators import reports
+
+    step = "struct<kind: string, name: string, seq: bigint, status: string, step_id: string>"
+    kind = f"struct<schema_version: int, primary_failures: array<struct<step: {step}, causal_steps: array<{step}>, causal_edges: array<struct<effect: string>>>>, metrics: struct<evaluations: array<struct<label: string, name: string, step_id: string>>>>"
+    found = reports.analyses(views.events(spark, d)).withColumn("r", F.from_json("report", kind))
+    total = lambda c: F.aggregate("r.primary_failures", F.lit(0), lambda acc, p: acc + F.size(p[c])).cast("long")
+    nulls = {"ignoreNullFields": "false"}
+    return found.select(
+        "trace_id", "r.schema_version", F.to_json(F.transform("r.primary_failures", lambda p: p["step"])).alias("primary_steps"), F.get_json_object("report", "$.propagated_failures").alias("propagated_failures"),
+        total("causal_steps").alias("n_causal_steps"), total("causal_edges").alias("n_causal_edges"), F.json_array_length(F.get_json_object("report", "$.patterns")).cast("long").alias("n_patterns"),
+        F.to_json("r.metrics.evaluations", nulls).alias("evaluations"),
+    )
+
+
+@query(
+    "k03_check_documents",
+    _sql(f"""SELECT cur AS current, base AS baseline, {_DECIDE} AS verdict, c_steps AS current_steps, CASE WHEN blocked THEN '[]' ELSE '[' || coalesce(x, '') || ']' END AS evidence FROM (
+      SELECT p.cur, p.base, coalesce(risen, 0) > 0 OR coalesce(more, false) AS rose, c.no_record OR b.no_record AS blocked, c.open AS c_open, b.open AS b_open, n.n_steps AS c_steps, l.x FROM pairs p JOIN side c ON c.trace_id = p.cur JOIN side b ON b.trace_id = p.base
+      JOIN traces n ON n.trace_id = p.cur LEFT JOIN risen r ON r.cur = p.cur AND r.base = p.base LEFT JOIN listed l ON l.cur = p.cur AND l.base = p.base)""", _PAIRS, _COUNTS, _RISEN, _OPEN,
+      "errs AS (SELECT trace_id, kind_unknown, CASE WHEN NOT kind_unknown THEN kind END AS kind, CASE WHEN NOT kind_unknown THEN name END AS name, count(*) AS n, list_sort(list(step_id)) AS ids FROM steps WHERE status = 'error' GROUP BY 1, 2, 3, 4)",
+      """listed AS (SELECT p.cur, p.base, string_agg('{"baseline_errors":' || coalesce(b.n, 0) || ',"current_errors":' || c.n || ',"current_step_ids":["' || array_to_string(c.ids, '","') || '"],"signature":' ||
+        CASE WHEN c.kind_unknown THEN 'null' ELSE '{"kind":"' || c.kind || '","name":"' || c.name || '"}' END || '}', ',' ORDER BY c.kind_unknown, c.kind, c.name) AS x FROM pairs p JOIN errs c ON c.trace_id = p.cur
+        LEFT JOIN errs b ON b.trace_id = p.base AND b.kind_unknown = c.kind_unknown AND b.kind IS NOT DISTINCT FROM c.kind AND b.name IS NOT DISTINCT FROM c.name WHERE c.kind_unknown OR c.n > coalesce(b.n, 0) GROUP BY 1, 2)"""),
+)
+def _check_documents(spark, d):
+    from causeway.operators import reports
+
+    ts = views.events(spark, d).staged()
+    part = lambda path: F.get_json_object("report", path)
+    found = reports.checks(ts, _neighbours(ts), ["failures-not-increased"])
+    return found.select("current", "baseline", part("$.verdict").alias("verdict"), part("$.current.step_count").cast("long").alias("current_steps"), part("$.rules[0].evidence").alias("evidence"))
+
+
+@query(
+    "k04_motif_lines",
+    _sql("""SELECT 0 AS position, 'error' AS pattern, '{"artifacts_discovered":' || count(*) || ',"artifacts_skipped":0,"artifacts_valid":' || count(*) || ',"traces_matched":' || count(*) FILTER (WHERE status = 'error') || ',"traces_may_hide_matches":' || count(*) FILTER (WHERE omits OR hidden)
+        || ',"traces_with_disclosed_gaps":' || count(*) FILTER (WHERE gaps) || ',"traces_with_unconfirmed_matches":0,"traces_without_provenance":' || count(*) FILTER (WHERE no_record) || ',"unconfirmed_matches":0}' AS told, NULL AS match_count, NULL AS trace_count, NULL AS n_representatives
+        FROM traces JOIN (SELECT trace_id, bool_or(status = 'unset') AS hidden FROM steps GROUP BY 1) USING (trace_id)
+      UNION ALL SELECT CAST(row_number() OVER (ORDER BY trace_count DESC, match_count DESC, told) AS INTEGER), NULL, told, match_count, trace_count, least(3, match_count) FROM (SELECT told, count(*) AS match_count, count(DISTINCT trace_id) AS trace_count FROM (
+        SELECT trace_id, '{"causal_fidelity":"declared_dag","edge_origins":[],"heuristic_edges":"not_applicable","links_preserved":true,"pattern_id":"error","pattern_version":1,"source_kind":"events","steps":[{"kind":' || CASE WHEN kind_unknown THEN 'null' ELSE '"' || kind || '"' END
+          || ',"name":"' || name || '","source":"loop","status":"error","unknown":[' || CASE WHEN kind_unknown THEN '"kind"' ELSE '' END || ']}]}' AS told FROM steps WHERE status = 'error') GROUP BY 1)"""),
+)
+def _motif_lines(spark, d):
+    from causeway.operators import reports
+
+    part = lambda path: F.get_json_object("report", path)
+    return reports.motif_lines(views.events(spark, d), P["error"]).select(
+        "position", part("$.pattern.id").alias("pattern"), F.coalesce(part("$.coverage"), part("$.signature")).alias("told"), part("$.match_count").cast("long").alias("match_count"), part("$.trace_count").cast("long").alias("trace_count"),
+        F.json_array_length(part("$.representatives")).cast("long").alias("n_representatives"),
+    )

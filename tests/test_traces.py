@@ -339,6 +339,7 @@ def test_analysis_and_reasons(spark):
     assert [(p.pattern_id, p.path) for p in a.patterns] == [("plan-then-tool-failure", "p>q"), ("tool-failure", "q"), ("tool-failure", "r"), ("error", "q"), ("error", "r")]
     pairs = spark.createDataFrame([("a", "b")], "current string, baseline string")
     c = analysis.compare(ts, pairs).first()
+    assert trees.differences(ts, pairs.where("false")).collect() == []
     assert not c.topology_identical and {d.pattern_id: d.delta for d in c.pattern_count_deltas}["error"] == 2 and c.baseline_digest == b.digest
     report = analysis.as_json(analysis.check_report(ts, pairs, ["failures-not-increased", "topology-unchanged"]), "current", "baseline").first().report
     assert '"verdict"' in report and '"reasons"' in report
