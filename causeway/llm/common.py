@@ -77,6 +77,19 @@ def bitmap_of(df: DataFrame, name: str):
     return out
 
 
+def in_bitmap(bits, value: Column) -> Column:
+    """Whether a bitmap has the low bits of a 64-bit hash. Only hashes go to Python."""
+    import numpy as np
+    import pandas as pd
+
+    def test(hashes: pd.Series) -> pd.Series:
+        low = hashes.to_numpy(np.int64).astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
+        return pd.Series((bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+
+    test.__annotations__ = {"hashes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(test, "boolean")(value)
+
+
 #: A key is frequent from this part of all rows on, so there are no more frequent keys than that; their rows go to so many tasks.
 HOT_SHARE, HOT_ROWS, SALTS = 1000, 100, 64
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, read_blobs, shared_dir, small_batches, spread_join, staged, write_blob
+from .common import bitmap_of, in_bitmap, narrow, read_blobs, shared_dir, small_batches, spread_join, staged, write_blob
 
 FILE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,18 +81,23 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = narrow(pages, page_id="long", url="string", html="string").select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    headers = staged(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_digest"))
+    headers = staged(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_bytes", "payload_digest"))
     first = F.min(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "url"))
     origins = staged(headers.groupBy("payload_digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = spread_join(headers.select("page_id", "payload_digest"), origins.select("payload_digest", "first"), "payload_digest", origins)
+    met = spread_join(headers, origins.select("payload_digest", "first"), "payload_digest", origins)
     # a page_id that isn't the smallest one is never null
-    again = met.where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), F.col("first.page_id").alias("origin_id"), F.col("first.url").alias("origin_url")).distinct()
-    joined = rows.join(again, (rows["page_id"] == again["again_id"]) & (rows["payload_digest"] == again["again_digest"]), "left")
-    revisit = F.col("again_id").isNotNull()
-    return joined.select(
-        "page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("origin_id")).alias("refers_to"), F.when(revisit, F.col("origin_url")).alias("origin_url"), F.when(~revisit, F.col("payload")).alias("payload"),
-    )
+    again = staged(met.where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).withColumn("pair", F.xxhash64("page_id", "payload_digest")))
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = ["page_id", "url", "payload_bytes", "payload_digest"]
+    # revisits are made of headers alone; payloads go through a shuffle only where the bitmap takes a page for a revisit
+    revisits = again.select(*fields, F.lit("revisit").alias("record_type"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("origin_url"), none("binary").alias("payload"))
+    pairs = again.select("page_id", "payload_digest", "pair").distinct()
+    bits = bitmap_of(pairs, "pair")
+    may = F.lit(True) if bits is None else in_bitmap(bits, F.xxhash64("page_id", "payload_digest"))
+    responses = rows.where(may).join(pairs, ["page_id", "payload_digest"], "left_anti").select(rows.columns)
+    if bits is not None:
+        responses = rows.where(~may).union(responses)
+    return responses.select(*fields, F.lit("response").alias("record_type"), none("long").alias("refers_to"), none("string").alias("origin_url"), "payload").union(revisits)
 
 
 def write_archives(resolved: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
