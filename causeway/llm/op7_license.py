@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, keep_only, narrow, small_batches, staged
+from .common import bitmap_of, keep_only, narrow, small_batches, spread_join, staged
 
 #: phrase -> label; fixed values of the scan.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -149,6 +149,22 @@ def _forward(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([*[b[c] for c in b.schema.names if c != "parts"], pa.array(found, pa.int64())], [*[c for c in b.schema.names if c != "parts"], "found"])
 
 
+def _sent(seen: DataFrame, table: DataFrame) -> DataFrame:
+    """Hits with the template places of their grams; a document without any is one row. The table goes to each task."""
+    votes = seen.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", F.col("hit.gram").alias("gram"), F.col("hit.at").alias("at"))
+    return votes.join(F.broadcast(table.drop("k")), "gram", "left")
+
+
+def _dealt(seen: DataFrame, table: DataFrame) -> DataFrame:
+    """The same where the table is too large to be sent: hits alone are shuffled, those of frequent grams dealt over tasks, and documents without any are added."""
+    seen = staged(seen)
+    hits = seen.select("row", "doc_id", "n_words", F.inline("hits"))
+    counts = staged(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    found = staged(spread_join(hits, table.drop("k"), "gram", counts))
+    none = seen.select("row", "doc_id", "n_words").join(found.select("row").distinct(), "row", "left_anti")
+    return found.unionByName(none, allowMissingColumns=True)
+
+
 def spans(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """One row for each document row and template found in it (or one with null label): row, doc_id, n_words,
     template, label, base, first, last (smallest and largest start), places, cover."""
@@ -159,10 +175,9 @@ def spans(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     sizes = [r.k for r in table.select("k").distinct().collect()]  # LONG values at most
     bitmap = bitmap_of(table, "gram")
     seen = narrow(docs, doc_id="long", text="string").mapInArrow(_hits(sorted(sizes), bitmap), "row long, doc_id long, n_words long, hits array<struct<gram: long, at: long>>")
-    votes = seen.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", F.col("hit.gram").alias("gram"), F.col("hit.at").alias("at"))
     own = ["row", "doc_id", "n_words", "template", "label", "base", "size"]
-    sent = F.broadcast(table.drop("k")) if table.count() <= SENT_ROWS else table.drop("k")
-    diagonals = votes.join(sent, "gram", "left").withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*own, "diagonal").agg(F.collect_set("place").alias("seen"))
+    met = _sent(seen, table) if table.count() <= SENT_ROWS else _dealt(seen, table)
+    diagonals = met.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*own, "diagonal").agg(F.collect_set("place").alias("seen"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     step = F.coalesce((~F.col("base") & (F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR)), F.lit(False))
     merged = diagonals.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("span", F.sum("new").over(line))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from causeway.llm import common
 from causeway.llm import op1_token_store as tok
 from causeway.llm import op2_packing, op3_warc, op4_decontaminate, op5_hilbert, op6_language, op7_license, op8_near_dedup, op9_surrogates, op10_lsm_dedup
 from causeway.llm.graph import components
@@ -136,6 +137,21 @@ def test_warc(spark):
     assert op3_warc.warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_with_and_without_bitmap(spark, monkeypatch):
+    """Revisits are the same where the bitmap of revisits is given up, and where it takes every page for one."""
+    rng = random.Random(3)
+    rows = [(k % 190 if k % 50 else None, f"u{k}", f"page {rng.randrange(60)} " * (1 + k % 3)) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shown = lambda: sorted((str(r.page_id), r.url, r.payload_digest, r.record_type, str(r.refers_to), r.payload is None) for r in op3_warc.resolve(pages).collect())
+    want = shown()
+    assert len(want) == 300 and all((kind == "revisit") == (to != "None" or bare) for _, _, _, kind, to, bare in want)
+    monkeypatch.setattr(common, "FILTER_HASHES", 0)
+    assert shown() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(op3_warc, "bitmap_of", lambda *_: np.full(16, 0xFF, np.uint8))
+    assert shown() == want
+
+
 def test_decontamination(spark):
     item = "A train leaves Paris at 60 km per hour and meets Anna after 3 hours near the river bridge"
     other = item.replace("60", "75").replace("Paris", "Rome").replace("Anna", "Olga").replace("after 3", "after 5")
@@ -469,6 +485,16 @@ def test_licenses(spark):
     assert op7_license.licenses(table(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_with_a_large_template_table(spark, monkeypatch):
+    """Beyond SENT_ROWS hits are shuffled, frequent grams are dealt, documents without hits stay."""
+    rows = [(k, "see the mit license here" if k % 3 else "nothing of the kind") for k in range(400)] + [(900, None), (901, op7_license.TEXTS["mit-text"]), (902, "cc by " * 300), (None, "apache license"), (5, "see the mit license here")]
+    shown = lambda: sorted((str(r["doc_id"]), *[str(r[c]) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]) for r in local(op7_license.licenses(table(spark, rows))))
+    want = shown()
+    monkeypatch.setattr(op7_license, "SENT_ROWS", 0)
+    assert shown() == want and len(want) == len(rows)
+    assert op7_license.licenses(table(spark, rows).limit(0)).count() == 0
+
+
 def near_brute(rows, percent=80):
     def sh(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
