@@ -120,6 +120,34 @@ def test_sum_of_squares_rule():
         assert int((s.counts[:32] ** 2).sum()) == min(options)
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    """Every row is a document of its own, whatever its doc_id: each has its ids in pieces from 0 to its length, windows are gapless."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(12)
+    texts = [(None, "same text"), (None, "same text"), (None, None), (3, "same text"), (3, "same text"), (3, ""), (3, prose(rng, 1500)), (None, prose(rng, 2500)), (-1, "x")]
+    plain_ids = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [1] for _, t in texts]
+    got = local(op2_packing.pack(table(spark, texts), path, 1))
+    shown = lambda x: str(x)  # noqa: E731  null ids sort as text
+    whole = sorted((shown(d), len(i)) for (d, _), i in zip(texts, plain_ids))
+    assert sorted((shown(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == whole
+    for key in set(whole):
+        rows = sorted((r["start"], r["length"]) for r in got if (shown(r["doc_id"]), r["doc_tokens"]) == key)
+        assert sum(n for _, n in rows) == key[1] * whole.count(key)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    ids_of = {(shown(d), len(i)): i for (d, _), i in zip(texts, plain_ids)}
+    assert all(r["ids_crc32"] == crc(ids_of[shown(r["doc_id"]), r["doc_tokens"]][r["start"] : r["start"] + r["length"]]) for r in got)
+    windows = {}
+    for r in got:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in windows.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
 def test_warc(spark):
     body = "<p>same</p>" * 5
     rows = [(5, "http://a", body), (3, "http://b c", body), (9, None, body), (1, "http://d", None), (2, "http://e", ""), (4, "x", "é"), (None, "y", "é"), (6, "z", "WARC/1.1\r\n\r\nx" * 50_000)]
