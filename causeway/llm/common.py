@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.session import shared_dir, ship, staged  # noqa: F401  shared_dir and staged for the operators
+from causeway.session import shared_dir, ship  # noqa: F401  shared_dir and staged for the operators
+from causeway.session import stored as staged  # noqa: F401
 
 #: Bytes of an Arrow batch handed to Python, so that a run of very long texts fits a worker.
 ARROW_BYTES = 4 << 20

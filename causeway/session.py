@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{uri.rstrip('/')}/causeway-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
@@ -33,6 +33,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``stored``, and joined by sorting: a few columns of well compressed files look small enough to send whole through the driver, and aren't."""
+    return stored(df).hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers: where PYTHONPATH doesn't have it, the package is
     sent to the executors once a context, as any Spark job sends its own modules."""

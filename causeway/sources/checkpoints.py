@@ -176,14 +176,14 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
         steps, codes = steps.unionByName(waiting.drop("head")), codes.union(lost_codes)
         links = links.union(waiting.select("trace_id", F.lit("CAUSED_BY"), "step_id", "head", F.lit("checkpoint_parent")))
     gaps = codes.groupBy("thread_id", "code").agg(F.count(F.lit(1)).alias("count")).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("code", "count"))).alias("gaps"))
-    heads = steps.groupBy("trace_id").agg(F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status")).join(gaps.withColumnRenamed("thread_id", "trace_id"), "trace_id", "left")
+    heads = steps.groupBy("trace_id").agg(F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status")).join(gaps.withColumnRenamed("thread_id", "trace_id").hint("merge"), "trace_id", "left")
     fingerprint = F.struct(F.lit(graph.fingerprint().first()[0]).alias("fingerprint")) if graph else F.lit(None).cast("struct<fingerprint: string>")  # one digest
     traces = heads.select(
         "trace_id", F.lit(source_kind).alias("source_kind"), F.lit(None).cast("string").alias("run_id"), F.col("trace_id").alias("thread_id"), "status", F.lit("declared_dag").alias("causal_fidelity"), F.lit(None).cast("boolean").alias("links_preserved"),
         F.lit(None).cast("array<struct<source: string, artifact_digest: string, graph_generation: bigint, verdict: string>>").alias("decision_evidence"), fingerprint.alias("schedule_graph"),
         F.struct(F.coalesce("gaps", F.array().cast("array<struct<code: string, count: bigint>>")).alias("gaps")).alias("capture"),
     )
-    return TraceSet(traces, steps.drop("rewritten"), links)
+    return TraceSet(traces, steps.drop("rewritten").hint("merge"), links.hint("merge"))  # unions of staged tables, which are as large
 
 
 def _scheduled(base: DataFrame, head: DataFrame, main: DataFrame, graph: named.Graph) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +201,7 @@ def _scheduled(base: DataFrame, head: DataFrame, main: DataFrame, graph: named.G
         F.col("thread_id").alias("trace_id"), F.concat("sid", F.lit("#scheduled:"), "task_id").alias("step_id"), (F.col("at") + 1).alias("seq"), "ts", F.when(looks_like_tool(F.col("name")), "TOOL").otherwise("CHAIN").alias("kind"), F.lit("scheduled").alias("source"), "name",
         F.lit("unset").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.lit(None).cast(schema.EVIDENCE).alias("evidence"), F.lit(None).cast("boolean").alias("projection_lossy"), F.array().cast("array<string>").alias("unknown_fields"), F.lit(False).alias("rewritten"), F.col("sid").alias("head"),
     )
-    channels = graph.nodes.select(F.explode("triggers").alias("channel")).union(base.sparkSession.createDataFrame([(named.PACKETS,)], "channel string")).distinct()
+    channels = F.broadcast(graph.nodes.select(F.explode("triggers").alias("channel")).union(base.sparkSession.createDataFrame([(named.PACKETS,)], "channel string")).distinct())  # a graph's nodes, not a corpus
     waits = wrote.where(F.col("w.task_id") == NULL_TASK).select("thread_id", F.col("w.channel").alias("channel")).join(channels, "channel", "left_semi")
-    unknown = named.packets(heads).where("node IS NOT NULL").join(graph.nodes.select("node"), "node", "left_anti")
+    unknown = named.packets(heads).where("node IS NOT NULL").join(F.broadcast(graph.nodes.select("node")), "node", "left_anti")
     return steps, waits.select("thread_id", F.lit("langgraph.unapplied_command_goto").alias("code")).union(unknown.select("thread_id", F.lit("langgraph.unknown_send_target")))

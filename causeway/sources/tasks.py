@@ -127,12 +127,12 @@ def scheduled_tasks(heads: DataFrame, nodes: DataFrame) -> DataFrame:
     ship(heads.sparkSession)
     both = heads.select("thread_id", "sid", "ns", "checkpoint_id", "v", "md_step", "channel_versions", "versions_seen", F.explode(_keys("channel_values")).alias("channel"))
     wired = nodes.select("node", F.array_sort(F.array_distinct("triggers")).alias("triggers")).select("*", F.explode("triggers").alias("channel"))
-    met = both.join(wired, "channel")
+    met = both.join(F.broadcast(wired), "channel")  # a graph's nodes, not a corpus
     now, seen = F.col("channel_versions")[F.col("channel")], F.col("versions_seen")[F.col("node")][F.col("channel")]
     number = lambda c: F.expr(f"try_cast({c} as decimal(38,18))")
     met = met.withColumns({"now": now, "seen": seen})
     newer = F.col("seen").isNull() | F.coalesce(number("now") > number("seen"), F.col("now") > F.col("seen"), F.lit(False))
     ready = met.where(newer).groupBy("thread_id", "sid", "node").agg(*[F.first(c).alias(c) for c in ("ns", "checkpoint_id", "v", "md_step", "triggers")])
     pulled = ready.select("thread_id", "checkpoint_id", task_id("checkpoint_id", "v", *_identity(F.col("node")), F.lit(PULL), F.array_join("triggers", "")).alias("task_id"), F.col("node").alias("name"))
-    sent = push_ids(heads).join(nodes.select("node"), "node", "left_semi").join(heads.select("thread_id", "sid", "checkpoint_id"), ["thread_id", "sid"])
+    sent = push_ids(heads).join(F.broadcast(nodes.select("node")), "node", "left_semi").join(heads.select("thread_id", "sid", "checkpoint_id"), ["thread_id", "sid"])
     return pulled.union(sent.select("thread_id", "checkpoint_id", "task_id", F.col("node").alias("name")))

@@ -127,3 +127,13 @@ def test_given_tasks(spark):
 def test_old_checkpoints_keep_packets_apart(spark):
     table = spark.createDataFrame([("t", "s", {"__pregel_tasks": "not json"}, ['{"node": "a"}', None, "{"]), ("t", "r", {"__pregel_tasks": '{"node": "a"}'}, None)], "thread_id string, sid string, channel_values map<string,string>, pending_sends array<string>")
     assert sorted((r.sid, r.idx, r.node, r.channel) for r in tasks.packets(table).collect() if r.node) == [("s", 0, "a", "pending_sends")]
+
+
+def test_histories_never_go_whole_through_the_driver(spark, small):
+    """Whatever the size of their files, staged tables are joined by sorting; only a graph's own nodes are sent."""
+    from causeway.queries import QUERIES
+
+    for name in ("a03_checkpoint_counts", "c17_scheduled_gaps"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().sparkPlan().toString()
+        sent = [line.split("BroadcastHashJoin ")[1] for line in plan.splitlines() if "BroadcastHashJoin " in line]
+        assert "SortMergeJoin" in plan and all(line.startswith(("[node#", "[channel#")) for line in sent), (name, sent)
