@@ -8,19 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.session import shared_dir, ship  # noqa: F401  shared_dir and staged for the operators
+from causeway.session import ARROW_BYTES, shared_dir, ship, small_batches  # noqa: F401  for the operators
 from causeway.session import stored as staged  # noqa: F401
 
-#: Bytes of an Arrow batch handed to Python, so that a run of very long texts fits a worker.
-ARROW_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch (Spark's own bound is on rows); workers can import this package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
-
-
 def column(df: DataFrame, name: str) -> Column:
     """A column by name, also where the name has dots; a repeated name is an error of the caller."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -13,7 +13,7 @@ from causeway import schema
 from causeway.plans import model
 from causeway.plans.projection import layers, needs_origin_priority, normalize, projection_rules, violations
 from causeway.schema import TraceSet
-from causeway.session import ship, staged
+from causeway.session import small_batches, staged
 
 VERSIONS = range(1, 10)
 
@@ -63,7 +63,7 @@ def to_text(ts: TraceSet, check: bool = True) -> DataFrame:
     SHA-256 of that text. check: a trace that breaks the model's rules is an error."""
     if check:
         refuse(ts)
-    ship(ts.traces.sparkSession)
+    small_batches(ts.traces.sparkSession)  # documents are long: 10,000 of them are no batch
     whole, _ = normalize(ts)
     steps = whole.steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("step_id").alias("k"), F.struct(*whole.steps.columns).alias("step")))), lambda x: x["step"]).alias("steps"))
     edges = layers(ts).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct("type", "src", "dst", "origin").alias("edge")))), lambda x: x["edge"]).alias("edges"))

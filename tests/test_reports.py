@@ -86,3 +86,24 @@ def test_motif_lines(spark):
         reports.motif_groups(ts, patterns.PRESETS["repeated-agent-failure"])
     none = TraceSet(ts.traces, ts.steps.where("status = 'ok'"), ts.edges)
     assert [in_order(r.report)["coverage"]["traces_matched"] for r in reports.motif_lines(none, patterns.PRESETS["error"]).collect()] == [0]
+
+
+def test_trace_documents_reach_python_in_batches_of_bounded_bytes(spark, small, monkeypatch):
+    """Long documents come a few at a time, however many traces there are."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from causeway.schema import TraceSet
+    from causeway.session import ARROW_BYTES
+    from causeway.sources import artifacts, views
+
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{int(texts.str.len().sum())} {len(t)}" for t in texts])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(artifacts, "_canonical", told)
+    ts = views.events(spark, small)
+    long = ts.steps.withColumn("error_msg", F.repeat(F.lit("x"), F.lit(50_000)))
+    sizes = [tuple(map(int, r.value.split())) for r in artifacts.to_text(TraceSet(ts.traces, long, ts.edges), check=False).select("value").collect()]
+    assert len(sizes) > 4 and max(batch for batch, _ in sizes) <= ARROW_BYTES + max(own for _, own in sizes)
