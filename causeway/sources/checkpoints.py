@@ -96,7 +96,7 @@ def causes(base: DataFrame) -> DataFrame:
     held = last.withColumn("earlier", F.collect_set(F.when(F.col("source") != "fork", F.col("exit"))).over(before))
     held = held.withColumn("unsure", (F.col("source") == "fork") & (F.size(F.array_remove("earlier", F.col("exit"))) > 0))
     returns = held.where("NOT unsure").select("thread_id", F.col("sid").alias("src"), F.col("exit").alias("dst"), F.lit("checkpoint_subgraph_return").alias("origin"))
-    replaced = held.groupBy("thread_id", "sid").agg(F.bool_and(~F.col("unsure")).alias("replaced"))
+    replaced = held.groupBy("thread_id", "sid").agg(F.bool_and(~F.col("unsure")).alias("replaced")).hint("merge")
     declared = known.join(replaced, ["thread_id", "sid"], "left").where("NOT coalesce(replaced, false)").select("thread_id", F.col("sid").alias("src"), "dst", F.lit("checkpoint_parent").alias("origin"))
     again = inv.where("relaunched").select("thread_id", F.col("sid").alias("src"), F.col("launch").cast(_KEY).alias("key")).join(keys.drop("versions_seen"), ["thread_id", "key"]).select("thread_id", "src", "dst", F.lit("checkpoint_parent").alias("origin"))
     return declared.union(returns).union(again).distinct()
@@ -113,13 +113,14 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
     edges = staged(causes(base))
     held = lambda m: F.coalesce(F.nullif(m[error_channel], F.lit("")), F.lit(None).cast("string"))
     parent = base.select("thread_id", F.struct("ns", F.col("checkpoint_id").alias("id")).cast(_KEY).alias("key"), F.col("ns").alias("p_ns"), F.col("source").alias("p_source"), F.col("channel_values").alias("p_values"), F.col("channel_versions").alias("p_versions"))
+    # a hint doesn't reach through joins and unions: what they make says it again
     at = base.withColumn("key", F.col("ref").cast(_KEY)).join(parent, ["thread_id", "key"], "left")
     target = F.when(F.col("p_ns") != F.col("ns"), F.get(segments(F.col("ns")), F.size(segments(F.col("p_ns")))))
     routed = F.filter(F.map_keys("p_values"), lambda k: k.startswith(BRANCH))
     name = F.when(target.isNotNull(), F.when(F.array_contains(routed, F.concat(F.lit(BRANCH), target)), target)).otherwise(F.substring(F.get(routed, 0), len(BRANCH) + 1, 1000))
     no_node = (F.col("source") == "input") | ((F.col("source") == "loop") & F.coalesce(F.col("p_source") == "input", F.lit(False)))
     states = base.select(F.col("thread_id"), F.col("sid").alias("dst"), held(F.col("channel_values")).isNotNull().alias("had"))
-    upstream = edges.select("thread_id", F.col("src").alias("sid"), "dst").join(states, ["thread_id", "dst"]).groupBy("thread_id", "sid").agg(F.bool_or("had").alias("had_before"))
+    upstream = edges.select("thread_id", F.col("src").alias("sid"), "dst").join(states, ["thread_id", "dst"]).groupBy("thread_id", "sid").agg(F.bool_or("had").alias("had_before")).hint("merge")
     at = at.join(upstream, ["thread_id", "sid"], "left")
     error = held(F.col("channel_values"))
     had = F.coalesce("had_before", F.lit(False)) | F.coalesce(held(F.col("p_values")).isNotNull(), F.lit(False))
@@ -127,7 +128,7 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
     moved = ~F.col("channel_versions")[error_channel].eqNullSafe(F.col("p_versions")[error_channel])
     rewritten = error.isNotNull() & held(F.col("p_values")).isNotNull() & (F.col("source") == "loop") & ~no_node & (F.col("p_ns") == F.col("ns")) & F.when(F.col("channel_versions")[error_channel].isNotNull() & F.col("p_versions")[error_channel].isNotNull(), moved).otherwise(error != held(F.col("p_values")))
     order = F.coalesce("md_step", F.lit(0)).cast("long")
-    valid = edges.join(base.select("thread_id", F.col("sid").alias("src"), order.alias("a")), ["thread_id", "src"]).join(base.select("thread_id", F.col("sid").alias("dst"), order.alias("b")), ["thread_id", "dst"]).groupBy("thread_id").agg(F.bool_and(F.col("b") < F.col("a")).alias("ordered"))
+    valid = edges.join(base.select("thread_id", F.col("sid").alias("src"), order.alias("a")), ["thread_id", "src"]).join(base.select("thread_id", F.col("sid").alias("dst"), order.alias("b")), ["thread_id", "dst"]).groupBy("thread_id").agg(F.bool_and(F.col("b") < F.col("a")).alias("ordered")).hint("merge")
     at = at.join(valid, "thread_id", "left")
     # recorded steps where they order all causes, else the order of writing, which does
     seq = F.when(F.coalesce("ordered", F.lit(True)), order).otherwise(F.col("rank") - 1)
@@ -151,7 +152,7 @@ def ingest(rows: DataFrame, error_channel: str = "error", error_messages: bool =
     unsure = open_ & (F.size("channels") > 1) & (F.size(F.array_except("channels", F.array(*map(F.lit, (INTERRUPT, RESUME, ERROR))))) == 0)
     told = base.where(F.exists("pending_writes", lambda w: w["channel"].isin(ERROR, INTERRUPT)))
     asked = per.where((failed | paused) & F.col("by_source").isNull()).select("thread_id", "sid", F.col("task").alias("task_id"))
-    proved = named.names(told, asked).withColumnRenamed("task_id", "task").withColumnRenamed("name", "proved")
+    proved = named.names(told, asked).withColumnRenamed("task_id", "task").withColumnRenamed("name", "proved").hint("merge")
     per = staged(per.join(proved, ["thread_id", "sid", "task"], "left").withColumn("name", F.coalesce("by_source", "proved")))
     mark = lambda kind: F.concat("sid", F.lit(f"#{kind}:"), "task")
     kind_of = F.when(looks_like_tool(F.col("name")), "TOOL").otherwise("CHAIN")

@@ -116,7 +116,8 @@ def names(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     """tasks: thread_id, sid, task_id -> those of them that a candidate's id equals, with name: the first node by name, else a packet's node."""
     ship(rows.sparkSession)
     candidates = pull_ids(rows).select("*", F.lit(True).alias("pull")).union(push_ids(rows).select("thread_id", "sid", "task_id", "node", F.lit(False)))
-    met = candidates.join(tasks.select("thread_id", "sid", "task_id"), ["thread_id", "sid", "task_id"])
+    # joined by sorting: the size of a union of exploded rows is guessed far too low, and the smaller side sent whole through the driver
+    met = candidates.join(tasks.select("thread_id", "sid", "task_id").hint("merge"), ["thread_id", "sid", "task_id"])
     found = met.groupBy("thread_id", "sid", "task_id").agg(F.min(F.when(F.col("pull"), F.col("node"))).alias("pulled"), F.max(F.when(~F.col("pull"), F.col("node"))).alias("sent"))
     return found.select("thread_id", "sid", "task_id", F.coalesce("pulled", "sent").alias("name"))
 

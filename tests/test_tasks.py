@@ -137,3 +137,16 @@ def test_histories_never_go_whole_through_the_driver(spark, small):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().sparkPlan().toString()
         sent = [line.split("BroadcastHashJoin ")[1] for line in plan.splitlines() if "BroadcastHashJoin " in line]
         assert "SortMergeJoin" in plan and all(line.startswith(("[node#", "[channel#")) for line in sent), (name, sent)
+
+
+def test_staged_parts_of_histories_never_go_whole_through_the_driver(spark, small, monkeypatch):
+    """The plans that an ingest runs on its way, not only its last one: joins with unions and aggregates are by sorting, too."""
+    from causeway.queries import QUERIES
+    from causeway.sources import checkpoints
+
+    plans, real = [], checkpoints.staged
+    monkeypatch.setattr(checkpoints, "staged", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    for name in ("s11_checkpoint_edges", "c17_scheduled_steps"):
+        plans.append(QUERIES[name](spark, small)._jdf.queryExecution().sparkPlan().toString())
+    sent = [line.split("BroadcastHashJoin ")[1] for plan in plans for line in plan.splitlines() if "BroadcastHashJoin " in line]
+    assert len(plans) > 8 and all(line.startswith(("[node#", "[channel#")) for line in sent), sent
