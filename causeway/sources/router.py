@@ -73,15 +73,28 @@ class Loaded:
 
 def files(spark, path: str) -> DataFrame:
     """file, value, digest, reason: each file read once, as bytes; the same bytes are hashed and parsed. value is null where they are no UTF-8."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return _hashed(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"))
+
+
+def _hashed(raw: DataFrame) -> DataFrame:
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return raw.select("file", text.alias("value"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.when(text.isNull(), "not UTF-8").alias("reason"))
 
 
 def load(spark, path: str, trace_ids: list[str] | None = None) -> Loaded:
     """The traces of all files under path that can be read. A file that can't be, or one of whose traces breaks a rule, is left out whole and named with its
-    first reason; the other files are not touched by it. trace_ids: only these traces."""
-    every = staged(files(spark, path))
+    first reason; the other files are not touched by it. trace_ids: only these traces. Spark's driver lists the files, so their number is bounded by its memory:
+    millions of documents are packed into a table for ``load_table``."""
+    return _load(spark, files(spark, path), trace_ids)
+
+
+def load_table(packed: DataFrame, trace_ids: list[str] | None = None) -> Loaded:
+    """packed: file string, content binary, a row a file -> what ``load`` gives for a folder of these files. No list of files is made."""
+    return _load(packed.sparkSession, _hashed(packed.select("file", "content")), trace_ids)
+
+
+def _load(spark, read_files: DataFrame, trace_ids: list[str] | None) -> Loaded:
+    every = staged(read_files)
     routed = staged(classify(every.where("reason IS NULL").select("file", "value")))
     of = lambda family: routed.where(F.col("family") == family).select("file", "value")
     bad, owners, sets = [every.where("reason IS NOT NULL").select("file", "reason"), routed.where("reason IS NOT NULL").select("file", "reason")], [], []

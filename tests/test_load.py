@@ -91,3 +91,25 @@ def test_shape_checks_agree(spark):
     good = ["{}", '{"resourceSpans": null}', json.dumps(doc(span("a")))]
     rows = spans.documents(texts(spark, *BAD_SHAPES, *good), tolerant=True).collect()
     assert sorted(r.problem is None for r in rows) == [False] * len(BAD_SHAPES) + [True] * len(good)
+
+
+def test_packed_files_are_a_folder(spark, tmp_path):
+    """A table of files gives what a folder of them gives."""
+    bodies = {"good": json.dumps(doc(span("a", start=1, trace="g1"))), "notjson": "{", "twice": json.dumps(doc(span("a", trace="b2"), span("a", trace="b2"))), "lines": "\n".join(json.dumps(doc(span("q", start=1, trace=f"g{k}"))) for k in (2, 3))}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    packed = spark.createDataFrame([(f"{name}.json", bytearray(body.encode())) for name, body in bodies.items()], "file string, content binary")
+    plain = lambda got: (sorted((r.file.rsplit("/", 1)[-1], r.reason) for r in got.failures.collect()), sorted((r.file.rsplit("/", 1)[-1], r.digest, r.trace_id) for r in got.evidence.collect()), sorted(map(tuple, got.traces.steps.select("trace_id", "step_id").collect())))
+    a, b = plain(router.load_table(packed)), plain(router.load(spark, str(tmp_path)))
+    assert a == b and len(a[0]) == 2 and len(a[1]) == 3
+
+
+def test_load_query_lists_no_files_and_sends_no_tables(spark, small, monkeypatch):
+    """As many files as users aren't listed by the driver, and no part of their rows is sent through it."""
+    from causeway.queries import QUERIES
+
+    plans, real = [], router.staged
+    for module in (router, spans):
+        monkeypatch.setattr(module, "staged", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    plans.append(QUERIES["h42_load_failures"](spark, small)._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 8 and not [line for plan in plans for line in plan.splitlines() if "binaryFile" in line or "BroadcastHashJoin" in line]
