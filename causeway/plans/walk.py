@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.plans.projection import causes
 from causeway.schema import TraceSet, struct
-from causeway.session import ship
+from causeway.session import ship, values
 
 
 class Graph:
@@ -77,7 +77,7 @@ def over_graphs(ts: TraceSet, fn: Callable[[Graph], Iterator[tuple]], ddl: str,
                     out.clear()
 
         for b in batches:
-            for trace, layer, seq, sid, name, marks in zip(*(b[c].to_pylist() for c in ("trace_id", "layer", "seq", "id", "name", "marks"))):
+            for trace, layer, seq, sid, name, marks in zip(*(values(b[c]) for c in ("trace_id", "layer", "seq", "id", "name", "marks"))):
                 if graph is None or trace != graph.trace_id:
                     if graph is not None:
                         yield from finish(graph)

@@ -54,6 +54,11 @@ def ship(spark: SparkSession) -> None:
     sc._causeway_shipped = True
 
 
+def values(column) -> list:
+    """An Arrow column as Python values; by way of numpy, which takes a tenth of the time, where that keeps them as they are."""
+    return column.to_pylist() if column.null_count and not column.type.equals("string") else column.to_numpy(zero_copy_only=False).tolist()
+
+
 #: Bytes of an Arrow batch handed to Python, so that a run of very long texts fits a worker.
 ARROW_BYTES = 4 << 20
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway import schema
 from causeway.schema import TraceSet
+from causeway.session import staged
 
 
 def _whole(df: DataFrame, ddl: str) -> DataFrame:
@@ -66,7 +67,8 @@ def events(spark: SparkSession, sf_dir: str) -> TraceSet:
 
 
 def _plain(df: DataFrame, kind: str) -> TraceSet:
-    """df: trace_id, step_id, seq, kind, name, status, parent."""
+    """df: trace_id, step_id, seq, kind, name, status, parent; made once, as all three tables are read off it."""
+    df = staged(df)
     steps = df.withColumns({"source": F.lit("loop"), "unknown_fields": F.array().cast("array<string>")})
     edges = df.where("parent IS NOT NULL").select("trace_id", F.lit("CAUSED_BY").alias("type"), F.col("step_id").alias("src"), F.col("parent").alias("dst"), F.lit("graph_parent").alias("origin"))
     traces = df.groupBy("trace_id").agg(F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status")).withColumns({"source_kind": F.lit(kind), "causal_fidelity": F.lit("declared_dag")})

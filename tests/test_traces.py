@@ -129,6 +129,18 @@ def test_trees(spark):
     assert changed == [("t3", "q", None, "ok"), ("t3", "z", "ok", None)] or sorted(changed, key=str) == sorted([("t3", "q", None, "ok"), ("t3", "z", "ok", None)], key=str)
 
 
+def test_forms_need_no_joins(spark):
+    """Forms come from one shuffle of steps and causes; a comparison of forms makes each trace's row once. Of several causes the earliest by origin, then seq, is the parent."""
+    ts = build(spark, [("t", "r", 0, "r", "AGENT", "ok"), ("t", "a", 1, "a", "TOOL", "ok"), ("t", "b", 2, "b", "TOOL", "ok"), ("u", "r", 0, "r", "AGENT", "ok")], [("t", "a", "r"), ("t", "b", "a"), ("t", "b", "r"), ("t", "b", "gone")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(trees.shapes(ts)) and "Join" not in plan(trees.canonical(ts))
+    got = {(r.trace_id, r.step_id): (r.parent, r.size, r.place, r.level) for r in trees.canonical(ts).collect()}
+    assert got == {("t", "r"): (None, 3, 0, 0), ("t", "a"): ("r", 1, 1, 1), ("t", "b"): ("r", 1, 2, 1), ("u", "r"): (None, 1, 0, 0)}
+    assert trees.shapes(ts).count() == 2
+    pairs = spark.createDataFrame([("u", "t")], "current string, baseline string")
+    assert plan(check.topology_unchanged(ts, pairs)).count("MapInArrow") == 0 and check.topology_unchanged(ts, pairs).first().outcome == check.OPEN
+
+
 def test_checks(spark):
     fine = dict(capture=([],))
     base = [("b", "a", 0, "a", "AGENT", "ok"), ("b", "x", 1, "t", "TOOL", "ok")]
