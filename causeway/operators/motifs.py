@@ -113,13 +113,14 @@ def review_candidates(ts: TraceSet, pattern: patterns.PathPattern, separator: st
 
 def memo_lines(ts: TraceSet) -> DataFrame:
     """trace_id, section, position, text: an incident memo's lines. Steps appear under aliases, runs under a digest, no message does."""
-    failed = failures.split(ts)
+    ts = ts.staged()
+    failed = staged(failures.split(ts))
     alias = Window.partitionBy("trace_id").orderBy("seq", "step_id")
     names = ts.steps.select("trace_id", "step_id", "seq", "kind", F.concat_ws("_", F.lit("step"), F.row_number().over(alias).cast("string"), F.lower("kind")).alias("alias"))
     head = ts.traces.select("trace_id", F.lit("run").alias("section"), F.lit(0).alias("position"), F.concat(F.lit("Run "), run_alias(F.col("trace_id")), F.lit(", status "), "status", F.lit(", fidelity "), "causal_fidelity").alias("text"))
     lines = failed.join(names.select("trace_id", "step_id", "alias"), ["trace_id", "step_id"])
     told = lines.select("trace_id", F.when(F.col("primary"), "candidates").otherwise("context").alias("section"), F.col("rank").alias("position"), F.concat("alias", F.lit(": "), safe(label(F.col("name"), F.col("kind")))).alias("text"))
-    edges = failures.causal_edges(ts).select("trace_id", "effect", "cause", "origin").distinct()
+    edges = failures.causal_edges(ts, failed).select("trace_id", "effect", "cause", "origin").distinct()
     say = F.when(F.col("origin").isin("graph_parent", "checkpoint_parent", "checkpoint_subgraph_return"), "declared cause").when(F.col("origin") == "span_link", "linked cause").when(F.col("origin") == "graph_parent_heuristic", "inferred cause").otherwise("contained in")
     ends = edges.join(names.select("trace_id", F.col("step_id").alias("effect"), F.col("seq").alias("eseq"), F.col("alias").alias("ealias")), ["trace_id", "effect"]).join(names.select("trace_id", F.col("step_id").alias("cause"), F.col("seq").alias("cseq"), F.col("alias").alias("calias")), ["trace_id", "cause"])
     arrows = ends.select("trace_id", F.lit("edges").alias("section"), F.row_number().over(Window.partitionBy("trace_id").orderBy("eseq", "cseq", "effect", "cause")).alias("position"), F.concat_ws(" ", "ealias", F.lit("<-"), "calias", F.concat(F.lit("("), say, F.lit(")"))).alias("text"))

@@ -63,12 +63,13 @@ class TraceSet:
     traces: DataFrame
     steps: DataFrame
     edges: DataFrame
+    at_rest: bool = False
 
     def staged(self) -> "TraceSet":
-        """The tables written to the shared folder once, for plans that read them several times."""
+        """The tables written to the shared folder once, for plans that read them several times; tables that were aren't written again."""
         from causeway.session import staged
 
-        return TraceSet(staged(self.traces), staged(self.steps), staged(self.edges))
+        return self if self.at_rest else TraceSet(staged(self.traces), staged(self.steps), staged(self.edges), True)
 
     def union(self, other: "TraceSet") -> "TraceSet":
         return TraceSet(*(a.unionByName(b) for a, b in ((self.traces, other.traces), (self.steps, other.steps), (self.edges, other.edges))))

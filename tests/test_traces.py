@@ -392,3 +392,17 @@ def test_deep_differences_take_few_rounds(spark, monkeypatch):
     half = " > ".join([*(f"n{k % 7}" for k in range(n // 2 + 1)), "small"])
     assert got["c"] == [f"only in A under {half}: subtree left", f"only in B under {half}: subtree right"] and "d" not in got
     assert len(rounds) <= 6
+
+
+def test_tables_at_rest_are_staged_once(spark, monkeypatch):
+    """A memo stages its tables and its split once; tables that are staged aren't written again."""
+    from causeway import session
+
+    written, inner = [], session.stored
+    monkeypatch.setattr(session, "stored", lambda df: written.append(df) or inner(df))
+    splits, split = [], failures.split
+    monkeypatch.setattr(failures, "split", lambda ts: splits.append(1) or split(ts))
+    ts = build(spark, [("t", "a", 0, "x", "TOOL", "error"), ("t", "b", 1, "y", "TOOL", "error")], [("t", "b", "a")]).staged()
+    assert ts.staged() is ts and len(written) == 3
+    assert [r.text for r in motifs.memo_lines(ts).where("section <> 'run'").orderBy("section").collect()] == ["step_1_tool: x", "step_2_tool: y"]
+    assert len(splits) == 1
