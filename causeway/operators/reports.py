@@ -202,7 +202,8 @@ def checks(ts: TraceSet, pairs: DataFrame, rules: list[str]) -> DataFrame:
     listed = every.groupBy("current", "baseline").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
     # parameters and evidence differ from rule to rule, so they are JSON values of no fixed shape
     free = F.transform("rules", lambda r: r.dropFields("turn").withField("params", F.parse_json(r["params"])).withField("evidence", F.parse_json(r["evidence"])))
-    side = lambda c: contexts(ts).toDF(c, f"{c}_context")
+    told_of = staged(contexts(ts))
+    side = lambda c: told_of.toDF(c, f"{c}_context")
     rows = listed.join(check.verdict(outcomes), ["current", "baseline"]).join(side("current"), "current").join(side("baseline"), "baseline")
     body = F.struct(
         F.lit(CHECK_VERSION).alias("schema_version"), F.lit("causeway.check").alias("kind"), "verdict", F.col("current_context").alias("current"), F.col("baseline_context").alias("baseline"), free.alias("rules"),

@@ -52,8 +52,10 @@ def layers(ts: TraceSet) -> DataFrame:
 
 def needs_origin_priority(ts: TraceSet) -> DataFrame:
     """trace_id, steps whose tree parent differs when origins are ignored."""
-    a, b = primary_parents(ts), primary_parents(ts, False).select("trace_id", "step_id", F.col("parent").alias("temporal"))
-    return a.join(b, ["trace_id", "step_id"]).where("parent <> temporal").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    cause = ts.steps.select("trace_id", F.col("step_id").alias("dst"), F.col("seq").alias("cause_seq"), F.coalesce("ts", F.lit("")).alias("cause_ts"))
+    first = lambda *rank: F.min(F.struct(*rank, "cause_seq", "cause_ts", "dst"))["dst"]
+    picked = causes(ts).join(cause, ["trace_id", "dst"]).groupBy("trace_id", "src").agg(first(origin_rank(F.col("origin")).alias("rank")).alias("parent"), first().alias("temporal"))
+    return picked.where("parent <> temporal").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
 def projection_rules(ts: TraceSet) -> DataFrame:
