@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway import schema
 from causeway.schema import TraceSet
+from causeway.session import staged
 
 
 def causes(ts: TraceSet) -> DataFrame:
@@ -72,28 +73,35 @@ def projection_rules(ts: TraceSet) -> DataFrame:
 
 
 def violations(ts: TraceSet) -> DataFrame:
-    """trace_id, rule, subject: everything that breaks the model's rules. Empty for valid traces."""
-    step = ts.steps.select("trace_id", "step_id", "seq")
+    """trace_id, rule, subject: everything that breaks the model's rules. Empty for valid traces. The columns that rules read are staged and dealt by the keys of
+    the joins, once for all rules: into all partitions, as a task of so few, well compressed columns holds many rows once partitions are coalesced by their bytes."""
+    parts = int(ts.steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = staged(ts.steps.select("trace_id", "step_id", "seq", "status", (F.size("unknown_fields") > 0).alias("unknown")))
+    traces = staged(ts.traces.select("trace_id", "status", F.col("capture").isNull().alias("open")))
+    edges = staged(ts.edges.where("type IN ('CAUSED_BY', 'TREE_PARENT')").select("trace_id", "type", "src", "dst"))
+    step = steps.select("trace_id", "step_id", "seq").repartition(parts, "trace_id", "step_id")
     tell = lambda df, rule, subject: df.select("trace_id", F.lit(rule).alias("rule"), subject.alias("subject"))
-    e = ts.edges.where("type = 'CAUSED_BY'")
+
+    def told(df: DataFrame, subject: Column, rules: dict[str, Column]) -> DataFrame:
+        broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
+        return df.select("trace_id", F.explode(broken).alias("rule"), subject.alias("subject"))
+
+    e, tree = (edges.where(F.col("type") == t).repartition(parts, "trace_id", "src") for t in ("CAUSED_BY", "TREE_PARENT"))
     arrow = F.concat_ws("->", "src", "dst")
-    known = ts.traces.select("trace_id")
-    ends = e.join(step.toDF("trace_id", "src", "src_seq"), ["trace_id", "src"], "left").join(step.toDF("trace_id", "dst", "dst_seq"), ["trace_id", "dst"], "left")
-    tree = ts.edges.where("type = 'TREE_PARENT'")
-    listed = ts.steps.where("size(unknown_fields) > 0").join(ts.traces.where("capture IS NULL").select("trace_id"), "trace_id", "left_semi")
-    derived = ts.steps.groupBy("trace_id").agg(F.max(F.col("status") == "error").alias("failed"))
+    heads = traces.groupBy("trace_id").agg(F.count(F.lit(1)).alias("heads"), F.bool_or("open").alias("open"))
+    # a join of two staged tables is no staged table: the hint is given again
+    ends = e.join(step.toDF("trace_id", "src", "src_seq"), ["trace_id", "src"], "left").repartition(parts, "trace_id", "dst").hint("merge").join(step.toDF("trace_id", "dst", "dst_seq"), ["trace_id", "dst"], "left")
+    derived = steps.groupBy("trace_id").agg(F.max(F.col("status") == "error").alias("failed"))
     found = [
         tell(step.groupBy("trace_id", "step_id").count().where("count > 1"), "duplicate step", F.col("step_id")),
-        tell(step.join(known, "trace_id", "left_anti"), "step without trace", F.col("step_id")),
-        tell(known.groupBy("trace_id").count().where("count > 1"), "duplicate trace", F.col("trace_id")),
-        tell(ends.where("src_seq IS NULL OR dst_seq IS NULL"), "unknown endpoint", arrow),
-        tell(e.where("src = dst"), "self edge", arrow),
+        told(steps.repartition(parts, "trace_id").join(heads, "trace_id", "left"), F.col("step_id"), {"step without trace": F.col("heads").isNull(), "unknown fields without capture": F.col("unknown") & F.col("open")}),
+        tell(heads.where("heads > 1"), "duplicate trace", F.col("trace_id")),
+        told(ends, arrow, {"unknown endpoint": F.col("src_seq").isNull() | F.col("dst_seq").isNull(), "cause not before effect": (F.col("src") != F.col("dst")) & (F.col("dst_seq") >= F.col("src_seq"))}),
+        tell(edges.where("type = 'CAUSED_BY' AND src = dst"), "self edge", arrow),
         tell(e.groupBy("trace_id", "src", "dst").count().where("count > 1"), "duplicate edge", arrow),
-        tell(ends.where("src <> dst AND dst_seq >= src_seq"), "cause not before effect", arrow),
         tell(tree.groupBy("trace_id", "src").count().where("count > 1"), "several tree parents", F.col("src")),
-        tell(tree.join(step.toDF("trace_id", "dst", "s"), ["trace_id", "dst"], "left_anti"), "unknown tree parent", arrow),
-        tell(listed, "unknown fields without capture", F.col("step_id")),
-        tell(ts.traces.join(derived, "trace_id", "left").where("status IS NOT NULL AND (status = 'error') <> coalesce(failed, false)"), "status differs from steps", F.col("trace_id")),
+        tell(tree.repartition(parts, "trace_id", "dst").join(step.toDF("trace_id", "dst", "s"), ["trace_id", "dst"], "left_anti"), "unknown tree parent", arrow),
+        tell(traces.join(derived, "trace_id", "left").where("status IS NOT NULL AND (status = 'error') <> coalesce(failed, false)"), "status differs from steps", F.col("trace_id")),
     ]
     out = found[0]
     for x in found[1:]:

@@ -42,6 +42,27 @@ def test_violations(spark):
     assert found == {"duplicate step", "unknown endpoint", "self edge", "duplicate edge", "cause not before effect"}
 
 
+def test_violations_are_told_from_tables_made_once(spark, small):
+    """The view isn't made again for each rule, and joins read what was dealt into all partitions: coalesced by bytes, a task's memory grew with the input."""
+    from causeway.sources import views
+
+    plan = projection.violations(views.events(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("REPARTITION_BY_NUM") >= 5
+
+
+def test_violations_keep_each_row(spark):
+    """Rules that share a join give the rows that each gave alone: repeated steps multiply what their edges break, a step may break two rules."""
+    ts = build(spark, [("t", "a", 0, "a", "CHAIN", "ok"), ("t", "b", 0, "b", "CHAIN", "error"), ("t", "b", 1, "b", "CHAIN", "ok"), ("u", "c", 0, "c", "CHAIN", "ok")], [("t", "a", "b"), ("t", "a", "x"), ("u", "c", "c")])
+    steps = ts.steps.withColumn("unknown_fields", F.when(F.col("step_id") == "c", F.array(F.lit("kind"))).otherwise(F.col("unknown_fields")))
+    traces = ts.traces.where("trace_id = 'u'").withColumn("capture", F.lit(None).cast(ts.traces.schema["capture"].dataType))
+    tree = ts.edges.where("dst = 'x'").withColumn("type", F.lit("TREE_PARENT"))
+    got = rows(projection.violations(TraceSet(traces.union(traces), steps, ts.edges.union(tree).union(tree))))
+    assert got == sorted([
+        ("t", "cause not before effect", "a->b"), ("t", "cause not before effect", "a->b"), ("t", "duplicate step", "b"), ("t", "several tree parents", "a"), ("t", "step without trace", "a"), ("t", "step without trace", "b"),
+        ("t", "step without trace", "b"), ("t", "unknown endpoint", "a->x"), ("t", "unknown tree parent", "a->x"), ("t", "unknown tree parent", "a->x"), ("u", "duplicate trace", "u"), ("u", "self edge", "c->c"), ("u", "unknown fields without capture", "c"),
+    ])
+
+
 def random_dag(rng, trace, n):
     kinds, names = ["AGENT", "TOOL", "CHAIN"], ["a", "b", "", None]
     specs = [(trace, f"s{i}", i, rng.choice(names), rng.choice(kinds), rng.choice(["ok", "error", "unset"]), rng.choice(["timeout", "x"])) for i in range(n)]
