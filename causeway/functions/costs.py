@@ -14,6 +14,8 @@ COST_CHARS = 64
 #: Digits before and after the point that sums are kept in; a sum of 10^26 costs fits.
 WHOLE, PART, LIMB = 90, 63, 9
 _DECIMAL = r"^\s*([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\s*$"
+#: A cost that is in fixed form as it stands.
+_PLAIN = r"^(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 
 
 def _let(value: Column, body) -> Column:
@@ -46,7 +48,9 @@ def fixed(text: Column) -> Column:
         plain = F.when(y["digits"] == "", "0").otherwise(F.concat(y["digits"], F.repeat(F.lit("0"), -y["places"])))
         return F.concat(y["sign"], F.when(y["places"] > 0, point).otherwise(plain))
 
-    return _let(F.replace(text, F.lit("_"), F.lit("")), lambda t: _let(read(t), lambda g: _let(sized(g), written)))
+    # most are absent, or written so: lambdas are interpreted row by row
+    plain = text.rlike(_PLAIN) & (F.length(text) <= COST_CHARS)
+    return F.when(text.isNull() | plain, text).otherwise(_let(F.replace(text, F.lit("_"), F.lit("")), lambda t: _let(read(t), lambda g: _let(sized(g), written))))
 
 
 def _digits(cost: Column) -> Column:
@@ -56,6 +60,17 @@ def _digits(cost: Column) -> Column:
     return F.concat(F.lpad(F.substring_index(plain, ".", 1), WHOLE, "0"), F.rpad(part, PART, "0"))
 
 
+def _limb_of(cost: Column, k: int) -> Column:
+    """Limb k of a cost in ``fixed`` form that isn't below zero. Few costs are long: the others' far limbs are zero and nothing is padded for them."""
+    point = WHOLE // LIMB
+    whole, part = F.substring_index(cost, ".", 1), F.when(F.contains(cost, F.lit(".")), F.substring_index(cost, ".", -1)).otherwise("")
+    if k < point:
+        over = F.length(whole) - LIMB * (point - 1 - k)  # digits up to this limb's last
+        return F.when(over > 0, F.substring(whole, F.greatest(over - LIMB + 1, F.lit(1)), F.least(over, F.lit(LIMB))).cast("long")).otherwise(0)
+    first = LIMB * (k - point)
+    return F.when(F.length(part) > first, F.rpad(F.substring(part, first + 1, LIMB), LIMB, "0").cast("long")).otherwise(0)
+
+
 def _limb(digits: Column, k: int) -> Column:
     return F.substring(digits, LIMB * k + 1, LIMB).cast("long")
 
@@ -77,8 +92,8 @@ def _written(limbs: Column, places: Column) -> Column:
 
 def summed(cost: Column) -> Column:
     """The aggregate of a column in ``fixed`` form that ``total`` reads."""
-    digits = _digits(cost)
-    sums = [F.sum(_limb(digits, k)) for k in range((WHOLE + PART) // LIMB)]
+    plain = F.ltrim(cost, F.lit("-"))  # zero may have a sign
+    sums = [F.sum(_limb_of(plain, k)) for k in range((WHOLE + PART) // LIMB)]
     return F.when(F.count(cost) > 0, F.struct(F.array(*sums).alias("limbs"), F.max(_places(cost)).alias("places")))
 
 

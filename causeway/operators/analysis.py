@@ -32,14 +32,13 @@ def _notes(when: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in when.items()]))
 
 
-def analyze(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
+def analyze(ts: TraceSet, known: DataFrame | None = None, digests: bool = True) -> DataFrame:
     """One row a trace: its header, step_count, error_count, primary_failures (deepest first, each with the ids of the steps behind it),
     propagated_failures, patterns (matches of the presets that an analysis runs), metrics, notes (codes of NOTES), digest. Names are redacted
-    where their shape isn't harmless. known: the failure split, where it is at hand."""
-    split = known if known is not None else staged(failures.split(ts))
-    behind = failures.causal_steps(ts, split).groupBy("trace_id", F.col("failure").alias("step_id")).agg(F.array_sort(F.collect_list(F.struct("level", "step_id"))).alias("causal"))
-    step = F.struct("rank", "step_id", "kind", safe(F.col("name")).alias("name"), "depth", F.transform("causal", lambda c: c["step_id"]).alias("causal_steps"))
-    told = split.join(behind, ["trace_id", "step_id"], "left").groupBy("trace_id").agg(
+    where their shape isn't harmless. known: the explained failures, where they are at hand. digests: False leaves the digest out, as it needs each trace's document."""
+    split = known if known is not None else staged(failures.explained(ts))
+    step = F.struct("rank", "step_id", "kind", safe(F.col("name")).alias("name"), "depth", F.col("causal").alias("causal_steps"))
+    told = split.groupBy("trace_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("primary"), step))).alias("primary_failures"), F.array_sort(F.collect_list(F.when(~F.col("primary"), step.dropFields("causal_steps")))).alias("propagated_failures")
     )
     order = F.create_map(*[F.lit(x) for i, n in enumerate(patterns.AUTO) for x in (n, i)])
@@ -52,7 +51,9 @@ def analyze(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("step_count"), F.count_if(F.col("status") == "error").alias("error_count"), F.bool_or(F.col("source").isin("interrupt", "scheduled")).alias("marked"),
         F.bool_or(F.col("evidence.total_cost").isNotNull()).alias("costed"),
     )
-    rows = ts.traces.join(per, "trace_id").join(lossy, "trace_id", "left").join(told, "trace_id", "left").join(found, "trace_id", "left").join(measured, "trace_id", "left").join(motifs.digest(ts), "trace_id")
+    rows = ts.traces.join(per, "trace_id").join(lossy, "trace_id", "left").join(told, "trace_id", "left").join(found, "trace_id", "left").join(measured, "trace_id", "left")
+    if digests:
+        rows = rows.join(motifs.digest(ts), "trace_id")
     sums = [F.col(f"metrics.{c}").isNotNull() for c in ("prompt_tokens", "completion_tokens", "total_tokens", "total_cost")]
     notes = _notes({
         "parent_only": F.col("causal_fidelity") == "parent_only", "lossy_tree": F.col("n_lossy") > 0, "links": F.col("links_preserved"), "heuristic_parents": gaps_have(F.col("capture"), HEURISTIC_EDGES),
@@ -62,7 +63,7 @@ def analyze(ts: TraceSet, known: DataFrame | None = None) -> DataFrame:
     none = lambda c: F.coalesce(c, F.array())
     return rows.select(
         "trace_id", safe(F.col("source_kind")).alias("source_kind"), "status", "causal_fidelity", "links_preserved", "step_count", "error_count", none("primary_failures").alias("primary_failures"),
-        none("propagated_failures").alias("propagated_failures"), none("patterns").alias("patterns"), "metrics", "decision_evidence", notes.alias("notes"), "digest",
+        none("propagated_failures").alias("propagated_failures"), none("patterns").alias("patterns"), "metrics", "decision_evidence", notes.alias("notes"), *(["digest"] if digests else []),
     )
 
 

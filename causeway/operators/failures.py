@@ -27,11 +27,21 @@ def find_step(ts: TraceSet, wanted: str) -> DataFrame:
 def split(ts: TraceSet) -> DataFrame:
     """Every failed step: trace_id, step_id, seq, kind, name, depth, primary (no failed step behind it through declared
     causes), rank (primaries by depth, deepest first, then seq and id; the rest by seq and id)."""
+    return _ranked(ts, walk.depths(ts).withColumn("primary", ~F.col("error_ancestor")))
+
+
+def explained(ts: TraceSet) -> DataFrame:
+    """``split``, and as causal the ids of the steps behind each primary failure, nearest first, then by id (null: none). One walk tells both."""
+    return _ranked(ts, walk.failed(ts))
+
+
+def _ranked(ts: TraceSet, walked: DataFrame) -> DataFrame:
     failed = ts.steps.where("status = 'error'").select("trace_id", "step_id", "seq", "kind", "name")
-    rows = failed.join(walk.depths(ts), ["trace_id", "step_id"]).withColumn("primary", ~F.col("error_ancestor"))
+    rows = failed.join(walked, ["trace_id", "step_id"])
     deep = F.when(F.col("primary"), -F.col("depth")).otherwise(0)
     line = Window.partitionBy("trace_id", "primary").orderBy(deep, "seq", "step_id")
-    return rows.select("trace_id", "step_id", "seq", "kind", "name", "depth", "primary", F.row_number().over(line).alias("rank"))
+    more = ["causal"] if "causal" in walked.columns else []
+    return rows.select("trace_id", "step_id", "seq", "kind", "name", "depth", "primary", F.row_number().over(line).alias("rank"), *more)
 
 
 def _marked(ts: TraceSet, steps: DataFrame) -> TraceSet:

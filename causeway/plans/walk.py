@@ -35,6 +35,16 @@ class Graph:
         self.causes.append([])
         self.explicit.append([])
 
+    def run_of_steps(self, ids: list, seq: list, names: list, marks: list) -> None:
+        n = len(ids)
+        self.at.update(zip(ids, range(len(self.ids), len(self.ids) + n)))
+        self.ids += ids
+        self.seq += seq
+        self.names += names
+        self.marks += marks
+        self.causes += [[] for _ in range(n)]
+        self.explicit += [[] for _ in range(n)]
+
     def edge(self, src: str, dst: str, explicit: bool) -> None:
         a, b = self.at.get(src), self.at.get(dst)
         if a is not None and b is not None:
@@ -59,33 +69,44 @@ def over_graphs(ts: TraceSet, fn: Callable[[Graph], Iterator[tuple]], ddl: str,
     kinds = struct(ddl)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(kinds)
-        graph, out = None, []
+        graph, out, held = None, [], 0
 
         def flush(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
         def finish(g: Graph) -> Iterator:
+            nonlocal held
             g.close()
             for row in fn(g):
                 out.append(row)
-                if len(out) >= 50_000:
+                held += 1 + len(row[-1]) if type(row[-1]) is list else 1
+                if held >= 50_000:
                     yield flush(out)
                     out.clear()
+                    held = 0
 
+        ends = lambda c: pc.run_end_encode(c).run_ends.to_numpy()
         for b in batches:
-            for trace, layer, seq, sid, name, marks in zip(*(values(b[c]) for c in ("trace_id", "layer", "seq", "id", "name", "marks"))):
-                if graph is None or trace != graph.trace_id:
+            traces, layers, seqs, ids, names, marks = (values(b[c]) for c in ("trace_id", "layer", "seq", "id", "name", "marks"))
+            first = 0
+            # a run: the steps, or the edges, of one trace
+            for end in np.union1d(ends(b["trace_id"]), ends(b["layer"])).tolist():
+                if graph is None or traces[first] != graph.trace_id:
                     if graph is not None:
                         yield from finish(graph)
-                    graph = Graph(trace)
-                if layer == 0:
-                    graph.step(sid, seq, name, marks)
+                    graph = Graph(traces[first])
+                if layers[first] == 0:
+                    graph.run_of_steps(ids[first:end], seqs[first:end], names[first:end], marks[first:end])
                 else:
-                    graph.edge(sid, name, bool(marks))
+                    for src, dst, explicit in zip(ids[first:end], names[first:end], marks[first:end]):
+                        graph.edge(src, dst, bool(explicit))
+                first = end
         if graph is not None:
             yield from finish(graph)
         if out:
@@ -245,15 +266,45 @@ def ancestors(ts: TraceSet, target: Column) -> DataFrame:
     return over_graphs(ts, run, "trace_id string, target string, ancestor string, level int, position int", target)
 
 
+def _depths(g: Graph) -> tuple[list[int], list[bool]]:
+    """Each step's longest path from a root, and whether a failed step (mark 1) is behind it through declared causes."""
+    depth, behind = [0] * len(g.ids), [False] * len(g.ids)
+    for i in range(len(g.ids)):
+        depth[i] = 1 + max((depth[c] for c in g.causes[i]), default=-1)
+        behind[i] = any(behind[c] or g.marks[c] & 1 for c in g.explicit[i])
+    return depth, behind
+
+
+def failed(ts: TraceSet) -> DataFrame:
+    """trace_id, step_id, depth, primary, causal of each failed step: ``depths`` and, for one without a failed step behind it, the ids of all
+    steps behind it, nearest first, then by id (null: none)."""
+
+    def run(g: Graph) -> Iterator[tuple]:
+        depth, behind = _depths(g)
+        for i in range(len(g.ids)):
+            if not g.marks[i] & 1:
+                continue
+            causal = None
+            if not behind[i]:
+                level, queue = {i: 0}, [i]
+                for j in queue:
+                    for c in g.causes[j]:
+                        if c not in level:
+                            level[c] = level[j] + 1
+                            queue.append(c)
+                causal = [g.ids[j] for j in sorted(queue[1:], key=lambda j: (level[j], g.ids[j]))] or None
+            yield g.trace_id, g.ids[i], depth[i], not behind[i], causal
+
+    return over_graphs(ts, run, "trace_id string, step_id string, depth int, primary boolean, causal array<string>", F.col("status") == "error")
+
+
 def depths(ts: TraceSet) -> DataFrame:
     """trace_id, step_id, depth (longest path from a root), error_ancestor (a failed step behind it, through
     declared causes only)."""
 
     def run(g: Graph) -> Iterator[tuple]:
-        depth, behind = [0] * len(g.ids), [False] * len(g.ids)
+        depth, behind = _depths(g)
         for i in range(len(g.ids)):
-            depth[i] = 1 + max((depth[c] for c in g.causes[i]), default=-1)
-            behind[i] = any(behind[c] or g.marks[c] & 1 for c in g.explicit[i])
             yield g.trace_id, g.ids[i], depth[i], bool(behind[i])
 
     return over_graphs(ts, run, "trace_id string, step_id string, depth int, error_ancestor boolean", F.col("status") == "error")

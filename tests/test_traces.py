@@ -380,6 +380,31 @@ def test_analysis_and_reasons(spark):
     assert check.failures_not_increased(blind, pairs).first().reasons == ["current:no_capture_record", "baseline:no_capture_record"]
 
 
+def test_an_analysis_walks_failures_once(spark, small, monkeypatch):
+    """Depths and what lies behind failures come from one walk, gap pairs from another; staged tables aren't staged again; no documents are made for digests that nobody reads."""
+    from causeway.sources import views
+
+    walks, again, inner = [], [], walk.over_graphs
+    monkeypatch.setattr(walk, "over_graphs", lambda *a, **k: walks.append(1) or inner(*a, **k))
+    monkeypatch.setattr(patterns, "staged", lambda df: again.append(1) or df)
+    got = analysis.analyze(views.events(spark, small).staged(), digests=False)
+    assert len(walks) == 2 and not again and "digest" not in got.columns
+
+
+def test_explained_failures(spark):
+    """The one walk gives what the split and the walk of ancestors give."""
+    rng, specs, arcs = random.Random(5), [], []
+    for t in range(8):
+        s, a = random_dag(rng, f"t{t}", 25)
+        specs, arcs = specs + s, arcs + [(*x, rng.choice(["graph_parent", "span_link", "span_parent_fallback"])) for x in a]
+    ts, want = build(spark, specs, arcs), {}
+    for r in failures.causal_steps(ts).collect():
+        want.setdefault((r.trace_id, r.failure), []).append((r.level, r.step_id))
+    got = failures.explained(ts).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == rows(failures.split(ts))
+    assert {(r.trace_id, r.step_id): r.causal for r in got if r.causal is not None} == {k: [i for _, i in sorted(v)] for k, v in want.items()} and want
+
+
 def test_differences_stage_little(spark, monkeypatch):
     """Outlines, pairs, two tables a round and paths are staged; digests among them have 16 bytes."""
     kept, inner = [], trees.staged
